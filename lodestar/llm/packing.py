@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import only
-from .tokens import END_ID, default_vocabulary, encoder
+from .tokens import default_vocabulary, encoder, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -115,7 +115,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, wit
         from pyspark import TaskContext
 
         enc, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 36)
-        end = np.array([END_ID], enc.dtype)
 
         def table(pieces):
             rows = [(d, s, len(i), zlib.crc32(i.astype("<u4").tobytes()), t, q, o, i) for d, s, i, t, q, o in pieces]
@@ -128,12 +127,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, wit
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 256):
-                part = texts.slice(at, 256).to_pylist()
-                ids = enc.encode_batch(part)
-                docs_ = batch.column(0).slice(at, 256).to_pylist()
-                yield table([p for d, i in zip(docs_, ids, strict=True) for p in packer.add(d, np.concatenate([i, end]))])
+            for at, size in slices(batch.column(1)):
+                part = batch.slice(at, size)
+                ids, n = enc.encode(part.column(1))
+                each = np.split(ids, np.cumsum(n)[:-1])
+                yield table([p for d, i in zip(part.column(0).to_pylist(), each, strict=True) for p in packer.add(d, i)])
         yield table(list(packer.finish()))
 
     return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

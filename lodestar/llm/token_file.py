@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dropped, only, scratch, written
-from .tokens import END_ID, default_vocabulary, encoder
+from .tokens import END_ID, default_vocabulary, encoder, slices
 
 MAGIC = b"IDRANK01"
 _HEAD = struct.Struct("<4Q")
@@ -75,36 +75,41 @@ def read_blocks(stream, id_of: np.ndarray):
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens and ids (bytes, of the encoder's width) of every document, each with the end id."""
+    """doc_id, n_tokens and ids (bytes, of the encoder's width) of every document, each with the end id.
+
+    At its end each task adds a row with `counts` alone: how often it saw each id (64-bit integers by id).
+    """
 
     def run(batches):
         enc = encoder(vocabulary)
-        end = np.array([END_ID], enc.dtype).tobytes()
+        width, total = enc.dtype.itemsize, np.zeros(max(enc.vocab_size, END_ID + 1), np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                raw = [i.tobytes() + end for i in enc.encode_batch(part.column(1).to_pylist())]
-                n = pa.array([len(x) // enc.dtype.itemsize for x in raw], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), n, pa.array(raw, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            for at, size in slices(batch.column(1)):
+                part = batch.slice(at, size)
+                ids, n = enc.encode(part.column(1))
+                total += np.bincount(ids, minlength=len(total))
+                ends = (np.concatenate([[0], np.cumsum(n)]) * width).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), raw, pa.nulls(len(part), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
-def ranking(encoded: DataFrame, vocabulary: str) -> np.ndarray:
+def ranking(encoded: DataFrame, size: int) -> np.ndarray:
     """Ids by rank, the most frequent first, ties to the smaller id. The driver gets a row for each id of the vocabulary at most."""
-    enc = encoder(vocabulary)
-    width, size = enc.dtype.str, max(enc.vocab_size, END_ID + 1)
 
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=size)
+                total += np.frombuffer(x.as_buffer(), np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
     total = np.zeros(size, np.int64)
-    for r in encoded.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.where("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r["id"]] = r["n"]
     return np.lexsort((np.arange(size), -total)).astype("<u4")
 
@@ -117,12 +122,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     encoded = written(encode_documents(docs, vocabulary), "ids")
-    id_of = ranking(encoded, vocabulary)
+    enc = encoder(vocabulary)
+    width, size = enc.dtype.str, max(enc.vocab_size, END_ID + 1)
+    id_of = ranking(encoded, size)
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/ranks.bin") as out:
         out.write(id_of.tobytes())
-    width, size = encoder(vocabulary).dtype.str, len(id_of)
     total = encoded.agg(F.sum("n_tokens")).first()[0] or 0
     files = max(1, -(-total // tokens_per_file))
     if total >= 1 << 20:  # so that small inputs use the cores too
@@ -147,7 +153,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         fs.move(part, f"{root}/{k:08d}.ids")
         yield pa.RecordBatch.from_pylist([{"file": k, "docs": n_docs, "ids": n_ids}], pa.schema([("file", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    ordered = encoded.select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids")
+    ordered = encoded.where("counts is null").select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids")
     made = sorted(tuple(r) for r in ordered.mapInArrow(run, "file long, docs long, ids long").collect())
     dropped(spark, encoded)
     return made

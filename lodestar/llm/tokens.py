@@ -7,16 +7,20 @@ and then looked up; any other tokenizer encodes each text as a whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 END_ID = 1
 #: Words of printable ASCII and Latin-1 letters: lower() and the split pattern act on each alone.
 _PLAIN = regex.compile(r"[!-~À-ÿ]+")
 _BAR = "|"
+MARKS = frozenset(".,;:!?")
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -26,7 +30,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, cache_words: int = 1_000_000) -> "Encoder":
+def encoder(path: str, cache_words: int = 600_000) -> "Encoder":
     """One encoder for each Python worker process; its cache lasts over tasks."""
     key = (path, cache_words)
     if key not in _encoders:
@@ -34,8 +38,16 @@ def encoder(path: str, cache_words: int = 1_000_000) -> "Encoder":
     return _encoders[key]
 
 
+def slices(texts: pa.Array, most: int = 6 << 20):
+    """(start, length) of runs of texts of about `most` bytes; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 class Encoder:
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,9 +60,18 @@ class Encoder:
         self.pattern = self._word_pattern(spec)
         bar = self.tok.encode(_BAR, add_special_tokens=False).ids
         self.bar = bar[0] if len(bar) == 1 else None
+        self.light = self._light(Tokenizer)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_word = self.pattern is not None and self.bar is not None and not any(regex.search(r"\s", s) or not s.startswith("<|") for s in self.special)
 
+    def _light(self, kind):
+        """The same model for parts that are lower case and split already: only white space parts them."""
+        from tokenizers import pre_tokenizers as pre
+
+        light = kind(self.tok.model)
+        light.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return light
+
     @staticmethod
     def _word_pattern(spec):
         """The pattern of the tokenizer's own split, if it is lower case, white space dropped, tokens within words."""
@@ -64,47 +85,84 @@ class Encoder:
         pattern = first["pattern"].get("Regex", "")
         return regex.compile(pattern) if r"[^\s\p{L}\p{N}]+" in pattern else None
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text (null: empty), without an end id."""
-        texts = [t or "" for t in texts]
-        if not self.by_word:
-            return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all whole texts (null: empty) end to end, each text's followed by the end id, and their numbers."""
+        texts = pc.fill_null(texts, "")
+        if self.by_word:
+            ids, n = self._by_word(texts)
+        else:
+            each = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids, n = np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(e) for e in each], np.int64)
+        ends = np.cumsum(n + 1) - 1
+        out = np.full(len(ids) + len(n), END_ID, self.dtype)
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[inner] = ids
+        return out, n + 1
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         words = self.words
         if len(words) > self.limit:
             words.clear()
             self.parts.clear()
-        new = {w for ws in split for w in ws if w not in words}
+        new = set(here).difference(words)
         if new:
-            self._learn(new)
-        get = words.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), self.dtype) for ws in split]
+            gc.disable()  # the many small objects made here form no cycles
+            try:
+                self._learn(new)
+            finally:
+                gc.enable()
+        found = list(map(words.__getitem__, here))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        flat, start = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
+        word = coded.indices.to_numpy()
+        n = size[word]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(start[word] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        per_text = split.value_lengths().to_numpy().astype(np.int64)
+        last = np.cumsum(per_text)
+        return ids, np.diff(np.concatenate([[0], end])[np.concatenate([[0], last])])
 
     def _learn(self, new: set[str]) -> None:
-        plain, whole, find = {}, [], self.pattern.findall
+        """Adds new words. ASCII words of letters, with one mark after them or none, need no pattern to be split."""
+        words, parts, find = self.words, self.parts, self.pattern.findall
+        plain, heads, several, whole = [], [], {}, []
         for w in new:
-            if "<|" in w or not w:
-                whole.append(w)
-            elif _PLAIN.fullmatch(w):
-                plain[w] = find(w.lower())
+            if w.isascii():
+                if w.isalpha():
+                    plain.append(w)
+                    continue
+                if w[-1:] in MARKS and w[:-1].isalpha():
+                    heads.append(w)
+                    continue
+            if "<|" not in w and _PLAIN.fullmatch(w):
+                several[w] = find(w.lower())
             else:
                 whole.append(w)
-        parts = self.parts
-        self._encode({p for ps in plain.values() for p in ps if p not in parts}, parts)
-        self._encode(set(whole), self.words)
-        for w, ps in plain.items():
-            self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-
-    def _encode(self, items: set[str], into: dict[str, bytes]) -> None:
+        plain_low = [w.lower() for w in plain]
+        heads_low = [w[:-1].lower() for w in heads]
+        wanted = set(plain_low).union(heads_low, MARKS, *several.values()).difference(parts)
+        self._encode(wanted, parts, self.light)
+        self._encode(set(whole), words, self.tok)
+        part = parts.__getitem__
+        words.update(zip(plain, map(part, plain_low), strict=True))
+        marks = {m: parts[m] for m in MARKS}
+        words.update([(w, part(h) + marks[w[-1]]) for w, h in zip(heads, heads_low, strict=True)])
+        words.update([(w, b"".join(map(part, ps))) for w, ps in several.items()])
+
+    def _encode(self, items: set[str], into: dict[str, bytes], tok) -> None:
         """Encodes strings without white space, many at a time, with a bar that none of them holds between them."""
         joined = [x for x in items if _BAR not in x and x]
         for x in items:
             if _BAR in x or not x:
-                into[x] = np.array(self.tok.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
+                into[x] = np.array(tok.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
         size, step = self.dtype.itemsize, 256
         lines = [f" {_BAR} ".join(joined[i : i + step]) for i in range(0, len(joined), step)]
         at = 0
-        for e in self.tok.encode_batch_fast(lines, add_special_tokens=False):
+        for e in tok.encode_batch_fast(lines, add_special_tokens=False):
             ids = np.array(e.ids, self.dtype)
             raw, start = ids.tobytes(), 0
             for cut in [*np.flatnonzero(ids == self.bar).tolist(), len(ids)]:
