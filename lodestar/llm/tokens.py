@@ -30,7 +30,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, cache_words: int = 600_000) -> "Encoder":
+def encoder(path: str, cache_words: int = 400_000) -> "Encoder":
     """One encoder for each Python worker process; its cache lasts over tasks."""
     key = (path, cache_words)
     if key not in _encoders:
@@ -47,14 +47,14 @@ def slices(texts: pa.Array, most: int = 6 << 20):
 
 
 class Encoder:
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.vocab_size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
-        self.limit, self.words, self.parts = cache_words, {}, {}
+        self.limit, self.words, self.parts, self.old_words, self.old_parts = cache_words, {}, {}, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pattern = self._word_pattern(spec)
@@ -104,11 +104,15 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.words) > self.limit:  # the last generation stays at hand, so frequent words are kept
+            self.old_words, self.words = self.words, {}
+            self.old_parts, self.parts = self.parts, {}
         words = self.words
-        if len(words) > self.limit:
-            words.clear()
-            self.parts.clear()
         new = set(here).difference(words)
+        if new and self.old_words:
+            again = new.intersection(self.old_words)
+            words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
+            new -= again
         if new:
             gc.disable()  # the many small objects made here form no cycles
             try:
@@ -145,6 +149,9 @@ class Encoder:
         plain_low = [w.lower() for w in plain]
         heads_low = [w[:-1].lower() for w in heads]
         wanted = set(plain_low).union(heads_low, MARKS, *several.values()).difference(parts)
+        again = wanted.intersection(self.old_parts)
+        parts.update(zip(again, map(self.old_parts.__getitem__, again), strict=True))
+        wanted -= again
         self._encode(wanted, parts, self.light)
         self._encode(set(whole), words, self.tok)
         part = parts.__getitem__
