@@ -23,7 +23,8 @@ def confidence(x: Column, dialect: str = "connect", fallback: int = 0) -> Column
     known = F.try_element_at(F.create_map(*map(F.lit, labels)), low) if labels else F.lit(None).cast("int")
     number = low.try_cast("double")
     number = F.when(~F.isnan(number) & (F.abs(number) < 1e9), number.cast("int"))
-    return F.coalesce(known, F.least(F.lit(5), F.greatest(F.lit(1), number)), F.lit(fallback))
+    placed = F.when(number.isNotNull(), F.least(F.lit(5), F.greatest(F.lit(1), number)))
+    return F.coalesce(known, placed, F.lit(fallback))
 
 
 def penalised(raw: Column, crossing: Column) -> Column:

@@ -1,15 +1,25 @@
-"""The queries of the library by name, each beside its SQL for DuckDB where SQL can express it."""
+"""The queries of the library by name, each beside its SQL for DuckDB where SQL can express it.
+
+The driver's tables stand in for the library's own: documents are papers (lang their domain, source their venue), tokens
+of six letters or more their tags, embeddings the vector store, labels human decisions, pages the intake, events the run
+log, conversations the memory, TPC-H tables registry rows and graph edges. Cue lists that the generated prose doesn't
+hold are given here as parameters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.config import Settings
+from lodestar.functions import links, numeric, text
+from lodestar.operators import audit, classify, connect, contracts, embed, expand, gaps, prior_art, registry, review
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "status_counts"
+FLAGSHIP = "connect_top"
 
 
 def query(oracle: str | None = None):
@@ -24,8 +34,826 @@ def query(oracle: str | None = None):
     return put
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+T = F.col("text")
+S = Settings()
+CUES = ["with ", "from ", "für ", "avec ", "con "]
+TEST_RULES = {
+    "english": [("the", 0.5), ("and", 0.4), ("of", 0.4), ("was", 0.3)],
+    "german": [("der", 0.6), ("und", 0.6), ("die", 0.4)],
+    "french": [("le", 0.5), ("les", 0.5), ("pour", 0.3)],
+    "spanish": [("los", 0.5), ("el", 0.4), ("por", 0.3)],
+}
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+# ---- texts ----------------------------------------------------------------------------------------------------------
+
+SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)),
+  lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13) || ';:')), lambda s: length(s) BETWEEN 35 AND 500)[1:{n}]"""
+SENTENCES_80 = SENTENCES.replace("{n}", "80")
+
+
+@query(f"SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS sentences FROM (SELECT doc_id, {SENTENCES_80} AS s FROM documents)")
+def sentence_split(spark, sf_dir):
+    found = docs(spark, sf_dir).select("doc_id", text.sentences(T).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("sentences"))
+
+
+@query(
+    f"""SELECT doc_id, pos, statement[1:500] AS statement, CASE WHEN contains(lower(statement), 'the') THEN 'demonstrated' ELSE 'hypothesized' END AS confidence FROM (
+    SELECT doc_id, unnest(c) AS statement, generate_subscripts(c, 1) - 1 AS pos FROM (SELECT doc_id, CASE WHEN len(q) > 0 THEN q[1:5] WHEN len(s) > 0 THEN s[1:3]
+      ELSE ['Automated ingest found content in ' || doc_id || '.txt.'] END AS c FROM (SELECT doc_id, s, list_filter(s, lambda x: len(list_filter({sql_list(CUES)}, lambda c: contains(lower(x), c))) > 0) AS q
+      FROM (SELECT doc_id, {SENTENCES_80} AS s FROM documents))))"""
+)
+def claim_extract(spark, sf_dir):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    found = docs(spark, sf_dir).select("doc_id", F.posexplode(text.claims(text.sentences(T), name, CUES)).alias("pos", "c"))
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "c.statement", F.when(F.contains(F.lower("c.statement"), F.lit("the")), "demonstrated").otherwise("hypothesized").alias("confidence"))
+
+
+_W = "[A-Za-z0-9][A-Za-z0-9_-]*"
+
+
+@query(
+    f"""SELECT doc_id, pos, coalesce(""" + ", ".join(f"nullif(CASE WHEN instr(lower(s), '{c}') > 0 THEN array_to_string(regexp_extract_all(s[instr(lower(s), '{c}') + {len(c)}:], '{_W}')[1:6], ' ') END, '')" for c in ("using ", "uses ", "via ", "based on ")) + f""",
+    nullif(array_to_string(regexp_extract_all(s, '{_W}')[1:6], ' '), ''), 'fallback extracted method') AS name FROM (SELECT doc_id, unnest(c) AS s, generate_subscripts(c, 1) - 1 AS pos FROM (
+    SELECT doc_id, list_filter(s, lambda x: len(list_filter({sql_list(CUES + ['via '])}, lambda c: contains(lower(x), c))) > 0)[1:4] AS c FROM (SELECT doc_id, {SENTENCES_80} AS s FROM documents)))
+    UNION ALL SELECT doc_id, 0, 'automated text parsing' FROM (SELECT doc_id, {SENTENCES_80} AS s FROM documents) WHERE len(list_filter(s, lambda x: len(list_filter({sql_list(CUES + ['via '])}, lambda c: contains(lower(x), c))) > 0)) = 0"""
+)
+def method_names(spark, sf_dir):
+    found = docs(spark, sf_dir).select("doc_id", F.posexplode(text.methods(text.sentences(T), CUES + ["via "])).alias("pos", "m"))
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "m.name")
+
+
+TERMS = ["there", "ation", "thing", "licen", "ement", "schen", "ción", "game", "via", "loss"]
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({sql_list(TERMS)}, lambda t: contains(lower(text), t))[1:5], ',') AS terms FROM documents")
+def technique_terms(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.techniques(T, TERMS), ",").alias("terms"))
+
+
+_EQ = text.EQUATION.replace("'", "''")
+_SYMBOLS = sql_list(text.MATH_SYMBOLS)
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+    k AS (SELECT doc_id, trim(line, ' ') AS line, p FROM l WHERE trim(line, ' ') <> ''),
+    n AS (SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after, row_number() OVER w AS r FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    e AS (SELECT doc_id, r, concat_ws(' ', before, line, after) AS context, trim(coalesce(nullif(regexp_extract(line, '{_EQ}', 1), ''), line), ' ') AS x FROM n
+      WHERE length(line) <= 240 AND len(list_filter({_SYMBOLS}, lambda s: contains(line, s))) > 0),
+    f AS (SELECT doc_id, x[1:240] AS expression, context[1:500] AS context, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS label FROM e WHERE length(x) >= 5)
+    SELECT * FROM f WHERE label <= 12"""
+)
+def equation_lines(spark, sf_dir):
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(T, "\n")).alias("p", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    w = Window.partitionBy("doc_id").orderBy("p")
+    near = lines.withColumn("context", F.substring(F.concat_ws(" ", F.lag("line").over(w), "line", F.lead("line").over(w)), 1, 500)).withColumn("expression", text.equation_of(F.col("line")))
+    found = near.where("expression is not null").withColumn("label", F.row_number().over(w).cast("long"))
+    return found.where("label <= 12").select("doc_id", "expression", "context", "label")
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) - 1 AS pos FROM (SELECT page_id, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS x FROM pages)),
+    h AS (SELECT page_id, trim(line, ' ') AS line, pos FROM l WHERE trim(line, ' ') <> '')
+    SELECT page_id, line AS title, CAST(min(pos) AS BIGINT) AS pos FROM h WHERE regexp_matches(line, '^[0-9]+(\.[0-9]+)*\s+.+') OR (length(line) < 90 AND line = upper(line) AND regexp_matches(line, '\p{Lu}')) GROUP BY page_id, line"""
+)
+def section_headers(spark, sf_dir):
+    lines = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    return lines.where((F.col("line") != "") & text.is_header(F.col("line"))).groupBy("page_id", F.col("line").alias("title")).agg(F.min("pos").cast("long").alias("pos"))
+
+
+@query(
+    r"""SELECT page_id, list_filter(list_transform(list_filter(string_split(translate(x, chr(10), ' '), ' '), lambda t: regexp_full_match(t, '[0-9]{4}')), lambda t: CAST(t AS INT)), lambda y: y BETWEEN 1900 AND 2100)[1] AS year
+    FROM (SELECT page_id, regexp_replace(html, '[^A-Za-z0-9]+', ' ', 'g') || ' ' || (1850 + page_id % 300) || ' ' || (1990 + page_id % 40) AS x FROM pages)"""
+)
+def year_first(spark, sf_dir):
+    x = F.concat(F.regexp_replace("html", "[^A-Za-z0-9]+", " "), F.lit(" "), (1850 + F.col("page_id") % 300).cast("string"), F.lit(" "), (1990 + F.col("page_id") % 40).cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", text.year(x).alias("year"))
+
+
+RULE_TAGS = {"licensed": "licensed", "der ": "german", "game": "game_theory", "token": "secret", " les ": "french", "stupid": "rude", "los ": "spanish"}
+
+
+@query(
+    "SELECT doc_id, array_to_string(list_concat(['ingested', 'fallback'], list_filter(["
+    + ", ".join(f"CASE WHEN contains(x, '{k}') THEN '{v}' END" for k, v in RULE_TAGS.items())
+    + "], lambda t: t IS NOT NULL)), ',') AS tags FROM (SELECT doc_id, lower(source || chr(10) || text[1:6000]) AS x FROM documents)"
+)
+def tag_rules(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.tags(F.col("source"), T, RULE_TAGS), ",").alias("tags"))
+
+
+@query(
+    r"""SELECT doc_id, coalesce(nullif(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '', 'g')[1:35], ''), 'paper') || '_' ||
+    lpad(CAST(CAST('0x' || sha1(doc_id || '.pdf')[1:10] AS BIGINT) % 1000000000 AS VARCHAR), 9, '0') AS paper_id FROM documents"""
+)
+def paper_id_suffix(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.paper_id(F.split(T, "\n")[0], F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("paper_id"))
+
+
+@query(
+    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-')[1:70], ''), 'item') AS slug, sha1(url)[1:8] AS short FROM pages"""
+)
+def slug_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"), text.short_id(F.col("url")).alias("short"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN length(c) > 360 THEN rtrim(c[1:357]) || '...' ELSE c END AS excerpt,
+    CASE WHEN length(text) <= 1000 THEN text ELSE text[1:400] || chr(10) || '...[truncated]...' || chr(10) || right(text, 587) END AS middle
+    FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)"""
+)
+def snippet_truncate(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.shorten(T, 360).alias("excerpt"), text.truncate_middle(T, 1000).alias("middle"))
+
+
+@query(
+    f"""SELECT doc_id, length(text) >= 80 AND len(list_filter({sql_list(text.VERBS)}, lambda v: contains(lower(text), v))) > 0 AS specific FROM documents"""
+)
+def approach_specific(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", text.approach_specific(T).alias("specific"))
+
+
+@query(
+    r"""SELECT doc_id, regexp_extract(text, '(?is)\babstract\b[:\s-]*(.+?)(?:\b(?:introduction|keywords|references)\b|$)', 1) AS abstract, array_to_string(list_filter(list_transform(string_split(
+    regexp_extract(text, '(?s)\n(?i:references)\n(.*)$', 1), chr(10)), lambda s: trim(s, ' ')), lambda s: s <> ''), '|') AS refs FROM (
+    SELECT doc_id, 'Abstract: ' || replace(text[1:300], chr(10), ' ') || ' Introduction ' || source || chr(10) || 'References' || chr(10) || lang || chr(10) || source AS text FROM documents)"""
+)
+def abstract_references(spark, sf_dir):
+    made = F.concat(F.lit("Abstract: "), F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")), F.lit(" Introduction "), "source", F.lit("\nReferences\n"), "lang", F.lit("\n"), "source")
+    refs = text.references(made)
+    return docs(spark, sf_dir).select("doc_id", F.regexp_extract(made, text.ABSTRACT, 1).alias("abstract"), F.array_join(F.slice(refs, 2, 1000), "|").alias("refs"))
+
+
+@query(
+    r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(split_part(x, ' - ', 2), ','), lambda n: trim(n)), lambda n: n <> '')[1:4], ';') AS authors,
+    array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(y, '\(e\.g\.,?\s*([^)]*)\)', 1), '[,/;]'), lambda i: trim(i)), lambda i: i <> '')[1:8], ';') AS examples
+    FROM (SELECT doc_id, 'Title - ' || source || ', ' || lang || ', A' || doc_id || ', B, C' AS x, 'vary (e.g., ' || source || ', ' || lang || '/x; y) widely' AS y FROM documents)"""
+)
+def authors_examples(spark, sf_dir):
+    x = F.concat(F.lit("Title - "), "source", F.lit(", "), "lang", F.lit(", A"), F.col("doc_id").cast("string"), F.lit(", B, C"))
+    y = F.concat(F.lit("vary (e.g., "), "source", F.lit(", "), "lang", F.lit("/x; y) widely"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.authors(x), ";").alias("authors"), F.array_join(text.examples(y), ";").alias("examples"))
+
+
+# ---- classification -------------------------------------------------------------------------------------------------
+
+_RULES = ", ".join(f"('{d}', {k}, {p}, '{c}', {w})" for k, (d, cs) in enumerate(TEST_RULES.items()) for p, (c, w) in enumerate(cs))
+CLASSIFIED = rf"""r(domain, domain_pos, pos, cue, weight) AS (VALUES {_RULES}),
+    n AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS p FROM documents),
+    s AS (SELECT doc_id, domain, domain_pos, CAST(sum(weight) AS DOUBLE) AS score FROM n JOIN r ON contains(p, ' ' || cue || ' ') GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY round(score, 6) DESC, domain_pos)),
+    c AS (SELECT n.doc_id, lang, CASE WHEN round(score, 6) >= 0.6 THEN domain ELSE 'unclassified' END AS domain, coalesce(score, 0) AS score, coalesce(second, 0) AS second FROM n LEFT JOIN t ON t.doc_id = n.doc_id AND k = 1)"""
+
+
+@query(
+    f"""WITH {CLASSIFIED} SELECT doc_id, domain, round(CASE WHEN score <= 0 THEN 0.15 WHEN round(score, 6) < 0.6 THEN greatest(0.15, 0.25 + score * 0.2)
+    ELSE least(0.98, 0.45 + least(score / 2.4, 1.0) * 0.45 + least(score - second, 1.2) * 0.12) END, 2) AS confidence, round(score - second, 4) AS margin FROM c"""
+)
+def domain_classify(spark, sf_dir):
+    found = classify.classified(docs(spark, sf_dir), classify.rule_rows(spark, TEST_RULES))
+    return found.select("doc_id", "domain", F.round("confidence", 2).alias("confidence"), F.round("margin", 4).alias("margin"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT lang, domain, count(*) AS n FROM c GROUP BY ALL")
+def domain_confusion(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", "lang").join(classify.classified(d, classify.rule_rows(spark, TEST_RULES)), "doc_id").groupBy("lang", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN md = 'unclassified' AND rd <> 'unclassified' AND rc >= 0.55 THEN rd WHEN mc >= 0.75 OR rd = 'unclassified' THEN md WHEN md = 'unclassified' OR rc >= 0.65 OR rc > mc + 0.15 THEN rd ELSE md END AS domain,
+    round(CASE WHEN md = 'unclassified' AND rd <> 'unclassified' AND rc >= 0.55 THEN greatest(rc, mc) WHEN mc >= 0.75 OR rd = 'unclassified' THEN mc WHEN md = 'unclassified' OR rc >= 0.65 OR rc > mc + 0.15 THEN greatest(rc, mc) ELSE mc END, 4) AS confidence
+    FROM (SELECT doc_id, CASE WHEN quality = 0 THEN 'unclassified' ELSE lang END AS md, (doc_id % 10) / 10.0 AS mc, CASE WHEN toxic = 1 THEN 'unclassified' ELSE source END AS rd, (doc_id % 7) / 7.0 AS rc FROM labels JOIN documents USING (doc_id))"""
+)
+def classifier_merge(spark, sf_dir):
+    both = table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang", "source"), "doc_id")
+    model, rules = F.when(F.col("quality") == 0, "unclassified").otherwise(F.col("lang")), F.when(F.col("toxic") == 1, "unclassified").otherwise(F.col("source"))
+    domain, conf = classify.merged(model, F.col("doc_id") % 10 / 10.0, rules, F.col("doc_id") % 7 / 7.0)
+    return both.select("doc_id", domain.alias("domain"), F.round(conf, 4).alias("confidence"))
+
+
+# ---- vectors --------------------------------------------------------------------------------------------------------
+
+HEX = "(instr('0123456789abcdef', h[2 * i + 1:2 * i + 1]) - 1) * 16 + instr('0123456789abcdef', h[2 * i + 2:2 * i + 2]) - 1"
+
+
+@query(f"SELECT doc_id, round(list_sum(v), 4) AS total, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS norm FROM (SELECT doc_id, list_transform(range(0, 32), lambda i: ({HEX}) / 255.0 - 0.5) AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents))")
+def hash_embedding(spark, sf_dir):
+    v = docs(spark, sf_dir).select("doc_id", numeric.hash_vector(T).alias("v"))
+    return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.sqrt(numeric.dot(F.col("v"), F.col("v"))), 4).alias("norm"))
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+@query(
+    """SELECT query_id, item_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
+    FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0) WHERE rank <= 5"""
+)
+def cosine_topk(spark, sf_dir):
+    store = vectors(spark, sf_dir)
+    found = embed.topk(store.select("item_id", "vec"), store.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec"), 5)
+    return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT label, p - 1 AS pos, round(avg(x), 4) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY ALL")
+def centroid_by_label(spark, sf_dir):
+    return embed.means(vectors(spark, sf_dir), "label").select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 4).alias("mean"))
+
+
+@query(
+    """SELECT label, p - 1 AS pos, round(avg(x), 4) AS mean FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM (
+    SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 9) GROUP BY ALL"""
+)
+def paper_mean_first9(spark, sf_dir):
+    return embed.means(vectors(spark, sf_dir), "label", 9).select("label", F.col("pos").cast("long").alias("pos"), F.round("mean", 4).alias("mean"))
+
+
+@query(
+    """WITH n AS (SELECT vec_id + 100 AS item_id, label + 1000 AS label FROM embeddings)
+    SELECT vec_id AS item_id, label FROM embeddings WHERE vec_id NOT IN (SELECT item_id FROM n) UNION ALL SELECT item_id, label FROM n"""
+)
+def embedding_upsert(spark, sf_dir):
+    store = vectors(spark, sf_dir).select("item_id", "label")
+    return embed.upsert(store, store.select((F.col("item_id") + 100).alias("item_id"), (F.col("label") + 1000).alias("label")))
+
+
+@query("SELECT vec_id AS item_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm FROM embeddings ORDER BY sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) DESC, vec_id LIMIT 25")
+def norm_topk(spark, sf_dir):
+    return embed.norm_topk(vectors(spark, sf_dir), 25).select("item_id", F.round("norm", 4).alias("norm"))
+
+
+_PAPERS = "(SELECT vec_id, vec_id // 10 AS paper, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def paper_items(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).select(F.floor(F.col("item_id") / 10).alias("paper"), "item_id", "vec")
+
+
+@query(f"SELECT a.vec_id AS item_id, round(coalesce(max(CASE WHEN b.vec_id IS NOT NULL THEN list_cosine_similarity(a.v, b.v) END), 0), 4) AS score FROM {_PAPERS} a LEFT JOIN {_PAPERS} b ON a.paper = b.paper AND b.vec_id < a.vec_id GROUP BY a.vec_id")
+def redundancy_flag(spark, sf_dir):
+    return embed.redundancy(paper_items(spark, sf_dir), "paper").select("item_id", F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS score FROM {_PAPERS} a JOIN {_PAPERS} b ON a.paper = b.paper AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.1")
+def cosine_threshold_pairs(spark, sf_dir):
+    items = paper_items(spark, sf_dir)
+    a, b = items.select("paper", F.col("item_id").alias("a"), F.col("vec").alias("va")), items.select("paper", F.col("item_id").alias("b"), F.col("vec").alias("vb"))
+    met = a.join(b, "paper").where("a < b").withColumn("score", numeric.cosine(F.col("va"), F.col("vb")))
+    return met.where("score >= 0.1").select("a", "b", F.round("score", 4).alias("score"))
+
+
+# ---- registry -------------------------------------------------------------------------------------------------------
+
+
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
-def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs.createOrReplaceTempView("_documents")
-    return spark.sql("SELECT lang, source, count(*) AS n FROM _documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def status_counts(spark, sf_dir):
+    return registry.counts(docs(spark, sf_dir), "lang", "source")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS paper_id, lang AS domain, source AS status FROM documents WHERE lang = 'en' AND source = 'src1' AND CAST(doc_id AS VARCHAR) LIKE '1%'")
+def status_filter(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("paper_id"), F.col("lang").alias("domain"), F.col("source").alias("status"))
+    return registry.selected(rows, "src1", "en", "1")
+
+
+@query(
+    """SELECT coalesce(n.k, c.c_custkey) AS c_custkey, coalesce(n.name, c_name) AS c_name, coalesce(n.seg, c_mktsegment) AS c_mktsegment FROM customer c
+    FULL JOIN (SELECT c_custkey + 50 AS k, 'new ' || c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'MOVED' END AS seg FROM customer WHERE c_custkey % 3 = 0) n ON n.k = c.c_custkey"""
+)
+def registry_upsert(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    new = rows.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 50).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), F.when(F.col("c_custkey") % 2 == 0, "MOVED").alias("c_mktsegment"))
+    return registry.upserted(rows, new, "c_custkey")
+
+
+@query(
+    """SELECT c_custkey, c_name FROM customer UNION ALL SELECT k, 'copy' FROM (SELECT c_custkey * 2 AS k FROM customer) WHERE k NOT IN (SELECT c_custkey FROM customer)"""
+)
+def registry_insert(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return registry.inserted(rows, rows.select((F.col("c_custkey") * 2).alias("c_custkey"), F.lit("copy").alias("c_name")), "c_custkey")
+
+
+STATUS_OF_EVENT = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'ingested_only' WHEN 'purchase' THEN 'exhausted' END"
+
+
+@query(
+    f"""SELECT event_id, user_id, status, before FROM (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM (SELECT event_id, user_id, ts, {STATUS_OF_EVENT} AS status FROM events) WHERE status IS NOT NULL)
+    WHERE list_position(['pending', 'ingested_only', 'exhausted'], before) > list_position(['pending', 'ingested_only', 'exhausted'], status)"""
+)
+def status_transition_check(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.expr(STATUS_OF_EVENT).alias("status")).where("status is not null")
+    return registry.regressions(events, "user_id", ["ts", "event_id"]).select("event_id", "user_id", "status", "before")
+
+
+@query(
+    """WITH h AS (SELECT 'c' || (doc_id // 5) AS c, list(DISTINCT doc_id) AS ids FROM documents GROUP BY 1),
+    d AS (SELECT 'c' || doc_id AS c, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'investigate' END AS s FROM labels WHERE doc_id % 7 <> 0),
+    m AS (SELECT DISTINCT unnest(ids) AS doc_id FROM h JOIN d USING (c))
+    SELECT 'cluster' AS kind, c AS id, coalesce(s, 'pending_review') AS state FROM h LEFT JOIN d USING (c) UNION ALL
+    SELECT 'paper', CAST(doc_id AS VARCHAR), CASE WHEN doc_id IN (SELECT doc_id FROM m) THEN 'true' ELSE 'false' END FROM (SELECT DISTINCT doc_id FROM documents)"""
+)
+def promote_apply(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id")
+    hyps = d.groupBy(F.concat(F.lit("c"), F.floor(F.col("doc_id") / 5).cast("string")).alias("cluster_id")).agg(F.collect_set("doc_id").alias("paper_ids")).withColumn("status", F.lit("pending_review"))
+    labels = table(spark, sf_dir, "labels")
+    decision = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("needs_prior_art")
+    made = labels.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("cluster_id"), decision.alias("decision"), F.lit("reviewer").alias("reviewer"), F.when(F.col("doc_id") % 7 == 0, " ").otherwise("seen").alias("note"))
+    papers = d.distinct().select(F.col("doc_id").alias("paper_id"), F.lit(False).alias("triaged"))
+    out, flagged = registry.promoted(hyps, made, papers)
+    return out.select(F.lit("cluster").alias("kind"), F.col("cluster_id").alias("id"), F.col("status").alias("state")).unionByName(flagged.select(F.lit("paper").alias("kind"), F.col("paper_id").cast("string").alias("id"), F.col("triaged").cast("string").alias("state")))
+
+
+# ---- pairs and connections ------------------------------------------------------------------------------------------
+
+LOW, HIGH = 2, 10  # papers of a tag within its domain
+
+
+def tagged(spark, sf_dir) -> DataFrame:
+    """(paper_id, domain, tag): tokens of six letters or more, in LOW to HIGH documents of the language."""
+    found = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"))
+    return connect.rare(connect.tag_rows(found), LOW, HIGH)
+
+
+TAGGED = f"""tagged AS (SELECT doc_id AS paper_id, lang AS domain, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}'))) AS tag FROM documents),
+    rare AS (SELECT paper_id, domain, tag FROM tagged JOIN (SELECT domain, tag FROM tagged WHERE tag NOT IN ('fallback', 'ingested', 'automated', 'pdf', 'paper') GROUP BY ALL HAVING count(DISTINCT paper_id) BETWEEN {LOW} AND {HIGH}) USING (domain, tag))"""
+
+
+def pairs_sql(on: str) -> str:
+    return f"""{TAGGED}, pairs AS (SELECT x.paper_id AS a, y.paper_id AS b, x.domain AS domain_a, y.domain AS domain_b, count(DISTINCT x.tag) AS shared FROM rare x JOIN rare y ON x.tag = y.tag AND x.paper_id < y.paper_id AND {on} GROUP BY ALL)"""
+
+
+WITHIN = pairs_sql("x.domain = y.domain")
+
+
+def within(spark, sf_dir) -> DataFrame:
+    return connect.pairs(tagged(spark, sf_dir))
+
+
+@query(f"WITH {WITHIN} SELECT a, b, domain_a, shared FROM pairs WHERE shared >= 2")
+def tag_pairs_within(spark, sf_dir):
+    return within(spark, sf_dir).where("shared >= 2").select("a", "b", "domain_a", "shared")
+
+
+@query(f"WITH {pairs_sql('x.domain <> y.domain')} SELECT a, b, domain_a, domain_b, shared FROM pairs WHERE (domain_a = 'en' AND domain_b = 'de') OR (domain_a = 'de' AND domain_b = 'en')")
+def tag_pairs_cross(spark, sf_dir):
+    return connect.pairs(tagged(spark, sf_dir), "cross", ("en", "de")).select("a", "b", "domain_a", "domain_b", "shared")
+
+
+@query(f"WITH {pairs_sql('true')} SELECT a, b, CASE WHEN domain_a = domain_b THEN 'within' ELSE 'cross' END AS scope, shared FROM pairs WHERE shared >= 2")
+def tag_pairs_all(spark, sf_dir):
+    scope = F.when(F.col("domain_a") == F.col("domain_b"), "within").otherwise("cross")
+    return connect.pairs(tagged(spark, sf_dir), "all").where("shared >= 2").select("a", "b", scope.alias("scope"), "shared")
+
+
+@query(f"WITH {pairs_sql('(x.paper_id = 3 OR y.paper_id = 3)')} SELECT a, b, domain_a, domain_b, shared FROM pairs")
+def tag_pairs_one(spark, sf_dir):
+    return connect.pairs(tagged(spark, sf_dir), "all", paper=3).select("a", "b", "domain_a", "domain_b", "shared")
+
+
+@query(f"WITH {WITHIN} SELECT a, b, ((a + b) % 100) / 100.0 >= 0.82 OR shared >= 2 AS analyzed FROM pairs")
+def pair_prune(spark, sf_dir):
+    return within(spark, sf_dir).select("a", "b", connect.worth((F.col("a") + F.col("b")) % 100 / 100.0, F.col("tags"), S.similarity).alias("analyzed"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def pair_log_latest(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return connect.latest(events, "user_id", [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query(
+    """WITH log AS (SELECT user_id AS a, user_id + 1 AS b, count_if(event_type = 'view') % 4 AS da, count_if(event_type = 'click') % 4 AS db, count_if(event_type = 'error') % 4 AS oa, count_if(event_type = 'signup') % 4 AS ob FROM events GROUP BY user_id)
+    SELECT a || '::' || b AS pair, da <= CASE WHEN a % 3 = 0 THEN 0 ELSE oa END AND db <= ob AS skipped FROM log"""
+)
+def pair_skip_depth(spark, sf_dir):
+    n = lambda kind: (F.count_if(F.col("event_type") == kind) % 4)
+    log = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("a")).agg(n("view").alias("da"), n("click").alias("db"), n("error").alias("oa"), n("signup").alias("ob")).withColumn("b", F.col("a") + 1)
+    old = F.when(F.col("a") % 3 != 0, F.col("oa"))
+    skipped = connect.already(F.lit(True), F.col("da"), F.col("db"), old, F.col("ob"), True)
+    # keys are put in the order of numbers here, as these are no texts
+    return log.select(F.concat_ws("::", F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"), skipped.alias("skipped"))
+
+
+ANSWERS = "CASE (a + b) % 6 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN '4.7' WHEN 3 THEN 'very_high' WHEN 4 THEN 'moderate' ELSE 'unheard' END"
+NOVELTY = "CASE (a * 3 + b) % 4 WHEN 0 THEN 'obvious' WHEN 1 THEN 'non-obvious' WHEN 2 THEN 'speculative' ELSE 'novel' END"
+JUDGED = f"""{pairs_sql('true')}, judged AS (SELECT *, CASE WHEN domain_a <> domain_b THEN greatest(1, raw - 1) ELSE raw END AS confidence FROM (
+    SELECT a, b, domain_a, domain_b, shared, CASE {ANSWERS} WHEN 'high' THEN 4 WHEN 'low' THEN 2 WHEN '4.7' THEN 4 WHEN 'very_high' THEN 5 ELSE 3 END AS raw, CASE WHEN {NOVELTY} = 'novel' THEN 'non-obvious' ELSE {NOVELTY} END AS novelty FROM pairs)),
+    scored AS (SELECT *, confidence * CASE novelty WHEN 'non-obvious' THEN 2.0 WHEN 'speculative' THEN 0.5 ELSE 1.0 END AS score,
+      CASE WHEN a % 11 = 0 THEN 'skipped_analyzed' WHEN shared < 2 THEN 'skipped_similarity' WHEN b % 13 = 0 THEN 'missing_records' WHEN novelty = 'speculative' AND confidence < 4 THEN 'speculative_filtered'
+      WHEN confidence < 3 THEN 'below_confidence' ELSE 'kept' END AS reason FROM judged)"""
+
+
+def labelled_pairs(spark, sf_dir) -> DataFrame:
+    met = connect.pairs(tagged(spark, sf_dir), "all")
+    flags = {"skipped_analyzed": F.col("a") % 11 == 0, "skipped_similarity": ~connect.worth(F.lit(0.0), F.col("tags"), S.similarity), "missing_records": F.col("b") % 13 == 0}
+    # answers stand beside the pairs, so they are columns here rather than a join
+    raw = numeric.confidence(F.expr(ANSWERS), "connect", 3)
+    novelty = F.expr(NOVELTY)
+    rows = met.withColumn("confidence_raw", raw).withColumn("novelty", F.when(novelty.isin("obvious", "non-obvious", "speculative"), novelty).otherwise("non-obvious"))
+    rows = rows.withColumn("confidence", numeric.penalised(F.col("confidence_raw"), F.col("domain_a") != F.col("domain_b")))
+    rows = rows.withColumn("score", numeric.score(F.col("confidence"), F.col("novelty")))
+    return connect.with_reason(rows, 3, **flags)
+
+
+@query(f"WITH {JUDGED} SELECT a, b, CAST(confidence AS BIGINT) AS confidence, novelty, round(score, 2) AS score, reason FROM scored")
+def connect_score(spark, sf_dir):
+    return labelled_pairs(spark, sf_dir).select("a", "b", F.col("confidence").cast("long").alias("confidence"), "novelty", F.round("score", 2).alias("score"), "reason")
+
+
+@query(f"WITH {JUDGED} SELECT count(*) AS candidates, " + ", ".join(f"count_if(reason = '{r}') AS {r}" for r in connect.REASONS) + " FROM scored")
+def connect_report(spark, sf_dir):
+    return connect.report(labelled_pairs(spark, sf_dir))
+
+
+@query(f"WITH {JUDGED} SELECT confidence, novelty, count(*) AS n FROM scored WHERE reason = 'kept' GROUP BY ALL")
+def connect_counts(spark, sf_dir):
+    return labelled_pairs(spark, sf_dir).where("reason = 'kept'").groupBy("confidence", "novelty").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {JUDGED} SELECT a, b, shared, round(score, 2) AS score FROM scored WHERE reason = 'kept' ORDER BY score DESC, shared DESC, a, b LIMIT 5")
+def connect_top(spark, sf_dir):
+    return connect.top(labelled_pairs(spark, sf_dir).where("reason = 'kept'")).select("a", "b", "shared", F.round("score", 2).alias("score"))
+
+
+LINKS_SQL = """cites AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href="/([^"]*)"', 1), lambda x: lower(trim(x))) AS c FROM pages)"""
+
+
+@query(
+    f"""WITH {LINKS_SQL}, p AS (SELECT a.page_id AS a, b.page_id AS b, a.c AS ca, b.c AS cb FROM cites a JOIN cites b ON b.page_id = a.page_id + 1)
+    SELECT a, b, list_contains(ca, coalesce(cb[1], '')) OR list_contains(cb, coalesce(ca[1], '')) AS visible FROM p"""
+)
+def citation_visible(spark, sf_dir):
+    cites = table(spark, sf_dir, "pages").select("page_id", F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda x: F.lower(F.trim(x))).alias("c"))
+    a, b = cites.select(F.col("page_id").alias("a"), F.col("c").alias("ca")), cites.select((F.col("page_id") - 1).alias("a"), F.col("page_id").alias("b"), F.col("c").alias("cb"))
+    first = lambda c: F.coalesce(F.get(c, 0), F.lit(""))
+    return a.join(b, "a").select("a", "b", connect.visible(first("ca"), first("cb"), F.col("ca"), F.col("cb")).alias("visible"))
+
+
+# ---- graph, clusters, gaps ------------------------------------------------------------------------------------------
+
+REACH = f"""RECURSIVE {WITHIN}, e AS (SELECT a, b FROM pairs WHERE shared >= 10 UNION SELECT b, a FROM pairs WHERE shared >= 10),
+    r(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other),
+    c AS (SELECT node, min(other) AS component FROM r GROUP BY node)"""
+
+
+def strong_edges(spark, sf_dir) -> DataFrame:
+    return gaps.latest_edges(within(spark, sf_dir).where("shared >= 10").select("a", "b"))
+
+
+@query(f"WITH {REACH} SELECT node, component FROM c")
+def components(spark, sf_dir):
+    from lodestar.operators import graph
+
+    return graph.components(strong_edges(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+@query(
+    f"""WITH {REACH}, k AS (SELECT component, count(*) AS size, list_sort(list(CAST(node AS VARCHAR))) AS ids FROM c GROUP BY component HAVING count(*) >= 3), n AS (SELECT component, count(*) AS edges FROM e JOIN c ON e.a = c.node WHERE e.a < e.b GROUP BY component)
+    SELECT component, size, edges, 'cluster_' || ids[1] || '_' || ids[2] || '_' || size AS cluster_id FROM k JOIN n USING (component)"""
+)
+def cluster_ids(spark, sf_dir):
+    found = gaps.clusters(strong_edges(spark, sf_dir))
+    return found.select("component", "size", "edges", "cluster_id")
+
+
+@query(
+    f"""WITH {REACH}, k AS (SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) >= 3), n AS (SELECT component, count(*) AS edges FROM e JOIN c ON e.a = c.node WHERE e.a < e.b GROUP BY component)
+    SELECT 'Fallback synthesis across ' || size || ' papers based on ' || edges || ' connections.' AS summary, size AS cluster_size, 'unexplored_question' AS gap_type, 2 AS feasibility, 3 AS confidence FROM k JOIN n USING (component)"""
+)
+def fallback_hypotheses(spark, sf_dir):
+    made = gaps.fallback(gaps.clusters(strong_edges(spark, sf_dir)))
+    return made.select("summary", F.col("cluster_size").cast("long").alias("cluster_size"), F.explode("gaps").alias("g")).select("summary", "cluster_size", "g.gap_type", "g.feasibility", "g.confidence")
+
+
+@query(
+    """WITH g AS (SELECT o_custkey AS cluster_id, o_orderkey AS pos, 6 - CAST(o_orderpriority[1:1] AS INT) AS feasibility, CASE o_orderstatus WHEN 'P' THEN 2 WHEN 'F' THEN 3 ELSE 4 END AS confidence FROM orders)
+    SELECT * FROM (SELECT cluster_id, pos, CAST(feasibility AS BIGINT) AS feasibility, CAST(confidence AS BIGINT) AS confidence, row_number() OVER (PARTITION BY cluster_id ORDER BY pos) AS rank,
+    row_number() OVER (PARTITION BY cluster_id ORDER BY feasibility DESC, confidence DESC, pos) AS sorted_rank FROM g WHERE confidence > 2) WHERE sorted_rank <= 8"""
+)
+def gap_rank(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("pos"), (6 - F.substring("o_orderpriority", 1, 1).cast("int")).alias("feasibility"),
+        F.expr("CASE o_orderstatus WHEN 'P' THEN 'low' WHEN 'F' THEN 'medium' ELSE 'high' END").alias("confidence"),
+    )
+    return gaps.ranked(rows).select("cluster_id", "pos", *[F.col(c).cast("long").alias(c) for c in ("feasibility", "confidence", "rank", "sorted_rank")])
+
+
+# ---- expansion ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH i AS (SELECT user_id AS paper_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_type IN ('error', 'view') AS redundant, event_type IN ('purchase', 'click') AS speculative FROM events),
+    f AS (SELECT paper_id, seq, (seq - 1) // 3 AS batch, sum(redundant::INT) OVER w AS r, sum(speculative::INT) OVER w AS s, count(*) OVER w AS n, sum((NOT redundant)::INT) OVER (PARTITION BY paper_id ORDER BY seq) AS k FROM i WINDOW w AS (PARTITION BY paper_id ORDER BY seq ROWS 4 PRECEDING)),
+    e AS (SELECT *, CASE WHEN k >= 24 THEN 'hard_cap' WHEN n >= 5 AND r >= 3 THEN 'redundancy' WHEN n >= 5 AND s = 5 THEN 'speculative_ceiling' END AS criterion FROM f QUALIFY row_number() OVER (PARTITION BY paper_id, batch ORDER BY seq DESC) = 1)
+    SELECT paper_id, CAST(coalesce(min(batch) FILTER (criterion IS NOT NULL), max(batch)) AS BIGINT) AS batch, coalesce(arg_min(criterion, batch) FILTER (criterion IS NOT NULL), 'completed') AS criterion FROM e GROUP BY paper_id"""
+)
+def stop_windows(spark, sf_dir):
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), seq.alias("seq"), F.col("event_type").isin("error", "view").alias("redundant"), F.col("event_type").isin("purchase", "click").alias("speculative"))
+    items = items.withColumn("batch", F.floor((F.col("seq") - 1) / 3))
+    return expand.stops(items, F.lit(24)).select("paper_id", F.col("batch").cast("long").alias("batch"), "criterion")
+
+
+@query("SELECT doc_id, CAST(greatest(1, CASE WHEN n_chars // 3000 > 0 THEN n_chars // 3000 ELSE 12 END * CASE doc_id % 6 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 6 WHEN 4 THEN 8 ELSE 12 END) AS BIGINT) AS budget FROM documents")
+def item_budget(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", expand.budget(F.floor(F.col("n_chars") / 3000), (F.col("doc_id") % 6).cast("int")).cast("long").alias("budget"))
+
+
+@query()
+def expansion_fold(spark, sf_dir):
+    """Each vector against the accepted ones of its group of ten before it; tested against a plain fold."""
+    items = paper_items(spark, sf_dir).select(F.col("paper").cast("long").alias("paper_id"), F.col("item_id").alias("seq"), "vec")
+    return expand.fold(items, 0.2).select("paper_id", "seq", F.round("score", 4).alias("score"), "redundant")
+
+
+_BUCKET = "CASE event_id % 7 " + " ".join(f"WHEN {k} THEN '{b}'" for k, b in enumerate(expand.BUCKETS)) + " END"
+_PAYLOAD = """'{"' || CASE event_id % 5 WHEN 0 THEN 'content' WHEN 1 THEN 'item' WHEN 2 THEN 'question' WHEN 3 THEN 'statement' ELSE 'work' END || '": " ' || event_type || ' ' || user_id || ' ", "item2": [1], "confidence": "' || CASE event_id % 3 WHEN 0 THEN 'Derived' WHEN 1 THEN 'maybe' ELSE 'speculative' END || '", "closable": ' || CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '"false"' ELSE 'null' END || '}'"""
+_TEXT = "coalesce(CASE b " + " ".join(f"WHEN '{b}' THEN coalesce(" + ", ".join(f"nullif(trim(json_extract_string(p, '$.{n}')), '')" for n in names) + ")" for b, names in expand.TEXT_ALIASES.items()) + " END, '')"
+
+
+@query(
+    f"""SELECT event_id, b AS bucket, {_TEXT} AS text, CASE WHEN b = 'derivations' THEN CASE WHEN event_id % 3 = 0 THEN 'derived' WHEN event_id % 3 = 2 THEN 'speculative' ELSE 'likely' END ELSE CASE event_id % 3 WHEN 0 THEN 'derived' WHEN 1 THEN 'maybe' ELSE 'speculative' END END AS confidence,
+    CASE WHEN b = 'open_questions' THEN event_id % 4 IN (0, 2) END AS closable, 'claim_1' AS source_claim FROM (SELECT event_id, {_BUCKET} AS b, {_PAYLOAD} AS p FROM events)"""
+)
+def alias_normalize(spark, sf_dir):
+    items = table(spark, sf_dir, "events").select("event_id", F.expr(_BUCKET).alias("bucket"), F.expr(_PAYLOAD).alias("payload"))
+    return expand.normalised(items).select("event_id", "bucket", F.coalesce("text", F.lit("")).alias("text"), "confidence", "closable", "source_claim")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, lang, source, doc_id % 4 AS depth, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE NOT (source IN ('src1', 'src2') AND doc_id % 4 >= 2))
+    SELECT doc_id, lang FROM r WHERE k <= 5"""
+)
+def expansion_eligible(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.when(F.col("source").isin("src1", "src2"), "exhausted").otherwise("ingested_only").alias("status"), (F.col("doc_id") % 4).alias("exhausted_at_depth"), F.col("doc_id").alias("registry_pos"))
+    return expand.eligible(rows, 2, everything=True, count=5).select(F.col("paper_id").alias("doc_id"), F.col("domain").alias("lang"))
+
+
+# ---- links and JSON -------------------------------------------------------------------------------------------------
+
+_URL = """CASE page_id % 5 WHEN 0 THEN 'https://arxiv.org/abs/' || page_id || '.01' WHEN 1 THEN 'http://www.arxiv.org/html/' || page_id || '/' WHEN 2 THEN 'https://notarxiv.org/abs/' || page_id
+    WHEN 3 THEN 'https://example.org/x/' || page_id || '.PDF?download=1' ELSE url END"""
+
+
+@query(
+    rf"""WITH u AS (SELECT page_id, {_URL} AS u FROM pages), p AS (SELECT page_id, u, lower(regexp_extract(u, '^[a-z]+://([^/?#]+)', 1)) AS host, trim(regexp_extract(u, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/') AS path FROM u)
+    SELECT page_id, CASE WHEN (host = 'arxiv.org' OR host LIKE '%.arxiv.org') AND regexp_matches(path, '^(abs|html)/.') THEN 'https://arxiv.org/pdf/' || regexp_replace(path, '^(abs|html)/', '') || '.pdf' WHEN lower(path) LIKE '%.pdf' THEN u END AS resolved FROM p"""
+)
+def resolve_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", links.resolve_url(F.expr(_URL)).alias("resolved"))
+
+
+_WRAPPED = """CASE conv_id % 3 WHEN 0 THEN 'Answer: ```json {"turn": ' || turn || ', "role": "' || role || '"} ``` done' WHEN 1 THEN '{"turn": ' || turn || ', "role": "' || role || '"}' ELSE 'no json {here ' || turn END"""
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN turn END AS parsed_turn, CASE WHEN conv_id % 3 < 2 THEN role END AS parsed_role FROM (SELECT conv_id, turn, role, {_WRAPPED} AS x FROM conversations)")
+def json_salvage(spark, sf_dir):
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", links.salvaged_json(F.expr(_WRAPPED)).alias("j"))
+    return made.select("conv_id", "turn", F.get_json_object("j", "$.turn").cast("long").alias("parsed_turn"), F.get_json_object("j", "$.role").alias("parsed_role"))
+
+
+# ---- review ---------------------------------------------------------------------------------------------------------
+
+DEC = "CASE WHEN doc_id % 4 = 0 THEN 'reject_novelty_claim' WHEN doc_id % 4 = 1 THEN 'Rejected ' WHEN doc_id % 4 = 2 THEN 'keep' END"
+
+
+def hypotheses(spark, sf_dir) -> DataFrame:
+    """Orders of a customer with their parts as papers, gaps from the lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    gap = F.struct(
+        F.col("l_linenumber").alias("rank"), F.array("l_partkey", (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("x")).alias("supporting_papers"), (F.col("l_linenumber") % 7).alias("confidence"), (F.col("l_quantity") % 6).cast("int").alias("feasibility"),
+        F.expr("CASE WHEN l_partkey % 2 = 0 THEN 'Compare all of the named variants on the same data, with every setting held fixed, and measure each.' ELSE 'Look into it.' END").alias("suggested_approach"),
+    )
+    made = lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("paper_ids"), F.array_sort(F.collect_list(gap)).alias("gaps"))
+    return made.select(F.col("l_orderkey").alias("cluster_id"), "paper_ids", "gaps", F.when(F.col("l_orderkey") % 5 == 0, "accepted").otherwise("pending_review").alias("status"))
+
+
+_CHECKS = """WITH l AS (SELECT l_orderkey AS c, l_partkey AS p, l_linenumber AS r, l_quantity AS q FROM lineitem), h AS (SELECT c, count(DISTINCT p) AS n FROM l GROUP BY c), m AS (SELECT DISTINCT c, p FROM l),
+    lib AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 10 <> 0), ex AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 3 <> 0),
+    con AS (SELECT x.c FROM m x JOIN m y ON x.c = y.c AND y.p = x.p + 1 WHERE x.p % 2 = 0),
+    k AS (
+      SELECT c, 'hypothesis_status' AS "check", CASE WHEN c % 5 = 0 THEN 'warn' ELSE 'pass' END AS status FROM h
+      UNION ALL SELECT c, 'cluster_size', CASE WHEN n >= 3 THEN 'pass' ELSE 'fail' END FROM h
+      UNION ALL SELECT c, 'library_records', CASE WHEN c IN (SELECT c FROM m WHERE p NOT IN (SELECT p FROM lib)) THEN 'fail' ELSE 'pass' END FROM h
+      UNION ALL SELECT c, 'exhaustion_records', CASE WHEN c IN (SELECT c FROM m WHERE p NOT IN (SELECT p FROM ex)) THEN 'warn' ELSE 'pass' END FROM h
+      UNION ALL SELECT c, 'connection_support', CASE WHEN c IN (SELECT c FROM con) THEN 'pass' ELSE 'warn' END FROM h
+      UNION ALL SELECT c, 'candidate_gaps', 'pass' FROM h
+      UNION ALL SELECT l.c, 'gap_' || r || '_supporting_papers', CASE WHEN r % 2 = 0 OR EXISTS (SELECT 1 FROM m WHERE m.c = l.c AND m.p = l.p + 1) THEN 'pass' ELSE 'fail' END FROM l
+      UNION ALL SELECT c, 'gap_' || r || '_scores', CASE WHEN r % 7 BETWEEN 1 AND 5 AND CAST(q % 6 AS INT) BETWEEN 1 AND 5 THEN 'pass' ELSE 'fail' END FROM l
+      UNION ALL SELECT c, 'gap_' || r || '_experiment_specificity', CASE WHEN p % 2 = 0 THEN 'pass' ELSE 'warn' END FROM l
+      UNION ALL SELECT c, 'prior_art_search', 'warn' FROM h)"""
+
+
+def review_rows(spark, sf_dir) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"))
+    connections = parts.where("paper_id % 2 = 0").select(F.col("paper_id").alias("a"), (F.col("paper_id") + 1).alias("b"))
+    return review.checks(hypotheses(spark, sf_dir), parts.where("paper_id % 10 <> 0"), parts.where("paper_id % 3 <> 0"), connections)
+
+
+@query(_CHECKS + ' SELECT c AS cluster_id, "check", status FROM k')
+def review_checks(spark, sf_dir):
+    return review_rows(spark, sf_dir).select("cluster_id", "check", "status")
+
+
+@query(_CHECKS + " SELECT c AS cluster_id, count(*) AS checks, count_if(status = 'fail') AS fails, CASE WHEN bool_or(status = 'fail') THEN 'rejected' WHEN bool_or(status = 'warn') THEN 'needs_prior_art' ELSE 'pending_review' END AS decision FROM k GROUP BY c")
+def review_verdict(spark, sf_dir):
+    return review.verdicts(review_rows(spark, sf_dir)).select("cluster_id", "checks", "fails", "decision")
+
+
+@query(
+    """SELECT d.doc_id, n IS NOT NULL AS in_library, coalesce(n, 0) AS labels, coalesce(t, 0) AS turns, CASE WHEN coalesce(n, 0) > 0 AND coalesce(t, 0) > 0 THEN 'full' WHEN coalesce(n, 0) + coalesce(t, 0) > 0 THEN 'partial' ELSE 'none' END AS evidence
+    FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id LEFT JOIN (SELECT conv_id, count(*) AS t FROM conversations GROUP BY 1) c ON c.conv_id = d.doc_id"""
+)
+def evidence_rollup(spark, sf_dir):
+    n = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    t = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("t"))
+    rows = docs(spark, sf_dir).select("doc_id").join(n, "doc_id", "left").join(t, "doc_id", "left")
+    labels, turns = F.coalesce("n", F.lit(0)), F.coalesce("t", F.lit(0))
+    evidence = F.when((labels > 0) & (turns > 0), "full").when(labels + turns > 0, "partial").otherwise("none")
+    return rows.select("doc_id", F.col("n").isNotNull().alias("in_library"), labels.alias("labels"), turns.alias("turns"), evidence.alias("evidence"))
+
+
+@query(
+    f"""SELECT doc_id, 'Test whether ' || lower(text[1:60]) AS hypothesis, CASE WHEN lang = 'en' THEN 'Methods of ' || source || ', ' || lang || ' run unchanged.' ELSE 'Simple untreated control.' END AS baseline,
+    CASE WHEN length(text) >= 80 AND len(list_filter({sql_list(text.VERBS)}, lambda v: contains(lower(text), v))) > 0 THEN 'pilot_ready' ELSE 'needs_detail' END AS readiness FROM documents"""
+)
+def experiment_outline(spark, sf_dir):
+    papers = F.when(F.col("lang") == "en", F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("cluster_id"), F.substring("text", 1, 60).alias("description"), T.alias("suggested_approach"), papers.alias("supporting_papers"))
+    return review.experiments(rows).select(F.col("cluster_id").alias("doc_id"), "hypothesis", "baseline", "readiness")
+
+
+@query(
+    r"""SELECT doc_id, file, sha256(markdown) AS markdown, index_line FROM (SELECT doc_id, c || '.md' AS file, '- 2026-01-01 | ' || c || '.md | gap:' || k || ' | papers:' || source || ',' || lang || chr(10) AS index_line,
+    '---' || chr(10) || 'gap_id: ' || k || chr(10) || 'title: Working note: ' || k || chr(10) || 'date: 2026-01-01' || chr(10) || 'status: pending_review' || chr(10) || 'papers: [' || source || ', ' || lang || ']' || chr(10) || '---' || chr(10) || chr(10) ||
+    '## Title' || chr(10) || 'Working note: ' || k || chr(10) || chr(10) || '## Context' || chr(10) || text[1:100] || chr(10) || chr(10) || '## The Gap' || chr(10) || lang || chr(10) || chr(10) || '## Proposed Direction' || chr(10) || source || chr(10) || chr(10) ||
+    '## Open Questions' || chr(10) || '- Feasibility is unverified.' || chr(10) || '- Evidence strength remains candidate-level.' || chr(10) || chr(10) || '## References' || chr(10) || source || ', ' || lang || chr(10) AS markdown
+    FROM (SELECT *, 'cluster_' || doc_id AS k, 'cluster-' || doc_id AS c FROM documents))"""
+)
+def draft_notes(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("cluster_"), F.col("doc_id").cast("string")).alias("cluster_id"), F.substring("text", 1, 100).alias("summary"), F.col("lang").alias("description"), F.col("source").alias("approach"), F.array("source", "lang").alias("papers"))
+    made = review.drafts(rows, F.lit("2026-01-01"))
+    return made.select(F.regexp_extract("cluster_id", "([0-9]+)$", 1).cast("long").alias("doc_id"), "file", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown"), "index_line")
+
+
+# ---- prior art and signals ------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, doc_id % 9 <> 0 AND (lower(trim(coalesce({DEC}, ''))) IN ('reject_novelty_claim', 'rejected') OR source = 'src3') AS rejected FROM documents")
+def prior_art_rejected(spark, sf_dir):
+    kind, novelty = F.when(F.col("doc_id") % 9 != 0, "prior_art"), F.when(F.col("source") == "src3", "REJECTED ")
+    return docs(spark, sf_dir).select("doc_id", prior_art.rejected(kind, "prior_art", F.expr(DEC), novelty).alias("rejected"))
+
+
+@query(
+    rf"""WITH u AS (SELECT page_id, page_id // 8 AS key, {_URL} AS u FROM pages WHERE page_id % 3 <> 0), r AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY page_id) AS i, page_id % 5 AS f FROM u)
+    SELECT key, count(*) AS sources, count_if(f IN (0, 1, 3)) AS queued, count_if(f IN (2, 4)) AS manual_required FROM r WHERE i <= 4 GROUP BY key"""
+)
+def prior_art_queue(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).alias("key"), F.col("page_id").alias("pos"), F.lit("").alias("title"), F.expr(_URL).alias("url"), F.expr("CASE WHEN page_id % 3 <> 0 THEN 'blocking' ELSE 'minor' END").alias("impact"))
+    return prior_art.totals(prior_art.queue(rows, ["blocking"], 4)).select("key", "sources", "queued", "manual_required")
+
+
+@query(
+    r"""SELECT 'connection_candidate:' || doc_id AS signal_id, CASE WHEN length(c) > 500 THEN rtrim(c[1:497]) || '...' ELSE c END AS summary, CASE WHEN lang = 'en' THEN 3 ELSE 2 END AS n_evidence, CASE WHEN doc_id % 3 = 0 THEN 3 ELSE CAST(doc_id % 5 AS INT) END AS confidence
+    FROM (SELECT doc_id, lang, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)"""
+)
+def signals_export(spark, sf_dir):
+    key = F.col("doc_id").cast("string")
+    conf = F.when(F.col("doc_id") % 3 == 0, "unknown").otherwise((F.col("doc_id") % 5).cast("string"))
+    fields = [("description", T), ("evidence_a", F.col("source")), ("evidence_b", F.when(F.col("lang") == "en", F.col("lang")))]
+    made = docs(spark, sf_dir).select(*prior_art.envelope("connection_candidate", key, F.concat(F.lit("connections/"), key), T, fields, F.lit(" "), conf, "inferred"))
+    return made.select("signal_id", "summary", F.size("evidence").alias("n_evidence"), "confidence")
+
+
+@query("SELECT source, arg_max(doc_id, {'c': n_chars, 'd': CAST(doc_id AS VARCHAR)}) AS path, max(n_chars) AS confidence FROM documents GROUP BY source")
+def best_connection(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("source", F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("confidence"))
+    return prior_art.best_connection(rows, "source").select("source", F.col("path").cast("long").alias("path"), "confidence")
+
+
+# ---- contracts ------------------------------------------------------------------------------------------------------
+
+CONTRACT = {
+    "id": {"type": "string", "required": True, "pattern": "[a-z0-9]+_[0-9]+"},
+    "year": {"type": "integer", "required": True, "minimum": 1900, "maximum": 2100},
+    "status": {"type": "string", "required": True, "default": "pending", "enum": ["pending", "ingested_only", "exhausted"]},
+    "tags": {"type": "list[string]", "required": True, "min_items": 1, "max_items": 2},
+    "claims": {"type": "list[object]", "required": True, "fields": {"statement": {"type": "string", "required": True}, "confidence": {"type": "string", "enum": ["proven", "likely"]}}},
+}
+
+
+def records(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select(
+        "doc_id",
+        F.concat("source", F.lit("_"), F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.col("doc_id").cast("string"))).alias("id"),
+        F.when(F.col("doc_id") % 6 != 0, (1850 + F.col("doc_id") % 300).cast("string")).alias("year"),
+        F.when(F.col("doc_id") % 4 != 0, F.when(F.col("lang") == "en", "pending").otherwise("odd")).alias("status"),
+        F.slice(F.array("lang", "source", "lang"), 1, (F.col("doc_id") % 4).cast("int")).alias("tags"),
+        F.array(F.struct(F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("statement"), F.when(F.col("doc_id") % 3 == 0, "proven").otherwise("weak").alias("confidence"))).alias("claims"),
+    )
+
+
+def _errors_sql(strict: bool) -> str:
+    missing = "CASE WHEN doc_id % 4 = 0 THEN '/status: missing' END, " if strict else ""
+    return f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 10 = 0 THEN '/id: pattern' END, CASE WHEN doc_id % 6 = 0 THEN '/year: missing' END, CASE WHEN doc_id % 6 <> 0 AND doc_id % 300 < 50 THEN '/year: minimum 1900' END,
+    CASE WHEN doc_id % 6 <> 0 AND doc_id % 300 > 250 THEN '/year: maximum 2100' END, {missing}CASE WHEN doc_id % 4 <> 0 AND lang <> 'en' THEN '/status: not in enum' END, CASE WHEN doc_id % 4 = 0 THEN '/tags: min_items 1' END, CASE WHEN doc_id % 4 = 3 THEN '/tags: max_items 2' END,
+    CASE WHEN doc_id % 5 = 0 THEN '/claims/0/statement: missing' END, CASE WHEN doc_id % 3 <> 0 THEN '/claims/0/confidence: not in enum' END], lambda e: e IS NOT NULL), '; ') AS errors FROM documents"""
+
+
+@query(_errors_sql(False))
+def validate_errors(spark, sf_dir):
+    rows = records(spark, sf_dir)
+    return rows.select("doc_id", F.array_join(contracts.errors(rows, CONTRACT), "; ").alias("errors"))
+
+
+@query(_errors_sql(True).replace("documents", "documents WHERE true"))
+def validate_strict(spark, sf_dir):
+    rows = records(spark, sf_dir).withColumn("year", F.col("year").try_cast("int"))
+    return rows.select("doc_id", F.array_join(contracts.errors(rows, CONTRACT, "strict"), "; ").alias("errors"))
+
+
+_LABEL = "CASE event_id % 8 WHEN 0 THEN 'very low' WHEN 1 THEN 'Likely' WHEN 2 THEN 'derived' WHEN 3 THEN '9.5' WHEN 4 THEN 'speculative' WHEN 5 THEN 'low to medium' WHEN 6 THEN '0' ELSE 'strange' END"
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 5 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 1 ELSE 3 END AS confidence, CASE WHEN user_id % 2 = 0 THEN 'within' ELSE 'cross' END AS pair_scope,
+    CASE event_type WHEN 'view' THEN 'methodological_overlap' ELSE event_type END AS connection_type, 'pending_review' AS status FROM events""")
+def migrate_connections(spark, sf_dir):
+    old = table(spark, sf_dir, "events").select(
+        "event_id", F.expr("CASE WHEN user_id % 2 = 0 THEN 'c/within_domain/x' ELSE 'c/cross_domain/x' END").alias("path"), F.expr("CASE event_type WHEN 'view' THEN 'shared_approach' ELSE event_type END").alias("connection_type"),
+        F.expr(_LABEL).alias("confidence"), F.col("event_id").cast("string").alias("paper_a"), F.col("user_id").cast("string").alias("paper_b"),
+    )
+    made = contracts.migrated_connections(old)
+    return made.select(F.col("paper_a_id").cast("long").alias("event_id"), "confidence", "pair_scope", "connection_type", "status")
+
+
+# ---- audit, gates, session ------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT 'label_without_document' AS rule, doc_id + 5 AS id FROM labels WHERE doc_id + 5 NOT IN (SELECT doc_id FROM documents) GROUP BY ALL UNION ALL
+    SELECT 'unlabelled', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL UNION ALL SELECT 'repeated_conversation', conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 1"""
+)
+def audit_integrity(spark, sf_dir):
+    d, labels = docs(spark, sf_dir).select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    out = audit.dangling(labels.select((F.col("doc_id") + 5).alias("doc_id")), "doc_id", d, "doc_id", "label_without_document")
+    return out.unionByName(audit.dangling(d, "doc_id", labels, "doc_id", "unlabelled")).unionByName(audit.duplicates(table(spark, sf_dir, "conversations"), "conv_id", "repeated_conversation"))
+
+
+@query(f"WITH {JUDGED} SELECT a, b FROM scored WHERE novelty = 'non-obvious' AND reason = 'kept' AND shared % 3 = 0")
+def gate_novelty(spark, sf_dir):
+    """Pairs with a number of shared tags that 3 divides stand for papers of which the later cites the earlier."""
+    kept = labelled_pairs(spark, sf_dir).where("reason = 'kept'").select("a", "b", "novelty")
+    cites = connect.pairs(tagged(spark, sf_dir), "all").where("shared % 3 = 0").select(F.col("b").alias("citing"), F.col("a").alias("cited"))
+    return audit.novelty_gate(kept, cites).select("a", "b")
+
+
+@query("WITH r AS (SELECT user_id AS paper_id, event_id, event_id % 5 AS depth, event_type = 'signup' AS reprocess, max(event_id % 5) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM events) SELECT event_id, depth, reached FROM r WHERE reached >= depth AND NOT reprocess")
+def gate_repeated_work(spark, sf_dir):
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    runs = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("paper_id"), seq.alias("seq"), (F.col("event_id") % 5).alias("depth"), (F.col("event_type") == "signup").alias("reprocess"))
+    return audit.repeated_work_gate(runs).select("event_id", "depth", "reached")
+
+
+@query("SELECT coalesce(role, 'unknown') AS role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def session_snapshot(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("last_turn"))
+
+
+@query("SELECT role, count(*) AS calls, sum(length(text)) AS characters, sum(len(string_split(text, ' '))) AS tokens FROM conversations GROUP BY role")
+def call_log_totals(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("characters"), F.sum(F.size(F.split("text", " "))).alias("tokens"))
+
+
+@query(
+    """SELECT lang, array_to_string(list_filter([CASE WHEN lang <> 'es' THEN 'Run ingestion on queued inbox items.' END, CASE WHEN n >= 2 THEN 'Run the structural connection pass.' END, CASE WHEN lang = 'en' THEN 'Run gap detection on connection clusters.' END], lambda x: x IS NOT NULL), ' ') AS actions
+    FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)"""
+)
+def next_actions(spark, sf_dir):
+    by = docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    return by.select("lang", F.array_join(audit.actions(flag(F.col("lang") != "es"), F.lit(0), F.col("n"), flag(F.col("lang") == "en"), F.lit(0)), " ").alias("actions"))
+
+
+@query("SELECT event_type, window_start, n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY ALL)")
+def activity_by_hour(spark, sf_dir):
+    """The batch form of the streaming activity count."""
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
