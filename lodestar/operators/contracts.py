@@ -37,7 +37,7 @@ def _value_errors(x: Column, rule: dict, path: Column, mode: str) -> list[Column
             out.append(_error(~F.rlike(s, F.lit(f"^(?:{rule['pattern']})$")), path, "pattern"))
         if rule.get("format"):
             shaped = F.rlike(s, F.lit(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"))
-            out.append(_error(~(shaped & F.try_to_timestamp(s).isNotNull()), path, "expected ISO 8601"))
+            out.append(_error(s.isNotNull() & ~(shaped & F.try_to_timestamp(s).isNotNull()), path, "expected ISO 8601"))
     elif kind.startswith("list"):
         for key, bad in (("min_items", lambda n, v: n < v), ("max_items", lambda n, v: n > v)):
             if key in rule:
@@ -86,7 +86,7 @@ def fixed(rows: DataFrame, contract: dict) -> DataFrame:
         if kind == "boolean" and dict(rows.dtypes)[name] == "string":
             out = out.withColumn(name, F.when(F.lower(s).isin(*TRUE), "true").when(F.lower(s).isin(*FALSE), "false").otherwise(F.col(name)))
         if rule.get("default") is not None:
-            out = out.withColumn(name, F.coalesce(name, F.lit(rule["default"])))
+            out = out.withColumn(name, F.coalesce(name, F.lit(rule["default"]).cast(dict(rows.dtypes)[name])))
     return out
 
 

@@ -26,6 +26,7 @@ def new_pairs(pairs: DataFrame, time: str = "analyzed_at", delay: str = "1 day")
 
 
 def activity(events: DataFrame, time: str = "ts", width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, delay).groupBy(F.window(time, width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
