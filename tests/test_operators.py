@@ -427,3 +427,55 @@ def test_streaming_equals_batch(spark, sf_dir, tmp_path):
     batch = {(r.event_type, r.at): r.n for r in events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("at"), "n").collect()}
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert got and all(batch[r.event_type, r.at] == r.n for r in got)
+
+
+# ---- plans -----------------------------------------------------------------------------------------------------------
+
+
+def test_from_documents_to_hypotheses(spark):
+    from lodestar.plans import pipelines
+
+    body = "1 {t}\nAbstract\nWe present neural routing with sparse attention for a language model of many layers. Results show that the quantum game has lower loss using deep gates.\nE = m c + {t}\n"
+    docs = spark.createDataFrame([(f"in/{t}.pdf", body.format(t=t), 2, False, False) for t in ("alpha", "beta", "gamma")] + [("in/locked.pdf", "", 1, True, False)], "path string, text string, page_count int, encrypted boolean, image_only boolean")
+    made = pipelines.ingest(docs, classify.rule_rows(spark))
+    records = made["records"].orderBy("paper_id").collect()
+    assert len(records) == 3 and records[0].title == "1 alpha" and records[0].domain == "ML" and len(records[0].equations) >= 1 and len(records[0].claims) >= 2
+    assert made["vectors"].where("item_id like '%claim_1'").count() == 3 and {r.status for r in made["registry"].collect()} == {"ingested_only"}
+    assert pipelines.ingest(docs, classify.rule_rows(spark), registered=made["registry"])["records"].count() == 0
+    papers = made["registry"].withColumn("status", F.lit("exhausted"))
+    c = pipelines.connections(papers, library=made["records"])
+    r = c["report"].first()
+    assert r.candidates == 3 == r.kept and c["log"].count() == 3
+    again = pipelines.connections(papers, log=c["log"], library=made["records"])["report"].first()
+    assert again.skipped_analyzed == 3 and again.kept == 0
+    h = pipelines.detection(c["edges"])
+    assert h.count() == 1 and h.first().connection_count == 3 and pipelines.detection(c["edges"], h).count() == 0
+    items = spark.createDataFrame([(records[0].paper_id, 1, "experiments", '{"hypothesis": "h", "design": "d"}'), (records[0].paper_id, 2, "derivations", '{"statement": "s"}')], "paper_id string, seq int, bucket string, payload string")
+    e = {x.paper_id: x for x in pipelines.evidence(h, made["records"], items, c["edges"]).collect()}
+    assert e[records[0].paper_id].experiments == 1 and all(x.connections == 2 and x.in_library for x in e.values())
+    p = pipelines.checkpoint(items).first()
+    assert p.counts == "derivations=1 experiments=1" and p.direction == "h - d"
+    assert pipelines.expansion_lines(items).first().lines == ["derivations: s", "experiments: h | d"]
+
+
+def test_expansion_plan(spark):
+    from lodestar.plans import pipelines
+
+    v = np.eye(6).tolist()
+    rows = [(1, k, (k - 1) // 3, "derivations", '{"statement": "s%d", "confidence": "%s"}' % (k, "speculative"), v[k % 6]) for k in range(1, 13)]
+    items = spark.createDataFrame(rows, "paper_id long, seq long, batch long, bucket string, payload string, vec array<double>")
+    papers = spark.createDataFrame([(1, 3, 1), (2, 1, None)], "paper_id long, pages int, recorded_depth int")
+    got = pipelines.expansion(items, papers, 3)
+    heads = {r.paper_id: r for r in got["headers"].collect()}
+    assert heads[1].criterion == "speculative_ceiling" and heads[2].criterion == "completed" and heads[1].exhausted_at_depth == 3 and heads[2].deeper_available
+    assert got["items"].count() == 6
+
+
+def test_prompt_blocks(spark):
+    from lodestar.functions import prompts
+
+    row = spark.sql("SELECT array(named_struct('statement', 'c1')) AS c, array(named_struct('name', 'm1')) AS m, array(named_struct('expression', 'e=1')) AS e, array('x: y') AS l")
+    t = row.select(prompts.paper_block(F.lit("T"), F.lit("t_1"), F.col("c"), F.col("m"), F.col("m"), F.col("e"), F.col("l")).alias("x")).first().x
+    assert t == "Paper: T\nPaper ID: t_1\nClaims: ['c1']\nMethods: ['m1']\nTechniques: ['m1']\nEquations: ['e=1']\nExpansion outputs:\n- x: y"
+    assert prompts.scope_label(cross=("a", "b")) == "cross_a_b" and prompts.scope_label() == "all"
+    assert "cross-domain" in one(spark, prompts.strategy(F.lit(4)), a=1)
