@@ -857,3 +857,35 @@ def next_actions(spark, sf_dir):
 def activity_by_hour(spark, sf_dir):
     """The batch form of the streaming activity count."""
     return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("window_start"), "n")
+
+
+# ---- plans ----------------------------------------------------------------------------------------------------------
+
+
+@query()
+def ingest_records(spark, sf_dir):
+    """Documents through extraction and classification; each function has a query with SQL of its own above."""
+    from lodestar.plans import pipelines
+
+    given = docs(spark, sf_dir).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", F.ceil(F.col("n_chars") / 3000).cast("int").alias("page_count"), F.lit(False).alias("encrypted"), (F.col("n_chars") == 0).alias("image_only"))
+    made = pipelines.ingest(given, classify.rule_rows(spark, TEST_RULES), Settings(domains=tuple(TEST_RULES)))["records"]
+    return made.select("paper_id", "title", "domain", F.round("domain_confidence", 2).alias("confidence"), F.size("claims").cast("long").alias("claims"), F.size("methods").cast("long").alias("methods"), F.array_join("tags", ",").alias("tags"))
+
+
+
+
+@query(f"SELECT user_id, string_agg(b || '=' || n, ' ' ORDER BY b) AS counts FROM (SELECT user_id, {_BUCKET} AS b, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def checkpoint_counts(spark, sf_dir):
+    from lodestar.plans import pipelines
+
+    items = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.expr(_BUCKET).alias("bucket"), F.expr(_PAYLOAD).alias("payload"))
+    return pipelines.checkpoint(items, "user_id", 2**31 - 1).select("user_id", "counts")
+
+
+@query(f"WITH {WITHIN} SELECT count(*) AS candidates, count_if(shared < 2) AS skipped_similarity, count_if(shared >= 2 AND (a % 17 = 0 OR b % 17 = 0)) AS missing_records, count_if(shared >= 2 AND a % 17 <> 0 AND b % 17 <> 0) AS kept FROM pairs")
+def connect_plan(spark, sf_dir):
+    from lodestar.plans import pipelines
+
+    papers = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"))
+    made = pipelines.connections(papers, library=papers.where("paper_id % 17 <> 0"), scope="within", frequency=(LOW, HIGH))
+    return made["report"].select("candidates", "skipped_similarity", "missing_records", "kept")
