@@ -63,7 +63,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     """One record, uncompressed: an HTTP response with the payload, or a revisit with its head alone."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = head if revisit else head + payload
-    uri = "".join(c if c > " " else quote(c) for c in (url or ""))
+    uri = "".join(c if c > " " else quote(c) for c in (url or "").strip())
     lines = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(page_id)}",
