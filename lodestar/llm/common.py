@@ -1,51 +1,29 @@
-"""Shared helpers: the folder all executors see, written tables, skew-safe joins."""
+"""Shared helpers: the folder all executors see, written tables, bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), one of our own."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unique folder name below the shared folder."""
-    return f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+from lodestar.plans.tables import dropped, scratch, shared_dir, written
 
+__all__ = ["batches", "dropped", "only", "scratch", "shared_dir", "table", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: its lineage ends, and a lost executor costs nothing that was done."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by written() once nothing needs it."""
-    for f in {p.rpartition("/")[0] for p in df.inputFiles()[:1]}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its task hold of texts at once, on both sides of Arrow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns; others, whatever their names, are left behind before any join."""
+    batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in cols])

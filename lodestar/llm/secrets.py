@@ -14,6 +14,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import batches as batches_
 from .common import only
 
 # The base patterns and the lengths that a match must have.
@@ -129,4 +130,5 @@ def redact(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> Dat
                 batch = batch.set_column(at, "n_chars", pa.array([None if t is None else len(t) for t in texts], batch.schema.field(at).type))
             yield batch
 
+    batches_(docs.sparkSession)
     return docs.mapInArrow(run, schema)
