@@ -479,3 +479,24 @@ def test_prompt_blocks(spark):
     assert t == "Paper: T\nPaper ID: t_1\nClaims: ['c1']\nMethods: ['m1']\nTechniques: ['m1']\nEquations: ['e=1']\nExpansion outputs:\n- x: y"
     assert prompts.scope_label(cross=("a", "b")) == "cross_a_b" and prompts.scope_label() == "all"
     assert "cross-domain" in one(spark, prompts.strategy(F.lit(4)), a=1)
+
+
+def test_stores(spark, tmp_path):
+    import json
+
+    from lodestar.sources import stores
+
+    e = [{"id": "2"}]
+    assert stores.appended(None, e) == '{"id": "2"}\n' and len(stores.appended('{"id": "1"}\n\n', e).splitlines()) == 2
+    assert json.loads(stores.appended('{"entries": [1]}', e))["entries"] == [1, {"id": "2"}]
+    g = json.loads(stores.appended('{"nodes": [{"id": "1"}], "edges": []}', e))
+    assert len(g["nodes"]) == 2 and g["edges"] == [{"from": "1", "to": "2", "kind": "next"}]
+    s = config.Settings(similarity=0.5)
+    assert config.load(json.loads(stores.saved(s))) == s
+    (tmp_path / "library").mkdir()
+    (tmp_path / "library" / "a.yaml").write_text("a: 1")
+    (tmp_path / "library" / "a.tmp").write_text("a: 1")
+    assert stores.targets(spark, str(tmp_path)).count() == 1 and stores.targets(spark, f"{tmp_path}/none").count() == 0
+    assert stores.endpoint("ollama", "http://h:1/") == "http://h:1/api/chat" and stores.endpoint("x", "http://h/v1") == "http://h/v1/chat/completions"
+    prompts_ = spark.createDataFrame([("a", "1"), ("b", "x")], "key string, prompt string")
+    assert {r.key: r.answer for r in stores.injected(prompts_, lambda t: str(int(t) + 1)).collect()} == {"a": "2", "b": None}
