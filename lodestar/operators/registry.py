@@ -22,9 +22,7 @@ def selected(registry: DataFrame, status: str | None = None, domain: str | None
 
 def counts(registry: DataFrame, *keys: str) -> DataFrame:
     """Totals by each key and over all, in one pass."""
-    sets = ", ".join(f"({k})" for k in keys)
-    registry.createOrReplaceTempView("_registry")
-    return registry.sparkSession.sql(f"SELECT {', '.join(keys)}, count(*) AS n FROM _registry GROUP BY GROUPING SETS ({sets}, ())")
+    return registry.groupingSets([[k] for k in keys] + [[]], *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def inserted(registry: DataFrame, new: DataFrame, key: str) -> DataFrame:
