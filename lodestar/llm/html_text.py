@@ -36,6 +36,8 @@ CUT_NAMES = frozenset(
     "replies respond newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations "
     "pagination pager toolbar masthead header".split()
 )
+CUT_PARTS = re.compile("cookie|sidebar|sidenav|topnav|navbar|navbox|advert|adbox|adslot|adunit|breadcrumb|newsletter|disqus|commentlist|commentbox|usercomment|readercomment|sponsor|popup|pageheader|pagefooter|siteheader|sitefooter")
+SIBLINGS = frozenset("section h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table".split())
 KEEP_TAGS = frozenset("html body main article".split())
 
 TOKEN = re.compile(
@@ -67,7 +69,10 @@ def _is_cut(tag: str, raw: str, stack: list) -> bool:
         return True
     if at.get("role", "").lower() in CUT_ROLES:
         return True
-    names = {w.lower() for w in NAME_WORD.findall(f"{at.get('class', '')} {at.get('id', '')}")} & CUT_NAMES
+    named = f"{at.get('class', '')} {at.get('id', '')}"
+    if CUT_PARTS.search(named.lower()):
+        return True
+    names = {w.lower() for w in NAME_WORD.findall(named)} & CUT_NAMES
     if inside or tag == "article":
         names -= {"header", "masthead", "banner", "widget", "widgets", "notice" if tag == "article" else ""}
     return bool(names)
@@ -216,14 +221,17 @@ def main_blocks(html: str) -> list[str]:
         if node.tag == "article" or (node.tag == "main" and top.tag != "article"):
             top = node
         node = node.parent
+    while top.tag in ("section", "p", "blockquote", "ul", "ol") and top.parent is not None and top.parent.tag not in ("body", "html", "#root"):
+        top = top.parent  # a part of a text stands for the whole
     limit = max(10.0, 0.2 * best.score * (1 - _density(best)))
     chosen: list = []
     for x in top.parent.items if top.parent is not None and top.tag not in ("body", "html", "main") else [top]:
         if isinstance(x, str):
             continue
-        if x is top or x.tag in ("h1", "h2") or (x.score * (1 - _density(x)) >= limit and _density(x) < 0.5):
+        plain = _density(x) < 0.25
+        if x is top or (x.tag in SIBLINGS and plain) or (x.score * (1 - _density(x)) >= limit and _density(x) < 0.5):
             chosen.append(x)
-        elif x.tag == "p" and _density(x) < 0.25 and (x.length > 80 or top.tag != "article"):
+        elif x.tag == "p" and plain and (x.length > 80 or top.tag != "article"):
             chosen.append(x)
     return [t for x in chosen for t, _ in blocks_of(x)]
 
