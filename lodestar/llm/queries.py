@@ -49,7 +49,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range_no")
+    return warc.capture_histories(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query
@@ -63,6 +63,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_decontamination"] = decontam.SQL
+ORACLES["op4_near_duplicates"] = neardup.SQL
+ORACLES["op6_warc"] = warc.SQL
 
 
 @query

@@ -314,3 +314,12 @@ def capture_histories(pages: DataFrame, path: str | None = None, least: int = LE
     """
     path = path or scratch(pages.sparkSession, "warc")
     return capture_index(pages.sparkSession, path, write_archives(pages, path, least))
+
+
+#: page_id, payload_bytes, payload_digest, record_type and refers_to in DuckDB's SQL; distinct ids are assumed.
+SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= {LEAST_REVISIT} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN coalesce(kept, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to FROM p LEFT JOIN k USING (payload_digest)
+"""
