@@ -42,7 +42,6 @@ def docs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-T = F.col("text")
 S = Settings()
 CUES = ["with ", "from ", "für ", "avec ", "con "]
 TEST_RULES = {
@@ -66,7 +65,7 @@ SENTENCES_80 = SENTENCES.replace("{n}", "80")
 
 @query(f"SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS sentences FROM (SELECT doc_id, {SENTENCES_80} AS s FROM documents)")
 def sentence_split(spark, sf_dir):
-    found = docs(spark, sf_dir).select("doc_id", text.sentences(T).alias("s"))
+    found = docs(spark, sf_dir).select("doc_id", text.sentences(F.col("text")).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("sentences"))
 
 
@@ -78,7 +77,7 @@ def sentence_split(spark, sf_dir):
 )
 def claim_extract(spark, sf_dir):
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    found = docs(spark, sf_dir).select("doc_id", F.posexplode(text.claims(text.sentences(T), name, CUES)).alias("pos", "c"))
+    found = docs(spark, sf_dir).select("doc_id", F.posexplode(text.claims(text.sentences(F.col("text")), name, CUES)).alias("pos", "c"))
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "c.statement", F.when(F.contains(F.lower("c.statement"), F.lit("the")), "demonstrated").otherwise("hypothesized").alias("confidence"))
 
 
@@ -92,7 +91,7 @@ _W = "[A-Za-z0-9][A-Za-z0-9_-]*"
     UNION ALL SELECT doc_id, 0, 'automated text parsing' FROM (SELECT doc_id, {SENTENCES_80} AS s FROM documents) WHERE len(list_filter(s, lambda x: len(list_filter({sql_list(CUES + ['via '])}, lambda c: contains(lower(x), c))) > 0)) = 0"""
 )
 def method_names(spark, sf_dir):
-    found = docs(spark, sf_dir).select("doc_id", F.posexplode(text.methods(text.sentences(T), CUES + ["via "])).alias("pos", "m"))
+    found = docs(spark, sf_dir).select("doc_id", F.posexplode(text.methods(text.sentences(F.col("text")), CUES + ["via "])).alias("pos", "m"))
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "m.name")
 
 
@@ -101,7 +100,7 @@ TERMS = ["there", "ation", "thing", "licen", "ement", "schen", "ción", "game",
 
 @query(f"SELECT doc_id, array_to_string(list_filter({sql_list(TERMS)}, lambda t: contains(lower(text), t))[1:5], ',') AS terms FROM documents")
 def technique_terms(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(text.techniques(T, TERMS), ",").alias("terms"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.techniques(F.col("text"), TERMS), ",").alias("terms"))
 
 
 _EQ = text.EQUATION.replace("'", "''")
@@ -118,7 +117,7 @@ _SYMBOLS = sql_list(text.MATH_SYMBOLS)
     SELECT * FROM f WHERE label <= 12"""
 )
 def equation_lines(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(T, "\n")).alias("p", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("p", "line")).withColumn("line", F.trim("line")).where("line <> ''")
     w = Window.partitionBy("doc_id").orderBy("p")
     near = lines.withColumn("context", F.substring(F.concat_ws(" ", F.lag("line").over(w), "line", F.lead("line").over(w)), 1, 500)).withColumn("expression", text.equation_of(F.col("line")))
     found = near.where("expression is not null").withColumn("label", F.row_number().over(w).cast("long"))
@@ -153,7 +152,7 @@ RULE_TAGS = {"licensed": "licensed", "der ": "german", "game": "game_theory", "t
     + "], lambda t: t IS NOT NULL)), ',') AS tags FROM (SELECT doc_id, lower(source || chr(10) || text[1:6000]) AS x FROM documents)"
 )
 def tag_rules(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.array_join(text.tags(F.col("source"), T, RULE_TAGS), ",").alias("tags"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.tags(F.col("source"), F.col("text"), RULE_TAGS), ",").alias("tags"))
 
 
 @query(
@@ -161,7 +160,7 @@ def tag_rules(spark, sf_dir):
     lpad(CAST(CAST('0x' || sha1(doc_id || '.pdf')[1:10] AS BIGINT) % 1000000000 AS VARCHAR), 9, '0') AS paper_id FROM documents"""
 )
 def paper_id_suffix(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.paper_id(F.split(T, "\n")[0], F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("paper_id"))
+    return docs(spark, sf_dir).select("doc_id", text.paper_id(F.split(F.col("text"), "\n")[0], F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("paper_id"))
 
 
 @query(
@@ -177,14 +176,14 @@ def slug_urls(spark, sf_dir):
     FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)"""
 )
 def snippet_truncate(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.shorten(T, 360).alias("excerpt"), text.truncate_middle(T, 1000).alias("middle"))
+    return docs(spark, sf_dir).select("doc_id", text.shorten(F.col("text"), 360).alias("excerpt"), text.truncate_middle(F.col("text"), 1000).alias("middle"))
 
 
 @query(
     f"""SELECT doc_id, length(text) >= 80 AND len(list_filter({sql_list(text.VERBS)}, lambda v: contains(lower(text), v))) > 0 AS specific FROM documents"""
 )
 def approach_specific(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.approach_specific(T).alias("specific"))
+    return docs(spark, sf_dir).select("doc_id", text.approach_specific(F.col("text")).alias("specific"))
 
 
 @query(
@@ -253,7 +252,7 @@ HEX = "(instr('0123456789abcdef', h[2 * i + 1:2 * i + 1]) - 1) * 16 + instr('012
 
 @query(f"SELECT doc_id, round(list_sum(v), 4) AS total, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS norm FROM (SELECT doc_id, list_transform(range(0, 32), lambda i: ({HEX}) / 255.0 - 0.5) AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents))")
 def hash_embedding(spark, sf_dir):
-    v = docs(spark, sf_dir).select("doc_id", numeric.hash_vector(T).alias("v"))
+    v = docs(spark, sf_dir).select("doc_id", numeric.hash_vector(F.col("text")).alias("v"))
     return v.select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.sqrt(numeric.dot(F.col("v"), F.col("v"))), 4).alias("norm"))
 
 
@@ -697,7 +696,7 @@ def evidence_rollup(spark, sf_dir):
 )
 def experiment_outline(spark, sf_dir):
     papers = F.when(F.col("lang") == "en", F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
-    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("cluster_id"), F.substring("text", 1, 60).alias("description"), T.alias("suggested_approach"), papers.alias("supporting_papers"))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("cluster_id"), F.substring("text", 1, 60).alias("description"), F.col("text").alias("suggested_approach"), papers.alias("supporting_papers"))
     return review.experiments(rows).select(F.col("cluster_id").alias("doc_id"), "hypothesis", "baseline", "readiness")
 
 
@@ -739,8 +738,8 @@ def prior_art_queue(spark, sf_dir):
 def signals_export(spark, sf_dir):
     key = F.col("doc_id").cast("string")
     conf = F.when(F.col("doc_id") % 3 == 0, "unknown").otherwise((F.col("doc_id") % 5).cast("string"))
-    fields = [("description", T), ("evidence_a", F.col("source")), ("evidence_b", F.when(F.col("lang") == "en", F.col("lang")))]
-    made = docs(spark, sf_dir).select(*prior_art.envelope("connection_candidate", key, F.concat(F.lit("connections/"), key), T, fields, F.lit(" "), conf, "inferred"))
+    fields = [("description", F.col("text")), ("evidence_a", F.col("source")), ("evidence_b", F.when(F.col("lang") == "en", F.col("lang")))]
+    made = docs(spark, sf_dir).select(*prior_art.envelope("connection_candidate", key, F.concat(F.lit("connections/"), key), F.col("text"), fields, F.lit(" "), conf, "inferred"))
     return made.select("signal_id", "summary", F.size("evidence").alias("n_evidence"), "confidence")
 
 
