@@ -9,7 +9,7 @@ from lodestar.plans.tables import dropped, scratch, shared_dir, written
 
 __all__ = ["batches", "dropped", "only", "scratch", "shared_dir", "table", "written"]
 
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def batches(spark: SparkSession) -> None:

@@ -7,20 +7,18 @@ and then looked up; any other tokenizer encodes each text as a whole.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 END_ID = 1
 #: Words of printable ASCII and Latin-1 letters: lower() and the split pattern act on each alone.
-_PLAIN = regex.compile(r"[!-~À-ÿ]+")
+_PLAIN = "^[!-{}-~À-ÿ]+$"  # without the bar
 _BAR = "|"
-MARKS = frozenset(".,;:!?")
 _encoders: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -46,6 +44,39 @@ def slices(texts: pa.Array, most: int = 6 << 20):
     return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+class Known:
+    """Words and their ids, end to end in one array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.at: dict[str, int] = {}
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.used = np.zeros(1 << 18, dtype), 0
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word, -1 if it is new."""
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+
+    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n, k = len(self.at), len(words)
+        if n + k > len(self.size):
+            more = np.zeros(max(n + k, len(self.size)), np.int64)
+            self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), self.ids.dtype)])
+        self.start[n : n + k] = self.used + np.cumsum(size) - size
+        self.size[n : n + k] = size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.at.update(zip(words, range(n, n + k), strict=True))
+        return np.arange(n, n + k)
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by place, end to end, and their numbers."""
+        n = self.size[places]
+        end = np.cumsum(n)
+        return self.ids[np.repeat(self.start[places] - (end - n), n) + np.arange(end[-1] if len(end) else 0)], n
+
+
 class Encoder:
     def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,7 +85,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.vocab_size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
-        self.limit, self.words, self.parts, self.old_words, self.old_parts = cache_words, {}, {}, {}, {}
+        self.limit, self.known, self.old, self.parts = cache_words, Known(self.dtype), Known(self.dtype), Known(self.dtype)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pattern = self._word_pattern(spec)
@@ -62,7 +93,7 @@ class Encoder:
         self.bar = bar[0] if len(bar) == 1 else None
         self.light = self._light(Tokenizer)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.by_word = self.pattern is not None and self.bar is not None and not any(regex.search(r"\s", s) or not s.startswith("<|") for s in self.special)
+        self.by_word = self.pattern is not None and self.bar is not None and all(_BAR in s and not any(map(str.isspace, s)) for s in self.special)
 
     def _light(self, kind):
         """The same model for parts that are lower case and split already: only white space parts them."""
@@ -83,7 +114,9 @@ class Encoder:
         if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or steps[1].get("add_prefix_space"):
             return None
         pattern = first["pattern"].get("Regex", "")
-        return regex.compile(pattern) if r"[^\s\p{L}\p{N}]+" in pattern else None
+        tail = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        # the letters and digits of plain words in lower case
+        return f"({pattern.removesuffix(tail)}|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+)" if pattern.endswith(tail) else None
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all whole texts (null: empty) end to end, each text's followed by the end id, and their numbers."""
@@ -104,74 +137,58 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) > self.limit:  # the last generation stays at hand, so frequent words are kept
-            self.old_words, self.words = self.words, {}
-            self.old_parts, self.parts = self.parts, {}
-        words = self.words
-        new = set(here).difference(words)
-        if new and self.old_words:
-            again = new.intersection(self.old_words)
-            words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
-            new -= again
-        if new:
-            gc.disable()  # the many small objects made here form no cycles
-            try:
-                self._learn(new)
-            finally:
-                gc.enable()
-        found = list(map(words.__getitem__, here))
-        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        flat, start = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
-        word = coded.indices.to_numpy()
-        n = size[word]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(start[word] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-        per_text = split.value_lengths().to_numpy().astype(np.int64)
-        last = np.cumsum(per_text)
-        return ids, np.diff(np.concatenate([[0], end])[np.concatenate([[0], last])])
-
-    def _learn(self, new: set[str]) -> None:
-        """Adds new words. ASCII words of letters, with one mark after them or none, need no pattern to be split."""
-        words, parts, find = self.words, self.parts, self.pattern.findall
-        plain, heads, several, whole = [], [], {}, []
-        for w in new:
-            if w.isascii():
-                if w.isalpha():
-                    plain.append(w)
-                    continue
-                if w[-1:] in MARKS and w[:-1].isalpha():
-                    heads.append(w)
-                    continue
-            if "<|" not in w and _PLAIN.fullmatch(w):
-                several[w] = find(w.lower())
-            else:
-                whole.append(w)
-        plain_low = [w.lower() for w in plain]
-        heads_low = [w[:-1].lower() for w in heads]
-        wanted = set(plain_low).union(heads_low, MARKS, *several.values()).difference(parts)
-        again = wanted.intersection(self.old_parts)
-        parts.update(zip(again, map(self.old_parts.__getitem__, again), strict=True))
-        wanted -= again
-        self._encode(wanted, parts, self.light)
-        self._encode(set(whole), words, self.tok)
-        part = parts.__getitem__
-        words.update(zip(plain, map(part, plain_low), strict=True))
-        marks = {m: parts[m] for m in MARKS}
-        words.update([(w, part(h) + marks[w[-1]]) for w, h in zip(heads, heads_low, strict=True)])
-        words.update([(w, b"".join(map(part, ps))) for w, ps in several.items()])
-
-    def _encode(self, items: set[str], into: dict[str, bytes], tok) -> None:
-        """Encodes strings without white space, many at a time, with a bar that none of them holds between them."""
-        joined = [x for x in items if _BAR not in x and x]
-        for x in items:
-            if _BAR in x or not x:
-                into[x] = np.array(tok.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
-        size, step = self.dtype.itemsize, 256
-        lines = [f" {_BAR} ".join(joined[i : i + step]) for i in range(0, len(joined), step)]
-        at = 0
-        for e in tok.encode_batch_fast(lines, add_special_tokens=False):
-            ids = np.array(e.ids, self.dtype)
-            raw, start = ids.tobytes(), 0
-            for cut in [*np.flatnonzero(ids == self.bar).tolist(), len(ids)]:
-                into[joined[at]] = raw[start * size : cut * size]
-                at, start = at + 1, cut + 1
+        if len(self.known.at) > self.limit:  # the last generation stays at hand, so frequent words are kept
+            self.old, self.known, self.parts = self.known, Known(self.dtype), Known(self.dtype)
+        places = self.known.places(here)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = self._learn([here[k] for k in new.tolist()])
+        ids, n = self.known.take(places[coded.indices.to_numpy()])
+        last = np.cumsum(split.value_lengths().to_numpy().astype(np.int64))
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], last])])
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Adds new words and returns their places.
+
+        Plain words are put in lower case and parted by the tokenizer's own pattern here, all at once; the rest are left
+        to the tokenizer as they are.
+        """
+        old = self.old.places(new)
+        out = np.empty(len(new), np.int64)
+        again, fresh = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        if len(again):
+            out[again] = self.known.add([new[k] for k in again.tolist()], *self.old.take(old[again]))
+        words = pa.array([new[k] for k in fresh.tolist()], pa.string())
+        plain = pc.match_substring_regex(words, _PLAIN)
+        is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        if rest:
+            out[fresh[~is_plain]] = self.known.add(rest, *self._encode(rest, self.tok))
+        chosen = words.filter(plain)
+        if len(chosen):
+            parted = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(chosen), self.pattern, r"\1 "), " ")
+            coded = parted.flatten().dictionary_encode()
+            parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            places = self.parts.places(parts)
+            unseen = np.flatnonzero(places < 0)
+            if len(unseen):
+                names = [parts[k] for k in unseen.tolist()]
+                places[unseen] = self.parts.add(names, *self._encode(names, self.light))
+            ids, n = self.parts.take(places[coded.indices.to_numpy()])
+            last = np.concatenate([[0], np.cumsum(parted.value_lengths().to_numpy().astype(np.int64))])
+            out[fresh[is_plain]] = self.known.add(chosen.to_pylist(), ids, np.diff(np.concatenate([[0], np.cumsum(n)])[last]))
+        return out
+
+    def _encode(self, items: list[str], tok) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings end to end and their numbers; many at a time, with a bar that none of them holds between them."""
+        if any(_BAR in x or not x for x in items):
+            each = [np.array(tok.encode(x, add_special_tokens=False).ids, self.dtype) if _BAR in x or not x else None for x in items]
+            ids, n = self._encode([x for x in items if _BAR not in x and x], tok)
+            other = iter(np.split(ids, np.cumsum(n)[:-1]) if len(n) else [])
+            each = [next(other) if e is None else e for e in each]
+            return np.concatenate([np.zeros(0, self.dtype), *each]), np.array([len(e) for e in each], np.int64)
+        step, bar = 256, f" {_BAR} "
+        lines = [bar.join(items[k : k + step]) + bar for k in range(0, len(items), step)]
+        ids = np.concatenate([np.zeros(0, self.dtype), *[np.array(e.ids, self.dtype) for e in tok.encode_batch_fast(lines, add_special_tokens=False)]])
+        ends = np.flatnonzero(ids == self.bar)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
