@@ -222,8 +222,9 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, leve
         from pyspark import TaskContext
 
         fs, root = pafs.FileSystem.from_uri(path)
-        name, n = f"pages-{TaskContext.get().partitionId():08d}.warc.gz", 0
-        part = f"{root}/.{name}-{uuid.uuid4().hex}"
+        # a name of this attempt alone: a repeated task can't change an archive that was read meanwhile
+        name, n = f"pages-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex[:12]}.warc.gz", 0
+        part = f"{root}/.{name}.part"
         with fs.open_output_stream(part) as out:
             for batch in batches:
                 for page, url, html, digest, size, kept in zip(*[c.to_pylist() for c in batch.columns], strict=True):
