@@ -13,7 +13,7 @@ def tables(spark, path):
         if k % 6 == 0:
             words[5:8] = ["grumble", "grumpy", "grumling"]
         rows.append((k, " ".join(words)))
-    rows += [(300, rows[1][1]), (301, rows[1][1] + " tail"), (302, "Well now. " + QUESTION.replace("12", "40")), (303, 'clean words and token = "abcdef123456" more'), (304, None), (305, "")]
+    rows += [(300, rows[1][1]), (301, rows[1][1] + " tail"), (302, data.prose(901, 150) + ". " + QUESTION.replace("12", "40")), (303, data.prose(902, 60) + ' token = "abcdef123456" ' + data.prose(903, 60)), (304, None), (305, "")]
     data.documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(k, 0, int(k % 6 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
