@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.plans.tables import dropped, scratch, shared_dir, written
 
-__all__ = ["batches", "dropped", "only", "scratch", "shared_dir", "table", "written"]
+__all__ = ["batches", "dropped", "gathered", "only", "scratch", "shared_dir", "table", "tidy", "written"]
 
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def batches(spark: SparkSession) -> None:
@@ -18,6 +21,35 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def gathered(batches_, most: int = 4 << 20):
+    """The batches of a worker put together to about `most` bytes each, for steps that gain from more rows at once."""
+    held, size = [], 0
+    for b in batches_:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def tidy(run):
+    """run for mapInArrow; at its end the worker, which stays for later tasks, gives freed memory back to the system."""
+
+    def inner(batches_):
+        try:
+            yield from run(batches_)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+
+    return inner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,7 +14,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, tidy
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,4 +254,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return only(pages, "page_id", "url", "html").selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return only(pages, "page_id", "url", "html").selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

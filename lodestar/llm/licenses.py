@@ -13,7 +13,7 @@ from bisect import bisect_left
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import only, tidy
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -172,4 +172,4 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
                 kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "license", "coverage", "start", "end"])
 
-    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), SCHEMA)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only
+from .common import gathered, only, tidy
 from .tokens import default_vocabulary, encoder, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, wit
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in batches:
+        for batch in gathered(batches):
             for at, size in slices(batch.column(1)):
                 part = batch.slice(at, size)
                 ids, n = enc.encode(part.column(1))
@@ -134,4 +134,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, wit
                 yield table([p for d, i in zip(part.column(0).to_pylist(), each, strict=True) for p in packer.add(d, i)])
         yield table(list(packer.finish()))
 
-    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), schema)

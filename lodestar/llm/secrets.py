@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batches as batches_
-from .common import only
+from .common import only, tidy
 
 # The base patterns and the lengths that a match must have.
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> DataF
                 names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def redact(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> DataFrame:
@@ -131,4 +131,4 @@ def redact(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> Dat
             yield batch
 
     batches_(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, only, scratch, written
+from .common import dropped, gathered, only, scratch, tidy, written
 from .tokens import END_ID, default_vocabulary, encoder, slices
 
 MAGIC = b"IDRANK01"
@@ -84,7 +84,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
         enc = encoder(vocabulary)
         width, total = enc.dtype.itemsize, np.zeros(max(enc.vocab_size, END_ID + 1), np.int64)
         names = ["doc_id", "n_tokens", "ids", "counts"]
-        for batch in batches:
+        for batch in gathered(batches):
             for at, size in slices(batch.column(1)):
                 part = batch.slice(at, size)
                 ids, n = enc.encode(part.column(1))
@@ -94,7 +94,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), raw, pa.nulls(len(part), pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
+    return only(docs, "doc_id", "text").selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def ranking(encoded: DataFrame, size: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def ranking(encoded: DataFrame, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
     total = np.zeros(size, np.int64)
-    for r in encoded.where("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in encoded.where("counts is not null").select("counts").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r["id"]] = r["n"]
     return np.lexsort((np.arange(size), -total)).astype("<u4")
 
@@ -154,7 +154,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         yield pa.RecordBatch.from_pylist([{"file": k, "docs": n_docs, "ids": n_ids}], pa.schema([("file", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     ordered = encoded.where("counts is null").select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids")
-    made = sorted(tuple(r) for r in ordered.mapInArrow(run, "file long, docs long, ids long").collect())
+    made = sorted(tuple(r) for r in ordered.mapInArrow(tidy(run), "file long, docs long, ids long").collect())
     dropped(spark, encoded)
     return made
 
@@ -185,7 +185,7 @@ def read_token_files(spark: SparkSession, path: str, made: list[tuple[int, int,
                         crc = [zlib.crc32(i.tobytes()) for i in ids]
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(plan, "file long, start long").repartition(len(plan)).mapInArrow(run, schema)
+    return spark.createDataFrame(plan, "file long, start long").repartition(len(plan)).mapInArrow(tidy(run), schema)
 
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None, path: str | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, cache_words: int = 400_000) -> "Encoder":
+def encoder(path: str, cache_words: int = 300_000) -> "Encoder":
     """One encoder for each Python worker process; its cache lasts over tasks."""
     key = (path, cache_words)
     if key not in _encoders:
@@ -36,7 +36,7 @@ def encoder(path: str, cache_words: int = 400_000) -> "Encoder":
     return _encoders[key]
 
 
-def slices(texts: pa.Array, most: int = 6 << 20):
+def slices(texts: pa.Array, most: int = 4 << 20):
     """(start, length) of runs of texts of about `most` bytes; a longer text is a run of its own."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     run = np.cumsum(size) // most
@@ -78,7 +78,7 @@ class Known:
 
 
 class Encoder:
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

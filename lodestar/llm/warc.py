@@ -21,7 +21,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, scratch
+from .common import only, scratch, tidy
 
 VERSION = b"WARC/1.1"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -241,7 +241,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, leve
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
     rows = stored_payloads(only(pages, "page_id", "url", "html"), least).select("page_id", "url", "html", "payload_digest", "payload_bytes", "kept")
-    return sorted(r["archive"] for r in rows.mapInArrow(run, "archive string").collect())
+    return sorted(r["archive"] for r in rows.mapInArrow(tidy(run), "archive string").collect())
 
 
 def _table(captures: list) -> pa.RecordBatch:
@@ -277,12 +277,12 @@ def capture_index(spark: SparkSession, path: str, archives: list[str], fan_in: i
                 yield pa.RecordBatch.from_arrays([pa.array([row["into"]]), pa.array([n], pa.int64()), pa.array([json.dumps(keys)])], ["run", "n", "keys"])
 
     shape = "run string, n long, keys string"
-    made = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(len(archives)).mapInArrow(runs, shape).collect()
+    made = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(len(archives)).mapInArrow(tidy(runs), shape).collect()
     turn = 0
     while len(made) > fan_in:
         names = sorted(r["run"] for r in made)
         groups = [(f"merged-{turn}-{k:06d}.run", names[k : k + fan_in]) for k in range(0, len(names), fan_in)]
-        made = spark.createDataFrame(groups, "into string, runs array<string>").repartition(len(groups)).mapInArrow(merged, shape).collect()
+        made = spark.createDataFrame(groups, "into string, runs array<string>").repartition(len(groups)).mapInArrow(tidy(merged), shape).collect()
         turn += 1
     names, total = sorted(r["run"] for r in made), sum(r["n"] for r in made)
     keys = sorted(tuple(k) for r in made for k in json.loads(r["keys"]))
@@ -303,7 +303,7 @@ def capture_index(spark: SparkSession, path: str, archives: list[str], fan_in: i
                         held = []
                 yield _table(held).append_column("range_no", pa.array([row["k"]] * len(held), pa.int32()))
 
-    return spark.createDataFrame(bounds, "k int, low string, high string").repartitionByRange(len(bounds), "k").mapInArrow(final, CAPTURE + ", range_no int")
+    return spark.createDataFrame(bounds, "k int, low string, high string").repartitionByRange(len(bounds), "k").mapInArrow(tidy(final), CAPTURE + ", range_no int")
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
