@@ -21,15 +21,27 @@ def batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def gathered(batches_, most: int = 4 << 20):
-    """The batches of a worker put together to about `most` bytes each, for steps that gain from more rows at once."""
-    held, size = [], 0
+def released() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def gathered(batches_, most: int = 4 << 20, every: int = 8):
+    """The batches of a worker put together to about `most` bytes each, for steps that gain from more rows at once; after
+    `every` of them freed memory goes back."""
+    held, size, n = [], 0, 0
     for b in batches_:
         held.append(b)
         size += b.nbytes
         if size >= most:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
+            held, size, n = [], 0, n + 1
+            if n % every == 0:
+                released()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -41,11 +53,7 @@ def tidy(run):
         try:
             yield from run(batches_)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass
+            released()
 
     return inner
 

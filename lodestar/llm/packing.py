@@ -65,7 +65,7 @@ class Packer:
             self.n_open -= 1
         else:
             box = []
-        box.append((doc, start, ids[start:], total))
+        box.append((doc, start, ids[start:].copy(), total))  # not a view, which would hold its whole batch
         fill = level + size
         if fill == w:
             yield from self._closed(box)

@@ -28,7 +28,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoder(path: str, cache_words: int = 300_000) -> "Encoder":
+def encoder(path: str, cache_words: int = 400_000) -> "Encoder":
     """One encoder for each Python worker process; its cache lasts over tasks."""
     key = (path, cache_words)
     if key not in _encoders:
@@ -49,7 +49,7 @@ class Known:
 
     def __init__(self, dtype: np.dtype):
         self.at: dict[str, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids, self.used = np.zeros(1 << 18, dtype), 0
 
     def places(self, words: list[str]) -> np.ndarray:
@@ -59,7 +59,7 @@ class Known:
     def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         n, k = len(self.at), len(words)
         if n + k > len(self.size):
-            more = np.zeros(max(n + k, len(self.size)), np.int64)
+            more = np.zeros(max(n + k, len(self.size)), np.int32)
             self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(ids), len(self.ids)), self.ids.dtype)])
@@ -73,12 +73,14 @@ class Known:
     def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words by place, end to end, and their numbers."""
         n = self.size[places]
-        end = np.cumsum(n)
-        return self.ids[np.repeat(self.start[places] - (end - n), n) + np.arange(end[-1] if len(end) else 0)], n
+        end = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(self.start[places] - (end - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], n
 
 
 class Encoder:
-    def __init__(self, path: str, cache_words: int = 300_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
