@@ -2,7 +2,7 @@
 
 Ordinary words fit a byte-pair vocabulary, so a token holds several characters; random strings break into tokens of one
 or two. A run of key characters with a low ratio is a secret unless it is a known digest, a UUID, a number or an
-identifier made of words.
+identifier whose parts, in lower case, are words by the same ratio.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 IDENTIFIER = re.compile(r"[_/+=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})[_/+=-]*)+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
@@ -64,8 +65,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """A digest of a usual length, a UUID, a number, or an identifier of words."""
-    return bool((len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or UUID.fullmatch(run) or not re.search("[A-Za-z]", run) or not re.search("[0-9A-Z]", run) or IDENTIFIER.fullmatch(run))
+    """A digest of a usual length, a UUID or a number."""
+    return bool((len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or UUID.fullmatch(run) or not re.search("[A-Za-z]", run))
+
+
+def random(run: str, ranks: str, ratio: float) -> bool:
+    """Whether run has fewer characters a token than ratio, and so have the parts of an identifier.
+
+    Capitals and separators break common words into more tokens, so the letters of an identifier count once more by part.
+    """
+    tokens = lambda x: len(_encoding(ranks).encode_ordinary(x))
+    if len(run) >= ratio * tokens(run):
+        return False
+    parts = PART.findall(run) if IDENTIFIER.fullmatch(run) else []
+    return not parts or sum(map(len, parts)) < ratio * sum(tokens(p.lower()) for p in parts)
 
 
 def all_spans(text: str, ranks: str, ratio: float) -> tuple[list, list]:
@@ -75,7 +88,7 @@ def all_spans(text: str, ranks: str, ratio: float) -> tuple[list, list]:
         s, e = m.span()
         if known(m[0]) or any(a <= s and e <= b for a, _, b in base):
             continue
-        if e - s < ratio * len(_encoding(ranks).encode_ordinary(m[0])):
+        if random(m[0], ranks, ratio):
             more.append((s, 3, e))
     return base, sorted(base + more)
 
