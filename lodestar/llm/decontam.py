@@ -3,10 +3,15 @@
 Numbers, units and names in a text become typed placeholders, so that a question with other parameters has the same
 template. Windows of template tokens are hashed and joined; where enough of an item's windows occur in a document, the
 values in the slots must agree: within one alignment an item's value always stands for the same value of the document.
+
+Each text has two forms. In the first only names in running text are placeholders, in the second every run of
+capitalised words is, so that a changed name may begin a sentence.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,25 +21,32 @@ from .common import only, written
 NUMBER, NAME, UNIT = "0", "1", "2"
 NUMBERS = r"[0-9]+(?:[.,:/-][0-9]+)*"
 NAMES = r"([\p{Ll},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
+CAPITALS = r"(^|[^\p{L}])(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 UNITS = r" 0 +(mm|cm|km|m|mg|kg|g|ml|l|lb|lbs|oz|ft|in|mi|mph|km/h|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|inches|feet|pounds?|dollars?|euros?|cents?|percent|degrees?)(?:[^\p{L}]|$)"
 TOKENS = r"[\p{L}0-9]+"
+RUNNING, EVERYWHERE = 0, 1  # the forms: names in running text, names everywhere
+FORM = ["item_id", "form"]
 WINDOW = 8  # tokens; with the doubling below a power of two
 LITERALS = 4  # tokens of an item's window that are no placeholders, at least
 
 
-def _template(text) -> F.Column:
+def _template(text, names: str) -> F.Column:
     """text with its numbers, units and names as placeholders, in lower case."""
     numbers = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, NUMBERS, " 0 "), UNITS, " 0 2 ")).otherwise(text)
-    return F.lower(F.regexp_replace(numbers, NAMES, "$11"))
+    return F.lower(F.regexp_replace(numbers, names, "$11"))
+
+
+def _names(form: int) -> str:
+    return CAPITALS if form == EVERYWHERE else NAMES
 
 
-def _tokens(text) -> F.Column:
-    return F.regexp_extract_all(_template(text), F.lit(TOKENS), F.lit(0))
+def _tokens(text, form: int) -> F.Column:
+    return F.regexp_extract_all(_template(text, _names(form)), F.lit(TOKENS), F.lit(0))
 
 
-def _windows(tokens) -> F.Column:
+def _windows(tokens, form: int) -> F.Column:
     """Hashes of all windows of WINDOW tokens, by doubling. Each step names the one before it once, through a lambda, so
-    that the expression stays linear however the optimizer puts it together."""
+    that the expression stays linear however the optimizer puts it together. Forms have unlike hashes."""
 
     def doubled(width):
         def step(x):
@@ -43,33 +55,38 @@ def _windows(tokens) -> F.Column:
 
         return step
 
-    h, width = F.transform(tokens, lambda t: F.xxhash64(t)), 1
+    h, width = F.transform(tokens, lambda t: F.xxhash64(F.lit(form), t)), 1
     while width < WINDOW:
         h, width = F.get(F.transform(F.array(h), doubled(width)), 0), 2 * width
     return h
 
 
-def _values(text) -> list[F.Column]:
+def _values(text, form: int) -> list[F.Column]:
     """The values behind the placeholders 0, 1 and 2, each in order."""
     spaced = F.regexp_replace(text, NUMBERS, " 0 ")
     return [
         F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)),
-        F.regexp_extract_all(F.regexp_replace(spaced, UNITS, " 0 2 "), F.lit(NAMES), F.lit(2)),
+        F.regexp_extract_all(F.regexp_replace(spaced, UNITS, " 0 2 "), F.lit(_names(form)), F.lit(2)),
         F.regexp_extract_all(spaced, F.lit(UNITS), F.lit(1)),
     ]
 
 
-def _slots(rows: DataFrame) -> DataFrame:
-    """rows (text and others) with slots: for each token its value, null for a literal."""
-    rows = rows.withColumn("_t", _tokens(F.col("text")))
-    for k, v in enumerate(_values(F.col("text"))):
-        rows = rows.withColumn(f"_v{k}", v)
+def _slots(rows: DataFrame, form: int) -> DataFrame:
+    """rows (text and others) with slots: the value of each placeholder by the place of its token."""
+    rows = rows.withColumn("_t", _tokens(F.col("text"), form))
+    for k, v in enumerate(_values(F.col("text"), form)):
+        at = F.filter(F.transform("_t", lambda t, i: F.when(t == str(k), i)), lambda i: i.isNotNull())  # noqa: B023
+        rows = rows.withColumn(f"_v{k}", F.zip_with(at, v, lambda i, x: F.struct(i.alias("at"), x.alias("value"))))
+    pairs = F.filter(F.concat("_v0", "_v1", "_v2"), lambda x: x["at"].isNotNull())
+    return rows.withColumn("slots", F.map_from_entries(pairs)).drop("_t", "_v0", "_v1", "_v2")
 
-    def value(t, i):
-        which = [F.when(t == str(k), F.get(F.col(f"_v{k}"), F.size(F.filter(F.slice(F.col("_t"), 1, i + 1), lambda x: x == str(k))) - 1)) for k in range(3)]
-        return F.coalesce(*which)
 
-    return rows.withColumn("slots", F.transform("_t", value)).drop("_t", "_v0", "_v1", "_v2")
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item_id, form, ipos and h of the windows that count."""
+    literal = F.filter(F.slice(F.col("t"), F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUMBER, NAME, UNIT))
+    tokens = lambda form: items.select("item_id", F.lit(form).alias("form"), _tokens(F.col("text"), form).alias("t"))
+    cut = reduce(DataFrame.union, [tokens(form).select("*", F.posexplode(_windows(F.col("t"), form)).alias("ipos", "h")) for form in (RUNNING, EVERYWHERE)])
+    return cut.where(F.size(literal) >= LITERALS).select(*FORM, "ipos", "h").distinct()
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -80,36 +97,38 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, covered, windows and slots of pairs of docs (doc_id, text) and benchmark (item_id, text).
 
-    A pair is returned where `share` or more of the item's windows occur in the document in alignments whose slots are
-    consistent. Items with under WINDOW tokens, or without a window of LITERALS literal tokens, match nothing; nor do null
-    or empty texts, or null ids. Repeated rows give one pair; rows of one id count as one text. Other columns are ignored.
+    A pair is returned where, in alignments whose slots are consistent, `share` or more of the item's windows occur in the
+    document; figures are of the first form that finds it. Items with under WINDOW tokens, or without a window of LITERALS
+    literal tokens, match nothing; nor do null or empty texts, or null ids. Repeated rows give one pair; rows of one id
+    count as one text. Other columns are ignored.
     """
     items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct()
-    tokens = items.select("item_id", "text", _tokens(F.col("text")).alias("t"))
-    literal = F.filter(F.slice(F.col("t"), F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUMBER, NAME, UNIT))
-    windows = tokens.select("item_id", "t", F.posexplode(_windows(F.col("t"))).alias("ipos", "h")).where(F.size(literal) >= LITERALS).select("item_id", "ipos", "h").distinct()
-    windows = written(windows, "windows")
+    windows = written(_item_windows(items), "windows")
     given = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    every = given.select("doc_id", F.posexplode(_windows(_tokens(F.col("text")))).alias("dpos", "h"))
-    hits = written(every.join(_bounded(windows, broadcast_rows), "h").select("doc_id", "item_id", "dpos", "ipos").distinct(), "hits")
-    sizes = windows.groupBy("item_id").agg(F.count_distinct("ipos").alias("windows"))
+    every = reduce(DataFrame.union, [given.select("doc_id", F.posexplode(_windows(_tokens(F.col("text"), form), form)).alias("dpos", "h")) for form in (RUNNING, EVERYWHERE)])
+    hits = written(every.join(_bounded(windows, broadcast_rows), "h").select("doc_id", *FORM, "dpos", "ipos").distinct(), "hits")
+    sizes = windows.groupBy(*FORM).agg(F.count_distinct("ipos").alias("windows"))
     enough = lambda df: df.where(F.col("covered") >= share * F.col("windows"))
-    maybe = enough(hits.groupBy("doc_id", "item_id").agg(F.count_distinct("ipos").alias("covered")).join(sizes, "item_id"))
-    maybe = written(maybe.select("doc_id", "item_id"), "maybe")
+    maybe = enough(hits.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered")).join(sizes, FORM))
+    maybe = written(maybe.select("doc_id", *FORM), "maybe")
     # values in the slots of the pairs that are left
-    of_docs = _slots(given.join(_bounded(maybe.select("doc_id").distinct(), broadcast_rows), "doc_id").select("doc_id", "text")).select("doc_id", F.col("slots").alias("d"))
-    of_items = _slots(items.join(maybe.select("item_id").distinct(), "item_id").select("item_id", "text")).select("item_id", F.col("slots").alias("i"))
-    held = hits.join(maybe, ["doc_id", "item_id"]).withColumn("shift", F.col("dpos") - F.col("ipos"))
-    runs = held.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("ipos").alias("at"))
+    def slots(rows, key, name):
+        ids = lambda form: maybe.where(F.col("form") == form).select(key).distinct()
+        of = lambda form: _slots(rows.join(_bounded(ids(form), broadcast_rows), key).select(key, "text"), form)
+        return reduce(DataFrame.union, [of(form).select(key, F.lit(form).alias("form"), F.col("slots").alias(name)) for form in (RUNNING, EVERYWHERE)])
+
+    held = hits.join(maybe, ["doc_id", *FORM]).withColumn("shift", F.col("dpos") - F.col("ipos"))
+    runs = held.groupBy("doc_id", *FORM, "shift").agg(F.collect_set("ipos").alias("at"))
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + WINDOW - 1))))
-    bound = runs.join(of_docs, "doc_id").join(of_items, "item_id").select(
-        "doc_id", "item_id", "at",
-        F.filter(F.transform(places, lambda p: F.struct(F.get("i", p).alias("iv"), F.get("d", p + F.col("shift")).alias("dv"))), lambda x: x["iv"].isNotNull()).alias("b"),
+    bound = runs.join(slots(given, "doc_id", "d"), ["doc_id", "form"]).join(slots(items, "item_id", "i"), ["item_id", "form"]).select(
+        "doc_id", *FORM, "at",
+        F.filter(F.transform(places, lambda p: F.struct(F.try_element_at("i", p).alias("iv"), F.try_element_at("d", p + F.col("shift")).alias("dv"))), lambda x: x["iv"].isNotNull()).alias("b"),
     )
     fits = F.size(F.array_distinct(F.transform("b", lambda x: x["iv"]))) == F.size(F.array_distinct("b"))
-    kept = bound.where(fits).select("doc_id", "item_id", "b", F.explode("at").alias("ipos"))
-    found = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("ipos").alias("covered"), F.max(F.size("b")).cast("long").alias("slots"))
-    return enough(found.join(sizes, "item_id")).select("doc_id", "item_id", "covered", "windows", "slots")
+    kept = bound.where(fits).select("doc_id", *FORM, "b", F.explode("at").alias("ipos"))
+    found = kept.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered"), F.max(F.size("b")).cast("long").alias("slots"))
+    first = F.min(F.struct("form", "covered", "windows", "slots")).alias("x")
+    return enough(found.join(sizes, FORM)).groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "x.covered", "x.windows", "x.slots")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -118,7 +137,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, b
     return docs.join(_bounded(gone, broadcast_rows), "doc_id", "left_anti").select(docs.columns)
 
 
-#: The same in DuckDB's SQL, over documents and benchmark.
+#: The first form in DuckDB's SQL, over documents and benchmark.
 SQL = rf"""
 WITH
 texts AS (

@@ -71,6 +71,22 @@ def test_changed_parameters_are_caught_if_consistent(spark):
     assert contaminated(spark, rows) == [(1, 1), (2, 1)]
 
 
+def pairs(spark, texts, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return sorted((r.doc_id, r.item_id) for r in decontam.contaminated(data.documents(spark, texts), bench).collect())
+
+
+def test_changed_names_at_the_start_of_sentences_are_caught(spark):
+    items = [
+        (1, "Tom bought 5 pens. Tom gave 2 pens to his sister. How many pens has he left?"),
+        (2, "James writes a 3-page letter to 2 different friends twice a week.\nJames mails them all at once on the same day. How many pages does he write a year?"),
+        (3, "A note says that \"Mia has 4 red marbles and a jar\" (Mia keeps them in a box). Mr. Smith takes 2 of the marbles away."),
+    ]
+    changed = [(1, items[0][1].replace("Tom", "Ana").replace("5", "7")), (2, items[1][1].replace("James", "Mary Jane").replace("3", "8")), (3, items[2][1].replace("Mia", "Zoe").replace("Smith", "Jones").replace("4", "9"))]
+    other = [(4, "Ana bought 7 pens. Ben gave 3 pens to his sister. How many pens has he left?"), (5, "She bought a pen and he gave two to a sister.")]
+    assert pairs(spark, changed + other, items) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_contamination_equals_sql(spark):
     import duckdb
 
