@@ -4,15 +4,16 @@ Numbers, units and names in a text become typed placeholders, so that a question
 template. Windows of template tokens are hashed and joined; where enough of an item's windows occur in a document, the
 values in the slots must agree: within one alignment an item's value always stands for the same value of the document.
 
-Each text has two forms. In the first only names in running text are placeholders, in the second every run of
-capitalised words is, so that a changed name may begin a sentence.
+Each text has three forms. In the first only names in running text are placeholders, in the second every run of
+capitalised words is, so that a changed name may begin a sentence. The third keeps all values; it is for items that hold
+too few literals for a template. An item shorter than a window is one window as a whole.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only, written
@@ -24,8 +25,9 @@ NAMES = r"([\p{Ll},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 CAPITALS = r"(^|[^\p{L}])(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 UNITS = r" 0 +(mm|cm|km|m|mg|kg|g|ml|l|lb|lbs|oz|ft|in|mi|mph|km/h|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|inches|feet|pounds?|dollars?|euros?|cents?|percent|degrees?)(?:[^\p{L}]|$)"
 TOKENS = r"[\p{L}0-9]+"
-RUNNING, EVERYWHERE = 0, 1  # the forms: names in running text, names everywhere
-FORM = ["item_id", "form"]
+WORDS = r"[0-9]+(?:[.,:/-][0-9]+)*|\p{L}+"
+RUNNING, EVERYWHERE, EXACT = 0, 1, 2  # the forms: names in running text, names everywhere, no placeholders
+FORM = ["item_id", "form", "width"]
 WINDOW = 8  # tokens; with the doubling below a power of two
 LITERALS = 4  # tokens of an item's window that are no placeholders, at least
 
@@ -41,12 +43,17 @@ def _names(form: int) -> str:
 
 
 def _tokens(text, form: int) -> F.Column:
+    if form == EXACT:
+        return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
     return F.regexp_extract_all(_template(text, _names(form)), F.lit(TOKENS), F.lit(0))
 
 
-def _windows(tokens, form: int) -> F.Column:
-    """Hashes of all windows of WINDOW tokens, by doubling. Each step names the one before it once, through a lambda, so
-    that the expression stays linear however the optimizer puts it together. Forms have unlike hashes."""
+def _windows(tokens, form: int, wide: int) -> F.Column:
+    """Hashes of all windows of `wide` tokens, those of WINDOW by doubling. Each step names the one before it once, through
+    a lambda, so that the expression stays linear however the optimizer puts it together. Forms have unlike hashes."""
+    if wide < WINDOW:
+        each = lambda t: F.transform(t, lambda _, i: F.xxhash64(F.lit(form), F.slice(t, i + 1, wide)))
+        return F.get(F.transform(F.array(tokens), lambda t: F.slice(each(t), 1, F.greatest(F.size(t) - wide + 1, F.lit(0)))), 0)
 
     def doubled(width):
         def step(x):
@@ -72,7 +79,9 @@ def _values(text, form: int) -> list[F.Column]:
 
 
 def _slots(rows: DataFrame, form: int) -> DataFrame:
-    """rows (text and others) with slots: the value of each placeholder by the place of its token."""
+    """rows (text and others) with slots: the value of each placeholder by the place of its token; none where all are literals."""
+    if form == EXACT:
+        return rows.withColumn("slots", F.create_map().cast("map<int,string>"))
     rows = rows.withColumn("_t", _tokens(F.col("text"), form))
     for k, v in enumerate(_values(F.col("text"), form)):
         at = F.filter(F.transform("_t", lambda t, i: F.when(t == str(k), i)), lambda i: i.isNotNull())  # noqa: B023
@@ -81,12 +90,30 @@ def _slots(rows: DataFrame, form: int) -> DataFrame:
     return rows.withColumn("slots", F.map_from_entries(pairs)).drop("_t", "_v0", "_v1", "_v2")
 
 
+def _longest(numbers) -> F.Column:
+    """How many of an array's distinct numbers follow one another, at most."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s, x):
+        run = F.when(x == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(numbers), start, step, lambda s: s["best"])
+
+
 def _item_windows(items: DataFrame) -> DataFrame:
-    """item_id, form, ipos and h of the windows that count."""
-    literal = F.filter(F.slice(F.col("t"), F.col("ipos") + 1, WINDOW), lambda x: ~x.isin(NUMBER, NAME, UNIT))
-    tokens = lambda form: items.select("item_id", F.lit(form).alias("form"), _tokens(F.col("text"), form).alias("t"))
-    cut = reduce(DataFrame.union, [tokens(form).select("*", F.posexplode(_windows(F.col("t"), form)).alias("ipos", "h")) for form in (RUNNING, EVERYWHERE)])
-    return cut.where(F.size(literal) >= LITERALS).select(*FORM, "ipos", "h").distinct()
+    """form, width, item_id, ipos, nth and h of the windows that count, numbered from 1 in their order."""
+    every = reduce(DataFrame.union, [items.select("item_id", "text", F.lit(form).alias("form"), _tokens(F.col("text"), form).alias("t")) for form in (RUNNING, EVERYWHERE, EXACT)])
+    every = written(every.where(F.size("t") > 0).withColumn("width", F.least(F.size("t"), F.lit(WINDOW))), "items")
+    shapes = every.select("form", "width").distinct().collect()  # three forms of at most WINDOW widths
+    if not shapes:
+        return every.select(*FORM, F.lit(0).alias("ipos"), F.lit(0).alias("nth"), F.lit(0).cast("long").alias("h"))
+    literal = F.filter(F.slice(F.col("t"), F.col("ipos") + 1, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT))
+    cut = reduce(DataFrame.union, [every.where((F.col("form") == form) & (F.col("width") == width)).select("*", F.posexplode(_windows(F.col("t"), form, width)).alias("ipos", "h")) for form, width in shapes])
+    rich = cut.where((F.col("form") != EXACT) & (F.size(literal) >= LITERALS))
+    exact = cut.where(F.col("form") == EXACT).join(rich.where(F.col("form") == RUNNING).select("item_id", "text"), ["item_id", "text"], "left_anti")
+    nth = F.dense_rank().over(Window.partitionBy(*FORM).orderBy("ipos"))
+    return rich.select(*FORM, "ipos", "h").union(exact.select(*FORM, "ipos", "h")).distinct().select(*FORM, "ipos", nth.alias("nth"), "h")
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -94,41 +121,46 @@ def _bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broadcast_rows: int = 1_000_000, passage: int = 50) -> DataFrame:
     """doc_id, item_id, covered, windows and slots of pairs of docs (doc_id, text) and benchmark (item_id, text).
 
     A pair is returned where, in alignments whose slots are consistent, `share` or more of the item's windows occur in the
-    document; figures are of the first form that finds it. Items with under WINDOW tokens, or without a window of LITERALS
-    literal tokens, match nothing; nor do null or empty texts, or null ids. Repeated rows give one pair; rows of one id
-    count as one text. Other columns are ignored.
+    document, or so many windows in a row as `passage` tokens have; figures are of the first form that finds it. Windows of
+    fewer than LITERALS literal tokens don't count. Items without one that does are matched by their exact words and
+    numbers instead, however short they are. Null or empty texts and null ids match nothing. Repeated rows give one pair;
+    rows of one id count as one text. Other columns are ignored.
     """
     items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct()
     windows = written(_item_windows(items), "windows")
+    shapes = [tuple(r) for r in windows.select("form", "width").distinct().collect()] or [(RUNNING, WINDOW)]
     given = only(docs, "doc_id", "text").where("doc_id is not null and text is not null")
-    every = reduce(DataFrame.union, [given.select("doc_id", F.posexplode(_windows(_tokens(F.col("text"), form), form)).alias("dpos", "h")) for form in (RUNNING, EVERYWHERE)])
-    hits = written(every.join(_bounded(windows, broadcast_rows), "h").select("doc_id", *FORM, "dpos", "ipos").distinct(), "hits")
+    every = reduce(DataFrame.union, [given.select("doc_id", F.posexplode(_windows(_tokens(F.col("text"), form), form, width)).alias("dpos", "h")) for form, width in shapes])
+    hits = written(every.join(_bounded(windows, broadcast_rows), "h").select("doc_id", *FORM, "dpos", "ipos", "nth").distinct(), "hits")
     sizes = windows.groupBy(*FORM).agg(F.count_distinct("ipos").alias("windows"))
-    enough = lambda df: df.where(F.col("covered") >= share * F.col("windows"))
-    maybe = enough(hits.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered")).join(sizes, FORM))
+    long = F.lit(passage + 1) - F.col("width")
+    enough = lambda df, run: df.where((F.col("covered") >= share * F.col("windows")) | (F.col(run) >= long))
+    maybe = enough(hits.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered")).join(sizes, FORM), "covered")
     maybe = written(maybe.select("doc_id", *FORM), "maybe")
     # values in the slots of the pairs that are left
+    forms = sorted({form for form, _ in shapes})
+
     def slots(rows, key, name):
         ids = lambda form: maybe.where(F.col("form") == form).select(key).distinct()
         of = lambda form: _slots(rows.join(_bounded(ids(form), broadcast_rows), key).select(key, "text"), form)
-        return reduce(DataFrame.union, [of(form).select(key, F.lit(form).alias("form"), F.col("slots").alias(name)) for form in (RUNNING, EVERYWHERE)])
+        return reduce(DataFrame.union, [of(form).select(key, F.lit(form).alias("form"), F.col("slots").alias(name)) for form in forms])
 
     held = hits.join(maybe, ["doc_id", *FORM]).withColumn("shift", F.col("dpos") - F.col("ipos"))
-    runs = held.groupBy("doc_id", *FORM, "shift").agg(F.collect_set("ipos").alias("at"))
-    places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + WINDOW - 1))))
+    runs = held.groupBy("doc_id", *FORM, "shift").agg(F.collect_set("ipos").alias("at"), _longest(F.collect_set("nth")).alias("run"))
+    places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1))))
     bound = runs.join(slots(given, "doc_id", "d"), ["doc_id", "form"]).join(slots(items, "item_id", "i"), ["item_id", "form"]).select(
-        "doc_id", *FORM, "at",
+        "doc_id", *FORM, "at", "run",
         F.filter(F.transform(places, lambda p: F.struct(F.try_element_at("i", p).alias("iv"), F.try_element_at("d", p + F.col("shift")).alias("dv"))), lambda x: x["iv"].isNotNull()).alias("b"),
     )
     fits = F.size(F.array_distinct(F.transform("b", lambda x: x["iv"]))) == F.size(F.array_distinct("b"))
-    kept = bound.where(fits).select("doc_id", *FORM, "b", F.explode("at").alias("ipos"))
-    found = kept.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered"), F.max(F.size("b")).cast("long").alias("slots"))
-    first = F.min(F.struct("form", "covered", "windows", "slots")).alias("x")
-    return enough(found.join(sizes, FORM)).groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "x.covered", "x.windows", "x.slots")
+    kept = bound.where(fits).select("doc_id", *FORM, "run", "b", F.explode("at").alias("ipos"))
+    found = kept.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered"), F.max(F.size("b")).cast("long").alias("slots"), F.max("run").alias("run"))
+    first = F.min(F.struct("form", "width", "covered", "windows", "slots")).alias("x")
+    return enough(found.join(sizes, FORM), "run").groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "x.covered", "x.windows", "x.slots")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -137,7 +169,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, b
     return docs.join(_bounded(gone, broadcast_rows), "doc_id", "left_anti").select(docs.columns)
 
 
-#: The first form in DuckDB's SQL, over documents and benchmark.
+#: The first form of items of WINDOW tokens or more in DuckDB's SQL, over documents and benchmark.
 SQL = rf"""
 WITH
 texts AS (

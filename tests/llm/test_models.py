@@ -87,6 +87,18 @@ def test_changed_names_at_the_start_of_sentences_are_caught(spark):
     assert pairs(spark, changed + other, items) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_short_and_number_dense_items_are_caught(spark):
+    items = [(1, "What is the capital of France?"), (2, "12 + 7 = 19"), (3, "3.5, 4.5, 6.5, 9.5, 13.5, 18.5, 24.5, 31.5, 39.5"), (4, "Boil water slowly")]
+    docs = [(1, "Well: what is the capital of France? Paris."), (2, "so 12 + 7 = 19 it is"), (3, "Go on: 3.5, 4.5, 6.5, 9.5, 13.5, 18.5, 24.5, 31.5, 39.5 and so on"), (4, "boil water slowly"), (5, "so 12 + 8 = 20 it is"), (6, "1.5, 4.5, 6.5, 9.5, 12.5, 18.5, 24.5, 30.5, 39.5"), (7, "what is the capital"), (8, "boil the water slowly")]
+    assert pairs(spark, docs, items) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_a_long_passage_of_a_longer_item_is_caught(spark):
+    words = [f"w{'abcdefghij'[k // 100]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k % 10]}" for k in range(300)]
+    docs = [(1, "so " + " ".join(words[120:220]) + " end"), (2, "so " + " ".join(words[120:160]) + " end"), (3, " and ".join(" ".join(words[k : k + 20]) for k in range(0, 100, 20)))]
+    assert pairs(spark, docs, [(1, " ".join(words))]) == [(1, 1)]
+
+
 def test_contamination_equals_sql(spark):
     import duckdb
 
