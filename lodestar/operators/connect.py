@@ -32,6 +32,11 @@ def rare(rows: DataFrame, low: int, high: int) -> DataFrame:
     return rows.join(df.drop("_n"), ["domain", "tag"])
 
 
+def left_out(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """(domain, tag, papers) of the tags that rare() drops, so that the pairs lost with them can be looked up."""
+    return rows.groupBy("domain", "tag").agg(F.count_distinct("paper_id").alias("papers")).where(~F.col("papers").between(low, high))
+
+
 def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None, paper=None) -> DataFrame:
     """(a, b, domain_a, domain_b, shared, tags): a < b with one tag in common or more.
 

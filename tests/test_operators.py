@@ -500,3 +500,9 @@ def test_stores(spark, tmp_path):
     assert stores.endpoint("ollama", "http://h:1/") == "http://h:1/api/chat" and stores.endpoint("x", "http://h/v1") == "http://h/v1/chat/completions"
     prompts_ = spark.createDataFrame([("a", "1"), ("b", "x")], "key string, prompt string")
     assert {r.key: r.answer for r in stores.injected(prompts_, lambda t: str(int(t) + 1)).collect()} == {"a": "2", "b": None}
+
+
+def test_tags_that_the_frequency_rule_drops(spark):
+    rows = spark.createDataFrame([(k, "en", "often") for k in range(4)] + [(1, "en", "twice"), (2, "en", "twice"), (2, "en", "twice"), (3, "en", "once"), (4, "de", "twice")], "paper_id long, domain string, tag string")
+    assert sorted(map(tuple, connect.left_out(rows, 2, 3).collect())) == [("de", "twice", 1), ("en", "often", 4), ("en", "once", 1)]
+    assert {(r.domain, r.tag) for r in connect.rare(rows, 2, 3).collect()} == {("en", "twice")}
