@@ -51,7 +51,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
-SEED = 3  # words
+SEED = 3  # words; one less for templates of under SHORT words, which one other word can part into pairs
+SHORT = 6
 SCHEMA = "doc_id long, license string, coverage double, start long, end long"
 
 
@@ -111,8 +112,9 @@ class Templates:
         self.all = [(name, words_of(t)[0]) for name, ts in templates.items() for t in ts]
         self.seeds: dict[tuple, list[tuple[int, int]]] = {}
         for k, (_, w) in enumerate(self.all):
-            for p in range(len(w) - SEED + 1):
-                self.seeds.setdefault(tuple(w[p : p + SEED]), []).append((k, p))
+            size = SEED if len(w) >= SHORT else SEED - 1
+            for p in range(len(w) - size + 1):
+                self.seeds.setdefault(tuple(w[p : p + size]), []).append((k, p))
         firsts: dict[str, int] = {}
         for _, w in self.all:
             for x in set(w):
@@ -125,14 +127,15 @@ class Templates:
         known = self.vocabulary
         flags = [w in known for w in words]
         places: dict[int, list[int]] = {}
-        for k in range(len(words) - SEED + 1):
-            if flags[k] and flags[k + 1] and flags[k + 2]:
-                for t, p in self.seeds.get((words[k], words[k + 1], words[k + 2]), ()):
-                    places.setdefault(t, []).append(k - p)
+        for k in range(len(words) - SEED + 2):
+            if flags[k] and flags[k + 1]:
+                for seed in (tuple(words[k : k + SEED - 1]), tuple(words[k : k + SEED])):
+                    for t, p in self.seeds.get(seed, ()):
+                        places.setdefault(t, []).append(k - p)
         found = []
         for t, starts in places.items():
             name, template = self.all[t]
-            n, done = len(template), -1
+            n, done = len(template), -len(template)  # a notice may lack its first words
             for start in sorted(set(starts)):
                 if start <= done:
                     continue

@@ -133,6 +133,13 @@ def test_license_notices(spark):
     assert licenses.scan(data.empty(spark)).collect() == []
 
 
+def test_short_license_notices_with_another_word():
+    found = licenses.Templates(licenses.TEMPLATES).matches
+    for text in ("x. Released under a MIT License. y", "Licensed under an MIT License", "under the MIT License"):
+        assert [(m[0], m[1]) for m in found(text, 0.8)] == [("MIT", 0.8)]
+    assert found("released under review", 0.8) == found("MIT", 0.8) == found("", 0.8) == []
+
+
 def test_alignment():
     assert licenses.increasing([(0, 3), (1, 1), (2, 2), (3, 5), (4, 4)]) in ([(1, 1), (2, 2), (3, 5)], [(1, 1), (2, 2), (4, 4)])
     a, b = "a b c x d e f".split(), "a q b c d x e g f".split()
