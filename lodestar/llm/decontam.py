@@ -18,14 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
-# Placeholders (texts hold no other digits by then), patterns, units.
+# Placeholders (texts hold no other digits by then), patterns, units. Groups repeat possessively, which Java
+# does in a loop; otherwise it recurses, and long runs of numbers or names overflow the stack.
 NUMBER, NAME, UNIT = "0", "1", "2"
-NUMBERS = r"[0-9]+(?:[.,:/-][0-9]+)*"
-NAMES = r"([\p{Ll},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
-CAPITALS = r"(^|[^\p{L}])(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
+NUMBERS = r"[0-9]+(?:[.,:/-][0-9]+)*+"
+NAMES = r"([\p{Ll},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*+)"
+CAPITALS = r"(^|[^\p{L}])(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*+)"
 UNITS = r" 0 +(mm|cm|km|m|mg|kg|g|ml|l|lb|lbs|oz|ft|in|mi|mph|km/h|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|inches|feet|pounds?|dollars?|euros?|cents?|percent|degrees?)(?:[^\p{L}]|$)"
 TOKENS = r"[\p{L}0-9]+"
-WORDS = r"[0-9]+(?:[.,:/-][0-9]+)*|\p{L}+"
+WORDS = rf"{NUMBERS}|\p{{L}}+"
 RUNNING, EVERYWHERE, EXACT = 0, 1, 2  # the forms: names in running text, names everywhere, no placeholders
 FORM = ["item_id", "form", "width"]
 WINDOW = 8  # tokens; with the doubling below a power of two
@@ -78,16 +79,14 @@ def _values(text, form: int) -> list[F.Column]:
     ]
 
 
-def _slots(rows: DataFrame, form: int) -> DataFrame:
-    """rows (text and others) with slots: the value of each placeholder by the place of its token; none where all are literals."""
+def _slots(rows: DataFrame, key: str, form: int) -> DataFrame:
+    """(key, form, at, value): the value behind each placeholder in rows (key, text), by the place of its token."""
     if form == EXACT:
-        return rows.withColumn("slots", F.create_map().cast("map<int,string>"))
-    rows = rows.withColumn("_t", _tokens(F.col("text"), form))
-    for k, v in enumerate(_values(F.col("text"), form)):
-        at = F.filter(F.transform("_t", lambda t, i: F.when(t == str(k), i)), lambda i: i.isNotNull())  # noqa: B023
-        rows = rows.withColumn(f"_v{k}", F.zip_with(at, v, lambda i, x: F.struct(i.alias("at"), x.alias("value"))))
-    pairs = F.filter(F.concat("_v0", "_v1", "_v2"), lambda x: x["at"].isNotNull())
-    return rows.withColumn("slots", F.map_from_entries(pairs)).drop("_t", "_v0", "_v1", "_v2")
+        return rows.select(key, F.lit(form).alias("form"), F.lit(0).alias("at"), F.lit("").alias("value")).where("false")
+    rows = rows.select(key, _tokens(F.col("text"), form).alias("_t"), *[v.alias(f"_v{k}") for k, v in enumerate(_values(F.col("text"), form))])
+    of = lambda k: F.filter(F.transform("_t", lambda t, i: F.when(t == str(k), i)), lambda i: i.isNotNull())
+    pairs = F.concat(*[F.zip_with(of(k), f"_v{k}", lambda i, x: F.struct(i.alias("at"), x.alias("value"))) for k in range(3)])
+    return rows.select(key, F.lit(form).alias("form"), F.inline(pairs)).where("at is not null")
 
 
 def _longest(numbers) -> F.Column:
@@ -128,7 +127,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broa
     document, or so many windows in a row as `passage` tokens have; figures are of the first form that finds it. Windows of
     fewer than LITERALS literal tokens don't count. Items without one that does are matched by their exact words and
     numbers instead, however short they are. Null or empty texts and null ids match nothing. Repeated rows give one pair;
-    rows of one id count as one text. Other columns are ignored.
+    rows of one id count as one text. Of forms that find a pair with like figures the one listed first counts. A text's
+    length costs time in proportion, and no row holds more than one text. Other columns are ignored; an empty table on
+    either side gives no rows.
     """
     items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null").distinct()
     windows = written(_item_windows(items), "windows")
@@ -141,24 +142,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, broa
     enough = lambda df, run: df.where((F.col("covered") >= share * F.col("windows")) | (F.col(run) >= long))
     maybe = enough(hits.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered")).join(sizes, FORM), "covered")
     maybe = written(maybe.select("doc_id", *FORM), "maybe")
-    # values in the slots of the pairs that are left
+    # values in the slots of the pairs that are left, a row each, so that a long text costs no more than its length
     forms = sorted({form for form, _ in shapes})
 
     def slots(rows, key, name):
         ids = lambda form: maybe.where(F.col("form") == form).select(key).distinct()
-        of = lambda form: _slots(rows.join(_bounded(ids(form), broadcast_rows), key).select(key, "text"), form)
-        return reduce(DataFrame.union, [of(form).select(key, F.lit(form).alias("form"), F.col("slots").alias(name)) for form in forms])
+        of = lambda form: _slots(rows.join(_bounded(ids(form), broadcast_rows), key).select(key, "text"), key, form)
+        return reduce(DataFrame.union, map(of, forms)).withColumnRenamed("value", name)
 
+    alignment = ["doc_id", *FORM, "shift"]
     held = hits.join(maybe, ["doc_id", *FORM]).withColumn("shift", F.col("dpos") - F.col("ipos"))
-    runs = held.groupBy("doc_id", *FORM, "shift").agg(F.collect_set("ipos").alias("at"), _longest(F.collect_set("nth")).alias("run"))
+    runs = written(held.groupBy(*alignment).agg(F.collect_set("ipos").alias("at"), _longest(F.collect_set("nth")).alias("run")), "runs")
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1))))
-    bound = runs.join(slots(given, "doc_id", "d"), ["doc_id", "form"]).join(slots(items, "item_id", "i"), ["item_id", "form"]).select(
-        "doc_id", *FORM, "at", "run",
-        F.filter(F.transform(places, lambda p: F.struct(F.try_element_at("i", p).alias("iv"), F.try_element_at("d", p + F.col("shift")).alias("dv"))), lambda x: x["iv"].isNotNull()).alias("b"),
-    )
-    fits = F.size(F.array_distinct(F.transform("b", lambda x: x["iv"]))) == F.size(F.array_distinct("b"))
-    kept = bound.where(fits).select("doc_id", *FORM, "run", "b", F.explode("at").alias("ipos"))
-    found = kept.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered"), F.max(F.size("b")).cast("long").alias("slots"), F.max("run").alias("run"))
+    of_items = _bounded(written(slots(items, "item_id", "iv"), "item-slots").withColumnRenamed("at", "p"), broadcast_rows)
+    spots = runs.select(*alignment, F.explode(places).alias("p")).join(of_items, ["item_id", "form", "p"])
+    bound = spots.withColumn("at", F.col("p") + F.col("shift")).join(slots(given, "doc_id", "dv"), ["doc_id", "form", "at"], "left")
+    same = F.size(F.collect_set("iv")) == F.size(F.collect_set(F.struct("iv", "dv")))
+    checked = bound.groupBy(*alignment).agg(F.count_distinct("p").alias("slots"), same.alias("same"))
+    kept = runs.join(checked, alignment, "left").where(F.coalesce("same", F.lit(True))).select("doc_id", *FORM, "run", F.coalesce("slots", F.lit(0)).alias("slots"), F.explode("at").alias("ipos"))
+    found = kept.groupBy("doc_id", *FORM).agg(F.count_distinct("ipos").alias("covered"), F.max("slots").alias("slots"), F.max("run").alias("run"))
     first = F.min(F.struct("form", "width", "covered", "windows", "slots")).alias("x")
     return enough(found.join(sizes, FORM), "run").groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "x.covered", "x.windows", "x.slots")
 
@@ -211,4 +213,4 @@ hits AS (
 SELECT h.doc_id, h.item_id, count(DISTINCT h.ipos) AS covered, any_value(windows) AS windows, CAST(max(coalesce(n, 0)) AS BIGINT) AS slots
 FROM hits h JOIN sizes USING (item_id) LEFT JOIN slots USING (doc_id, item_id, shift) ANTI JOIN bad USING (doc_id, item_id, shift)
 GROUP BY h.doc_id, h.item_id HAVING count(DISTINCT h.ipos) >= 0.6 * any_value(windows)
-"""
+""".replace("*+", "*")

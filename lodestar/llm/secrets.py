@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-IDENTIFIER = re.compile(r"[_/+=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})[_/+=-]*)+")
+LONE = re.compile(r"(?<![a-z])[a-z](?![a-z])|(?<![A-Z])[A-Z](?![A-Za-z])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -69,6 +71,11 @@ def known(run: str) -> bool:
     return bool((len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or UUID.fullmatch(run) or not re.search("[A-Za-z]", run))
 
 
+def identifier(run: str) -> bool:
+    """Whether run is words, capitalised or not, capitals and numbers: no letter of it stands alone. Linear in its length."""
+    return not LONE.search(run) and any(map(str.isalnum, run))
+
+
 def random(run: str, ranks: str, ratio: float) -> bool:
     """Whether run has fewer characters a token than ratio, and so have the parts of an identifier.
 
@@ -77,16 +84,18 @@ def random(run: str, ranks: str, ratio: float) -> bool:
     tokens = lambda x: len(_encoding(ranks).encode_ordinary(x))
     if len(run) >= ratio * tokens(run):
         return False
-    parts = PART.findall(run) if IDENTIFIER.fullmatch(run) else []
+    parts = PART.findall(run) if identifier(run) else []
     return not parts or sum(map(len, parts)) < ratio * sum(tokens(p.lower()) for p in parts)
 
 
 def all_spans(text: str, ranks: str, ratio: float) -> tuple[list, list]:
     base = base_spans(text)
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     more = []
     for m in RUN.finditer(text):
         s, e = m.span()
-        if known(m[0]) or any(a <= s and e <= b for a, _, b in base):
+        before = bisect_right(starts, s)
+        if known(m[0]) or (before and reach[before - 1] >= e):  # within a base span
             continue
         if random(m[0], ranks, ratio):
             more.append((s, 3, e))
@@ -111,7 +120,9 @@ def scan(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> DataF
     """Counts and spans of secrets in every whole text of (doc_id, text).
 
     ratio: a run with fewer characters a token than this is random. A null text is empty: zero counts and no spans.
-    Rows stay as they are, repeated ones and null doc_ids too; other columns are ignored; an empty table gives no rows.
+    Spans of unlike kinds may overlap and are all listed; of spans with one start the kind listed first comes first. Texts
+    and runs of any length take linear time. Rows stay as they are, repeated ones and null doc_ids too; other columns are
+    ignored; an empty table gives no rows.
     """
     ranks = ranks or default_ranks()
 
@@ -131,7 +142,11 @@ def scan(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> DataF
 
 
 def redact(docs: DataFrame, ranks: str | None = None, ratio: float = 2.5) -> DataFrame:
-    """docs with every secret in text replaced by a mark, and n_chars, where there is one, made anew. Null texts stay null."""
+    """docs with every secret in text replaced by a mark, and n_chars, where there is one, made anew.
+
+    Null texts stay null, empty ones empty; overlapping spans share one mark; repeated rows and null doc_ids stay; an empty
+    table gives no rows.
+    """
     ranks, schema = ranks or default_ranks(), docs.schema
 
     def run(batches):

@@ -171,3 +171,15 @@ def test_few_or_no_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert ann.nearest(few.limit(0)).collect() == []
+
+
+def test_long_texts_of_numbers_and_names_are_decontaminated_in_linear_time(spark):
+    import time
+
+    numbers = ",".join(map(str, range(100_000)))
+    names = "the " + "Word " * 100_000
+    mixed = " ".join(f"the thing {k} costs {k + 1} euros" for k in range(33_000))
+    rows = [(1, numbers), (2, names), (3, mixed + " " + QUESTION + " " + mixed), (4, "-".join(["1"] * 100_000) + " " + QUESTION)]
+    start = time.time()
+    assert contaminated(spark, rows) == [(3, 1), (4, 1)]
+    assert time.time() - start < 60

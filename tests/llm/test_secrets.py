@@ -69,3 +69,30 @@ def test_redaction(spark):
     assert out[1].text == 'a [SECRET]" b' and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[3].text == "clean"
     assert secrets.redact(docs).schema == docs.schema
+
+
+def test_identifiers_are_those_of_a_plain_pattern():
+    plain = re.compile(r"[_/+=-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})[_/+=-]*)+")
+    r = random.Random(5)
+    for _ in range(20_000):
+        run = "".join(r.choice("aabAB0_-") for _ in range(r.randrange(9)))
+        assert secrets.identifier(run) == bool(plain.fullmatch(run)), run
+
+
+@pytest.mark.parametrize("one", ["A", "a", "0", "/", "Ab", "A0", "aB", "ab_", "+", "=", "0f"])
+def test_long_runs_take_linear_time(one):
+    import time
+
+    start = time.time()
+    secrets.all_spans("x " + one * (1_000_000 // len(one)) + "b", secrets.default_ranks(), 2.5)
+    secrets.all_spans("x " + one * (1_000_000 // len(one)) + "?", secrets.default_ranks(), 2.5)
+    assert time.time() - start < 20
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = ("token = " + "0f" * 13 + " q8Zt3LxW9vKpR2mYb7NcJ4dHs6FgT1aE ") * 20_000
+    start = time.time()
+    base, every = secrets.all_spans(text, secrets.default_ranks(), 2.5)
+    assert (len(base), len(every)) == (40_000, 60_000) and time.time() - start < 20
