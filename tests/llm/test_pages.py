@@ -82,3 +82,106 @@ def test_loser_tree():
     for k in range(9):
         runs = [sorted(r.randrange(50) for _ in range(r.randrange(20))) for _ in range(k)]
         assert list(warc.LoserTree(runs, key=lambda x: x)) == sorted(x for run in runs for x in run)
+
+
+def test_names_do_not_empty_a_page():
+    t, body = html_text.main_text, "<p>The first, quite ordinary, sentence of it.</p><p>And another one, which follows.</p>"
+    want = "The first, quite ordinary, sentence of it.\n\nAnd another one, which follows."
+    for open_, close in (
+        ('<div class="site-content no-sidebar">', "</div>"), ('<article class="post has-sidebar">', "</article>"), ('<div class="social science">', "</div>"),
+        ('<form id="aspnetForm"><div class="content-sidebar">', "</div></form>"), ('<div class="content"><section id="related-work">', "</section></div>"), ('<body class="login"><div class="promo">', "</div>"),
+    ):
+        assert t(f"<html>{open_}{body}{close}</html>") == want, open_
+    assert t(f'<div class="left-sidebar">{body}</div><article>{"<p>" + "Long enough, " * 9 + "</p>"}</article>') == ("Long enough, " * 9).strip()
+    for name in ("cookie-banner", "ad", "adSlot1", "comments-section", "related", "share-buttons", "widget-area", "newsletter signup"):
+        assert t(f'<div id="main-text">{body}</div><div class="{name}"><p>Something else, and more of it.</p></div>') == want, name
+
+
+def test_text_divided_over_siblings_is_whole():
+    parts = ["An introduction of one ordinary paragraph that says, in some words, what the longer text below is going to be about."] + ["A paragraph, with commas, and more commas, that goes on for quite some time without end, " * 3] * 3
+    page = f"<body><div class=a><p>{parts[0]}</p></div><div class=b>" + "".join(f"<p>{p}</p>" for p in parts[1:]) + "</div><div class=c><a href=x>Some links</a> <a href=y>only, nothing else</a></div></body>"
+    assert html_text.main_text(page) == "\n\n".join(p.strip() for p in parts)
+
+
+def test_awkward_pages_take_linear_time():
+    import time
+
+    start, n, t = time.time(), 100_000, html_text.main_text
+    for tag in ("div", "font", "b", "ul><li", "p", "table><tr><td", "article", "form"):
+        assert "deep, text" in t(f"<{tag}>" * n + "deep, text")
+    assert t("<b><div>" + "<font></b>" * n + "x") == "x"
+    assert t("<script>var a = '</p>';</script>" * 20_000 + "<p>x, y</p>") == "x, y"
+    assert t("İ" * 60 + "<p>before, it</p><script>a < b</script><p>after, it</p>").endswith("before, it\n\nafter, it")
+    assert t("<script>if (a<b && c) {}</script><p>kept, too</p>") == "kept, too"
+    assert t("<p>a &#65; &#0000000065; &#" + "9" * n + "; b</p>") == "a A A � b"
+    for odd in ("<p a=\"x", "<p a='\">", "<", "<!-", "</", "&", "<a b=\"'", "<x y z='"):
+        t(odd * n + ">text")
+    t("<p " + "a=b " * n + ">x</p>" + " " * 1_000_000 + "<p>" + ", " * 500_000)
+    assert time.time() - start < 60
+
+
+def test_scores_against_a_plain_recursion():
+    r = random.Random(3)
+
+    def build(depth):
+        if depth == 0 or r.random() < 0.2:
+            return "words, " * r.randrange(1, 40)
+        tag = r.choice(["div", "section", "p", "span", "a", "b", "td", "article"])
+        inner = "".join(build(depth - 1) for _ in range(r.randrange(1, 4)))
+        return f"<{tag}>{inner}</{tag}>" if tag != "p" else f"<p>{'text, ' * r.randrange(20)}</p>"
+
+    def lengths(node, linked):
+        linked, total, in_links = linked or node.tag == "a", 0, 0
+        for x in node.items:
+            n, k = (len(x.strip()), len(x.strip()) * linked) if isinstance(x, str) else lengths(x, linked)
+            total, in_links = total + n, in_links + k
+        assert (node.length, node.linked) == (total, in_links)
+        return total, in_links
+
+    def blocks(node):
+        """(text, block element) by recursion."""
+        out, run = [], []
+
+        def end(at):
+            text = " ".join("".join(run).split())
+            run.clear()
+            while at.tag not in html_text.BLOCK and at.parent is not None:
+                at = at.parent
+            if text:
+                out.append((text, at))
+
+        def walk(at):
+            for x in at.items:
+                if isinstance(x, str):
+                    run.append(x)
+                elif x.tag in html_text.BLOCK:
+                    end(at)
+                    walk(x)
+                    end(x)
+                else:
+                    walk(x)
+
+        walk(node)
+        end(node)
+        return out
+
+    def scores(node, every):
+        """Each element's points from the blocks at most four steps below where they start."""
+        got = 0.0
+        for text, at in every:
+            at = at.parent if at.tag in ("p", "td", "li") else at
+            for share in (1, 2, 6, 9, 12):
+                if at is node:
+                    got += (1 + text.count(",") + min(len(text) / 100, 3)) / share
+                at = at.parent if at is not None else None
+        return got
+
+    for _ in range(200):
+        root, nodes = html_text.parse("".join(build(6) for _ in range(3)))
+        html_text.measure(nodes)
+        lengths(root, False)
+        every = html_text.blocks_of(root)
+        assert every == blocks(root)
+        html_text.score_containers(every)
+        for node in nodes[1:]:
+            assert abs(node.score - scores(node, every)) < 1e-6
