@@ -1,4 +1,4 @@
-"""Pairs of papers that share tags: an inverted-index join, pruning with reasons, scores, report and log."""
+"""Pairs of papers that share tags: an inverted-index join in blocks, pruning with reasons, scores, report and log."""
 
 from __future__ import annotations
 
@@ -26,46 +26,58 @@ def tag_rows(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", "domain", F.explode(meaningful(F.col("tags"))).alias("tag"))
 
 
-def rare(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """Tag rows whose tag has from low to high papers in its domain; the counts are taken before any join."""
-    df = rows.groupBy("domain", "tag").agg(F.count_distinct("paper_id").alias("_n")).where(F.col("_n").between(low, high))
-    return rows.join(df.drop("_n"), ["domain", "tag"])
+def dealt(rows: DataFrame, key: list[str], block: int) -> DataFrame:
+    """Distinct rows of the tags that two papers or more have, each under the pairs of blocks (_i, _j) that its block _b is in.
 
-
-def left_out(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """(domain, tag, papers) of the tags that rare() drops, so that the pairs lost with them can be looked up."""
-    return rows.groupBy("domain", "tag").agg(F.count_distinct("paper_id").alias("papers")).where(~F.col("papers").between(low, high))
+    A tag of up to `block` papers is one block. The papers of a more frequent one are dealt to blocks by a hash, and two
+    blocks meet at a time, so no task holds a whole tag.
+    """
+    rows = rows.distinct()
+    blocks = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"), F.count(F.lit(1)).alias("_papers")).where("_papers > 1").drop("_papers")
+    rows = rows.join(blocks, key).withColumn("_b", F.pmod(F.xxhash64("paper_id"), F.col("_n")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.struct(F.least(k, F.col("_b")).alias("_i"), F.greatest(k, F.col("_b")).alias("_j")))
+    return rows.select("paper_id", "domain", "tag", "_b", F.inline(pair))
 
 
-def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None, paper=None) -> DataFrame:
-    """(a, b, domain_a, domain_b, shared, tags): a < b with one tag in common or more.
+def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None, paper=None, least: int = 1, with_tags: bool = False, block: int = 10_000) -> DataFrame:
+    """(a, b, domain_a, domain_b, shared, strong): a < b with `least` tags in common or more; strong: whether a high-signal
+    tag is among them.
 
-    scope: 'within' a domain, 'cross' two given domains (or any two), 'all'. paper: only pairs with this paper. Each tag's
-    papers meet by an equi-join; a tag of very many papers should be left out before by rare().
+    scope: 'within' a domain, 'cross' two given domains (or any two), 'all'. paper: only pairs with this paper. with_tags
+    adds the sorted tags. Every tag counts, however frequent: papers meet by an equi-join on tag and pair of blocks, and
+    only counts are kept until a pair's tags have met. Repeated rows count once.
     """
-    left = rows.select(F.col("paper_id").alias("a"), F.col("domain").alias("domain_a"), "tag")
-    right = rows.select(F.col("paper_id").alias("b"), F.col("domain").alias("domain_b"), "tag")
-    on = (left["tag"] == right["tag"]) & (F.col("a") < F.col("b"))
-    if scope == "within":
-        on &= F.col("domain_a") == F.col("domain_b")
-    elif scope == "cross":
-        on &= F.col("domain_a") != F.col("domain_b")
-        if domains:
-            on &= ((F.col("domain_a") == domains[0]) & (F.col("domain_b") == domains[1])) | ((F.col("domain_a") == domains[1]) & (F.col("domain_b") == domains[0]))
     if paper is not None:
-        one = rows.where(F.col("paper_id") == paper).select(F.col("paper_id").alias("p"), F.col("domain").alias("dp"), F.col("tag"))
+        rows = rows.distinct()
+        one = rows.where(F.col("paper_id") == paper).select(F.col("paper_id").alias("p"), F.col("domain").alias("dp"), "tag")
         other = rows.where(F.col("paper_id") != paper).select(F.col("paper_id").alias("q"), F.col("domain").alias("dq"), "tag")
-        met = one.join(other, "tag")
         first = F.col("p") < F.col("q")
-        joined = met.select("tag", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(first, F.col("dp")).otherwise(F.col("dq")).alias("domain_a"), F.when(first, F.col("dq")).otherwise(F.col("dp")).alias("domain_b"))
+        ends = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(first, F.col("dp")).otherwise(F.col("dq")).alias("domain_a"), F.when(first, F.col("dq")).otherwise(F.col("dp")).alias("domain_b")]
+        joined = one.join(other, "tag").select("tag", *ends)
     else:
-        joined = left.join(right, on).select(left["tag"], "a", "b", "domain_a", "domain_b")
-    return joined.groupBy("a", "b", "domain_a", "domain_b").agg(F.count_distinct("tag").alias("shared"), F.array_sort(F.collect_set("tag")).alias("tags"))
-
-
-def worth(similarity: Column, tags: Column, threshold: float, high_signal=HIGH_SIGNAL_TAGS, strong: int = 2) -> Column:
-    """Whether a pair is analysed: similar enough, or a strong tag, or tags enough."""
-    return (similarity >= threshold) | F.arrays_overlap(tags, F.array(*map(F.lit, high_signal))) | (F.size(tags) >= strong)
+        if scope == "cross" and domains:
+            rows = rows.where(F.col("domain").isin(*domains))
+        by = ["domain", "tag"] if scope == "within" else ["tag"]
+        every = dealt(rows, by, block)
+        left = every.select(F.col("paper_id").alias("a"), F.col("domain").alias("domain_a"), "tag", F.col("_b").alias("_ba"), "_i", "_j")
+        right = every.select(F.col("paper_id").alias("b"), F.col("domain").alias("domain_b"), F.col("tag").alias("_tag"), F.col("_b").alias("_bb"), F.col("_i").alias("_k"), F.col("_j").alias("_l"))
+        on = (F.col("tag") == F.col("_tag")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")) & (F.col("a") < F.col("b"))
+        on &= (F.col("_i") == F.col("_j")) | (F.col("_ba") != F.col("_bb"))  # two papers of one block meet where it meets itself
+        if scope == "within":
+            on &= F.col("domain_a") == F.col("domain_b")
+        elif scope == "cross":
+            on &= F.col("domain_a") != F.col("domain_b")
+        joined = left.join(right, on).select("tag", "a", "b", "domain_a", "domain_b")
+    out = [F.count(F.lit(1)).alias("shared"), F.max(F.col("tag").isin(*HIGH_SIGNAL_TAGS)).alias("strong")]
+    if with_tags:
+        out.append(F.array_sort(F.collect_list("tag")).alias("tags"))
+    found = joined.groupBy("a", "b", "domain_a", "domain_b").agg(*out)
+    return found.where(F.col("shared") >= least) if least > 1 else found
+
+
+def worth(similarity: Column, strong: Column, shared: Column, threshold: float, enough: int = 2) -> Column:
+    """Whether a pair is analysed: similar enough, or a high-signal tag, or tags enough."""
+    return (similarity >= threshold) | strong | (shared >= enough)
 
 
 def latest(events: DataFrame, key, order) -> DataFrame:

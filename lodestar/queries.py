@@ -382,33 +382,30 @@ def promote_apply(spark, sf_dir):
 
 # ---- pairs and connections ------------------------------------------------------------------------------------------
 
-LOW, HIGH = 2, 10  # papers of a tag within its domain
-
-
 def tagged(spark, sf_dir) -> DataFrame:
-    """(paper_id, domain, tag): tokens of six letters or more, in LOW to HIGH documents of the language."""
+    """(paper_id, domain, tag): tokens of six letters or more."""
     found = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"))
-    return connect.rare(connect.tag_rows(found), LOW, HIGH)
+    return connect.tag_rows(found)
 
 
-TAGGED = f"""tagged AS (SELECT doc_id AS paper_id, lang AS domain, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}'))) AS tag FROM documents),
-    rare AS (SELECT paper_id, domain, tag FROM tagged JOIN (SELECT domain, tag FROM tagged WHERE tag NOT IN ('fallback', 'ingested', 'automated', 'pdf', 'paper') GROUP BY ALL HAVING count(DISTINCT paper_id) BETWEEN {LOW} AND {HIGH}) USING (domain, tag))"""
+TAGGED = """tagged AS (SELECT DISTINCT doc_id AS paper_id, lang AS domain, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS tag FROM documents),
+    meant AS (SELECT * FROM tagged WHERE tag NOT IN ('fallback', 'ingested', 'automated', 'pdf', 'paper'))"""
 
 
 def pairs_sql(on: str) -> str:
-    return f"""{TAGGED}, pairs AS (SELECT x.paper_id AS a, y.paper_id AS b, x.domain AS domain_a, y.domain AS domain_b, count(DISTINCT x.tag) AS shared FROM rare x JOIN rare y ON x.tag = y.tag AND x.paper_id < y.paper_id AND {on} GROUP BY ALL)"""
+    return f"""{TAGGED}, pairs AS (SELECT x.paper_id AS a, y.paper_id AS b, x.domain AS domain_a, y.domain AS domain_b, count(DISTINCT x.tag) AS shared FROM meant x JOIN meant y ON x.tag = y.tag AND x.paper_id < y.paper_id AND {on} GROUP BY ALL)"""
 
 
 WITHIN = pairs_sql("x.domain = y.domain")
 
 
-def within(spark, sf_dir) -> DataFrame:
-    return connect.pairs(tagged(spark, sf_dir))
+def within(spark, sf_dir, least: int = 1) -> DataFrame:
+    return connect.pairs(tagged(spark, sf_dir), least=least)
 
 
 @query(f"WITH {WITHIN} SELECT a, b, domain_a, shared FROM pairs WHERE shared >= 2")
 def tag_pairs_within(spark, sf_dir):
-    return within(spark, sf_dir).where("shared >= 2").select("a", "b", "domain_a", "shared")
+    return within(spark, sf_dir, 2).select("a", "b", "domain_a", "shared")
 
 
 @query(f"WITH {pairs_sql('x.domain <> y.domain')} SELECT a, b, domain_a, domain_b, shared FROM pairs WHERE (domain_a = 'en' AND domain_b = 'de') OR (domain_a = 'de' AND domain_b = 'en')")
@@ -419,7 +416,7 @@ def tag_pairs_cross(spark, sf_dir):
 @query(f"WITH {pairs_sql('true')} SELECT a, b, CASE WHEN domain_a = domain_b THEN 'within' ELSE 'cross' END AS scope, shared FROM pairs WHERE shared >= 2")
 def tag_pairs_all(spark, sf_dir):
     scope = F.when(F.col("domain_a") == F.col("domain_b"), "within").otherwise("cross")
-    return connect.pairs(tagged(spark, sf_dir), "all").where("shared >= 2").select("a", "b", scope.alias("scope"), "shared")
+    return connect.pairs(tagged(spark, sf_dir), "all", least=2).select("a", "b", scope.alias("scope"), "shared")
 
 
 @query(f"WITH {pairs_sql('(x.paper_id = 3 OR y.paper_id = 3)')} SELECT a, b, domain_a, domain_b, shared FROM pairs")
@@ -429,7 +426,7 @@ def tag_pairs_one(spark, sf_dir):
 
 @query(f"WITH {WITHIN} SELECT a, b, ((a + b) % 100) / 100.0 >= 0.82 OR shared >= 2 AS analyzed FROM pairs")
 def pair_prune(spark, sf_dir):
-    return within(spark, sf_dir).select("a", "b", connect.worth((F.col("a") + F.col("b")) % 100 / 100.0, F.col("tags"), S.similarity).alias("analyzed"))
+    return within(spark, sf_dir).select("a", "b", connect.worth((F.col("a") + F.col("b")) % 100 / 100.0, F.col("strong"), F.col("shared"), S.similarity).alias("analyzed"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -462,7 +459,7 @@ JUDGED = f"""{pairs_sql('true')}, judged AS (SELECT *, CASE WHEN domain_a <> dom
 
 def labelled_pairs(spark, sf_dir) -> DataFrame:
     met = connect.pairs(tagged(spark, sf_dir), "all")
-    flags = {"skipped_analyzed": F.col("a") % 11 == 0, "skipped_similarity": ~connect.worth(F.lit(0.0), F.col("tags"), S.similarity), "missing_records": F.col("b") % 13 == 0}
+    flags = {"skipped_analyzed": F.col("a") % 11 == 0, "skipped_similarity": ~connect.worth(F.lit(0.0), F.col("strong"), F.col("shared"), S.similarity), "missing_records": F.col("b") % 13 == 0}
     # answers stand beside the pairs, so they are columns here rather than a join
     raw = numeric.confidence(F.expr(ANSWERS), "connect", 3)
     novelty = F.expr(NOVELTY)
@@ -514,7 +511,7 @@ REACH = f"""RECURSIVE {WITHIN}, e AS (SELECT a, b FROM pairs WHERE shared >= 10
 
 
 def strong_edges(spark, sf_dir) -> DataFrame:
-    return gaps.latest_edges(within(spark, sf_dir).where("shared >= 10").select("a", "b"))
+    return gaps.latest_edges(within(spark, sf_dir, 10).select("a", "b"))
 
 
 @query(f"WITH {REACH} SELECT node, component FROM c")
@@ -886,5 +883,5 @@ def connect_plan(spark, sf_dir):
     from lodestar.plans import pipelines
 
     papers = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"))
-    made = pipelines.connections(papers, library=papers.where("paper_id % 17 <> 0"), scope="within", frequency=(LOW, HIGH))
+    made = pipelines.connections(papers, library=papers.where("paper_id % 17 <> 0"), scope="within")
     return made["report"].select("candidates", "skipped_similarity", "missing_records", "kept")

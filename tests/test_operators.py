@@ -117,7 +117,7 @@ def test_pairs_and_pruning(spark):
     assert {(r.a, r.b) for r in connect.pairs(tags, "cross", ("ML", "physics")).collect()} == {("d1", "d2")}
     assert {(r.a, r.b) for r in connect.pairs(tags, "all", paper="c2").collect()} == {("c1", "c2")}
     made = connect.pairs(tags, "all")
-    worth = lambda s: {(r.a, r.b) for r in made.where(connect.worth(F.lit(s), F.col("tags"), 0.82)).collect()}
+    worth = lambda s: {(r.a, r.b) for r in made.where(connect.worth(F.lit(s), F.col("strong"), F.col("shared"), 0.82)).collect()}
     assert worth(0.0) == {("a1", "a2"), ("d1", "d2")} and worth(0.91) == set(pairs)
 
 
@@ -502,7 +502,18 @@ def test_stores(spark, tmp_path):
     assert {r.key: r.answer for r in stores.injected(prompts_, lambda t: str(int(t) + 1)).collect()} == {"a": "2", "b": None}
 
 
-def test_tags_that_the_frequency_rule_drops(spark):
-    rows = spark.createDataFrame([(k, "en", "often") for k in range(4)] + [(1, "en", "twice"), (2, "en", "twice"), (2, "en", "twice"), (3, "en", "once"), (4, "de", "twice")], "paper_id long, domain string, tag string")
-    assert sorted(map(tuple, connect.left_out(rows, 2, 3).collect())) == [("de", "twice", 1), ("en", "often", 4), ("en", "once", 1)]
-    assert {(r.domain, r.tag) for r in connect.rare(rows, 2, 3).collect()} == {("en", "twice")}
+def test_frequent_tags_meet_in_blocks(spark):
+    import itertools
+    import random
+
+    r = random.Random(1)
+    tags_of = {k: set(r.sample("abcdefgh", r.randrange(5))) | ({"hot"} if k % 3 else set()) | ({f"own{k}"} if k % 5 == 0 else set()) for k in range(60)}
+    rows = [(k, "xy"[k % 2], t) for k, ts in tags_of.items() for t in ts]
+    table = spark.createDataFrame(rows + rows[:50], "paper_id long, domain string, tag string").repartition(3)
+    want = {(a, b): sorted(tags_of[a] & tags_of[b]) for a, b in itertools.combinations(range(60), 2) if tags_of[a] & tags_of[b]}
+    for block in (1, 7, 1000):
+        got = connect.pairs(table, "all", with_tags=True, block=block).collect()
+        assert {(g.a, g.b): g.tags for g in got} == want and all(g.shared == len(g.tags) and not g.strong for g in got)
+        assert {(g.a, g.b) for g in connect.pairs(table, least=3, block=block).collect()} == {p for p, t in want.items() if len(t) >= 3 and (p[0] - p[1]) % 2 == 0}
+    assert {(g.a, g.b) for g in connect.pairs(table, "cross", ("x", "y"), block=5).collect()} == {p for p in want if (p[0] - p[1]) % 2}
+    assert connect.pairs(table.limit(0)).collect() == []
