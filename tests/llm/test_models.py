@@ -48,12 +48,82 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(data.empty(spark), toxicity.fit(data.empty(spark), labels)).collect() == []
 
 
-def test_probabilities_sum_to_one():
-    key, _ = toxicity.grams(["abc", "abd", "xa"])
-    key, n = np.unique(key, return_counts=True)
-    keys, share, heads, rest = toxicity._level(key, n.astype(float), 0.75)
-    for h, r in zip(heads, rest, strict=True):
-        assert share[keys >> 8 == h].sum() + r == pytest.approx(1)
+def kneser_ney(by_class, every, discount=0.75):
+    """log p(word | toxic) - log p(word | ordinary) by dictionaries of strings; by_class: words of ordinary and toxic rows."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    order = toxicity.ORDER
+    grams = lambda w: [("\x01" * order + w + "\x02")[k + 1 : k + 1 + order] for k in range(len(w) + 1)]
+    longer = {g for w in every for g in grams(w)}
+    lower = {}
+    for k in range(order - 1, 0, -1):
+        ends = Counter(g[1:] for g in longer)
+        lower[k], longer = ends, set(ends)
+    after = {k: defaultdict(Counter) for k in lower}
+    for k, ends in lower.items():
+        for g, n in ends.items():
+            after[k][g[:-1]][g[-1]] = n
+    toxic_heads = {g[:-1] for w in by_class[1] for g in grams(w)}
+    top = []
+    for words in by_class:
+        counts = defaultdict(Counter)
+        for w in words:
+            for g in grams(w):
+                if g[:-1] in toxic_heads:
+                    counts[g[:-1]][g[-1]] += 1
+        top.append(counts)
+
+    def mixed(counts, char, rest):
+        total = sum(counts.values())
+        if not total:
+            return rest
+        share = {c: max(n - discount, 0) / total for c, n in counts.items()}
+        return share.get(char, 0) + (1 - sum(share.values())) * rest
+
+    def p(counts, g):
+        below = 1 / 65536
+        for k in range(1, order):
+            below = mixed(after[k].get(g[-k:-1], {}) if k > 1 else after[1][""], g[-1], below)
+        return mixed(counts.get(g[:-1], {}), g[-1], below)
+
+    return lambda w: sum(log(p(top[1], g)) - log(p(top[0], g)) if g[:-1] in toxic_heads else 0.0 for g in grams(w))
+
+
+def test_probabilities_against_dictionaries(spark):
+    from collections import Counter
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(["ab", "ba", "cä", "Жя", "漢", "a"]) for _ in range(r.randrange(1, 7))).lower()
+    by_class = [[word() for _ in range(400)], [word() for _ in range(60)] + ["abbacäab" * 3] * 4]
+    every = [*by_class[0], *by_class[1], *[word() for _ in range(200)]]
+    n = [Counter(x) for x in by_class]
+    rows = [(w, n[0][w], n[1][w]) for w in set(every)]
+    counted = toxicity.gram_counts(spark.createDataFrame(rows, "word string, n0 long, n1 long").repartition(3), toxicity.contexts(list(n[1])))
+    model = toxicity.model_of(counted.toArrow(), 0.75)
+    plain, asked = kneser_ney(by_class, set(every)), [*set(every), "abx", "unseen", "漢字", "abbacäab" * 4]
+    assert model.differences(asked) == pytest.approx([plain(w) for w in asked], rel=1e-4, abs=1e-4)
+
+
+def test_scripts_stay_apart():
+    keys = [next(iter(toxicity.grams([w])))[0][-1].tolist() for w in ("привет", "приват", "γειά", "γεια", "漢字", "漢学", "\x85a")]
+    assert len({tuple(k) for k in keys}) == 7
+
+
+def test_long_words_are_worked_on_in_chunks(spark):
+    docs, labels = labelled(spark, 100)
+    model = toxicity.fit(docs, labels)
+    long = "grumble" * 200_000
+    whole = model.differences([long])[0]
+    size, toxicity.CHUNK = toxicity.CHUNK, 1000
+    try:
+        assert model.differences(["x", long, "grumpy"]) == pytest.approx([*model.differences(["x"]), whole, *model.differences(["grumpy"])])
+    finally:
+        toxicity.CHUNK = size
+    model.raws([" ".join(f"{k}{'z' * 1000}" for k in range(100_000))], limit=1 << 20)
+    assert sum(map(len, model.cache)) < 4 << 20
+    rows = data.documents(spark, [(1, long + " " + long), (2, " ".join(f"{k}{'y' * 5000}" for k in range(2000)))])
+    assert toxicity.score(rows, model).count() == 2
 
 
 QUESTION = "Yesterday the farmer called Alice Smith bought 12 apples and then sold 5 kg of pears to Bob, but later he gave 12 plums away again."
