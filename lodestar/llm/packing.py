@@ -2,13 +2,15 @@
 
 Each input partition packs its own documents in one pass: a document's full windows stand alone, and the rest of
 it goes to the fill level that leaves the smallest sum of squared counts of partially filled windows, read from an
-array of counts by level. The windows still open at the end are laid end to end and cut anew, and the last of them
-into powers of two, so that nothing is padded. No shuffle, no state beyond one partition.
+array of counts by level. At the end the fullest open windows stay as they are and are filled up with what the emptiest
+hold, which alone is cut anew; the last of it goes into powers of two, so that nothing is padded. No shuffle, no state
+beyond one partition.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ class Packer:
         self.counts = np.zeros(window + 1, np.int64)  # of windows by fill; 0 and the full level stay 0
         self.open: list[list[list]] = [[] for _ in range(window)]
         self.n_open = 0
-        self.marked: set[int] = set()
+        self.filled = 0  # windows filled up at the end
 
     def _sequence(self) -> int:
         self.next += 1
@@ -83,17 +85,33 @@ class Packer:
             offset += len(ids)
 
     def finish(self) -> Iterator[tuple]:
-        """Closes every open window: their pieces run on through full windows, the rest through powers of two."""
-        pieces = [p for level in reversed(self.open) for box in level for p in box]
+        """Closes every open window: the emptiest fill up the fullest, and the rest goes into powers of two."""
+        boxes = deque(box for level in reversed(self.open) for box in level)
         self.open = [[] for _ in range(self.window)]
         self.counts[:] = 0
         self.n_open = 0
-        left = sum(len(p[2]) for p in pieces)
+        rest: list = []  # pieces of the emptiest window, the first one last
+        while boxes:
+            box = boxes.popleft()
+            gap = self.window - sum(len(p[2]) for p in box)
+            while gap and (rest or boxes):
+                rest = rest or boxes.pop()[::-1]
+                doc, start, ids, total = rest.pop()
+                box.append((doc, start, ids[:gap], total))
+                if len(ids) > gap:
+                    rest.append((doc, start + gap, ids[gap:], total))
+                gap -= len(box[-1][2])
+            if gap:
+                rest = box[::-1]
+            else:
+                self.filled += 1
+                yield from self._closed(box)
+        left = sum(len(p[2]) for p in rest)
         room, sequence, offset = 0, 0, 0
-        for doc, start, ids, total in pieces:
+        for doc, start, ids, total in rest[::-1]:
             while len(ids):
                 if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
+                    room = 1 << (left.bit_length() - 1)
                     left -= room
                     sequence, offset = self._sequence(), 0
                 take = min(room, len(ids))
@@ -101,9 +119,11 @@ class Packer:
                 start, ids, room, offset = start + take, ids[take:], room - take, offset + take
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, with_ids: bool = False, max_open: int = 8192) -> DataFrame:
     """Pieces of every document (doc_id, text) in windows of at most `window` ids.
 
+    max_open: windows open at once in a task, which bounds its memory; beyond it they are closed as at the end, and nothing
+    is lost. Texts may be of any length.
     A null or empty text is its end id alone; a null doc_id is kept; repeated rows are packed each by itself; ties
     between levels go to the fuller; an empty table gives no pieces; other columns are ignored. sequence_id is unique
     over all partitions. with_ids adds the ids themselves as an array.
@@ -114,7 +134,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = 2048, wit
     def run(batches):
         from pyspark import TaskContext
 
-        enc, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 36)
+        enc, packer = encoder(path), Packer(window, TaskContext.get().partitionId() << 36, max_open)
 
         def table(pieces):
             rows = [(d, s, len(i), zlib.crc32(i.astype("<u4").tobytes()), t, q, o, i) for d, s, i, t, q, o in pieces]

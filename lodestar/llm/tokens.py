@@ -51,6 +51,7 @@ class Known:
         self.at: dict[str, int] = {}
         self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.ids, self.used = np.zeros(1 << 18, dtype), 0
+        self.bytes = 0  # of words and ids, about
 
     def places(self, words: list[str]) -> np.ndarray:
         """The place of each word, -1 if it is new."""
@@ -68,10 +69,11 @@ class Known:
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.at.update(zip(words, range(n, n + k), strict=True))
+        self.bytes += 120 * k + 2 * sum(map(len, words)) + ids.nbytes
         return np.arange(n, n + k)
 
     def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words by place, end to end, and their numbers."""
+        """The ids of words by place, end to end, and their numbers: fewer than 2^31, as they are of one Arrow array of texts."""
         n = self.size[places]
         end = np.cumsum(n, dtype=np.int32)
         at = np.repeat(self.start[places] - (end - n), n)
@@ -80,14 +82,17 @@ class Known:
 
 
 class Encoder:
-    def __init__(self, path: str, cache_words: int = 400_000):
+    """cache_words, cache_bytes: what a generation of known words may hold, and one slice of texts beyond; two are kept."""
+
+    def __init__(self, path: str, cache_words: int = 400_000, cache_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.vocab_size = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocab_size <= 1 << 16 else np.dtype("<u4")
-        self.limit, self.known, self.old, self.parts = cache_words, Known(self.dtype), Known(self.dtype), Known(self.dtype)
+        self.limit, self.most_bytes = cache_words, cache_bytes
+        self.known, self.old, self.parts = Known(self.dtype), Known(self.dtype), Known(self.dtype)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.pattern = self._word_pattern(spec)
@@ -139,8 +144,9 @@ class Encoder:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
         here = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known.at) > self.limit:  # the last generation stays at hand, so frequent words are kept
-            self.old, self.known, self.parts = self.known, Known(self.dtype), Known(self.dtype)
+        if len(self.known.at) > self.limit or self.known.bytes + self.parts.bytes > self.most_bytes:  # the last generation stays at hand, so frequent words are kept
+            self.old = self.known if self.known.bytes <= self.most_bytes else Known(self.dtype)
+            self.known, self.parts = Known(self.dtype), Known(self.dtype)
         places = self.known.places(here)
         new = np.flatnonzero(places < 0)
         if len(new):

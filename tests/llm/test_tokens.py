@@ -73,6 +73,12 @@ def test_no_documents(spark):
     assert packing.pack(data.empty(spark)).collect() == []
 
 
+def _starts(ids, pieces):
+    """Each id with the start of the piece of its document that holds its place."""
+    cuts = sorted({p.start for p in pieces if p.doc_tokens == len(ids)})
+    return [(max(c for c in cuts if c <= k), i) for k, i in enumerate(ids)]
+
+
 def test_packing_cuts_and_places_every_id_once(spark):
     docs = data.documents(spark).repartition(3)
     pieces = packing.pack(docs, with_ids=True).collect()
@@ -84,9 +90,11 @@ def test_packing_cuts_and_places_every_id_once(spark):
         by_sequence[p.sequence_id].append(p)
     want = defaultdict(list)
     for (d, _), ids in zip(data.awkward(), plain([t for _, t in data.awkward()]), strict=True):
-        want[d] += ids
+        want[d].append(ids)
     for d, ps in by_doc.items():
-        assert sorted(i for p in ps for i in p.ids) == sorted(want[d])
+        assert sorted((p.start, i) for p in ps for i in p.ids) == sorted((s, i) for ids in want[d] for s, i in _starts(ids, ps))
+        if len(want[d]) == 1:
+            assert [i for p in sorted(ps, key=lambda p: p.start) for i in p.ids] == want[d][0]
     assert set(by_doc) == set(want)
     for ps in by_sequence.values():
         ps.sort(key=lambda p: p.offset)
@@ -116,3 +124,42 @@ def test_placement_minimises_the_sum_of_squares():
         assert cost(packer.level_for(size)) == best
         list(packer.add(0, np.arange(size)))
         assert all(len(packer.open[h]) == packer.counts[h] for h in range(64))
+
+
+def test_open_windows_are_filled_up_from_the_emptiest():
+    import random
+
+    r = random.Random(4)
+    for n in (0, 1, 2, 5, 60, 400):
+        packer, pieces, docs = packing.Packer(64, max_open=40), [], [np.arange(r.randrange(1, 150)) + 1000 * k for k in range(n)]
+        for k, ids in enumerate(docs):
+            pieces += packer.add(k, ids)
+        before = {(p[0], p[1]) for level in packer.open for box in level for p in box}
+        end = list(packer.finish())
+        whole = {(d, s) for d, s, ids, total, _, _ in end if s + len(ids) == total}
+        assert not before or len(before & whole) >= len(before) // 2  # the fullest stay as they were placed
+        pieces += end
+        for k, ids in enumerate(docs):
+            assert np.concatenate([p[2] for p in sorted(pieces, key=lambda p: p[1]) if p[0] == k]).tolist() == ids.tolist()
+        fill = defaultdict(list)
+        for p in pieces:
+            fill[p[4]].append((p[5], len(p[2])))
+        for parts in fill.values():
+            parts.sort()
+            assert [o for o, _ in parts] == np.concatenate([[0], np.cumsum([m for _, m in parts])[:-1]]).tolist()
+            assert (size := sum(m for _, m in parts)) == 64 or (size & (size - 1) == 0)
+        assert sum(sum(m for _, m in parts) != 64 for parts in fill.values()) <= 6 * (1 + n // 20)
+
+
+def test_long_words_do_not_pile_up():
+    import pyarrow as pa
+
+    enc = Encoder(default_vocabulary(), cache_bytes=4 << 20)
+    for k in range(60):
+        words = [chr(97 + k % 26) * 9_000 + str(j) + "q" * 9_000 for j in range(k, k + 40)]
+        enc.encode(pa.array([" ".join(words)], pa.string()))
+        assert enc.known.bytes + enc.old.bytes + enc.parts.bytes < 24 << 20
+    many = pa.array([" ".join(f"{'xyz' * 30}{k}w" for k in range(a, a + 10_000)) for a in range(0, 100_000, 10_000)], pa.string())
+    for k in range(len(many)):
+        enc.encode(many.slice(k, 1))
+    assert enc.known.bytes + enc.old.bytes < 24 << 20
