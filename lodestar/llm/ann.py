@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, written
+from .common import only, tidy, written
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 
@@ -71,99 +71,133 @@ def usable(rows: DataFrame) -> DataFrame:
     return given.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(fine & F.exists("embedding", lambda x: x != 0))
 
 
-def build(rows: DataFrame, sample: int = 8192, books: int = 16, words: int = 256, beam: int = 4) -> tuple[DataFrame, np.ndarray] | None:
-    """The index (vec_id, embedding, code, norm) of every usable row, as a written table, and its codebooks.
+def _matrices(column: pa.Array):
+    """(length, places, matrix) of the vectors of a list column, by their lengths."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat, first = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        yield d, at, flat[first[at][:, None] + np.arange(d)]
 
-    sample: vectors at most that the codebooks are learnt on, taken by a hash of vec_id. Vectors of another length than
-    the most frequent one (ties: the longer) take no part.
+
+def build(rows: DataFrame, sample: int = 8192, books: int = 16, words: int = 256, beam: int = 4) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The index (vec_id, embedding, dims, code, norm) of every usable row, as a written table, and codebooks by length.
+
+    sample: vectors of a length at most (about) that its codebooks are learnt on, taken by a hash of vec_id. The driver
+    holds one sample and one set of codebooks a length.
     """
-    fine = usable(rows)
-    sizes = fine.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if sizes is None:
-        return None
-    dims, n = sizes["d"], sizes["count"]
-    fine = fine.where(F.size("embedding") == dims)
-    share = min(1.0, sample / n)
-    taken = fine.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * share)).select("vec_id", "embedding").toArrow().sort_by("vec_id")
-    if not taken.num_rows:
-        taken = fine.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(n, 256)).toArrow()
-    x = np.array(taken["embedding"].to_pylist(), np.float64)
-    learnt = train(x, books, words)
+    fine = usable(rows).withColumn("dims", F.size("embedding"))
+    learnt: dict[int, np.ndarray] = {}
+    for r in fine.groupBy("dims").agg(F.approx_count_distinct("vec_id").alias("n")).orderBy("dims").collect():
+        of, low = fine.where(F.col("dims") == r["dims"]).select("vec_id", "embedding"), int(1_000_000 * min(1.0, sample / max(r["n"], 1)))
+        taken = of.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < low).dropDuplicates(["vec_id"]).toArrow().sort_by("vec_id")
+        if not taken.num_rows:
+            taken = of.orderBy(F.xxhash64("vec_id"), "vec_id").limit(words).toArrow()
+        learnt[r["dims"]] = train(np.array(taken["embedding"].to_pylist(), np.float64), books, words)
     codebooks = rows.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                code, norm = encode(np.array(part.column(1).to_pylist(), np.float64), codebooks.value, beam)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm, pa.float32())], ["vec_id", "embedding", "code", "norm"])
-
-    index = written(fine.mapInArrow(run, "vec_id long, embedding array<double>, code binary, norm float"), "ann-index")
-    return index, learnt
-
-
-def search(index: DataFrame, codebooks: np.ndarray, queries: DataFrame, k: int = 10, least: int = 200, share: float = 0.05, block: int = 2048) -> DataFrame:
-    """The k nearest of each query (vec_id, embedding) among all other rows of the index.
-
-    Queries go in blocks of about `block`, which bounds what is broadcast and what the driver holds; every block meets all
-    rows. Of each chunk of rows the best by tables are ranked anew exactly: `share` of them, `least` at least.
+                codes, norms = [b""] * len(part), np.zeros(len(part), np.float32)
+                for d, places, x in _matrices(part.column(1)):
+                    code, norms[places] = encode(x, codebooks.value[d], beam)
+                    for k, c in zip(places.tolist(), code, strict=True):
+                        codes[k] = c.tobytes()
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(codes, pa.binary()), pa.array(norms)], ["vec_id", "embedding", "dims", "code", "norm"])
+
+    return written(fine.mapInArrow(run, "vec_id long, embedding array<double>, dims int, code binary, norm float"), "ann-index"), learnt
+
+
+def best_by_tables(q: np.ndarray, books: np.ndarray, vec: np.ndarray, code: np.ndarray, norm: np.ndarray, most: int):
+    """(query, place) of the `most` rows nearest to each query by table scores, with the scores; ties to the smaller vec_id.
+    vec is in order."""
+    for a in range(0, len(q), 32):
+        tables = np.einsum("qd,mwd->mqw", q[a : a + 32].astype(np.float32), books)
+        score = np.broadcast_to(norm, (tables.shape[1], len(vec))).copy()
+        for m in range(len(books)):
+            score -= 2 * tables[m][:, code[:, m]]
+        last = np.partition(score, most - 1, axis=1)[:, most - 1] if most < len(vec) else np.full(len(score), np.inf)
+        for i, s in enumerate(score):
+            below = np.flatnonzero(s < last[i])
+            near = np.concatenate([below, np.flatnonzero(s == last[i])[: max(0, most - len(below))]])
+            yield a + i, near, s[near]
+
+
+def _spread(most: int, least_blocks: int) -> F.Column:
+    """The number of blocks of about `most` rows for n rows; up to least_blocks smaller ones where there are few."""
+    n = F.col("n")
+    return F.greatest(F.ceil(n / most), F.least(F.lit(least_blocks), F.ceil(n / 1024))).cast("int")
+
+
+def candidates(index: DataFrame, codebooks: dict[int, np.ndarray], queries: DataFrame, most: int, rows_a_block: int = 1 << 16, queries_a_block: int = 1024) -> DataFrame:
+    """query_id, vec_id: the `most` rows of the whole index that are nearest by table scores to each query, itself left out.
+
+    Blocks of codes meet blocks of queries of the same length in a join: a block of codes stays in its task, and a block of
+    queries goes once to each. A task keeps `most` a query and block before any shuffle.
     """
     spark = index.sparkSession
-    blocks = max(1, -(-queries.count() // block))
-    queries = queries.withColumn("_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        got = queries.where(F.col("_b") == b).select("vec_id", "embedding").distinct().toArrow().sort_by("vec_id")
-        if not got.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), np.array(got["embedding"].to_pylist(), np.float64), codebooks))
-
-        def run(batches, shared=shared):
-            ids, q, books = shared.value
-            tables = np.einsum("qd,mwd->mqw", q.astype(np.float32), books)
-            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)  # distances and vec_ids so far
-            for batch in batches:
-                for at in range(0, len(batch), 4096):
-                    part = batch.slice(at, 4096)
-                    vec, x = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), np.float64)
-                    code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(vec), -1)
-                    norm = part.column(3).to_numpy()
-                    r = min(len(vec), max(least, k, int(share * len(vec))))
-                    for a in range(0, len(ids), 64):
-                        s = np.broadcast_to(norm, (len(ids[a : a + 64]), len(vec))).copy()
-                        for m in range(len(books)):
-                            s -= 2 * tables[m][a : a + 64][:, code[:, m]]
-                        top = np.argpartition(s, r - 1, axis=1)[:, :r] if r < len(vec) else np.broadcast_to(np.arange(len(vec)), s.shape)
-                        for i in range(len(s)):
-                            near = top[i]
-                            near = near[vec[near] != ids[a + i]]
-                            d = np.sqrt(((x[near] - q[a + i]) ** 2).sum(1))
-                            keep = np.lexsort((vec[near], d))[:k]
-                            d, v = np.concatenate([best[a + i][0], d[keep]]), np.concatenate([best[a + i][1], vec[near][keep]])
-                            o = np.lexsort((v, d))[:k]
-                            best[a + i] = (d[o], v[o])
-            n = [len(d) for d, _ in best]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([v for _, v in best]), pa.int64()), pa.array(np.concatenate([d for d, _ in best]), pa.float64())], ["query_id", "vec_id", "score"]
-            )
-
-        part = index.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], RESULT)
+    shared = spark.sparkContext.broadcast(codebooks)
+    few = spark.sparkContext.defaultParallelism
+    codes = index.groupBy("dims", "vec_id", "code").agg(F.first("norm").alias("norm"))  # repeated rows go before the blocks
+    counts = index.groupBy("dims").agg(F.count(F.lit(1)).alias("n"))
+    blocks = written(counts.select("dims", _spread(rows_a_block, few).alias("blocks")), "blocks")  # a row a length
+    codes = codes.join(F.broadcast(blocks), "dims").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")).cast("int"))
+    codes = codes.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "code", "norm")).alias("c"))
+    asked = queries.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / queries_a_block).cast("int").alias("parts"))
+    parts = queries.join(F.broadcast(asked), "dims").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.col("parts")).cast("int"))
+    parts = parts.groupBy("dims", "part").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
+    parts = parts.join(F.broadcast(blocks), "dims").select("dims", "q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def run(batches):
+        for batch in batches:
+            for dims, asked_, rows in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ids, q = asked_.values.field(0).to_numpy(), np.array(asked_.values.field(1).to_pylist(), np.float64)
+                vec = rows.values.field(0).to_numpy()
+                order = np.argsort(vec, kind="stable")
+                code = np.frombuffer(b"".join(rows.values.field(1).to_pylist()), np.uint8).reshape(len(vec), -1)[order]
+                norm, vec = rows.values.field(2).to_numpy()[order], vec[order]
+                for k, near, score in best_by_tables(q, shared.value[dims], vec, code, norm, min(len(vec), most + 1)):
+                    other = vec[near] != ids[k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(other.sum()), ids[k])), pa.array(vec[near][other]), pa.array(score[other])], ["query_id", "vec_id", "near"])
+
+    met = parts.join(codes, ["dims", "block"]).select("dims", "q", "c").mapInArrow(tidy(run), "query_id long, vec_id long, near float")
+    by = Window.partitionBy("query_id").orderBy("near", "vec_id")
+    return met.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).select("query_id", "vec_id").distinct()
+
+
+def search(index: DataFrame, codebooks: dict[int, np.ndarray], queries: DataFrame, k: int = 10, most: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The k nearest of each query (vec_id, embedding, dims) among all other rows of the index: of the `most` nearest by
+    table scores over the whole index, ranked anew on the original vectors. That is `most` exact distances a query, however
+    large the index."""
+    queries = queries.select("vec_id", "embedding", "dims").distinct()
+    found = written(candidates(index, codebooks, queries, max(most, k)), "candidates")
+    wanted = found.select("vec_id").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted  # else the join shuffles
+    vectors = index.join(wanted, "vec_id", "left_semi").select("vec_id", F.col("embedding").alias("x"), "dims").distinct()
+
+    def run(batches):
+        for batch in batches:
+            score = np.zeros(len(batch))
+            for (_, at, q), (_, _, x) in zip(_matrices(batch.column(2)), _matrices(batch.column(3)), strict=True):
+                score[at] = np.sqrt(((x - q) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "dims")
+    pairs = found.join(vectors, "vec_id").join(asked, ["query_id", "dims"]).select("query_id", "vec_id", "q", "x")
+    scored = pairs.mapInArrow(tidy(run), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def nearest(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """The k nearest (all, if fewer) of each row of rows (vec_id, embedding) whose vec_id `every` divides, nearest first.
 
-    Nearness is the Euclidean distance, ties to the smaller vec_id; a query's own vec_id is no candidate. Null, zero and
-    non-finite vectors, null vec_ids and vectors of another length take no part; repeated rows count once; other columns
-    are ignored; an empty table gives no rows.
+    Nearness is the Euclidean distance, ties to the smaller vec_id; a query's own vec_id is no candidate. Vectors of unlike
+    lengths have no distance: each length is searched by itself. Null, empty, zero and non-finite vectors and null vec_ids
+    take no part; repeated rows count once; of several vectors of one vec_id the nearest pair counts; other columns are
+    ignored; an empty table gives no rows.
     """
-    built = build(rows)
-    if built is None:
-        return rows.sparkSession.createDataFrame([], RESULT)
-    index, codebooks = built
+    index, codebooks = build(rows)
     return search(index, codebooks, index.where(F.col("vec_id") % every == 0), k)

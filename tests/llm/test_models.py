@@ -292,6 +292,29 @@ def test_neighbours_against_brute_force(spark):
     assert hit >= 0.9 * 300
 
 
+def test_lengths_copies_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(300)] + [(1000 + k, rng.normal(size=5).tolist()) for k in range(40)]
+    rows += [(k, [1.0] * 8) for k in range(400, 1000)]  # more copies than are ranked anew
+    rows += [(400, [1.0] * 8)] * 500 + [(200, [9.0] * 8)]  # one row many times; another vector of one id
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    index, books = ann.build(table)
+    got = {}
+    for g in ann.search(index, books, index.where("vec_id % 100 = 0"), most=64).collect():
+        got.setdefault(g.query_id, []).append((g.rank, g.score, g.vec_id))
+    of = {}
+    for v, x in rows:
+        of.setdefault(v, []).append(np.array(x))
+    for q in (0, 100, 200, 400, 500, 900, 1000):
+        d = {v: min(float(np.sqrt(((a - b) ** 2).sum())) for a in xs for b in of[q]) for v, xs in of.items() if v != q and len(xs[0]) == len(of[q][0])}
+        want = sorted((s, v) for v, s in d.items())[:10]
+        mine = [(s, v) for _, s, v in sorted(got[q])]
+        if q in (400, 500, 900, 1000):
+            assert [v for _, v in mine] == [v for _, v in want], q
+        assert len(mine) == 10 and all(abs(d[v] - s) < 1e-12 for s, v in mine)
+    assert ann.candidates(index, books, index.where("vec_id = 0").select("vec_id", "embedding", "dims"), 64, rows_a_block=100).count() == 64
+
+
 def test_few_or_no_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
