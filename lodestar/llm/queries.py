@@ -6,14 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import ann, decontam, html_text, licenses, neardup, packing, secrets, token_file, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):
@@ -79,8 +76,6 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    import corpus_pipeline  # at the top of the repository; without SQL, as its stages have none
 
-
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus_pipeline.run(spark, sf_dir)
