@@ -96,3 +96,15 @@ def gap_line(gap: Column) -> Column:
 
 def connection_line(kind: Column, description: Column, score: Column) -> Column:
     return F.concat_ws(" | ", kind, description, F.concat(F.lit("score "), score.cast("string")))
+
+
+def extraction(title: Column, body: Column, equations: Column, version: int = 1, errors: Column | None = None, most: int = 18_000, anchors: int = 8) -> Column:
+    """The prompt that asks for a paper's record: the first `most` characters of its text, `anchors` equations, and the
+    errors of a former answer, if there are any."""
+    lines = F.transform(F.slice(equations, 1, anchors), lambda e: F.concat(F.lit("- "), F.coalesce(e["label"], F.lit("equation")), F.lit(": "), F.coalesce(e["expression"], F.lit(""))))
+    hint = F.when(F.size(equations) > 0, F.concat(F.lit("\n\nLines that look like equations:\n"), F.array_join(lines, "\n"))).otherwise("")
+    asked = F.concat(
+        F.lit("Give a structured record of this research paper.\n\nTitle: "), F.coalesce(title, F.lit("")), F.lit(f"\n\nSchema version: {version}\n\nAnswer with JSON. State claims so precisely that they could be wrong."),
+        hint, F.lit("\n\nText:\n"), F.substring(F.coalesce(body, F.lit("")), 1, most),
+    )
+    return asked if errors is None else F.concat(asked, F.when(F.size(errors) > 0, F.concat(F.lit("\n\nValidation errors:\n- "), F.array_join(errors, "\n- "))).otherwise(""))

@@ -86,9 +86,12 @@ def tags(title: Column, x: Column, terms=None, most: int = 12) -> Column:
     return F.slice(F.array_distinct(F.concat(lits(BASE_TAGS), F.transform(F.filter(pairs, lambda p: F.contains(low, p["k"])), lambda p: p["v"]))), 1, most)
 
 
+NUMBERED = r"^\d+(?:\.\d+)*+\s+.+"  # the group repeats possessively, which takes a loop and no stack
+
+
 def is_header(line: Column) -> Column:
     """A numbered line, or a short one in capitals."""
-    return F.rlike(line, F.lit(r"^\d+(\.\d+)*\s+.+")) | capital_header(line)
+    return F.rlike(line, F.lit(NUMBERED)) | capital_header(line)
 
 
 def capital_header(line: Column) -> Column:
@@ -96,7 +99,7 @@ def capital_header(line: Column) -> Column:
 
 
 def header_title(line: Column) -> Column:
-    return F.when(F.rlike(line, F.lit(r"^\d+(\.\d+)*\s+.+")), line).otherwise(F.initcap(line))
+    return F.when(F.rlike(line, F.lit(NUMBERED)), line).otherwise(F.initcap(line))
 
 
 def year(x: Column) -> Column:
@@ -190,3 +193,13 @@ def paper_type(tag_list: Column, has_methods: Column) -> Column:
     out = F.when(F.contains(text, F.lit("review")), "review").when(F.contains(text, F.lit("textbook")), "textbook").when(F.contains(text, F.lit("monograph")), "monograph")
     out = out.when(F.contains(text, F.lit("essay")) | F.contains(text, F.lit("philosophy")), "essay").when(F.contains(text, F.lit("lecture")), "lecture_notes")
     return out.when(has_methods, "paper").otherwise("commentary")
+
+
+def index_papers(line: Column) -> Column:
+    """The papers that a line of a notes index names after 'papers:', up to the next bar."""
+    return F.filter(F.transform(F.split(F.regexp_extract(line, r"papers:([^|]+)", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def stamp(when: Column) -> Column:
+    """A time as ISO 8601 in UTC with a Z, to the second; the session's time zone is UTC, and the time is given."""
+    return F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric, text
@@ -24,27 +24,50 @@ def rule_rows(spark: SparkSession, rules: dict | None = None) -> DataFrame:
     return made.withColumn("token", text.normalized(F.col("cue")))
 
 
-def scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, domain, domain_pos, score, cues) of docs (doc_id, text); cues: the first four names.
+def _scored(body: Column, rules: DataFrame, most: int = 20_000) -> Column:
+    """Domains with a hit in a text, best first: structs of minus the score, domain_pos, domain, cues (the first four).
 
-    The rule table is a constant of the program, so its broadcast has a known size; no shuffle precedes the sum.
+    The rules become a constant of the plan, so no join and no shuffle is needed; a table of over `most` rules is refused.
     """
-    padded = docs.select("doc_id", F.concat(F.lit(" "), text.normalized(F.col("text")), F.lit(" ")).alias("_p"))
-    hits = padded.join(F.broadcast(rules), F.contains(F.col("_p"), F.concat(F.lit(" "), F.col("token"), F.lit(" "))))
-    grouped = hits.groupBy("doc_id", "domain", "domain_pos").agg(F.sum("weight").alias("score"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "cue"))), 1, 4).alias("_c"))
-    return grouped.select("doc_id", "domain", "domain_pos", "score", F.array_join(F.transform("_c", lambda c: c["cue"]), ", ").alias("cues"))
+    known = rules.select("domain", "domain_pos", "pos", "cue", "token", "weight").limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"over {most} rules")
+    domains = sorted({(r["domain_pos"], r["domain"]) for r in known})
+    rule = lambda r: F.struct(F.lit(r["domain_pos"]).alias("d"), F.lit(r["pos"]).alias("pos"), F.lit(r["cue"]).alias("cue"), F.lit(f" {r['token']} ").alias("token"), F.lit(float(r["weight"])).alias("weight"))
+    every = F.array(*[rule(r) for r in sorted(known, key=lambda r: (r["domain_pos"], r["pos"]))])
+    if not known:
+        return F.array().cast("array<struct<less:double,domain_pos:int,domain:string,cues:string>>")
+
+    def of(found):
+        def one(d):
+            mine = F.filter(found, lambda r: r["d"] == d["domain_pos"])
+            score = F.aggregate(mine, F.lit(0.0), lambda x, r: x + r["weight"])
+            cues = F.array_join(F.transform(F.slice(F.array_sort(F.transform(mine, lambda r: F.struct(r["pos"].alias("pos"), r["cue"].alias("cue")))), 1, 4), lambda r: r["cue"]), ", ")
+            return F.struct((-score).alias("less"), d["domain_pos"].alias("domain_pos"), d["domain"].alias("domain"), cues.alias("cues"))
+
+        named = F.array(*[F.struct(F.lit(p).alias("domain_pos"), F.lit(d).alias("domain")) for p, d in domains])
+        return F.array_sort(F.transform(F.filter(named, lambda d: F.exists(found, lambda r: r["d"] == d["domain_pos"])), one))
+
+    # each step names the one before it once, through a lambda, so that a text is normalised and searched once
+    hits = F.transform(F.array(F.concat(F.lit(" "), text.normalized(body), F.lit(" "))), lambda p: F.filter(every, lambda r: F.contains(p, r["token"])))
+    return F.get(F.transform(hits, of), 0)
+
+
+def scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, domain, domain_pos, score, cues) of docs (doc_id, text); cues: the first four names."""
+    rows = docs.select("doc_id", F.explode(_scored(F.col("text"), rules)).alias("x"))
+    return rows.select("doc_id", "x.domain", "x.domain_pos", (-F.col("x.less")).alias("score"), "x.cues")
 
 
 def classified(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, domain, confidence, score, margin, cues) of every document; those under 0.60 are unclassified."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "domain_pos")
-    two = scores(docs, rules).withColumn("_r", F.row_number().over(w)).withColumn("_s", F.lead("score").over(w)).where("_r = 1")
-    out = docs.select("doc_id").join(two, "doc_id", "left")
-    conf = numeric.domain_confidence(F.col("score"), F.col("_s"))
-    return out.select(
+    """(doc_id, domain, confidence, score, margin, cues) of every row of docs (doc_id, text), in one projection; those under
+    0.60 are unclassified. A null or empty text has no hits; repeated rows stay; an empty table gives no rows."""
+    rows = docs.select("doc_id", _scored(F.col("text"), rules).alias("_x"))
+    rows = rows.select("doc_id", F.get("_x", 0).alias("a"), F.get("_x", 1).alias("b")).select("doc_id", F.col("a.domain").alias("domain"), F.col("a.cues").alias("cues"), (-F.col("a.less")).alias("score"), (-F.col("b.less")).alias("_s"))
+    return rows.select(
         "doc_id",
         F.when(F.col("score") >= 0.60, F.col("domain")).otherwise("unclassified").alias("domain"),
-        conf.alias("confidence"),
+        numeric.domain_confidence(F.col("score"), F.col("_s")).alias("confidence"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
         (F.coalesce("score", F.lit(0.0)) - F.coalesce("_s", F.lit(0.0))).alias("margin"),
         F.coalesce("cues", F.lit("")).alias("cues"),

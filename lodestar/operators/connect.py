@@ -137,3 +137,8 @@ def visible(a: Column, b: Column, cites_a: Column, cites_b: Column) -> Column:
 def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws("::", F.least(a, b), F.greatest(a, b))
 
+
+def hidden(connections: DataFrame) -> DataFrame:
+    """One row: how many connections (visible), and how many of them extraction alone doesn't show."""
+    seen = F.count_if(F.col("visible"))
+    return connections.agg(F.count(F.lit(1)).alias("connections"), seen.alias("visible"), F.greatest(F.lit(0), F.count(F.lit(1)) - seen).alias("hidden"))

@@ -138,6 +138,66 @@ def migrated_gaps(gaps: Column) -> Column:
     )
 
 
+def versions(target: int | None = None, **each: int | None) -> dict[str, int]:
+    """The version to migrate each kind to: the known ones, then one for all, then those named."""
+    known = {"library": 1, "expansion": 2, "connection": 1, "hypothesis": 1}
+    unknown = set(each) - set(known)
+    if unknown:
+        raise ValueError(f"no such kind: {sorted(unknown)}")
+    return {k: each[k] if each.get(k) is not None else target if target is not None else v for k, v in known.items()}
+
+
+def _truth(x: Column) -> Column:
+    """yes/y/true/1 and no/n/false/0 as booleans; else null."""
+    return F.when(x.isin("yes", "y", "true", "1"), True).when(x.isin("no", "n", "false", "0"), False)
+
+
+def migrated_hypotheses(rows: DataFrame, version: int = 1) -> DataFrame:
+    """Hypotheses under their new names: cluster_id from id, paper_ids from papers or paper_id and distinct, a known status,
+    novelty and gaps with their defaults. Scalars may be texts; columns that are absent count as null."""
+    have = dict(rows.dtypes)
+    col = lambda n, t: F.col(n).cast(t) if n in have else F.lit(None).cast(t)
+    s, many = lambda n: col(n, "string"), lambda n: col(n, "array<string>")
+    papers = F.coalesce(many("paper_ids"), many("papers"), F.when(s("paper_id").isNotNull(), F.array(s("paper_id"))), F.array().cast("array<string>"))
+    status = F.replace(F.lower(F.trim(s("status"))), F.lit(" "), F.lit("_"))
+    novelty = s("novelty")
+    inner = {f.name for f in rows.schema["gaps"].dataType.elementType.fields} if "gaps" in have else set()
+    of = lambda g, n, t="string": g[n].cast(t) if n in inner else F.lit(None).cast(t)
+    kind = rows.schema["gaps"].dataType.elementType if "gaps" in have else None
+    single = lambda g: F.when(of(g, "supporting_paper").isNotNull(), F.array(of(g, "supporting_paper"))) if "supporting_paper" in inner and kind["supporting_paper"].dataType.typeName() == "string" else of(g, "supporting_paper", "array<string>")
+    gap = lambda g, i: F.struct(
+        F.coalesce(of(g, "gap_type"), F.lit("unexplored_question")).alias("gap_type"), of(g, "description").alias("description"),
+        numeric.confidence(of(g, "confidence"), "migrate", 3).alias("confidence"), numeric.confidence(of(g, "feasibility"), "migrate", 3).alias("feasibility"),
+        F.coalesce(_truth(of(g, "novelty")), F.lit(True)).alias("novelty"),
+        F.coalesce(of(g, "supporting_papers", "array<string>"), single(g), F.array().cast("array<string>")).alias("supporting_papers"), F.coalesce(of(g, "rank", "int"), i + 1).alias("rank"),
+    )
+    return rows.select(
+        F.lit(version).alias("schema_version"), F.coalesce(F.nullif(s("cluster_id"), F.lit("")), s("id")).alias("cluster_id"),
+        F.array_distinct(F.filter(papers, lambda p: p.isNotNull())).alias("paper_ids"), s("summary").alias("summary"),
+        F.when(status.isin("pending_review", "investigate", "accepted", "rejected"), status).otherwise("pending_review").alias("status"),
+        F.coalesce(_truth(novelty), F.when(novelty.isNull(), True).otherwise(novelty != "")).alias("novelty"),
+        *([F.transform("gaps", gap).alias("gaps")] if kind else []),
+    )
+
+
+def migration_report(before: DataFrame, after: DataFrame, key: str, dry_run: bool = True) -> DataFrame:
+    """(key, action, notes): what a migration does to each row, by comparing rows; notes name the columns that differ."""
+    shared = [c for c in after.columns if c != key]
+    as_text = lambda df, p: df.select(key, *[(F.to_json(F.struct(F.col(c).alias("x"))) if c in df.columns else F.lit(None).cast("string")).alias(f"{p}{c}") for c in shared])
+    both = as_text(before, "_b_").join(as_text(after, "_a_"), key)
+    differ = F.filter(F.array(*[F.when(~F.col(f"_b_{c}").eqNullSafe(F.col(f"_a_{c}")), F.lit(c)) for c in shared]), lambda x: x.isNotNull())
+    return both.select(key, F.when(F.size(differ) == 0, "unchanged").otherwise("would_update" if dry_run else "updated").alias("action"), differ.alias("notes"))
+
+
+def migration_totals(report: DataFrame) -> DataFrame:
+    return report.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("action") != "unchanged").alias("changed"))
+
+
+def validation_totals(checked: DataFrame) -> DataFrame:
+    """One row of rows (errors): how many were looked at, and how many failed."""
+    return checked.agg(F.count(F.lit(1)).alias("validated"), F.count_if(F.size("errors") > 0).alias("failed"))
+
+
 def changed(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Keys whose rows differ, by comparing the rows rather than by flags."""
     b = before.select(key, F.to_json(F.struct(*sorted(before.columns))).alias("_b"))

@@ -63,3 +63,25 @@ def envelope(kind: str, key: Column, path: Column, summary: Column, fields: list
 def best_connection(connections: DataFrame, key: str) -> DataFrame:
     """By key the connection of most confidence, ties to the later path."""
     return connections.groupBy(key).agg(F.max_by("path", F.struct("confidence", "path")).alias("path"), F.max("confidence").alias("confidence"))
+
+
+def three_signals(prior: DataFrame, hypotheses: DataFrame, connections: DataFrame, most: int = 3) -> DataFrame:
+    """The signals of each prior-art record: its own, its hypothesis's and the best connection's of its cluster; three.
+
+    prior (cluster_id, path, decision, status, confidence, claim, rationale, reframe, finding), hypotheses (cluster_id, path,
+    summary, status, confidence, gap_description, gap_evidence, gap_confidence), connections (cluster_id, path, a, b,
+    description, evidence_a, evidence_b, status, confidence). A cluster without all three has none.
+    """
+    if most != 3:
+        raise ValueError("an export holds exactly 3 signals")
+    whole = prior.select("cluster_id").distinct().join(hypotheses.select("cluster_id").distinct(), "cluster_id").join(connections.select("cluster_id").distinct(), "cluster_id")
+    c, text_or = F.col, lambda *xs: F.coalesce(*[F.nullif(text.collapse(x), F.lit("")) for x in xs])
+    key = c("cluster_id").cast("string")
+    best = connections.join(whole, "cluster_id").groupBy("cluster_id").agg(F.max_by(F.struct(*[x for x in connections.columns if x != "cluster_id"]), F.struct(c("confidence").try_cast("int"), "path")).alias("x")).select("cluster_id", "x.*")
+    between = F.concat(F.lit("Connection candidate between "), F.coalesce(c("a").cast("string"), F.lit("paper-a")), F.lit(" and "), F.coalesce(c("b").cast("string"), F.lit("paper-b")), F.lit("."))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    of_connection = best.select("cluster_id", *envelope("connection_candidate", stem, c("path"), text_or(c("description"), between), [("description", c("description")), ("evidence_a", c("evidence_a")), ("evidence_b", c("evidence_b"))], c("status"), c("confidence").cast("string"), "inferred"))
+    of_hypothesis = hypotheses.join(whole, "cluster_id").select("cluster_id", *envelope("hypothesis_candidate", key, c("path"), text_or(c("summary"), c("gap_description"), key), [("summary", c("summary")), ("gaps[0].supporting_evidence", c("gap_evidence")), ("gaps[0].description", c("gap_description"))], c("status"), F.coalesce(c("gap_confidence"), c("confidence")).cast("string"), "speculative"))
+    said = F.concat(F.lit("Prior-art result for "), key, F.lit("."))
+    of_prior = prior.join(whole, "cluster_id").select("cluster_id", *envelope("prior_art_seed", key, c("path"), text_or(c("reframe"), c("claim"), said), [("assessment.rationale", c("rationale")), ("assessment.recommended_reframe", c("reframe")), ("sources[0].finding", c("finding"))], text_or(c("decision"), c("status")), c("confidence").cast("string"), "speculative"))
+    return of_connection.unionByName(of_hypothesis).unionByName(of_prior)

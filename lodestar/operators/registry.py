@@ -59,3 +59,11 @@ def promoted(hypotheses: DataFrame, decisions: DataFrame, papers: DataFrame) ->
     members = done.where("_to is not null").select(F.explode("paper_ids").alias("paper_id")).distinct().withColumn("_t", F.lit(True))
     out = papers.join(members, "paper_id", "left").withColumn("triaged", F.coalesce("_t", "triaged")).drop("_t")
     return done.withColumn("status", F.coalesce("_to", "status")).drop("_to"), out
+
+
+def flagged(papers: DataFrame, keys: DataFrame, flag: str, key: str = "paper_id") -> DataFrame:
+    """papers with a flag (connected, detected, drafted or triaged) set for the given keys; others keep theirs, unknown keys
+    are ignored, and a repeated key sets it once."""
+    given = keys.select(key).distinct().withColumn("_f", F.lit(True))
+    had = F.col(flag) if flag in papers.columns else F.lit(False)
+    return papers.join(given, key, "left").withColumn(flag, F.coalesce(F.col("_f"), had, F.lit(False))).drop("_f")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions import text
+from lodestar.functions import prompts, text
+from lodestar.operators import gaps as gaps_
 
 SEVERITY = {"pass": 0, "warn": 1, "fail": 2}
 
@@ -83,3 +84,32 @@ def drafts(hypotheses: DataFrame, date: Column) -> DataFrame:
     body = F.concat(F.lit("## Title\n"), title, F.lit("\n\n## Context\n"), F.coalesce("summary", F.lit("No summary available.")), F.lit("\n\n## The Gap\n"), F.col("description"), F.lit("\n\n## Proposed Direction\n"), F.col("approach"), F.lit("\n\n## Open Questions\n- Feasibility is unverified.\n- Evidence strength remains candidate-level.\n\n## References\n"), refs, F.lit("\n"))
     file = F.concat(text.slug(F.col("cluster_id"), "draft"), F.lit(".md"))
     return hypotheses.select("cluster_id", file.alias("file"), F.concat(front, body).alias("markdown"), F.concat(F.lit("- "), date, F.lit(" | "), file, F.lit(" | gap:"), F.col("cluster_id"), F.lit(" | papers:"), F.array_join(F.col("papers"), ","), F.lit("\n")).alias("index_line"))
+
+
+def triage(hypotheses: DataFrame, evidence: DataFrame, connections: DataFrame, stamp: Column) -> DataFrame:
+    """One packet a hypothesis (cluster_id, status, summary, novelty, paper_ids, gaps) for a human decision.
+
+    evidence: rows of pipelines.evidence (cluster_id, paper_id, in_library, the buckets, connections); connections (a, b,
+    connection_type, score). Nothing is searched outside: the checklist says what is still to be done.
+    """
+    rows = [c for c in evidence.columns if c != "cluster_id"]
+    buckets = [c for c in rows if c not in ("paper_id", "in_library", "connections")]
+    expanded = sum((F.coalesce(F.col(b), F.lit(0)) for b in buckets), F.lit(0)) > 0
+    table = evidence.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("paper_id", *[c for c in rows if c != "paper_id"]))).alias("evidence_table"), F.count_if(expanded).alias("exhaustion_count"))
+    members = hypotheses.select("cluster_id", F.explode("paper_ids").alias("p"))
+    inside = connections.join(members.select("cluster_id", F.col("p").alias("a")), "a").join(members.select("cluster_id", F.col("p").alias("b")), ["cluster_id", "b"])
+    inside = inside.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "connection_type", "score"))).alias("connections"))
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    checklist = F.struct(
+        F.coalesce(F.col("novelty"), F.lit(False)).alias("cluster_novelty_claim"), F.lit("not_run").alias("prior_art_search"), F.lit("not_implemented").alias("citation_overlap_check"),
+        F.lit(True).alias("required_before_promotion"), F.lit("This packet searches no literature; it records what is to be checked before a promotion.").alias("notes"),
+    )
+    ranked = "rank" in hypotheses.schema["gaps"].dataType.elementType.names
+    ordered = gaps_.by_rank(F.col("gaps")) if ranked else F.col("gaps")
+    packed = hypotheses.join(table, "cluster_id", "left").join(inside, "cluster_id", "left")
+    return packed.select(
+        F.lit(1).alias("schema_version"), F.lit("triage").alias("artifact_type"), "cluster_id", F.lit("pending_review").alias("status"), stamp.alias("generated_at"),
+        F.coalesce("status", F.lit("unknown")).alias("hypothesis_status"), F.coalesce("summary", F.lit("")).alias("summary"), "paper_ids", n("paper_ids").alias("paper_count"),
+        n("connections").alias("connection_count"), F.coalesce("exhaustion_count", F.lit(0)).alias("exhaustion_count"), ordered.alias("candidate_gaps"), "evidence_table", "connections",
+        checklist.alias("novelty_checklist"), F.array(*map(F.lit, ["accepted", "rejected", "needs_prior_art"])).alias("decision_options"), prompts.linked_paths(F.col("cluster_id")).alias("linked_artifacts"),
+    )

@@ -189,10 +189,10 @@ def approach_specific(spark, sf_dir):
 @query(
     r"""SELECT doc_id, regexp_extract(text, '(?is)\babstract\b[:\s-]*(.+?)(?:\b(?:introduction|keywords|references)\b|$)', 1) AS abstract, array_to_string(list_filter(list_transform(string_split(
     regexp_extract(text, '(?s)\n(?i:references)\n(.*)$', 1), chr(10)), lambda s: trim(s, ' ')), lambda s: s <> ''), '|') AS refs FROM (
-    SELECT doc_id, 'Abstract: ' || replace(text[1:300], chr(10), ' ') || ' Introduction ' || source || chr(10) || 'References' || chr(10) || lang || chr(10) || source AS text FROM documents)"""
+    SELECT doc_id, 'Abstract: ' || replace(text, chr(10), ' ') || ' Introduction ' || source || chr(10) || 'References' || chr(10) || lang || chr(10) || source AS text FROM documents)"""
 )
 def abstract_references(spark, sf_dir):
-    made = F.concat(F.lit("Abstract: "), F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")), F.lit(" Introduction "), "source", F.lit("\nReferences\n"), "lang", F.lit("\n"), "source")
+    made = F.concat(F.lit("Abstract: "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" Introduction "), "source", F.lit("\nReferences\n"), "lang", F.lit("\n"), "source")
     refs = text.references(made)
     return docs(spark, sf_dir).select("doc_id", F.regexp_extract(made, text.ABSTRACT, 1).alias("abstract"), F.array_join(F.slice(refs, 2, 1000), "|").alias("refs"))
 
@@ -573,9 +573,16 @@ def item_budget(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", expand.budget(F.floor(F.col("n_chars") / 3000), (F.col("doc_id") % 6).cast("int")).cast("long").alias("budget"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE n AS (SELECT paper, vec_id, v, sqrt(list_dot_product(v, v)) AS size, row_number() OVER (PARTITION BY paper ORDER BY vec_id) AS k FROM {_PAPERS}),
+    u AS (SELECT paper, vec_id, k, list_transform(v, lambda x: CASE WHEN size > 0 THEN x / size ELSE x END) AS v FROM n),
+    f AS (SELECT paper, k, vec_id, CAST(0 AS DOUBLE) AS score, [v] AS kept FROM u WHERE k = 1
+      UNION ALL SELECT paper, k, vec_id, score, CASE WHEN score < 0.2 THEN list_append(kept, v) ELSE kept END FROM (
+        SELECT u.paper, u.k, u.vec_id, u.v, f.kept, coalesce(list_max(list_transform(f.kept, lambda x: list_dot_product(x, u.v))), 0) AS score FROM f JOIN u ON u.paper = f.paper AND u.k = f.k + 1))
+    SELECT paper AS paper_id, vec_id AS seq, round(score, 4) AS score, score >= 0.2 AS redundant FROM f"""
+)
 def expansion_fold(spark, sf_dir):
-    """Each vector against the accepted ones of its group of ten before it; tested against a plain fold."""
+    """Each vector against the accepted ones of its group of ten before it."""
     items = paper_items(spark, sf_dir).select(F.col("paper").cast("long").alias("paper_id"), F.col("item_id").alias("seq"), "vec")
     return expand.fold(items, 0.2).select("paper_id", "seq", F.round("score", 4).alias("score"), "redundant")
 
@@ -688,24 +695,24 @@ def evidence_rollup(spark, sf_dir):
 
 
 @query(
-    f"""SELECT doc_id, 'Test whether ' || lower(text[1:60]) AS hypothesis, CASE WHEN lang = 'en' THEN 'Methods of ' || source || ', ' || lang || ' run unchanged.' ELSE 'Simple untreated control.' END AS baseline,
+    f"""SELECT doc_id, 'Test whether ' || lower(text) AS hypothesis, CASE WHEN lang = 'en' THEN 'Methods of ' || source || ', ' || lang || ' run unchanged.' ELSE 'Simple untreated control.' END AS baseline,
     CASE WHEN length(text) >= 80 AND len(list_filter({sql_list(text.VERBS)}, lambda v: contains(lower(text), v))) > 0 THEN 'pilot_ready' ELSE 'needs_detail' END AS readiness FROM documents"""
 )
 def experiment_outline(spark, sf_dir):
     papers = F.when(F.col("lang") == "en", F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
-    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("cluster_id"), F.substring("text", 1, 60).alias("description"), F.col("text").alias("suggested_approach"), papers.alias("supporting_papers"))
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("cluster_id"), F.col("text").alias("description"), F.col("text").alias("suggested_approach"), papers.alias("supporting_papers"))
     return review.experiments(rows).select(F.col("cluster_id").alias("doc_id"), "hypothesis", "baseline", "readiness")
 
 
 @query(
     r"""SELECT doc_id, file, sha256(markdown) AS markdown, index_line FROM (SELECT doc_id, c || '.md' AS file, '- 2026-01-01 | ' || c || '.md | gap:' || k || ' | papers:' || source || ',' || lang || chr(10) AS index_line,
     '---' || chr(10) || 'gap_id: ' || k || chr(10) || 'title: Working note: ' || k || chr(10) || 'date: 2026-01-01' || chr(10) || 'status: pending_review' || chr(10) || 'papers: [' || source || ', ' || lang || ']' || chr(10) || '---' || chr(10) || chr(10) ||
-    '## Title' || chr(10) || 'Working note: ' || k || chr(10) || chr(10) || '## Context' || chr(10) || text[1:100] || chr(10) || chr(10) || '## The Gap' || chr(10) || lang || chr(10) || chr(10) || '## Proposed Direction' || chr(10) || source || chr(10) || chr(10) ||
+    '## Title' || chr(10) || 'Working note: ' || k || chr(10) || chr(10) || '## Context' || chr(10) || text || chr(10) || chr(10) || '## The Gap' || chr(10) || lang || chr(10) || chr(10) || '## Proposed Direction' || chr(10) || source || chr(10) || chr(10) ||
     '## Open Questions' || chr(10) || '- Feasibility is unverified.' || chr(10) || '- Evidence strength remains candidate-level.' || chr(10) || chr(10) || '## References' || chr(10) || source || ', ' || lang || chr(10) AS markdown
     FROM (SELECT *, 'cluster_' || doc_id AS k, 'cluster-' || doc_id AS c FROM documents))"""
 )
 def draft_notes(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("cluster_"), F.col("doc_id").cast("string")).alias("cluster_id"), F.substring("text", 1, 100).alias("summary"), F.col("lang").alias("description"), F.col("source").alias("approach"), F.array("source", "lang").alias("papers"))
+    rows = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("cluster_"), F.col("doc_id").cast("string")).alias("cluster_id"), F.col("text").alias("summary"), F.col("lang").alias("description"), F.col("source").alias("approach"), F.array("source", "lang").alias("papers"))
     made = review.drafts(rows, F.lit("2026-01-01"))
     return made.select(F.regexp_extract("cluster_id", "([0-9]+)$", 1).cast("long").alias("doc_id"), "file", F.sha2(F.col("markdown").cast("binary"), 256).alias("markdown"), "index_line")
 
@@ -885,3 +892,106 @@ def connect_plan(spark, sf_dir):
     papers = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"))
     made = pipelines.connections(papers, library=papers.where("paper_id % 17 <> 0"), scope="within")
     return made["report"].select("candidates", "skipped_similarity", "missing_records", "kept")
+
+
+# ---- evidence, packets, flags, migrations by the library's own plans --------------------------------------------------
+
+_CLUSTERS = f"""h AS (SELECT DISTINCT doc_id // 5 AS c, doc_id FROM documents), e AS (SELECT user_id, count_if(b = 'derivations') AS d, count_if(b = 'experiments') AS x FROM (SELECT user_id, {_BUCKET} AS b FROM events) GROUP BY user_id),
+    n AS (SELECT x.doc_id AS a, y.doc_id AS b FROM h x JOIN h y ON y.doc_id = x.doc_id + 1 AND x.c = y.c WHERE x.doc_id % 3 = 0)"""
+
+
+def stand_ins(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Hypotheses of five neighbouring documents each, labels as the library, events as expansion items, and every third
+    document connected with the next."""
+    d = docs(spark, sf_dir).select("doc_id").distinct()
+    hyps = d.groupBy(F.floor(F.col("doc_id") / 5).alias("cluster_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("paper_ids"))
+    library = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"))
+    items = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.expr(_BUCKET).alias("bucket"))
+    return hyps, library, items, d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+
+
+@query(
+    f"""WITH {_CLUSTERS} SELECT h.c AS cluster_id, h.doc_id AS paper_id, h.doc_id IN (SELECT doc_id FROM labels) AS in_library, coalesce(e.d, 0) AS derivations, coalesce(e.x, 0) AS experiments,
+    (SELECT count(*) FROM n WHERE n.a = h.doc_id OR n.b = h.doc_id) AS connections FROM h LEFT JOIN e ON e.user_id = h.doc_id"""
+)
+def evidence_table(spark, sf_dir):
+    from lodestar.plans import pipelines
+
+    return pipelines.evidence(*stand_ins(spark, sf_dir)).select("cluster_id", "paper_id", "in_library", "derivations", "experiments", "connections")
+
+
+@query(
+    f"""WITH {_CLUSTERS} SELECT h.c AS cluster_id, count(*) AS paper_count, (SELECT count(*) FROM n WHERE n.a // 5 = h.c) AS connection_count, count_if(h.doc_id IN (SELECT user_id FROM events)) AS exhaustion_count,
+    'unknown' AS hypothesis_status, 'accepted,rejected,needs_prior_art' AS decision_options FROM h GROUP BY h.c"""
+)
+def triage_packets(spark, sf_dir):
+    from lodestar.plans import pipelines
+
+    hyps, library, items, edges = stand_ins(spark, sf_dir)
+    gap = F.array().cast("array<struct<rank:int,description:string>>")
+    hyps = hyps.withColumn("status", F.lit(None).cast("string")).withColumn("summary", F.lit("")).withColumn("novelty", F.lit(True)).withColumn("gaps", gap)
+    edges = edges.withColumn("connection_type", F.lit("x")).withColumn("score", F.lit(1.0))
+    made = review.triage(hyps, pipelines.evidence(hyps, library, items, edges), edges, F.lit("2026-01-01"))
+    return made.select("cluster_id", F.col("paper_count").cast("long").alias("paper_count"), F.col("connection_count").cast("long").alias("connection_count"), "exhaustion_count", "hypothesis_status", F.array_join("decision_options", ",").alias("decision_options"))
+
+
+@query(
+    f"""WITH {LINKS_SQL}, p AS (SELECT a.c AS ca, b.c AS cb FROM cites a JOIN cites b ON b.page_id = a.page_id + 1), v AS (SELECT list_contains(ca, coalesce(cb[1], '')) OR list_contains(cb, coalesce(ca[1], '')) AS visible FROM p)
+    SELECT count(*) AS connections, count_if(visible) AS visible, count(*) - count_if(visible) AS hidden FROM v"""
+)
+def hidden_connections(spark, sf_dir):
+    return connect.hidden(citation_visible(spark, sf_dir))
+
+
+@query("SELECT doc_id AS paper_id, doc_id % 4 = 0 OR doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS connected FROM documents")
+def flag_connected(spark, sf_dir):
+    papers = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), (F.col("doc_id") % 4 == 0).alias("connected"))
+    return registry.flagged(papers, table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("paper_id")), "connected").select("paper_id", "connected")
+
+
+@query(
+    """SELECT 'c' || doc_id AS cluster_id, CASE WHEN source = lang THEN source ELSE source || ',' || lang END AS papers, CASE doc_id % 3 WHEN 0 THEN 'accepted' ELSE 'pending_review' END AS status,
+    CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false ELSE true END AS novelty, CASE WHEN doc_id % 2 = 0 THEN '7,2' ELSE '1,2' END AS ranks, 'unexplored_question' AS gap_type FROM documents"""
+)
+def migrate_hypotheses(spark, sf_dir):
+    status = F.when(F.col("doc_id") % 3 == 0, " Accepted ").when(F.col("doc_id") % 3 == 1, "in review")
+    novelty = F.when(F.col("doc_id") % 5 == 0, "yes").when(F.col("doc_id") % 5 == 1, "n").when(F.col("doc_id") % 5 == 2, "").when(F.col("doc_id") % 5 == 3, "some")
+    gap = lambda rank: F.struct(F.lit("d").alias("description"), F.lit("high").alias("confidence"), rank.cast("int").alias("rank"), F.col("source").alias("supporting_paper"))
+    rows = docs(spark, sf_dir).select(F.concat(F.lit("c"), "doc_id").alias("id"), F.array("source", "lang", "source").alias("papers"), status.alias("status"), novelty.alias("novelty"), F.array(gap(F.when(F.col("doc_id") % 2 == 0, 7)), gap(F.lit(None))).alias("gaps"))
+    made = contracts.migrated_hypotheses(rows)
+    return made.select("cluster_id", F.array_join("paper_ids", ",").alias("papers"), "status", "novelty", F.array_join(F.transform("gaps", lambda g: g["rank"].cast("string")), ",").alias("ranks"), F.get("gaps", 0)["gap_type"].alias("gap_type"))
+
+
+@query("SELECT count(*) AS processed, count_if(doc_id % 2 <> 0 OR doc_id % 7 = 0) AS changed FROM documents")
+def migration_totals(spark, sf_dir):
+    before = docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).alias("schema_version"), F.when(F.col("doc_id") % 7 != 0, 2000).alias("year"))
+    return contracts.migration_totals(contracts.migration_report(before, contracts.migrated_library(before), "doc_id"))
+
+
+@query("SELECT count(*) AS validated, count_if(n_chars > 1000 OR lang = 'es') AS failed FROM documents")
+def validation_totals(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("n_chars", "lang")
+    checked = rows.withColumn("errors", contracts.errors(rows, {"n_chars": {"type": "integer", "maximum": 1000}, "lang": {"type": "string", "enum": ["en", "de", "fr"]}}))
+    return contracts.validation_totals(checked)
+
+
+@query("SELECT doc_id, source || ';' || lang AS papers FROM documents")
+def index_papers(spark, sf_dir):
+    line = F.concat(F.lit("- 2026-01-01 | x.md | gap:"), F.col("doc_id").cast("string"), F.lit(" | papers: "), "source", F.lit(", ,"), "lang", F.lit(" | end"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(text.index_papers(line), ";").alias("papers"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), cut AS (SELECT *, CASE WHEN length(t) > 500 THEN rtrim(t[1:497]) || '...' ELSE t END AS s FROM d)
+    SELECT 'connection_candidate:b' || doc_id AS signal_id, source AS summary, 5 AS confidence, 1 AS n_evidence FROM cut UNION ALL SELECT 'hypothesis_candidate:' || doc_id, CASE WHEN s = '' THEN CAST(doc_id AS VARCHAR) ELSE s END, 4, CASE WHEN s = '' THEN 1 ELSE 1 END FROM cut
+    UNION ALL SELECT 'prior_art_seed:' || doc_id, 'Prior-art result for ' || doc_id || '.', 3, 2 FROM cut"""
+)
+def signals_three(spark, sf_dir):
+    """Labelled documents stand for prior-art records; every document is a hypothesis with two connections."""
+    d, key = docs(spark, sf_dir), F.col("doc_id").cast("string")
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    prior = table(spark, sf_dir, "labels").select("doc_id").distinct().select(F.col("doc_id").alias("cluster_id"), F.concat(F.lit("prior/"), key).alias("path"), F.lit("investigate").alias("decision"), F.lit("x").alias("rationale"), F.lit("found").alias("finding"), *none("status", "confidence", "claim", "reframe"))
+    hyps = d.select(F.col("doc_id").alias("cluster_id"), F.concat(F.lit("h/"), key).alias("path"), F.col("text").alias("summary"), F.lit(4).alias("confidence"), *none("status", "gap_description", "gap_evidence", "gap_confidence"))
+    edge = lambda kind, conf: d.select(F.col("doc_id").alias("cluster_id"), F.concat(F.lit(f"c/{kind}"), key, F.lit(".yaml")).alias("path"), F.lit("p").alias("a"), F.lit("q").alias("b"), F.col("source").alias("description"), F.lit(conf).alias("confidence"), *none("evidence_a", "evidence_b", "status"))
+    made = prior_art.three_signals(prior, hyps, edge("a", "4").unionByName(edge("b", "5")))
+    return made.select("signal_id", "summary", "confidence", F.size("evidence").alias("n_evidence"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from lodestar.functions import text
 
@@ -70,6 +71,20 @@ def documents(spark: SparkSession, path: str, backend=None) -> DataFrame:
     return files.mapInPandas(run, DOCUMENT)
 
 
+def pdftotext(content: bytes, command: tuple = ("pdftotext", "-layout", "-", "-"), timeout: int = 20) -> tuple[list[str], bool]:
+    """(pages, encrypted) of a PDF by an outside program that reads it and writes its text, as a back end for documents();
+    one that is absent, fails or takes too long gives no pages."""
+    import subprocess
+
+    try:
+        done = subprocess.run(command, input=content, capture_output=True, timeout=timeout, check=False)
+    except (OSError, subprocess.TimeoutExpired):
+        return [], False
+    if done.returncode:
+        return [], b"ncorrect password" in done.stderr
+    return done.stdout.decode("utf-8", "replace").rstrip("\f").split("\f"), False
+
+
 def usable(docs: DataFrame) -> DataFrame:
     return docs.where("not encrypted and not image_only")
 
@@ -93,11 +108,11 @@ def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
 
 
 def store(spark: SparkSession, path: str) -> DataFrame:
-    """A vector store; a missing or damaged one is empty."""
+    """A vector store; a missing one is empty, and so is what a damaged one holds in files that can't be read."""
     schema = "item_id string, paper_id string, text string, vec array<float>"
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001
+        return spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(path)
+    except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
