@@ -106,7 +106,7 @@ def test_probabilities_against_dictionaries(spark):
 
 
 def test_scripts_stay_apart():
-    keys = [next(iter(toxicity.grams([w])))[0][-1].tolist() for w in ("привет", "приват", "γειά", "γεια", "漢字", "漢学", "\x85a")]
+    keys = [made.key(next(made.chunks())).tolist() for made in map(toxicity.Grams, ([w] for w in ("привет", "приват", "γειά", "γεια", "漢字", "漢学", "\x85a")))]
     assert len({tuple(k) for k in keys}) == 7
 
 
