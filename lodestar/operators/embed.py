@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric
@@ -82,10 +82,20 @@ def norm_topk(store: DataFrame, k: int) -> DataFrame:
     return store.withColumn("norm", F.sqrt(numeric.dot(F.col("vec"), F.col("vec")))).orderBy(F.desc("norm"), "item_id").limit(k)
 
 
-def means(store: DataFrame, group: str, most: int | None = None, order: str = "item_id") -> DataFrame:
-    """(group, pos, mean): by group the mean vector, of its first `most` items where given; a partial sum leaves each task."""
+def item_order(item_id: Column) -> Column:
+    """The place of an item among a paper's: claims before methods before techniques, each by its number."""
+    kind = F.when(F.rlike(item_id, F.lit("_claim_[0-9]+$")), 0).when(F.rlike(item_id, F.lit("_method_[0-9]+$")), 1).otherwise(2)
+    return F.struct(kind.alias("kind"), F.regexp_extract(item_id, "_([0-9]+)$", 1).try_cast("long").alias("number"), item_id.alias("item_id"))
+
+
+def means(store: DataFrame, group: str, most: int | None = None, order: Column | str | None = None) -> DataFrame:
+    """(group, pos, mean): by group the mean vector, of its first `most` items where given; a partial sum leaves each task.
+
+    Items go by item_order where their ids are texts, else by item_id.
+    """
     if most:
-        store = store.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_r") <= most)
+        by = order if order is not None else item_order(F.col("item_id")) if dict(store.dtypes)["item_id"] == "string" else "item_id"
+        store = store.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(by))).where(F.col("_r") <= most)
     return store.select(group, F.posexplode("vec").alias("pos", "x")).groupBy(group, "pos").agg(F.avg("x").alias("mean"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.config import Settings
-from lodestar.functions import links, numeric, text
+from lodestar.functions import links, numeric, prompts, text
 from lodestar.operators import audit, classify, connect, contracts, embed, expand, gaps, prior_art, registry, review
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -995,3 +995,173 @@ def signals_three(spark, sf_dir):
     edge = lambda kind, conf: d.select(F.col("doc_id").alias("cluster_id"), F.concat(F.lit(f"c/{kind}"), key, F.lit(".yaml")).alias("path"), F.lit("p").alias("a"), F.lit("q").alias("b"), F.col("source").alias("description"), F.lit(conf).alias("confidence"), *none("evidence_a", "evidence_b", "status"))
     made = prior_art.three_signals(prior, hyps, edge("a", "4").unionByName(edge("b", "5")))
     return made.select("signal_id", "summary", "confidence", F.size("evidence").alias("n_evidence"))
+
+
+# ---- names, paths, labels, gates ----------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, least(source, lang) || '::' || greatest(source, lang) AS pair, regexp_replace('cluster_' || source || '_12', '^cluster_|_[0-9]+$', '', 'g') AS stem, 'triage/k' || doc_id || '.yaml' AS triage, CASE WHEN doc_id % 2 = 0 THEN 'library/' || source ELSE '/other/' || source END AS path FROM documents")
+def paths_and_keys(spark, sf_dir):
+    key = F.col("doc_id").cast("string")
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "/root/x/library/").otherwise("/other/"), "source")
+    return docs(spark, sf_dir).select(
+        "doc_id", connect.pair_key(F.col("source"), F.col("lang")).alias("pair"), text.connection_stem(F.concat(F.lit("cluster_"), "source", F.lit("_12"))).alias("stem"),
+        F.element_at(prompts.linked_paths(F.concat(F.lit("k"), key)), F.lit("triage")).alias("triage"), prompts.relative(path, "/root/x/").alias("path"),
+    )
+
+
+@query(
+    """SELECT doc_id, 'Depth ' || doc_id % 6 || ' mode, with emphasis on ' || CASE WHEN doc_id % 6 >= 4 THEN 'include cross-domain speculative links and transfer opportunities' ELSE 'prioritize directly supported, high-evidence inferences' END || '.' AS strategy,
+    doc_id % 6 < 5 AND doc_id % 4 <= doc_id % 6 AS deeper, CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'unclassified' END AS domain, 'a_' || substr(sha1(source), 1, 6) || '.pdf' AS taken, 'a.pdf' AS free FROM documents"""
+)
+def strategy_and_names(spark, sf_dir):
+    from lodestar.sources import writers
+
+    depth, name = (F.col("doc_id") % 6).cast("int"), F.lit("a.pdf")
+    return docs(spark, sf_dir).select(
+        "doc_id", prompts.strategy(depth).alias("strategy"), expand.deeper(depth, F.col("doc_id") % 4).alias("deeper"), classify.final_domain(F.lit(" "), F.col("lang"), ("en", "de")).alias("domain"),
+        writers.intake_name(name, F.lit(True), F.col("source")).alias("taken"), writers.intake_name(name, F.lit(False), F.col("source")).alias("free"),
+    )
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'review' WHEN 1 THEN 'textbook' WHEN 2 THEN 'essay' WHEN 3 THEN 'lecture_notes' WHEN 4 THEN 'paper' ELSE 'commentary' END AS kind,
+    coalesce(trim(list_filter(string_split(replace(text, ' the ', ' we study '), chr(10))[1:60], lambda s: length(trim(s)) > 30 AND (contains(lower(s), 'this paper') OR contains(lower(s), 'we present') OR contains(lower(s), 'we study')))[1]), '') AS abstract FROM documents"""
+)
+def paper_kinds(spark, sf_dir):
+    tag = F.element_at(F.array(*map(F.lit, ["A Review", "textbook", "philosophy", "lecture", "x", "x"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    said = F.replace("text", F.lit(" the "), F.lit(" we study "))
+    return docs(spark, sf_dir).select("doc_id", text.paper_type(F.array(tag, "lang"), F.col("doc_id") % 6 == 4).alias("kind"), F.coalesce(text.abstract_like(said), F.lit("")).alias("abstract"))
+
+
+@query(
+    """WITH e AS (SELECT x.doc_id AS a, y.doc_id AS b, x.lang AS domain_a, y.lang AS domain_b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1)
+    SELECT 'cross' AS scope, a, b FROM e WHERE (domain_a, domain_b) IN (('en', 'de'), ('de', 'en')) UNION ALL SELECT 'fr', a, b FROM e WHERE domain_a = 'fr' AND domain_b = 'fr' UNION ALL SELECT 'all', a, b FROM e"""
+)
+def edges_in_scope(spark, sf_dir):
+    x = docs(spark, sf_dir).select(F.col("doc_id").alias("a"), F.col("lang").alias("domain_a"), (F.col("doc_id") + 1).alias("b"))
+    e = x.join(docs(spark, sf_dir).select(F.col("doc_id").alias("b"), F.col("lang").alias("domain_b")), "b")
+    named = lambda n, df: df.select(F.lit(n).alias("scope"), "a", "b")
+    return named("cross", gaps.in_scope(e, cross=("en", "de"))).unionByName(named("fr", gaps.in_scope(e, "fr"))).unionByName(named("all", gaps.in_scope(e)))
+
+
+@query(
+    """WITH g AS (SELECT o_custkey AS k, o_orderkey AS pos, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END AS rank FROM orders)
+    SELECT k, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY coalesce(rank, 999), pos) AS by_rank, coalesce(arg_min(pos, coalesce(rank, 999) * 100000000000 + pos) FILTER (rank = 2), arg_min(pos, coalesce(rank, 999) * 100000000000 + pos)) AS second FROM g GROUP BY k"""
+)
+def gaps_by_rank(spark, sf_dir):
+    rank = F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 5).cast("int"))
+    g = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("pos"), rank.alias("rank")))).alias("g"))
+    listed = F.array_join(F.transform(gaps.by_rank(F.col("g")), lambda x: x["pos"].cast("string")), ",")
+    return g.select("k", listed.alias("by_rank"), gaps.gap_at(F.col("g"), 2)["pos"].alias("second"))
+
+
+@query(
+    """WITH h AS (SELECT doc_id, list_distinct(list_filter([trim(source), trim(lang), CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END, lang], lambda v: trim(v) <> '')) AS ids FROM documents)
+    SELECT doc_id, CASE WHEN len(ids) >= 3 THEN array_to_string(list_sort(ids), ',') END AS ids, source LIKE 'src1%' OR lang = 'en' AS allowed FROM h JOIN documents USING (doc_id)"""
+)
+def given_clusters(spark, sf_dir):
+    ids = gaps.override(F.array("source", F.concat(F.lit(" "), "lang"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise(" "), "lang"))
+    allowed = audit.path_allowed(F.concat("lang", F.lit("/"), "source"), ["en/"]) | audit.path_allowed(F.col("source"), ["src1"])
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(ids), ",").alias("ids"), allowed.alias("allowed"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 2 END AS nodes, CASE event_id % 4 WHEN 2 THEN 2 ELSE 0 END AS edges FROM events"""
+)
+def knowledge_counts(spark, sf_dir):
+    shapes = ["[1, 2, 3]", '{"entries": [1, 2]}', '{"nodes": [1], "edges": [1, 2]}', '{"a": 1, "b": 2}']
+    payload = F.element_at(F.array(*map(F.lit, shapes)), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", audit.store_counts(payload).alias("c")).select("event_id", F.col("c.nodes").cast("long").alias("nodes"), F.col("c.edges").cast("long").alias("edges"))
+
+
+@query(
+    """SELECT count_if(toxic = 1) = 0 AS passed, count(*) AS checks, count_if(toxic = 1) AS failed, (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest([doc_id % 7, doc_id % 5]) AS p FROM labels) GROUP BY p)) AS most FROM labels"""
+)
+def gates_rolled_up(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    most = audit.memberships(labels.select(F.array(F.col("doc_id") % 7, F.col("doc_id") % 5).alias("paper_ids"))).agg(F.max("hypotheses").alias("most"))
+    return audit.rolled_up(labels.select((F.col("toxic") != 1).alias("passed"))).join(F.broadcast(most).withColumn("checks", F.lit(labels.count())), "checks").select("passed", "checks", "failed", "most")
+
+
+@query(
+    """SELECT 'unbacked' AS gate, doc_id AS id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'resurfaced', d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE d.doc_id % 2 = l.quality
+    UNION ALL SELECT 'undated', doc_id FROM documents WHERE source = 'src1' AND doc_id % 2 = 0"""
+)
+def gates_of_claims(spark, sf_dir):
+    d, labels = docs(spark, sf_dir), table(spark, sf_dir, "labels")
+    derived = d.select(F.col("doc_id").alias("paper_id"), F.lit("c").alias("source_claim"), F.when(F.col("lang") == "en", "derived").otherwise("likely").alias("confidence"))
+    claims = labels.select(F.col("doc_id").alias("paper_id"), F.lit("c").alias("claim_id"))
+    again = audit.resurfaced_gate(d.select(F.col("doc_id").alias("key"), (F.col("doc_id") % 2).alias("evidence")), labels.select(F.col("doc_id").alias("key"), F.col("quality").cast("long").alias("evidence")))
+    dated = d.select("doc_id", F.when(F.col("source") == "src1", "confirmed").otherwise("open").alias("status"), F.when(F.col("doc_id") % 2 != 0, "2026-01-01").alias("review_date"))
+    named = lambda n, df, c: df.select(F.lit(n).alias("gate"), F.col(c).alias("id"))
+    return named("unbacked", audit.unbacked_gate(derived, claims), "paper_id").unionByName(named("resurfaced", again, "key")).unionByName(named("undated", audit.confirmed_gate(dated), "doc_id"))
+
+
+@query(
+    """SELECT tag, count(*) AS papers FROM (SELECT DISTINCT doc_id, unnest([lower(source), lang]) AS tag FROM documents WHERE doc_id % 3 = 0) WHERE tag <> 'pdf' GROUP BY tag"""
+)
+def exhausted_tags(spark, sf_dir):
+    status = F.when(F.col("doc_id") % 3 == 0, "exhausted").otherwise("ingested_only")
+    papers = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array(F.upper("source"), F.concat(F.lit(" "), "lang"), F.lit("PDF"), F.lit("")).alias("tags"), status.alias("status"))
+    return connect.tag_rows(papers).groupBy("tag").agg(F.count_distinct("paper_id").alias("papers"))
+
+
+@query(
+    """SELECT doc_id, 2 AS schema_version, least(5, greatest(1, coalesce(TRY_CAST(CASE doc_id % 4 WHEN 0 THEN '9' WHEN 1 THEN 'x' WHEN 2 THEN '3' END AS INT), 1))) AS depth, CASE WHEN doc_id % 2 = 0 THEN 'redundancy' ELSE 'completed' END AS criterion,
+    CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE 'claim_1' END AS source_claim, CASE doc_id % 3 WHEN 0 THEN 2001 ELSE 0 END AS year FROM documents"""
+)
+def migrate_expansions(spark, sf_dir):
+    pick = lambda n, *vs: F.element_at(F.array(*[F.lit(v).cast("string") for v in vs]), (F.col("doc_id") % n + 1).cast("int"))
+    rows = docs(spark, sf_dir).select(
+        "doc_id", pick(4, "9", "x", "3", None).alias("depth"), pick(2, "redundancy", "bored").alias("criterion"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(" ").alias("source_claim"),
+        F.when(F.col("doc_id") % 3 == 1, F.col("lang")).alias("follows_from"), pick(3, "2001", "n.d.", None).alias("year"),
+    )
+    years = contracts.migrated_library(rows.select("doc_id", "year")).select("doc_id", "year")
+    return contracts.migrated_expansions(rows.drop("year")).join(years, "doc_id").select("doc_id", "schema_version", "depth", "criterion", "source_claim", "year")
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '3' WHEN 1 THEN '7' ELSE 'x' END AS pages, CASE doc_id % 2 WHEN 0 THEN 'true' ELSE 'maybe' END AS flag, coalesce(CASE WHEN lang = 'en' THEN lang END, 'none') AS lang,
+    CASE doc_id % 4 WHEN 0 THEN 'library' WHEN 1 THEN 'expansion' WHEN 2 THEN 'connection' ELSE 'hypothesis' END AS contract FROM documents"""
+)
+def contract_fixes(spark, sf_dir):
+    pick = lambda n, *vs: F.element_at(F.array(*map(F.lit, vs)), (F.col("doc_id") % n + 1).cast("int"))
+    rows = docs(spark, sf_dir).select("doc_id", pick(3, "3.0", "7", "x").alias("pages"), pick(2, "YES", "maybe").alias("flag"), F.when(F.col("lang") == "en", F.col("lang")).alias("lang"), pick(4, "a/library/x", "a/exhaust/x", "c/Cross_domain/x", "r/hypotheses/x").alias("path"))
+    made = contracts.fixed(rows, {"pages": {"type": "integer"}, "flag": {"type": "boolean"}, "lang": {"type": "string", "default": "none"}})
+    return made.select("doc_id", "pages", "flag", "lang", contracts.contract_of(F.col("path")).alias("contract"))
+
+
+_SUMMARY = "CASE b " + " ".join(f"WHEN '{b}' THEN array_to_string(list_filter([" + ", ".join(f"trim(json_extract_string(p, '$.{n}'))" for n in names) + "], lambda x: x <> ''), ' | ')" for b, names in prompts.PROMPT_FIELDS.items()) + " END"
+
+
+@query(
+    f"""WITH i AS (SELECT user_id, event_id, b, {_SUMMARY} AS l, row_number() OVER (PARTITION BY user_id, b ORDER BY event_id) AS r FROM (SELECT user_id, event_id, {_BUCKET} AS b, {_PAYLOAD} AS p FROM events)),
+    o AS (SELECT *, list_position({sql_list(prompts.PROMPT_FIELDS)}, b) AS o FROM i WHERE r <= 3 AND l <> '')
+    SELECT user_id, string_agg(b || ': ' || l, ' // ' ORDER BY o, r) AS lines FROM o GROUP BY user_id"""
+)
+def expansion_summary(spark, sf_dir):
+    from lodestar.plans import pipelines
+
+    items = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.expr(_BUCKET).alias("bucket"), F.expr(_PAYLOAD).alias("payload"))
+    return pipelines.expansion_lines(items, "user_id").select("user_id", F.array_join("lines", " // ").alias("lines"))
+
+
+@query(
+    """SELECT d.doc_id, coalesce(l.quality, c.n) AS value FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id) LEFT JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY 1) c USING (doc_id) WHERE coalesce(l.quality, c.n) IS NOT NULL AND starts_with(d.source, 'src')"""
+)
+def records_by_lookup(spark, sf_dir):
+    from lodestar.sources import readers
+
+    keys = registry.selected(docs(spark, sf_dir).select("doc_id", F.col("source").alias("paper_id")), prefix="src").select("doc_id")
+    first = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("value")).distinct()
+    second = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("value"))
+    return readers.lookup(keys, first, second, "doc_id").select("doc_id", "value")
+
+
+@query("SELECT x.doc_id AS a, x.doc_id + 1 AS b FROM documents x WHERE x.doc_id IN (SELECT doc_id FROM labels) AND x.doc_id + 1 IN (SELECT doc_id FROM labels)")
+def edges_among(spark, sf_dir):
+    from lodestar.sources import readers
+
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    return readers.among(rows, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"))).select("a", "b")

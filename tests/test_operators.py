@@ -517,3 +517,10 @@ def test_frequent_tags_meet_in_blocks(spark):
         assert {(g.a, g.b) for g in connect.pairs(table, least=3, block=block).collect()} == {p for p, t in want.items() if len(t) >= 3 and (p[0] - p[1]) % 2 == 0}
     assert {(g.a, g.b) for g in connect.pairs(table, "cross", ("x", "y"), block=5).collect()} == {p for p in want if (p[0] - p[1]) % 2}
     assert connect.pairs(table.limit(0)).collect() == []
+
+
+def test_means_take_items_in_their_own_order(spark):
+    ids = [f"p_{kind}_{k}" for kind in ("technique", "method", "claim") for k in (10, 2, 1)]
+    rows = spark.createDataFrame([(i, "p", [float(n)]) for n, i in enumerate(ids)], "item_id string, paper_id string, vec array<double>")
+    assert [r.item_id for r in rows.orderBy(embed.item_order(F.col("item_id"))).collect()] == [f"p_{kind}_{k}" for kind in ("claim", "method", "technique") for k in (1, 2, 10)]
+    assert embed.means(rows, "paper_id", 2).first()["mean"] == (ids.index("p_claim_1") + ids.index("p_claim_2")) / 2
