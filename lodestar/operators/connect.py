@@ -47,19 +47,20 @@ def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None,
     adds the sorted tags. Every tag counts, however frequent: papers meet by an equi-join on tag and pair of blocks, and
     only counts are kept until a pair's tags have met. Repeated rows count once.
     """
+    high = F.col("tag").isin(*HIGH_SIGNAL_TAGS).alias("_high")  # told once a row, not once a pair
     if paper is not None:
         rows = rows.distinct()
-        one = rows.where(F.col("paper_id") == paper).select(F.col("paper_id").alias("p"), F.col("domain").alias("dp"), "tag")
+        one = rows.where(F.col("paper_id") == paper).select(F.col("paper_id").alias("p"), F.col("domain").alias("dp"), "tag", high)
         other = rows.where(F.col("paper_id") != paper).select(F.col("paper_id").alias("q"), F.col("domain").alias("dq"), "tag")
         first = F.col("p") < F.col("q")
         ends = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(first, F.col("dp")).otherwise(F.col("dq")).alias("domain_a"), F.when(first, F.col("dq")).otherwise(F.col("dp")).alias("domain_b")]
-        joined = one.join(other, "tag").select("tag", *ends)
+        joined = one.join(other, "tag").select("tag", "_high", *ends)
     else:
         if scope == "cross" and domains:
             rows = rows.where(F.col("domain").isin(*domains))
         by = ["domain", "tag"] if scope == "within" else ["tag"]
         every = dealt(rows, by, block)
-        left = every.select(F.col("paper_id").alias("a"), F.col("domain").alias("domain_a"), "tag", F.col("_b").alias("_ba"), "_i", "_j")
+        left = every.select(F.col("paper_id").alias("a"), F.col("domain").alias("domain_a"), "tag", high, F.col("_b").alias("_ba"), "_i", "_j")
         right = every.select(F.col("paper_id").alias("b"), F.col("domain").alias("domain_b"), F.col("tag").alias("_tag"), F.col("_b").alias("_bb"), F.col("_i").alias("_k"), F.col("_j").alias("_l"))
         on = (F.col("tag") == F.col("_tag")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")) & (F.col("a") < F.col("b"))
         on &= (F.col("_i") == F.col("_j")) | (F.col("_ba") != F.col("_bb"))  # two papers of one block meet where it meets itself
@@ -67,11 +68,14 @@ def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None,
             on &= F.col("domain_a") == F.col("domain_b")
         elif scope == "cross":
             on &= F.col("domain_a") != F.col("domain_b")
-        joined = left.join(right, on).select("tag", "a", "b", "domain_a", "domain_b")
-    out = [F.count(F.lit(1)).alias("shared"), F.max(F.col("tag").isin(*HIGH_SIGNAL_TAGS)).alias("strong")]
+        joined = left.join(right, on).select("tag", "_high", "a", "b", "domain_a", "domain_b")
+    out = [F.count(F.lit(1)).alias("shared"), F.max("_high").alias("strong")]
     if with_tags:
         out.append(F.array_sort(F.collect_list("tag")).alias("tags"))
-    found = joined.groupBy("a", "b", "domain_a", "domain_b").agg(*out)
+    if scope == "within" and paper is None:  # one domain is enough then
+        found = joined.groupBy("a", "b", "domain_a").agg(*out).select("a", "b", "domain_a", F.col("domain_a").alias("domain_b"), *[F.col(c) for c in ("shared", "strong", "tags")[: len(out)]])
+    else:
+        found = joined.groupBy("a", "b", "domain_a", "domain_b").agg(*out)
     return found.where(F.col("shared") >= least) if least > 1 else found
 
 
