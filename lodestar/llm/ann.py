@@ -35,7 +35,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return centres
 
 
-def train(sample: np.ndarray, books: int = 16, words: int = 256, rounds: int = 5, seed: int = 7) -> np.ndarray:
+def train(sample: np.ndarray, books: int = 32, words: int = 256, rounds: int = 5, seed: int = 7) -> np.ndarray:
     """(books, words, dimensions) codebooks, each on the residuals of those before it."""
     rng, rest, out = np.random.default_rng(seed), sample.astype(np.float32), []
     for _ in range(books):
@@ -80,7 +80,7 @@ def _matrices(column: pa.Array):
         yield d, at, flat[first[at][:, None] + np.arange(d)]
 
 
-def build(rows: DataFrame, sample: int = 8192, books: int = 16, words: int = 256, beam: int = 4) -> tuple[DataFrame, dict[int, np.ndarray]]:
+def build(rows: DataFrame, sample: int = 8192, books: int = 32, words: int = 256, beam: int = 4) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """The index (vec_id, embedding, dims, code, norm) of every usable row, as a written table, and codebooks by length.
 
     sample: vectors of a length at most (about) that its codebooks are learnt on, taken by a hash of vec_id. The driver

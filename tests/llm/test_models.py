@@ -331,3 +331,18 @@ def test_long_texts_of_numbers_and_names_are_decontaminated_in_linear_time(spark
     start = time.time()
     assert contaminated(spark, rows) == [(3, 1), (4, 1)]
     assert time.time() - start < 60
+
+
+def test_recall_of_the_production_settings(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(12_000, 48))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for g in ann.nearest(table, every=400).collect():
+        got.setdefault(g.query_id, set()).add(g.vec_id)
+    hit = 0
+    for q, found in got.items():
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 30 and hit >= 0.95 * 300
