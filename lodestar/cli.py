@@ -1,9 +1,11 @@
-"""Verbs over a folder of tables: ingest, expand, connect, detect, triage, validate, migrate, status, export, config.
+"""Verbs over a folder of tables: ingest, expand, connect, detect, triage, review, experiment, draft, sources, promote, next,
+validate, migrate, status, export, config.
 
     python -m lodestar VERB ROOT [options]
 
-ROOT holds library, vectors, registry, expansion, connections, hypotheses and triage, each a table of Parquet files, and
-config.json. Every verb is a thin call of plans and operators; a table that is replaced is written beside the old one first.
+ROOT holds library, vectors, registry, expansion, connections, hypotheses and sources, each a table of Parquet files, and
+config.json; triage, review, experiments and drafts hold a file a hypothesis. Every verb is a thin call of plans and operators;
+a table that is replaced is written beside the old one first.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import config
-from lodestar.operators import classify, connect, contracts, registry, review
+from lodestar.operators import audit, classify, connect, contracts, gaps, prior_art, registry, review
 from lodestar.plans import pipelines
 from lodestar.sources import readers, stores, writers
 
@@ -42,6 +44,12 @@ def parser() -> argparse.ArgumentParser:
     verb("connect", (["--within"], {}), (["--cross"], {"nargs": 2}))
     verb("detect", (["--domain"], {}), (["--force"], {"action": "store_true"}))
     verb("triage", (["cluster"], {}))
+    verb("review", (["cluster"], {}))
+    verb("experiment", (["cluster"], {}), (["--gap-rank"], {"type": int, "default": 1}))
+    verb("draft", (["cluster"], {"nargs": "?"}), (["--top"], {"type": int, "default": 1}))
+    verb("sources", (["cluster"], {}), (["found"], {"help": "JSON lines of pos, title, url, impact"}), (["--impact"], {"action": "append"}), (["--most"], {"type": int, "default": 8}))
+    verb("promote", (["cluster"], {}), (["--decision"], {"choices": sorted(registry.DECISIONS), "required": True}), (["--reviewer"], {"required": True}), (["--note"], {"required": True}))
+    verb("next", (["--inbox"], {}))
     verb("validate", (["--strict"], {"action": "store_true"}))
     verb("migrate", (["--dry-run"], {"action": "store_true"}), (["--target"], {"type": int}))
     verb("status", (["--domain"], {}), (["--status"], {}))
@@ -74,6 +82,20 @@ def _flag(spark: SparkSession, root: str, keys: DataFrame, flag: str) -> None:
         writers.replace_table(registry.flagged(papers, keys, flag), f"{root}/registry")
 
 
+def hypothesis(hypotheses: DataFrame | None, cluster: str) -> DataFrame:
+    """The hypothesis of a cluster, its gaps numbered where they have no rank; an error if there is none."""
+    found = None if hypotheses is None else hypotheses.where(F.col("cluster_id") == cluster)
+    if found is None or found.isEmpty():
+        raise LookupError(f"no hypothesis {cluster}")
+    return with_ranks(found)
+
+
+def with_ranks(hypotheses: DataFrame) -> DataFrame:
+    if "rank" in hypotheses.schema["gaps"].dataType.elementType.names:
+        return hypotheses
+    return hypotheses.withColumn("gaps", F.transform("gaps", lambda g, i: g.withField("rank", i + 1)))
+
+
 def run(spark: SparkSession, args: list[str]) -> list[dict]:
     """Runs a verb; returns what it reports, a dict a row."""
     a = parser().parse_args(args)
@@ -112,12 +134,53 @@ def run(spark: SparkSession, args: list[str]) -> list[dict]:
         added(made, old, "cluster_id", a.root, "hypotheses")
         _flag(spark, a.root, table("hypotheses").select(F.explode("paper_ids").alias("paper_id")), "detected")
         return rows(table("hypotheses").select("cluster_id", "cluster_size", "connection_count"))
-    if a.verb == "triage":
-        chosen, edges = table("hypotheses").where(F.col("cluster_id") == a.cluster), table("connections")
+    if a.verb in ("triage", "review"):
+        chosen, edges = hypothesis(table("hypotheses"), a.cluster), table("connections")
         items = table("expansion")
         items = spark.createDataFrame([], "paper_id string, bucket string") if items is None else items
-        packet = review.triage(chosen, pipelines.evidence(chosen, table("library"), items, edges), edges, F.current_timestamp().cast("string"))
-        return rows(writers.yaml_files(packet, f"{a.root}/triage", "cluster_id"))
+        if a.verb == "triage":
+            packet = review.triage(chosen, pipelines.evidence(chosen, table("library"), items, edges), edges, F.current_timestamp().cast("string"))
+            return rows(writers.yaml_files(packet, f"{a.root}/triage", "cluster_id"))
+        checks = review.checks(chosen, table("library"), items, edges)
+        listed = checks.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("check", "status", "detail"))).alias("results"))
+        packet = review.verdicts(checks).join(listed, "cluster_id")
+        writers.yaml_files(packet, f"{a.root}/review", "cluster_id")
+        return rows(packet.drop("results"))
+    if a.verb == "experiment":
+        gap = hypothesis(table("hypotheses"), a.cluster).select("cluster_id", gaps.gap_at(F.col("gaps"), a.gap_rank).alias("g")).where("g is not null")
+        made = review.experiments(gap.select("cluster_id", "g.description", "g.suggested_approach", "g.supporting_papers"))
+        writers.yaml_files(made, f"{a.root}/experiments", "cluster_id")
+        return rows(made)
+    if a.verb == "draft":
+        every = table("hypotheses")
+        chosen = hypothesis(every, a.cluster) if a.cluster else with_ranks(every).orderBy("cluster_id").limit(a.top)
+        first = gaps.gap_at(F.col("gaps"), 1)
+        made = review.drafts(chosen.select("cluster_id", "summary", first["description"].alias("description"), first["suggested_approach"].alias("approach"), F.col("paper_ids").alias("papers")), F.current_date().cast("string"))
+        out = rows(writers.text_files(made.select("file", F.col("markdown").alias("body")), f"{a.root}/drafts"))
+        writers.append_log(made.select("cluster_id", "index_line"), f"{a.root}/draft_index")
+        _flag(spark, a.root, chosen.select(F.explode("paper_ids").alias("paper_id")), "drafted")
+        return out
+    if a.verb == "sources":
+        hypothesis(table("hypotheses"), a.cluster)
+        found = readers.json_lines(spark, a.found, "pos int, title string, url string, impact string").withColumn("key", F.lit(a.cluster))
+        old, queued = table("sources"), prior_art.queue(found, a.impact, a.most)
+        writers.replace_table(queued if old is None else queued.unionByName(old.where(F.col("key") != a.cluster)), f"{a.root}/sources")
+        return rows(prior_art.totals(table("sources").where(F.col("key") == a.cluster)))
+    if a.verb == "promote":
+        hypothesis(table("hypotheses"), a.cluster)
+        decision = spark.createDataFrame([(a.cluster, a.decision, a.reviewer, a.note)], "cluster_id string, decision string, reviewer string, note string")
+        done, papers = registry.promoted(table("hypotheses"), decision, table("registry"))
+        writers.replace_table(papers, f"{a.root}/registry")  # first, as its rows come from the old hypotheses; both may be repeated
+        writers.replace_table(done, f"{a.root}/hypotheses")
+        writers.append_report(decision, f"{a.root}/decisions", F.current_timestamp().cast("string"))
+        return rows(table("hypotheses").where(F.col("cluster_id") == a.cluster).select("cluster_id", "status"))
+    if a.verb == "next":
+        n = lambda df: F.lit(0 if df is None else df.count())
+        known = table("registry")
+        files = readers.listing(spark, a.inbox, "") if a.inbox else None
+        pending = None if known is None else registry.selected(known, "ingested_only")
+        steps = audit.actions(n(files), n(pending), n(known), n(table("connections")), n(table("hypotheses")))
+        return rows(spark.range(1).select(F.explode(steps).alias("action")))
     if a.verb == "validate":
         checked = table("library").withColumn("errors", contracts.errors(table("library"), LIBRARY, "strict" if a.strict else "pipeline"))
         return rows(contracts.validation_totals(checked))
@@ -136,4 +199,4 @@ def run(spark: SparkSession, args: list[str]) -> list[dict]:
     return rows(found.select("a", "b", "score"))
 
 
-VERBS = ("ingest", "expand", "connect", "detect", "triage", "validate", "migrate", "status", "export", "config")
+VERBS = ("ingest", "expand", "connect", "detect", "triage", "review", "experiment", "draft", "sources", "promote", "next", "validate", "migrate", "status", "export", "config")

@@ -41,6 +41,25 @@ def test_verbs_end_to_end(spark, tmp_path):
 
     packet = yaml.safe_load((tmp_path / "root" / "triage" / f"{found[0]['cluster_id']}.yaml").read_text())
     assert list(packet)[:3] == ["schema_version", "artifact_type", "cluster_id"] and packet["paper_count"] == 4 and packet["connection_count"] == 6
+    cluster = found[0]["cluster_id"]
+    assert "Write candidate notes from hypotheses." in [r["action"] for r in go("next")] and go("next", "--inbox", str(inbox))[0]["action"] == "Run ingestion on queued inbox items."
+    verdict = go("review", cluster)[0]
+    assert verdict["decision"] == "needs_prior_art" and verdict["fails"] == 0
+    checked = yaml.safe_load((tmp_path / "root" / "review" / f"{cluster}.yaml").read_text())
+    assert len(checked["results"]) == verdict["checks"] and {"check", "status", "detail"} == set(checked["results"][0])
+    assert go("experiment", cluster, "--gap-rank", "9")[0]["cluster_id"] == cluster  # no such rank: the first gap
+    drafted = go("draft")
+    assert len(drafted) == 1 and (tmp_path / "root" / "drafts" / drafted[0]["file"]).read_text().startswith("---\ngap_id: ")
+    (tmp_path / "found.jsonl").write_text('{"pos": 1, "title": "A", "url": "https://arxiv.org/abs/2001.00001", "impact": "high"}\nbroken\n{"pos": 2, "title": "B", "url": "", "impact": "high"}\n{"pos": 3, "title": "C", "impact": "low"}\n')
+    for _ in range(2):
+        queued = go("sources", cluster, str(tmp_path / "found.jsonl"), "--impact", "high")[0]
+        assert (queued["sources"], queued["queued"], queued["manual_required"]) == (2, 1, 1)
+    assert go("promote", cluster, "--decision", "needs_prior_art", "--reviewer", "r", "--note", "n") == [{"cluster_id": cluster, "status": "investigate"}]
+    papers = spark.read.parquet(f"{root}/registry").collect()
+    assert len(papers) == 4 and all(p.triaged and p.drafted for p in papers)
+    for verb in (["triage", "none"], ["review", "none"], ["draft", "none"], ["promote", "none", "--decision", "accepted", "--reviewer", "r", "--note", "n"]):
+        with pytest.raises(LookupError):
+            go(*verb)
     assert go("migrate", "--dry-run")[0]["changed"] == 0 and go("migrate", "--target", "2")[0]["changed"] == 4
     assert {r["status"]: r["n"] for r in go("status", "--status", "ingested_only") if r["domain"] is None}["ingested_only"] == 4
     assert len(go("export", str(tmp_path / "out"))) == 3
