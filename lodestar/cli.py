@@ -41,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
 
     verb("ingest", (["inbox"], {}), (["--domain"], {}), (["--reprocess"], {"action": "store_true"}))
     verb("expand", (["items"], {}), (["--depth"], {"type": int, "default": 3}))
-    verb("connect", (["--within"], {}), (["--cross"], {"nargs": 2}))
+    verb("connect", (["--within"], {}), (["--cross"], {"nargs": 2}), (["--paper"], {}))
     verb("detect", (["--domain"], {}), (["--force"], {"action": "store_true"}))
     verb("triage", (["cluster"], {}))
     verb("review", (["cluster"], {}))
@@ -124,8 +124,11 @@ def run(spark: SparkSession, args: list[str]) -> list[dict]:
     if a.verb == "connect":
         papers, scope = table("library").select("paper_id", "domain", "tags"), "within" if a.within else "cross" if a.cross else "all"
         papers = papers.where(F.col("domain") == a.within) if a.within else papers
-        made = pipelines.connections(papers, library=table("library"), scope=scope, domains=tuple(a.cross) if a.cross else None, settings=settings)
-        writers.replace_table(made["edges"], f"{a.root}/connections")
+        made = pipelines.connections(papers, library=table("library"), scope=scope, domains=tuple(a.cross) if a.cross else None, settings=settings, paper=a.paper)
+        old, edges = table("connections") if a.paper else None, made["edges"]
+        if old is not None:  # the connections of other papers stay
+            edges = edges.unionByName(old.where((F.col("a") != a.paper) & (F.col("b") != a.paper)), allowMissingColumns=True)
+        writers.replace_table(edges, f"{a.root}/connections")
         _flag(spark, a.root, table("connections").select(F.explode(F.array("a", "b")).alias("paper_id")), "connected")
         return rows(made["report"])
     if a.verb == "detect":

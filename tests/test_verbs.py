@@ -31,6 +31,8 @@ def test_verbs_end_to_end(spark, tmp_path):
     assert go("validate")[0] == {"validated": 4, "failed": 0}
     report = go("connect")[0]
     assert report["candidates"] == 6 == report["kept"]
+    one = spark.read.parquet(f"{root}/connections").orderBy("a").first().a
+    assert go("connect", "--paper", one)[0]["kept"] == 3 and spark.read.parquet(f"{root}/connections").count() == 6
     found = go("detect")
     assert len(found) == 1 and found[0]["cluster_size"] == 4 and found[0]["connection_count"] == 6
     assert len(go("detect")) == 1
