@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, html_text, licenses, neardup, packing, secrets, token_file, toxicity, warc
+from . import ann, bitsliced, decontam, html_text, licenses, neardup, packing, secrets, token_file, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,14 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_products(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_top_products"] = bitsliced.SQL
+
+
 @query
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
