@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bitsliced, decontam, html_text, licenses, neardup, packing, secrets, token_file, toxicity, warc
+from . import ann, bitsliced, decontam, divergence, features, html_text, licenses, neardup, packing, secrets, token_file, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,22 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = divergence.SQL
+
+
+@query
+def op12_point_in_time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.features(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"))
+
+
+ORACLES["op12_point_in_time_features"] = features.SQL
+
+
 @query
 def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitsliced.top_products(table(spark, sf_dir, "embeddings"))
