@@ -247,9 +247,9 @@ def events_of(clicks: DataFrame, sales: DataFrame, lines: DataFrame, late: int)
     return written(events, "events"), written(items, "items"), sold.select("client", "sale_id", (F.col("e") + F.col("_moved")).alias("t"), "e")
 
 
-def state_rows(df: DataFrame, what: int, **columns) -> DataFrame:
-    """df as STATE: given columns (names or columns), zeros elsewhere."""
-    given = {"client": "client", "shard": "shard", "what": F.lit(what)} | columns
+def state_rows(df: DataFrame, kind: int | None, **columns) -> DataFrame:
+    """df as STATE: given columns (names or columns), kind as what unless that is given, zeros elsewhere."""
+    given = {"client": "client", "shard": "shard", "what": F.lit(kind)} | columns
     kinds = dict(x.split() for x in STATE.split(", "))
     return df.select(*[(F.col(given[c]) if isinstance(given.get(c), str) else given.get(c, F.lit(0))).cast(kinds[c]).alias(c) for c in COLUMNS])
 
@@ -332,8 +332,8 @@ def cut_state(events: DataFrame, items: DataFrame, probes: DataFrame, windows: t
     next_ = before(shards.join(marks.groupBy("client", "shard").agg(F.min("e").alias("e")), ["client", "shard"], "left"), ["client"], {"e": "min"}, later=True).where("e is not null")
     values = {c: c for c in ("source", "days", "a", "e", "k", "n", "m", "cents")}
     rows = [
-        state_rows(start, EVENT, **values | {"what": "what"}),
-        state_rows(carried, CARRIED, **values | {"what": F.when(F.col("what") == ITEM, ITEM_CARRIED).otherwise(CARRIED)}),
+        state_rows(start, None, **values | {"what": "what"}),
+        state_rows(carried, None, **values | {"what": F.when(F.col("what") == ITEM, ITEM_CARRIED).otherwise(CARRIED)}),
         state_rows(placed(probes, "t"), PROBE, a="t", k="sale_id"),
         state_rows(marks, MARK, e="e"),
         state_rows(lasting, SUM, source="source", days="days", n="n", m="m", cents="cents"),
