@@ -8,11 +8,13 @@ differences of all pairs of sources, and the terms that lift a source most are k
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,11 @@ class Trie:
 
 
 def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
-    """The leaves of the tries of each task, a row a language and term; a trie of over `most` counters leaves its task early."""
+    """The leaves of the tries of each task, a row a language and term; a trie of over `most` counters leaves its task early.
+
+    Most terms of a corpus stand in one document. Such a leaf has one counter of one source and no path of its own to share, so
+    it stays a bare key beside the trie until it leaves the task.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = only(documents, "text", "lang", "source").select(text("lang"), text("source"), text("text").cast("binary").alias("text"))
 
@@ -93,15 +99,18 @@ def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
         tries: dict[str, Trie] = defaultdict(Trie)
         docs, words, pending = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), 0
 
-        def settled() -> None:
+        def settled() -> Iterator[pa.RecordBatch]:
             for lang, by_source in words.items():
-                by_term = defaultdict(dict)
+                in_docs, held = docs[lang], tries[lang]
                 for source, n in by_source.items():
+                    lone = [t for t in n if in_docs[t] == 1 and t]
+                    yield from lone_rows(lang, source, lone, [n[t] for t in lone])
                     for term, c in n.items():
-                        by_term[term][source] = c
-                held, in_docs = tries[lang], docs[lang]
-                for term, counts in by_term.items():
-                    held.add(term, in_docs[term], counts.items())
+                        if in_docs[term] > 1 or not term:
+                            held.add(term, 0, ((source, c),))
+                for term, n in in_docs.items():
+                    if n > 1 or not term:
+                        held.leaf(term).docs += n
             docs.clear()
             words.clear()
 
@@ -122,59 +131,79 @@ def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
                 docs[lang][b""] += 1
                 pending += len(here) - before
                 if pending > most:
-                    settled()
+                    yield from settled()
                     pending = 0
                     if sum(t.entries for t in tries.values()) > most:
                         yield from out()
-        settled()
+        yield from settled()
         yield from out()
 
     return rows.mapInArrow(tidy(run), LEAF)
 
 
+def leaves_of(lang: str, term, docs, sources, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(term)), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), sources, counts], ["lang", "term", "docs", "sources", "counts"])
+
+
+def lone_rows(lang: str, source: str, terms: list[bytes], counts: list[int], rows: int = 16_384) -> Iterator[pa.RecordBatch]:
+    """Leaves of terms that one document has."""
+    for at in range(0, len(terms), rows):
+        part = terms[at : at + rows]
+        ones = pa.array(np.arange(len(part) + 1, dtype=np.int32))
+        of = pa.array([source] * len(part))
+        yield leaves_of(lang, part, np.ones(len(part), np.int64), pa.ListArray.from_arrays(ones, of), pa.ListArray.from_arrays(ones, pa.array(counts[at : at + rows], pa.int64())))
+
+
 def leaf_rows(lang: str, leaves, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
+    while part := list(itertools.islice(leaves, rows)):
+        nodes = [n for _, n in part]
+        yield leaves_of(lang, [k for k, _ in part], [n.docs for n in nodes], pa.array([list(n.counts) for n in nodes], pa.list_(pa.string())), pa.array([list(n.counts.values()) for n in nodes], pa.list_(pa.int64())))
+
 
-    def batch() -> pa.RecordBatch:
-        term, docs, sources, counts = zip(*held, strict=True)
-        kinds = (pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), *[pa.array(x, t) for x, t in zip((term, docs, sources, counts), kinds, strict=True)]], ["lang", "term", "docs", "sources", "counts"])
+class Kept:
+    """Of leaves in order of (lang, term) those of the root and of terms in `least` documents or more, over all rows of a term.
+
+    A term's rows wait until it has documents enough, so fewer rows than that ever wait; from then on they pass.
+    """
 
-    for key, node in leaves:
-        held.append((key, node.docs, list(node.counts), list(node.counts.values())))
-        if len(held) == rows:
-            yield batch()
-            held = []
-    if held:
-        yield batch()
+    def __init__(self, least: int):
+        self.least, self.waiting, self.sure = least, None, None
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        if self.waiting is not None and len(self.waiting):
+            batch = pa.Table.from_batches([self.waiting, batch]).combine_chunks().to_batches()[0]
+        n = len(batch)
+        lang, term = batch.column(0), batch.column(1)
+        same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, n - 1)), pc.equal(term.slice(1), term.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        total = np.add.reduceat(batch.column(2).to_numpy(), first)
+        passes = (total >= self.least) | (pc.binary_length(term.take(pa.array(first))).to_numpy() == 0)
+        key = lambda k: (lang[int(k)].as_py(), term[int(k)].as_py())
+        passes[0] |= key(0) == self.sure
+        self.sure = key(n - 1) if passes[-1] else None
+        self.waiting = batch.slice(int(first[-1])) if not passes[-1] else None
+        return batch.filter(pa.array(np.repeat(passes, np.diff(np.concatenate([first, [n]])))))
 
 
 def merged(leaves: DataFrame, least: int = 30, terms: int = 512, most: int = 400_000) -> DataFrame:
     """Blocks of at most `terms` leaves of one language, merged over all tasks: the root, and terms in `least` documents or more.
 
-    Leaves are dealt by range of (lang, term) and come in that order, so a trie that has grown large can leave between two keys.
+    Leaves are dealt by range of (lang, term) and come in that order; those of kept terms are put together in a trie, which can
+    leave between two keys once it has grown large.
     """
 
     def run(batches):
-        trie, lang, last = Trie(), None, None
+        trie, lang, last, kept = Trie(), None, None, Kept(least)
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            held = []
-            for key, node in trie.leaves():
-                if node.docs >= least or not key:
-                    held.append({"term": key, "sources": list(node.counts), "counts": list(node.counts.values())})
-                if len(held) == terms:
-                    yield block(held)
-                    held = []
-            if held:
-                yield block(held)
-
-        def block(held: list[dict]) -> pa.RecordBatch:
-            kind = pa.list_(pa.struct([("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
-            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([held], kind)], ["lang", "leaves"])
+            found = trie.leaves()
+            while part := list(itertools.islice(found, terms)):
+                held = [{"term": key, "sources": list(n.counts), "counts": list(n.counts.values())} for key, n in part]
+                kind = pa.list_(pa.struct([("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([held], kind)], ["lang", "leaves"])
 
         for batch in batches:
-            for of, term, docs, sources, counts in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+            for of, term, docs, sources, counts in zip(*[c.to_pylist() for c in kept.take(batch).columns], strict=True) if len(batch) else ():
                 if of != lang:
                     if lang is not None:
                         yield from blocks()

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from lodestar.llm import divergence
 from lodestar.llm.queries import ORACLES, QUERIES
@@ -80,6 +81,21 @@ def prose(seed, n=400):
     return [(" ".join(r.choices(words, weights=range(1, 14), k=r.randrange(0, 30))), r.choice(["en", "de", None]), r.choice(["s1", "s2", "é", "z", None])) for _ in range(n)]
 
 
+def test_rows_of_kept_terms_pass(spark):
+    r = random.Random(9)
+    keys = sorted((r.choice(["de", "en"]), r.choice([b"", b"a", b"ab", b"b", b"zz"]), r.choice([1, 1, 2, 9])) for _ in range(200))
+    total = Counter()
+    for lang, term, n in keys:
+        total[lang, term] += n
+    for size in (1, 3, 50, 200):
+        kept, got = divergence.Kept(90), []
+        for at in range(0, len(keys), size):
+            lang, term, docs = zip(*keys[at : at + size], strict=True)
+            lists = pa.array([["s"]] * len(docs)), pa.array([[1]] * len(docs))
+            got += [(x["lang"], x["term"], x["docs"]) for x in kept.take(pa.RecordBatch.from_arrays([pa.array(lang), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), *lists], ["lang", "term", "docs", "sources", "counts"])).to_pylist()]
+        assert got == [k for k in keys if total[k[:2]] >= 90 or not k[1]]
+
+
 def test_audit_equals_brute_force(spark):
     rows = prose(1)
     assert got(divergence.audit(table(spark, rows).repartition(5))) == brute(rows)
