@@ -287,36 +287,39 @@ def pieces(items: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     return every.select("client", "days", start.alias("a"), "e").where(F.col("a") < F.col("e") + F.col("days") * F.lit(DAY))
 
 
-def cut(times: DataFrame, rows_a_shard: int) -> DataFrame:
-    """(client, slot, shard, low): the hours of clients, from the first to the last of times (client, time), in shards of about
-    rows_a_shard rows; low: where the shard begins. An hour isn't cut."""
-    counts = times.groupBy("client", F.floor(F.col("time") / HOUR).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+def cut(times: DataFrame, windows: tuple[int, ...], rows_a_shard: int) -> DataFrame:
+    """(client, slot, shard, low, and shard_d and low_d for each window): the hours of clients from the first to the last of
+    times (client, time, weight), in shards of about rows_a_shard by weight; low: where the shard begins; shard_d and low_d: those
+    of the hour d days later, null beyond the last. An hour isn't cut."""
+    counts = times.groupBy("client", F.floor(F.col("time") / HOUR).alias("slot")).agg(F.sum("weight").alias("n"))
     slots = counts.groupBy("client").agg(F.min("slot").alias("_f"), F.max("slot").alias("_l")).select("client", F.explode(F.sequence("_f", "_l")).alias("slot"))
-    upto = Window.partitionBy("client").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    by = Window.partitionBy("client").orderBy("slot")
     filled = slots.join(counts, ["client", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    shards = filled.withColumn("shard", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / rows_a_shard).cast("int"))
-    low = F.min("slot").over(Window.partitionBy("client", "shard")) * HOUR
-    return shards.select("client", "slot", "shard", low.alias("low"))
+    shards = filled.withColumn("shard", F.floor(F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / rows_a_shard).cast("int"))
+    shards = shards.withColumn("low", F.min("slot").over(Window.partitionBy("client", "shard")) * HOUR)
+    return shards.select("client", "slot", "shard", "low", *[F.lead(c, d * 24).over(by).alias(f"{c}_{d}") for d in windows for c in ("shard", "low")])
 
 
 def cut_state(events: DataFrame, items: DataFrame, probes: DataFrame, windows: tuple[int, ...], rows_a_shard: int) -> DataFrame:
     """STATE of clients that are cut by time."""
     item_pieces = written(pieces(items, windows), "pieces")
-    every_day = F.explode(F.array(*map(F.lit, windows))).alias("days")
-    inserted = events.select(F.lit(EVENT).alias("what"), "client", "source", F.lit(0).alias("days"), "a", "e", "k", "n", "m", "cents")
     zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
+    inserted = events.select(F.lit(EVENT).alias("what"), "client", "source", F.lit(0).alias("days"), "a", "e", "k", "n", "m", "cents")
     inserted = inserted.unionByName(item_pieces.select(F.lit(ITEM).alias("what"), "client", F.lit(ITEMS).alias("source"), "days", "a", "e", F.lit(1).cast("long").alias("n"), *zero("k", "m", "cents")))
-    times = inserted.select("client", F.col("a").alias("time")).unionByName(probes.select("client", F.col("t").alias("time"))).unionByName(probes.select("client", F.col("e").alias("time")))
-    slots = written(cut(times, rows_a_shard), "slots")
-    placed = lambda df, time: df.withColumn("slot", F.floor(F.col(time) / HOUR)).join(slots, ["client", "slot"]).drop("slot")
-    start = written(placed(inserted, "a"), "inserted")
-    # what ends: an event for each window in which it is known before it is too old, beyond the last shard nothing
-    spread = inserted.where(F.col("days") == 0).drop("days").select("*", every_day).unionByName(inserted.where(F.col("days") > 0))
+    at = lambda df, time, weight: df.select("client", F.col(time).alias("time"), F.lit(weight).alias("weight"))
+    slots = written(cut(at(inserted, "a", 1).unionByName(at(inserted, "e", 0)).unionByName(at(probes, "t", 1)).unionByName(at(probes, "e", 1)), windows, rows_a_shard), "slots")
+    placed = lambda df, time, *more: df.withColumn("slot", F.floor(F.col(time) / HOUR)).join(slots.select("client", "slot", "shard", "low", *more), ["client", "slot"]).drop("slot")
+    start = written(placed(inserted, "a").drop("low"), "inserted")
     end = F.col("e") + F.col("days") * F.lit(DAY)
-    ended = written(placed(spread.where(F.col("a") < end).withColumn("_end", end), "_end").drop("_end"), "ended")
+    days_of = lambda *columns: F.explode(F.array(*[F.struct(F.lit(d).alias("days"), *[F.col(c.format(d)).alias(n) for n, c in columns]) for d in windows])).alias("_d")
+    # what ends: a row for each window in which it is known before it is too old; beyond the last shard nothing
+    last = placed(inserted, "e", *[f"{c}_{d}" for d in windows for c in ("shard", "low")]).drop("shard", "low").withColumnRenamed("days", "_of")
+    ended = last.select("what", "client", "source", "_of", "a", "e", "k", "n", "m", "cents", days_of(("shard", "shard_{}"), ("low", "low_{}"))).select("*", "_d.*").drop("_d")
+    ended = written(ended.where((F.col("_of") == 0) | (F.col("_of") == F.col("days"))).where(F.col("shard").isNotNull() & (F.col("a") < end)).drop("_of"), "ended")
     carried = ended.where(F.col("a") < F.col("low"))
     # sums of what is known before a shard and lasts beyond it
-    opened = start.where(F.col("days") == 0).drop("days").select("*", every_day).unionByName(start.where(F.col("days") > 0)).where(F.col("a") < end)
+    opened = start.withColumnRenamed("days", "_of").select("client", "source", "shard", "_of", "a", "e", "n", "m", "cents", days_of()).select("*", "_d.*")
+    opened = opened.where((F.col("_of") == 0) | (F.col("_of") == F.col("days"))).where(F.col("a") < end)
     by = ["client", "days", "source", "shard"]
     signed = lambda df, sign: df.select(*by, *[(F.col(c) * sign).alias(c) for c in ("n", "m", "cents")])
     change = signed(opened, 1).unionByName(signed(ended, -1)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "m", "cents")])
@@ -346,7 +349,7 @@ def cut_state(events: DataFrame, items: DataFrame, probes: DataFrame, windows: t
     return out
 
 
-def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, ...] = (2, 14), label_days: int = 7, late: int = 240, rows_a_shard: int = 20_000) -> DataFrame:
+def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tuple[int, ...] = (2, 14), label_days: int = 7, late: int = 240, large: int = 20_000, rows_a_shard: int = 5_000) -> DataFrame:
     """By sale of sales with a client_id and a sold_at, and by window of d days, what was known of its client at the sale's time.
 
     t: sold_at and crc32(sale_id) modulo 259,200 seconds. label: a sale of the client in the label_days after t. Counted are
@@ -356,14 +359,15 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     without an id aren't counted as items; several clicks at the last time: the largest click_id, a null one last; a sale
     repeated has its row each time; other columns are ignored; empty tables give no rows, or zeros.
 
-    rows_a_shard: a client of more rows is cut by time, an hour at the least.
+    large: a client of more rows is cut by time, into shards of about rows_a_shard rows besides what is carried into them; an
+    hour isn't cut.
     """
     events, items, probes = events_of(clicks, sales, lines, late)
     count = lambda df: df.groupBy("client").agg(F.count(F.lit(1)).alias("n"))
     sizes = count(events).unionByName(count(items)).unionByName(count(probes)).groupBy("client").agg(F.sum("n").alias("n"))
-    large = written(sizes.where(F.col("n") > rows_a_shard).select("client"), "large-clients")
-    whole = lambda df: df.join(large, "client", "left_anti").withColumn("shard", F.lit(0))
-    rest = lambda df: df.join(large, "client", "left_semi")
+    cut_ones = written(sizes.where(F.col("n") > large).select("client"), "large-clients")
+    whole = lambda df: df.join(cut_ones, "client", "left_anti").withColumn("shard", F.lit(0))
+    rest = lambda df: df.join(cut_ones, "client", "left_semi")
     values = {c: c for c in ("source", "a", "e", "k", "n", "m", "cents")}
     rows = state_rows(whole(events), EVENT, **values).unionByName(state_rows(whole(items), LINE, a="a", e="e", k="item")).unionByName(state_rows(whole(probes), SALE, a="t", e="e", k="sale_id"))
     return swept(rows.unionByName(cut_state(rest(events), rest(items), rest(probes), windows, rows_a_shard)), windows, label_days)

@@ -104,13 +104,13 @@ def test_unions_cover_each_moment_once():
 def test_features_equal_brute_force_whole_and_cut(spark):
     for seed, rows in ((1, 20_000), (2, 25), (3, 60)):
         given = shop(seed)
-        assert got(features.features(*tables(spark, *given), rows_a_shard=rows)) == brute(*given)
+        assert got(features.features(*tables(spark, *given), large=rows, rows_a_shard=rows)) == brute(*given)
 
 
 def test_one_client_one_item_many_shards(spark):
     clicks, sales, lines = shop(7, n=120, clients=1)
     lines = [(*x[:2], 3, *x[3:]) for x in lines]
-    assert got(features.features(*tables(spark, clicks, sales, lines), rows_a_shard=10)) == brute(clicks, sales, lines)
+    assert got(features.features(*tables(spark, clicks, sales, lines), large=10, rows_a_shard=10)) == brute(clicks, sales, lines)
 
 
 def test_awkward_tables(spark):
