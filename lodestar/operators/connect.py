@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric
+from lodestar.plans.tables import written
 
 # Tags that say nothing, and tags that suffice alone.
 GENERIC_TAGS = ["fallback", "ingested", "automated", "pdf", "paper"]
@@ -34,20 +37,160 @@ def dealt(rows: DataFrame, key: list[str], block: int) -> DataFrame:
     """
     rows = rows.distinct()
     blocks = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"), F.count(F.lit(1)).alias("_papers")).where("_papers > 1").drop("_papers")
+    named = rows.columns
     rows = rows.join(blocks, key).withColumn("_b", F.pmod(F.xxhash64("paper_id"), F.col("_n")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.struct(F.least(k, F.col("_b")).alias("_i"), F.greatest(k, F.col("_b")).alias("_j")))
-    return rows.select("paper_id", "domain", "tag", "_b", F.inline(pair))
+    return rows.select(*named, "_b", F.inline(pair))
 
 
-def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None, paper=None, least: int = 1, with_tags: bool = False, block: int = 10_000) -> DataFrame:
+def met_in_blocks(rows: DataFrame, scope: str, block: int, bound=None) -> DataFrame:
+    """(tag, a, b, domain_a, domain_b): a row for each tag that two papers share, a < b, by an equi-join on tag and pair of blocks.
+
+    rows may have more columns; bound, if given, is a condition on their two sides, as functions of their names.
+    """
+    more = [c for c in rows.columns if c not in ("paper_id", "domain", "tag")]
+    every = dealt(rows, ["domain", "tag"] if scope == "within" else ["tag"], block)
+    side = lambda x, *names: every.select(F.col("paper_id").alias(x), F.col("domain").alias(f"domain_{x}"), F.col("tag").alias(names[0]), F.col("_b").alias(f"_b{x}"), F.col("_i").alias(names[1]), F.col("_j").alias(names[2]), *[F.col(c).alias(f"{c}_{x}") for c in more])
+    on = (F.col("tag") == F.col("_tag")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")) & (F.col("a") < F.col("b"))
+    on &= (F.col("_i") == F.col("_j")) | (F.col("_ba") != F.col("_bb"))  # two papers of one block meet where it meets itself
+    if scope != "all":
+        same = F.col("domain_a") == F.col("domain_b")
+        on &= same if scope == "within" else ~same
+    if bound is not None:
+        on &= bound(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b"))
+    return side("a", "tag", "_i", "_j").join(side("b", "_tag", "_k", "_l"), on).select("tag", "a", "b", "domain_a", "domain_b")
+
+
+def in_order(sets: DataFrame, scope: str) -> DataFrame:
+    """sets with their tags from the rarest to the most frequent, ties by name: one order for all sets that can meet."""
+    by = ["domain", "tag"] if scope == "within" else ["tag"]
+    each = sets.select("paper_id", "domain", F.explode("tags").alias("tag"))
+    n = each.groupBy(*by).agg(F.count(F.lit(1)).alias("_f"))
+    ordered = each.join(n, by).groupBy("paper_id", "domain").agg(F.array_sort(F.collect_list(F.struct("_f", "tag"))).alias("_t"))
+    return ordered.select("paper_id", "domain", F.transform("_t", lambda x: x["tag"]).alias("tags"))
+
+
+def prefixes(sets: DataFrame, least: int) -> DataFrame:
+    """Rows of the tags under which a set must be looked for: all but its least - 1 most frequent ones, with the number of tags
+    from each on (rest). Two sets with `least` tags in common share one of these, and of the first such at least so many follow."""
+    fit = sets.where(F.size("tags") >= least)
+    head = F.slice("tags", 1, F.size("tags") - (least - 1))
+    return fit.select("paper_id", "domain", F.size("tags").alias("_n"), F.posexplode(head).alias("_p", "tag")).select("paper_id", "domain", "tag", (F.col("_n") - F.col("_p")).alias("rest"))
+
+
+def by_prefix(sets: DataFrame, scope: str, least: int, block: int) -> DataFrame:
+    """Pairs with `least` shared tags or more, by an index of prefixes; what meets there is compared on its whole sets."""
+    sets = written(in_order(sets, scope), "ordered-sets")
+    met = met_in_blocks(prefixes(sets, least), scope, block, lambda x, y: F.least(x("rest"), y("rest")) >= least)
+    pairs_ = met.select("a", "b", "domain_a", "domain_b").distinct()
+    for end in ("a", "b"):
+        pairs_ = pairs_.join(sets.select(F.col("paper_id").alias(end), F.col("domain").alias(f"domain_{end}"), F.col("tags").alias(f"_t{end}")), [end, f"domain_{end}"])
+    both = pairs_.withColumn("_t", F.array_intersect("_ta", "_tb"))
+    return both.select("a", "b", "domain_a", "domain_b", F.size("_t").cast("long").alias("shared"), F.arrays_overlap("_t", F.array(*map(F.lit, HIGH_SIGNAL_TAGS))).alias("strong")).where(F.col("shared") >= least)
+
+
+class Side:
+    """A block of papers as arrays: ids, domains, and a row of postings for each tag of each."""
+
+    def __init__(self, papers):
+        v = papers.values
+        self.ids, self.domains, tags = v.field(0), v.field(1), v.field(2)
+        self.tags, self.lengths = tags.flatten(), tags.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def block_pairs(left: Side, right: Side, itself: bool, scope: str, least: int, cells: int = 1 << 21):
+    """Batches (a, b, domain_a, domain_b, shared, strong) of the pairs of two blocks: a sparse product of their incidence
+    matrices, whose rows are counted together, some papers of the left block at a time."""
+    codes = pa.concat_arrays([left.tags, right.tags]).dictionary_encode()
+    high = np.isin(np.array(codes.dictionary.to_pylist(), object), HIGH_SIGNAL_TAGS)
+    codes = codes.indices.to_numpy(zero_copy_only=False)
+    here, there = codes[: len(left.tags)], codes[len(left.tags) :]
+    rows = lambda of: np.unique(np.array(of.to_pylist(), object), return_inverse=True)[1]
+    n, m = len(left.ids), len(right.ids)
+    rank, domain = rows(pa.concat_arrays([left.ids, right.ids])), rows(pa.concat_arrays([left.domains, right.domains]))
+    order = np.argsort(there, kind="stable")
+    owner = np.repeat(np.arange(m), right.lengths)[order]
+    start = np.searchsorted(there[order], np.arange(len(high) + 1))
+    ends = np.concatenate([[0], np.cumsum(left.lengths)])
+    work = np.concatenate([[0], np.cumsum(np.diff(start)[here])])  # matches before each posting
+    at = 0
+    while at < n:
+        to = max(at + 1, min(at + max(1, cells // max(m, 1)), int(np.searchsorted(work[ends[1:]], work[ends[at]] + 4 * cells, "right"))))
+        mine = here[ends[at] : ends[to]]
+        row = np.repeat(np.arange(to - at), left.lengths[at:to])
+
+        def counted(places, mine=mine, row=row, at=at, to=to):
+            size = np.diff(start)[mine[places]]
+            before = np.cumsum(size) - size
+            match = np.repeat(start[mine[places]] - before, size) + np.arange(size.sum())
+            return np.bincount(np.repeat(row[places] * m, size) + owner[match], minlength=(to - at) * m)
+
+        shared = counted(np.arange(len(mine)))
+        found = np.flatnonzero(shared >= least)
+        x, y = found // m + at, found % m
+        keep = rank[x] < rank[n + y] if itself else rank[x] != rank[n + y]
+        if scope != "all":
+            keep &= (domain[x] == domain[n + y]) == (scope == "within")
+        found, x, y = found[keep], x[keep], y[keep]
+        if len(found):
+            strong = counted(np.flatnonzero(high[mine]))[found] > 0
+            turned = rank[x] > rank[n + y]
+            pick = lambda of, first: pa.concat_arrays([of(left), of(right)]).take(pa.array(np.where(turned == first, n + y, x)))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pick(lambda s: s.ids, True), pick(lambda s: s.ids, False), pick(lambda s: s.domains, True), pick(lambda s: s.domains, False), pa.array(shared[found]), pa.array(strong)], ["a", "b", "domain_a", "domain_b", "shared", "strong"]
+            )
+        at = to
+
+
+def by_blocks(sets: DataFrame, scope: str, least: int, postings: int = 400_000) -> DataFrame:
+    """Pairs with `least` shared tags or more: papers are dealt to blocks of about so many postings by a hash, and each pair of
+    blocks is counted in one task, so that a pair is a row once and no row a tag."""
+    kind = dict(sets.dtypes)["paper_id"]
+    sets = sets.withColumn("_g", F.col("domain") if scope == "within" else F.lit(""))
+    counts = sets.groupBy("_g").agg(F.ceil(F.sum(F.size("tags")) / postings).cast("int").alias("_n"))
+    blocked = sets.join(counts, "_g").withColumn("_b", F.pmod(F.xxhash64("paper_id"), F.col("_n")).cast("int"))
+    packed = written(blocked.groupBy("_g", "_b", "_n").agg(F.collect_list(F.struct("paper_id", "domain", "tags")).alias("_p")), "paper-blocks")
+    left = packed.select("_g", "_b", "_p", F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_o"))
+    right = packed.select("_g", F.col("_b").alias("_o"), F.col("_p").alias("_q"))
+    met = left.join(right, ["_g", "_o"]).select((F.col("_b") == F.col("_o")).alias("_s"), "_p", "_q")
+
+    def run(batches):
+        for batch in batches:
+            for itself, p, q in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                yield from block_pairs(Side(p), Side(q), itself, scope, least)
+
+    return met.mapInArrow(run, f"a {kind}, b {kind}, domain_a string, domain_b string, shared long, strong boolean")
+
+
+def dense(sets: DataFrame, scope: str, postings: int = 400_000) -> bool:
+    """Whether papers share so many tags that reading every pair of blocks is less than a row for each shared tag."""
+    by = ["domain", "tag"] if scope == "within" else ["tag"]
+    n = sets.select("domain", F.explode("tags").alias("tag")).groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    r = n.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("matches")).first()
+    return r["rows"] is not None and r["matches"] > 2 * r["rows"] * max(1.0, r["rows"] / postings)
+
+
+def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None, paper=None, least: int = 1, with_tags: bool = False, block: int = 10_000, how: str | None = None) -> DataFrame:
     """(a, b, domain_a, domain_b, shared, strong): a < b with `least` tags in common or more; strong: whether a high-signal
     tag is among them.
 
     scope: 'within' a domain, 'cross' two given domains (or any two), 'all'. paper: only pairs with this paper. with_tags
-    adds the sorted tags. Every tag counts, however frequent: papers meet by an equi-join on tag and pair of blocks, and
-    only counts are kept until a pair's tags have met. Repeated rows count once.
+    adds the sorted tags. Every tag counts, however frequent. Repeated rows count once.
+
+    how: 'blocks' counts pairs of blocks of papers, for papers that share many tags; 'prefix' joins on the rarest tags of each
+    paper, for `least` of two or more; 'tags' joins on all. Unless given, blocks where the tags' frequencies say that it is less
+    work, else a join.
     """
     high = F.col("tag").isin(*HIGH_SIGNAL_TAGS).alias("_high")  # told once a row, not once a pair
+    if scope == "cross" and domains and paper is None:
+        rows = rows.where(F.col("domain").isin(*domains))
+    if paper is None and not with_tags and how != "tags":
+        sets = written(rows.where("paper_id is not null and domain is not null and tag is not null").groupBy("paper_id", "domain").agg(F.collect_set("tag").alias("tags")), "tag-sets")
+        if how == "blocks" or (how is None and dense(sets, scope)):
+            return by_blocks(sets, scope, least)
+        if least > 1:
+            return by_prefix(sets, scope, least, block)
+        rows = sets.select("paper_id", "domain", F.explode("tags").alias("tag"))
     if paper is not None:
         rows = rows.distinct()
         one = rows.where(F.col("paper_id") == paper).select(F.col("paper_id").alias("p"), F.col("domain").alias("dp"), "tag", high)
@@ -56,19 +199,7 @@ def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None,
         ends = [F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(first, F.col("dp")).otherwise(F.col("dq")).alias("domain_a"), F.when(first, F.col("dq")).otherwise(F.col("dp")).alias("domain_b")]
         joined = one.join(other, "tag").select("tag", "_high", *ends)
     else:
-        if scope == "cross" and domains:
-            rows = rows.where(F.col("domain").isin(*domains))
-        by = ["domain", "tag"] if scope == "within" else ["tag"]
-        every = dealt(rows, by, block)
-        left = every.select(F.col("paper_id").alias("a"), F.col("domain").alias("domain_a"), "tag", high, F.col("_b").alias("_ba"), "_i", "_j")
-        right = every.select(F.col("paper_id").alias("b"), F.col("domain").alias("domain_b"), F.col("tag").alias("_tag"), F.col("_b").alias("_bb"), F.col("_i").alias("_k"), F.col("_j").alias("_l"))
-        on = (F.col("tag") == F.col("_tag")) & (F.col("_i") == F.col("_k")) & (F.col("_j") == F.col("_l")) & (F.col("a") < F.col("b"))
-        on &= (F.col("_i") == F.col("_j")) | (F.col("_ba") != F.col("_bb"))  # two papers of one block meet where it meets itself
-        if scope == "within":
-            on &= F.col("domain_a") == F.col("domain_b")
-        elif scope == "cross":
-            on &= F.col("domain_a") != F.col("domain_b")
-        joined = left.join(right, on).select("tag", "_high", "a", "b", "domain_a", "domain_b")
+        joined = met_in_blocks(rows, scope, block).select("tag", high, "a", "b", "domain_a", "domain_b")
     out = [F.count(F.lit(1)).alias("shared"), F.max("_high").alias("strong")]
     if with_tags:
         out.append(F.array_sort(F.collect_list("tag")).alias("tags"))
@@ -97,6 +228,17 @@ def already(logged: Column, depth_a: Column, depth_b: Column, old_a: Column, old
     return logged & (F.coalesce(depth_a, F.lit(0)) <= F.coalesce(old_a, F.lit(0))) & (F.coalesce(depth_b, F.lit(0)) <= F.coalesce(old_b, F.lit(0)))
 
 
+def opened(events: DataFrame) -> DataFrame:
+    """The batch form of streaming.jobs.opened_pairs: by pair in order of seq, the first event and each that is deeper than all
+    before it."""
+    before = Window.partitionBy("pair").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    depth = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    rows = events.select("pair", "seq", depth("depth_a").alias("depth_a"), depth("depth_b").alias("depth_b"))
+    rows = rows.withColumns({"_a": F.max("depth_a").over(before), "_b": F.max("depth_b").over(before)})
+    first = F.col("_a").isNull()
+    return rows.where(first | (F.col("depth_a") > F.col("_a")) | (F.col("depth_b") > F.col("_b"))).select("pair", "seq", "depth_a", "depth_b", F.when(first, "initial").otherwise("depth_upgrade").alias("reason"))
+
+
 def judged(candidates: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Adds confidence_raw, confidence, novelty, connection_type and score; without answers (a, b, ...) the fixed fallback."""
     crossing = F.col("domain_a") != F.col("domain_b")
