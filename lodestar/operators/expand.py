@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,26 +93,78 @@ def stops(items: DataFrame, cap: Column, settings: Settings = Settings()) -> Dat
     return every.join(first, "paper_id", "left").select("paper_id", F.coalesce("x.batch", "_last").alias("batch"), F.coalesce("x.criterion", F.lit("completed")).alias("criterion"))
 
 
-def fold(candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(paper_id, seq, score, redundant) of candidates (paper_id, seq, vec): each against those accepted before it.
-
-    Acceptance depends on earlier acceptance, so a paper's items are folded in order by one task; the item budget bounds them.
+class Accepted:
+    """The unit vectors that a group has accepted so far, as one matrix that grows by doubling."""
+
+    def __init__(self):
+        self.rows, self.n = np.zeros((0, 0)), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if not self.n:
+            self.rows = np.zeros((max(64, len(x)), x.shape[1]))
+        while self.n + len(x) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    def fold(self, x: np.ndarray, threshold: float) -> np.ndarray:
+        """Scores of the unit vectors x, in order: the largest product with one accepted before it, 0 without any; those
+        below the threshold are accepted. One product against what is accepted, and a triangular pass within x."""
+        best = (x @ self.rows[: self.n].T).max(1) if self.n else np.full(len(x), -np.inf)
+        inner = x @ x.T
+        taken = np.zeros(len(x), bool)
+        for i in range(len(x)):
+            if not np.isfinite(best[i]):
+                best[i] = 0.0
+            if best[i] < threshold:
+                taken[i] = True
+                np.maximum(best[i + 1 :], inner[i, i + 1 :], out=best[i + 1 :])
+        self.add(x[taken])
+        return best
+
+
+def units(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1; zeros stay, and stand for nulls."""
+    rows = [v for v in vectors.to_pylist() if v is not None] if vectors.null_count else None
+    if rows is None:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    else:
+        x = np.zeros((len(vectors), len(rows[0]) if rows else 0))
+        x[np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))] = rows
+    size = np.sqrt((x * x).sum(1))
+    return x / np.where(size > 0, size, 1)[:, None]
+
+
+def fold(candidates: DataFrame, threshold: float = 0.85, known: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """(paper_id, seq, score, redundant) of candidates (paper_id, seq, vec): each against those accepted before it, and
+    against known ones (paper_id, seq, vec), which are accepted beforehand and not returned.
+
+    Acceptance depends on earlier acceptance, so a paper's items go through one task in order, in blocks; it holds the accepted
+    vectors, whose number the item budget bounds, and one block. Ids keep their types; a null vector is like no other.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        kept, scores = [], []
-        for v in pdf["vec"]:
-            x = np.asarray(v, float)
-            size = np.linalg.norm(x)
-            x = x / size if size > 0 else x
-            s = max((float(k @ x) for k in kept), default=0.0)
-            scores.append(s)
-            if s < threshold:
-                kept.append(x)
-        return pd.DataFrame({"paper_id": pdf["paper_id"], "seq": pdf["seq"], "score": scores, "redundant": [s >= threshold for s in scores]})
-
-    return candidates.groupBy("paper_id").applyInPandas(one, "paper_id long, seq long, score double, redundant boolean")
+    kinds = dict(candidates.dtypes)
+    rows = candidates.select("paper_id", "seq", "vec", F.lit(1).alias("_new"))
+    if known is not None:
+        rows = rows.unionByName(known.select("paper_id", "seq", "vec", F.lit(0).alias("_new")))
+    dealt = rows.repartition("paper_id").sortWithinPartitions("paper_id", "_new", "seq")
+
+    def run(batches):
+        paper, accepted = None, Accepted()
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            cuts = [0, *[k for k in range(1, len(ids)) if ids[k] != ids[k - 1]], len(ids)]
+            for low, high in itertools.pairwise(cuts):
+                if ids[low] != paper:
+                    paper, accepted = ids[low], Accepted()
+                for at in range(low, high, block):
+                    part = batch.slice(at, min(block, high - at))
+                    new, x = part.column(3).to_numpy() == 1, units(part.column(2))
+                    accepted.add(x[~new])
+                    scores = accepted.fold(x[new], threshold)
+                    part = part.filter(pa.array(new))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array(scores >= threshold)], ["paper_id", "seq", "score", "redundant"])
+
+    return dealt.mapInArrow(run, f"paper_id {kinds['paper_id']}, seq {kinds['seq']}, score double, redundant boolean")
 
 
 def eligible(registry: DataFrame, depth: int, domain: str | None = None, target: str | None = None, everything: bool = False, reprocess: bool = False, count: int | None = None) -> DataFrame:
@@ -129,5 +183,13 @@ def eligible(registry: DataFrame, depth: int, domain: str | None = None, target:
     return registry
 
 
+def verdict(kept: Column, cap: Column, flags: Column, settings: Settings = Settings()) -> Column:
+    """The rule that ends a paper after a batch, or null: flags are the (redundant, speculative) of its last items, as many as
+    a window holds at most; kept: how many items weren't redundant so far."""
+    n = lambda name: F.size(F.filter(flags, lambda x: x[name]))
+    out = F.when(kept >= cap, "hard_cap").when((F.size(flags) >= settings.window) & (n("redundant") >= settings.redundancy_stop), "redundancy")
+    return out.when((F.size(flags) >= settings.speculative_stop) & (n("speculative") == settings.speculative_stop), "speculative_ceiling")
+
+
 def deeper(depth: Column, recorded: Column) -> Column:
     return (depth < 5) & (F.coalesce(recorded, F.lit(0)) <= depth)

@@ -43,3 +43,9 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     for f in {p.rpartition("/")[0] for p in df.inputFiles()[:1]}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
