@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric
+from lodestar.plans.tables import written
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str = "item_id") -> DataFrame:
@@ -33,49 +34,132 @@ def record_items(records: DataFrame) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def topk(store: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def unit(vec: Column) -> Column:
+    """vec at length 1; one without a length stays."""
+    size = F.sqrt(numeric.dot(vec, vec))
+    return F.when(size > 0, F.transform(vec, lambda x: x / size)).otherwise(vec)
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def best_of_block(ids: np.ndarray, q: np.ndarray, items: np.ndarray, x: np.ndarray, k: int):
+    """(places of queries, places of items, scores): the k best of a block for each query, ties to the smaller item; a query
+    isn't its own neighbour."""
+    s = np.round(q @ x.T, 12)
+    s[ids[:, None] == items[None, :]] = -np.inf
+    r = min(k, len(items))
+    # all that reach the r-th best score, so that ties are settled by id afterwards
+    least = -np.partition(-s, r - 1, axis=1)[:, r - 1]
+    a, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+    o = np.lexsort((np.argsort(np.argsort(items, kind="stable"), kind="stable")[c], -s[a, c], a))
+    a, c = a[o], c[o]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < r
+    return a[keep], c[keep], s[a[keep], c[keep]]
+
+
+def reach(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The largest cosine that a query can have with an item of each block: its angle to the pivot less the block's radius."""
+    angle = np.arccos(np.clip(q @ pivots.T, -1, 1)) - radius[None, :]
+    return np.cos(np.maximum(angle, 0))
+
+
+class Search:
+    """Blocks of items and of queries that meet in joins; kinds: the types of item and query ids."""
+
+    def __init__(self, store: DataFrame, queries: DataFrame, k: int):
+        self.spark, self.k = store.sparkSession, k
+        self.item_kind, self.query_kind = dict(store.dtypes)["item_id"], dict(queries.dtypes)["query_id"]
+        self.found = f"query_id {self.query_kind}, item_id {self.item_kind}, score double"
+
+    def cells(self, rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+        """rows (id, vec) with cell, the nearest pivot."""
+        shared, kind = self.spark.sparkContext.broadcast(pivots), dict(rows.dtypes)["id"]
+
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((_matrix(b.column(1)) @ shared.value.T).argmax(1))], ["id", "vec", "cell"])
+
+        return rows.mapInArrow(run, f"id {kind}, vec array<double>, cell long")
+
+    def blocks(self, rows: DataFrame, most: int) -> DataFrame:
+        """(cell, part, rows): a cell's rows, dealt by a hash to parts of about `most`."""
+        n = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n"))
+        dealt = rows.join(n, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_n")).cast("int"))
+        return dealt.groupBy("cell", "part").agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("rows"))
+
+    def scored(self, met: DataFrame) -> DataFrame:
+        """The k best of each query in each meeting (asked, rows)."""
+        k = self.k
+
+        def run(batches):
+            for b in batches:
+                for asked, rows in zip(b.column(0), b.column(1), strict=True):
+                    q, x = asked.values, rows.values
+                    ids, items = q.field(0), x.field(0)
+                    a, c, s = best_of_block(np.array(ids.to_pylist(), object), _matrix(q.field(1)), np.array(items.to_pylist(), object), _matrix(x.field(1)), k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), items.take(pa.array(c)), pa.array(s)], ["query_id", "item_id", "score"])
+
+        return met.select("asked", F.col("rows")).mapInArrow(run, self.found)
+
+    def ranked(self, found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+
+
+def topk(store: DataFrame, queries: DataFrame, k: int, block: int = 8192, asked: int = 512, pivots: int = 256, small: int = 65_536) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of store (item_id, vec) nearest by cosine to each query (query_id, vec).
 
-    Queries go in blocks of `block`, which bounds the broadcast; each task keeps k candidates a query, by matrix products,
-    before anything is shuffled. Ties go to the smaller item_id; a query isn't its own neighbour.
+    Exact. Items lie in blocks of about `block` around pivots, each with its own mean as pivot and the largest angle to it as
+    radius. Queries first meet the blocks of their nearest pivot; the k-th best score found there lets them skip every block
+    whose pivot and radius allow less. Blocks meet in joins, and each meeting returns k items a query. A store of up to `small`
+    items is met whole. Ties (scores equal to 12 digits) go to the smaller item_id; a query isn't its own neighbour; a null
+    vector takes no part; pivots: so many items, by a hash of their ids.
     """
-    spark = store.sparkSession
-    n = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(n):
-        got = (queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)).select("query_id", "vec").toArrow()
-        if not got.num_rows:
-            continue
-        ids, q = got["query_id"].to_numpy(), np.array(got["vec"].to_pylist(), np.float64)
-        size = np.sqrt((q * q).sum(1))
-        shared = spark.sparkContext.broadcast((ids, q / np.where(size > 0, size, 1)[:, None]))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                item, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), np.float64)
-                size = np.sqrt((x * x).sum(1))
-                s = q @ (x / np.where(size > 0, size, 1)[:, None]).T
-                s[ids[:, None] == item[None, :]] = -np.inf
-                r = min(k, len(item))
-                # all that reach the r-th best score, so that ties are settled by id afterwards
-                least = -np.partition(-s, r - 1, axis=1)[:, r - 1]
-                a, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                o = np.lexsort((item[c], -s[a, c], a))
-                a, c = a[o], c[o]
-                first = np.searchsorted(a, a)
-                keep = np.arange(len(a)) - first < r
-                a, c = a[keep], c[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(item[c]), pa.array(s[a, c])], ["query_id", "item_id", "score"])
-
-        part = store.select("item_id", "vec").mapInArrow(run, "query_id long, item_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, item_id long, score double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "item_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    run = Search(store, queries, k)
+    items = store.where("vec is not null and item_id is not null").select(F.col("item_id").alias("id"), unit(F.col("vec").cast("array<double>")).alias("vec"))
+    probes = queries.where("vec is not null and query_id is not null").select(F.col("query_id").alias("id"), unit(F.col("vec").cast("array<double>")).alias("vec"))
+    total = items.count()
+    if total <= small:
+        one = F.lit(0).cast("long").alias("cell")
+        met = run.blocks(probes.select("id", "vec", one), asked).select("cell", F.col("rows").alias("asked")).join(run.blocks(items.select("id", "vec", one), block).select("cell", "rows"), "cell")
+        return run.ranked(run.scored(met))
+    chosen = items.orderBy(F.xxhash64("id"), "id").limit(min(pivots, max(1, total // block))).select("vec").toArrow()
+    centres = _matrix(chosen["vec"].combine_chunks())
+    blocks = written(run.blocks(run.cells(items, centres), block).select(F.concat_ws("-", "cell", "part").alias("block"), "cell", "rows"), "item-blocks")
+    parts = written(run.blocks(run.cells(probes, centres), asked).select(F.concat_ws("-", "cell", "part").alias("ask"), "cell", F.col("rows").alias("asked")), "query-blocks")
+    near = written(run.ranked(run.scored(parts.join(blocks, "cell"))).drop("rank"), "near")
+    least = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
+    bounds = parts.select("ask", "cell", F.explode("asked").alias("x")).select("ask", "cell", "x.id", "x.vec").join(least, "id", "left").groupBy("ask", "cell").agg(F.collect_list(F.struct("vec", F.coalesce("least", F.lit(-2.0)).alias("least"))).alias("q"))
+
+    def heads(batches):
+        for b in batches:
+            for name, cell, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                x = _matrix(rows.values.field(1))
+                p = x.mean(0)
+                size = np.sqrt(p @ p)
+                p = p / size if size > 0 else p
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([cell]), pa.array([p.tolist()]), pa.array([float(np.arccos(np.clip(x @ p, -1, 1)).max())])], ["block", "cell", "pivot", "radius"])
+
+    many = max(1, total // block // 1024)  # groups of pivots
+    groups = F.pmod(F.xxhash64("block"), F.lit(many)).cast("int")
+    pivots_ = written(blocks.mapInArrow(heads, "block string, cell long, pivot array<double>, radius double").groupBy(groups.alias("g")).agg(F.collect_list(F.struct("block", "cell", "pivot", "radius")).alias("heads")), "pivots")
+    far = bounds.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(pivots_, "g")
+
+    def open_(batches):
+        for b in batches:
+            for ask, cell, q, given in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                h = given.values
+                reached = reach(_matrix(q.values.field(0)), _matrix(h.field(2)), h.field(3).to_numpy())
+                meets = (reached >= q.values.field(1).to_numpy()[:, None] - 1e-9).any(0) & (h.field(1).to_numpy() != cell)
+                names = h.field(0).filter(pa.array(meets))
+                yield pa.RecordBatch.from_arrays([pa.array([ask] * len(names), pa.string()), names], ["ask", "block"])
+
+    left = far.select("ask", "cell", "q", "heads").mapInArrow(open_, "ask string, block string")
+    met = written(left, "open-blocks").join(parts.select("ask", "asked"), "ask").join(blocks.select("block", "rows"), "block")
+    return run.ranked(near.unionByName(run.scored(met)))
 
 
 def norm_topk(store: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OPENED = "pair string, seq long, depth_a int, depth_b int, reason string"
 
 
 def inbox(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100, archive: str | None = None) -> DataFrame:
@@ -44,3 +48,39 @@ def stop_state(items: DataFrame, redundancy_stop: int = 3, window: int = 5) -> D
         yield pd.DataFrame(out, columns=["paper_id", "seq", "stopped"])
 
     return items.groupBy("paper_id").applyInPandasWithState(step, "paper_id long, seq long, stopped boolean", "last array<int>", "append", "NoTimeout")
+
+
+class PairDepths(StatefulProcessor):
+    """State of a pair: the largest depth of each of its papers with which it has been analysed."""
+
+    def init(self, handle) -> None:
+        self.depths = handle.getMapState("depths", "side string", "depth int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = {k[0]: v[0] for k, v in self.depths.iterator()}
+        pdf = pd.concat(list(rows))
+        out = []
+        for seq, *now in pdf.sort_values("seq")[["seq", "depth_a", "depth_b"]].itertuples(index=False):
+            depths = {side: 0 if pd.isna(d) else int(d) for side, d in zip("ab", now, strict=True)}
+            if known and all(depths[side] <= known[side] for side in "ab"):
+                continue
+            out.append((key[0], seq, depths["a"], depths["b"], "depth_upgrade" if known else "initial"))
+            known = {side: max(depths[side], known.get(side, 0)) for side in "ab"}
+        for side, depth in known.items():
+            self.depths.updateValue((side,), (depth,))
+        yield pd.DataFrame(out, columns=["pair", "seq", "depth_a", "depth_b", "reason"])
+
+    def close(self) -> None:
+        pass
+
+
+def opened_pairs(events: DataFrame) -> DataFrame:
+    """(pair, seq, depth_a, depth_b, reason) of those of events (pair, seq, depth_a, depth_b) at which a pair is to be analysed:
+    the first, and each with a depth larger than any before; null depths are 0. An event that comes late, in a later trigger,
+    opens its pair again if it is deeper; within a trigger events go by seq.
+
+    The state is a map a pair and stays for good, as a pair may become deeper at any time; it needs the RocksDB state store.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = events.select("pair", "seq", F.col("depth_a").cast("int").alias("depth_a"), F.col("depth_b").cast("int").alias("depth_b"))
+    return rows.groupBy("pair").transformWithStateInPandas(statefulProcessor=PairDepths(), outputStructType=OPENED, outputMode="Append", timeMode="None")
