@@ -3,8 +3,8 @@ validate, migrate, status, export, config.
 
     python -m lodestar VERB ROOT [options]
 
-ROOT holds library, vectors, registry, expansion, connections, hypotheses and sources, each a table of Parquet files, and
-config.json; triage, review, experiments and drafts hold a file a hypothesis. Every verb is a thin call of plans and operators;
+ROOT holds library, registry, expansion, connections, pair_log, hypotheses and sources, each a table of Parquet files,
+vectors in hashed buckets, the reports of connect, and config.json; triage, review, experiments and drafts hold a file a hypothesis. Every verb is a thin call of plans and operators;
 a table that is replaced is written beside the old one first.
 """
 
@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar import config
-from lodestar.operators import audit, classify, connect, contracts, gaps, prior_art, registry, review
-from lodestar.plans import pipelines
+from lodestar.operators import audit, classify, connect, contracts, expand, gaps, prior_art, registry, review
+from lodestar.plans import pipelines, rounds, tables
 from lodestar.sources import readers, stores, writers
+from lodestar.sources.buckets import Buckets
 
 #: What a library record must hold.
 LIBRARY = {
@@ -40,9 +42,10 @@ def parser() -> argparse.ArgumentParser:
             v.add_argument(*names, **kwargs)
 
     verb("ingest", (["inbox"], {}), (["--domain"], {}), (["--reprocess"], {"action": "store_true"}))
-    verb("expand", (["items"], {}), (["--depth"], {"type": int, "default": 3}))
-    verb("connect", (["--within"], {}), (["--cross"], {"nargs": 2}), (["--paper"], {}))
-    verb("detect", (["--domain"], {}), (["--force"], {"action": "store_true"}))
+    again, count = (["--reprocess"], {"action": "store_true"}), (["--count"], {"type": int})
+    verb("expand", (["items"], {"help": "a table of paper_id, seq, batch, bucket, payload, vec"}), (["--depth"], {"type": int, "default": 3}), (["--paper"], {}), (["--domain"], {}), again, count, (["--resume"], {"help": "the folder of a run that was lost"}))
+    verb("connect", (["--within"], {}), (["--cross"], {"nargs": 2}), (["--paper"], {}), (["--upgrades"], {"action": "store_true"}))
+    verb("detect", (["--domain"], {}), (["--cross"], {"nargs": 2}), (["--papers"], {"nargs": "+"}), (["--force"], {"action": "store_true"}))
     verb("triage", (["cluster"], {}))
     verb("review", (["cluster"], {}))
     verb("experiment", (["cluster"], {}), (["--gap-rank"], {"type": int, "default": 1}))
@@ -69,13 +72,71 @@ def opened(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{name}") if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
 
 
-def added(rows: DataFrame, old: DataFrame | None, key: str, root: str, name: str) -> None:
-    """Writes rows, and those of the old table whose key they lack."""
+def added(rows: DataFrame, old: DataFrame | None, key: str | list[str], root: str, name: str, gone: DataFrame | None = None) -> None:
+    """Writes rows, and those of the old table whose key they (and gone) lack."""
     if old is not None:
-        rows = rows.unionByName(old.join(rows.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+        keys = [key] if isinstance(key, str) else key
+        new = rows.select(keys) if gone is None else rows.select(keys).unionByName(gone.select(keys))
+        rows = rows.unionByName(old.join(new.distinct(), keys, "left_anti"), allowMissingColumns=True)
     writers.replace_table(rows, f"{root}/{name}")
 
 
+def vectors(spark: SparkSession, root: str) -> Buckets:
+    """The folder's vector store: items in hashed buckets."""
+    return Buckets(spark, f"{root}/vectors", ["item_id"])
+
+
+def papers_of(library: DataFrame, registry_: DataFrame) -> DataFrame:
+    """The library's papers as far as pairs look at them, each with its status and depth in the registry."""
+    known = with_depth(registry_).select("paper_id", "status", "exhausted_at_depth")
+    return library.select("paper_id", "domain", "tags").join(known, "paper_id")
+
+
+def with_depth(registry_: DataFrame) -> DataFrame:
+    return registry_ if "exhausted_at_depth" in registry_.columns else registry_.withColumn("exhausted_at_depth", F.lit(None).cast("int"))
+
+
+def expanded(spark: SparkSession, a, settings: config.Settings) -> list[dict]:
+    """Expands the papers that the options name and the items table holds, and no others; a folder of rounds is kept until the
+    results are in."""
+    known, library = with_depth(opened(spark, a.root, "registry")).withColumn("registry_pos", F.col("paper_id")), opened(spark, a.root, "library")
+    items = spark.read.parquet(a.items)
+    items = items.withColumn("paper_id", F.col("paper_id").cast("string"))
+    chosen = expand.eligible(known, a.depth, a.domain, a.paper, everything=not a.domain and not a.paper, reprocess=a.reprocess, count=a.count)
+    targets = chosen.join(items.select("paper_id").distinct(), "paper_id", "left_semi").join(library.select("paper_id", "page_count"), "paper_id")
+    folder = a.resume or f"{a.root}/rounds/{uuid.uuid4().hex}"
+    print(f"rounds in {folder}")
+    targets = targets.select("paper_id", F.col("page_count").alias("pages"), F.col("exhausted_at_depth").alias("recorded_depth"))
+    made = rounds.expansion(rounds.batches_of(items), targets, folder, a.depth, settings)
+    headers = tables.written(made["headers"], "headers")
+    if made["items"] is not None:
+        added(made["items"], opened(spark, a.root, "expansion"), "paper_id", a.root, "expansion", headers)
+    done = headers.select("paper_id", F.lit("exhausted").alias("status"), "exhausted_at_depth")
+    writers.replace_table(registry.updated(with_depth(opened(spark, a.root, "registry")), done, "paper_id"), f"{a.root}/registry")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return [r.asDict() for r in headers.groupBy("criterion").agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+def connected(spark: SparkSession, a, settings: config.Settings) -> list[dict]:
+    """Connects exhausted papers in a scope; pairs that the log holds are skipped, and connections of other pairs stay."""
+    library, scope = opened(spark, a.root, "library"), "within" if a.within else "cross" if a.cross else "all"
+    papers = papers_of(library, opened(spark, a.root, "registry"))
+    papers = papers.where(F.col("domain") == a.within) if a.within else papers
+    papers = papers.withColumn("status", F.when(F.col("paper_id") == a.paper, "exhausted").otherwise(F.col("status"))) if a.paper else papers  # whatever it is itself
+    log, store = opened(spark, a.root, "pair_log"), vectors(spark, a.root)
+    means = pipelines.paper_vectors(store.read()) if store.exists() else None
+    made = pipelines.connections(papers, log, means, library, None, scope, tuple(a.cross) if a.cross else None, settings, a.paper, a.upgrades)
+    met = tables.written(made["candidates"], "candidates")  # the tables below come from it, and it reads the log
+    added(met.where("reason = 'kept'").withColumn("status", F.lit("pending_review")), opened(spark, a.root, "connections"), ["a", "b"], a.root, "connections")
+    added(met.where("reason <> 'skipped_analyzed'").select("pair", "depth_a", "depth_b", "reason", F.current_timestamp().alias("analyzed_at")), log, "pair", a.root, "pair_log")
+    report = tables.written(connect.report(met), "report")
+    label = "::".join([scope, *([a.within] if a.within else a.cross or [a.paper or "all"])])
+    writers.append_report(report.withColumn("scope", F.lit(label)), f"{a.root}/reports/connect", F.current_timestamp().cast("string"))
+    _flag(spark, a.root, opened(spark, a.root, "connections").select(F.explode(F.array("a", "b")).alias("paper_id")), "connected")
+    return [r.asDict() for r in report.collect()]
+
+
 def _flag(spark: SparkSession, root: str, keys: DataFrame, flag: str) -> None:
     papers = opened(spark, root, "registry")
     if papers is not None:
@@ -111,29 +172,17 @@ def run(spark: SparkSession, args: list[str]) -> list[dict]:
     if a.verb == "ingest":
         known = table("registry")
         made = pipelines.ingest(readers.documents(spark, a.inbox), classify.rule_rows(spark), settings, known, a.reprocess, a.domain)
+        vectors(spark, a.root).upsert(pipelines.embedded(made["vectors"]))  # before the registry, from which all of this is told
         added(made["records"], table("library"), "paper_id", a.root, "library")
         added(made["registry"], table("registry"), "paper_id", a.root, "registry")
         return rows(registry.counts(table("registry"), "status"))
     if a.verb == "expand":
-        library = table("library").select("paper_id", F.col("page_count").alias("pages"), F.lit(0).alias("recorded_depth"))
-        made = pipelines.expansion(spark.read.parquet(a.items), library, a.depth, settings)
-        writers.replace_table(made["items"], f"{a.root}/expansion")
-        done = made["headers"].select("paper_id", F.lit("exhausted").alias("status"))
-        writers.replace_table(registry.updated(table("registry"), done, "paper_id"), f"{a.root}/registry")
-        return rows(made["headers"].groupBy("criterion").agg(F.count(F.lit(1)).alias("n")))
+        return expanded(spark, a, settings)
     if a.verb == "connect":
-        papers, scope = table("library").select("paper_id", "domain", "tags"), "within" if a.within else "cross" if a.cross else "all"
-        papers = papers.where(F.col("domain") == a.within) if a.within else papers
-        made = pipelines.connections(papers, library=table("library"), scope=scope, domains=tuple(a.cross) if a.cross else None, settings=settings, paper=a.paper)
-        old, edges = table("connections") if a.paper else None, made["edges"]
-        if old is not None:  # the connections of other papers stay
-            edges = edges.unionByName(old.where((F.col("a") != a.paper) & (F.col("b") != a.paper)), allowMissingColumns=True)
-        writers.replace_table(edges, f"{a.root}/connections")
-        _flag(spark, a.root, table("connections").select(F.explode(F.array("a", "b")).alias("paper_id")), "connected")
-        return rows(made["report"])
+        return connected(spark, a, settings)
     if a.verb == "detect":
         old = table("hypotheses")
-        made = pipelines.detection(table("connections"), old, a.domain, None, a.force)
+        made = pipelines.detection(table("connections"), old, a.domain, tuple(a.cross) if a.cross else None, a.force, a.papers)
         added(made, old, "cluster_id", a.root, "hypotheses")
         _flag(spark, a.root, table("hypotheses").select(F.explode("paper_ids").alias("paper_id")), "detected")
         return rows(table("hypotheses").select("cluster_id", "cluster_size", "connection_count"))

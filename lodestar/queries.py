@@ -1166,3 +1166,172 @@ def edges_among(spark, sf_dir):
 
     rows = docs(spark, sf_dir).select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
     return readers.among(rows, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"))).select("a", "b")
+
+
+# ---- what is kept up to date: pairs, components, stores, rounds, states -----------------------------------------------
+
+
+@query(f"WITH {WITHIN} SELECT a, b, domain_a, shared FROM pairs WHERE shared >= 10")
+def pairs_by_prefix(spark, sf_dir):
+    return connect.pairs(tagged(spark, sf_dir), least=10, how="prefix").select("a", "b", "domain_a", "shared")
+
+
+@query(f"WITH {pairs_sql('true')} SELECT a, b, domain_a, domain_b, shared FROM pairs WHERE shared >= 2")
+def pair_index_update(spark, sf_dir):
+    """Pairs of an index that took in the papers in two parts, the second one with papers of the first that have changed."""
+    from lodestar.operators.pair_index import PairIndex
+    from lodestar.plans.tables import scratch
+
+    papers = docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"))
+    index = PairIndex(spark, scratch(spark, "pair-index"), buckets=8)
+    early = F.when(F.col("paper_id") % 100 == 1, F.slice("tags", 1, 3)).otherwise(F.col("tags"))
+    index.update(papers.where("paper_id % 100 <> 0").withColumn("tags", early))
+    index.update(papers)
+    return index.pairs().where("shared >= 2").select("a", "b", "domain_a", "domain_b", "shared")
+
+
+@query(f"WITH {REACH} SELECT node, component FROM c")
+def components_updated(spark, sf_dir):
+    """Components after nine tenths of the edges, brought up to date with the rest."""
+    from lodestar.operators import graph
+    from lodestar.plans.tables import written
+
+    edges = written(strong_edges(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v")), "strong-edges")
+    late = F.pmod(F.col("u") + F.col("v"), F.lit(10)) == 0
+    return graph.updated(graph.components(edges.where(~late)), edges.where(late))
+
+
+@query(
+    f"""WITH {REACH}, k AS (SELECT component, count(*) AS size, list_sort(list(node)) AS ids FROM c GROUP BY component HAVING count(*) >= 3), n AS (SELECT component, count(*) AS edges FROM e JOIN c ON e.a = c.node WHERE e.a < e.b GROUP BY component)
+    SELECT component, 'Fallback synthesis across ' || size || ' papers based on ' || edges || ' connections.' AS summary, least(size, 2) AS listed, CAST(ids[2] AS BIGINT) AS second, size AS members FROM k JOIN n USING (component)"""
+)
+def clusters_beyond_the_list(spark, sf_dir):
+    """Clusters of more papers than their row may list: summary and members stay whole."""
+    found, members = gaps.labelled(strong_edges(spark, sf_dir))
+    made = gaps.fallback(gaps.with_papers(found, members, 2)).select("cluster_id", "summary", F.size("paper_ids").cast("long").alias("listed"), F.get("paper_ids", 1).alias("second"))
+    n = members.groupBy("component", "cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    return made.join(n, "cluster_id").select("component", "summary", "listed", "second", "members")
+
+
+@query(
+    """SELECT coalesce(n.k, c.c_custkey) AS c_custkey, coalesce(n.name, c_name) AS c_name FROM customer c FULL JOIN (SELECT c_custkey + 50 AS k, 'new ' || c_name AS name FROM customer WHERE c_custkey % 30 = 0) n ON n.k = c.c_custkey
+    WHERE coalesce(n.k, c.c_custkey) % 7 <> 0 OR n.k IS NOT NULL"""
+)
+def bucket_store(spark, sf_dir):
+    """A keyed store after an upsert that also takes rows away."""
+    from lodestar.plans.tables import scratch
+    from lodestar.sources.buckets import Buckets
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    store = Buckets(spark, scratch(spark, "customers"), ["c_custkey"], 16)
+    store.replace(rows)
+    new = rows.where("c_custkey % 30 = 0").select((F.col("c_custkey") + 50).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"))
+    store.upsert(new, removed=rows.where("c_custkey % 7 = 0"))
+    return store.read()
+
+
+_ROUNDS = f"""n AS (SELECT paper, vec_id, v, sqrt(list_dot_product(v, v)) AS size, row_number() OVER (PARTITION BY paper ORDER BY vec_id) AS k FROM {_PAPERS}),
+    u AS (SELECT paper, vec_id, k, list_transform(v, lambda x: CASE WHEN size > 0 THEN x / size ELSE x END) AS v FROM n),
+    f AS (SELECT paper, k, vec_id, CAST(0 AS DOUBLE) AS score, [v] AS kept FROM u WHERE k = 1
+      UNION ALL SELECT paper, k, vec_id, score, CASE WHEN score < 0.2 THEN list_append(kept, v) ELSE kept END FROM (
+        SELECT u.paper, u.k, u.vec_id, u.v, f.kept, coalesce(list_max(list_transform(f.kept, lambda x: list_dot_product(x, u.v))), 0) AS score FROM f JOIN u ON u.paper = f.paper AND u.k = f.k + 1)),
+    i AS (SELECT paper, vec_id AS seq, (vec_id % 10) // 3 AS batch, score >= 0.2 AS redundant, vec_id % 4 <> 0 AS speculative FROM f),
+    w AS (SELECT *, sum(redundant::INT) OVER w AS r, sum(speculative::INT) OVER w AS s, count(*) OVER w AS n, sum((NOT redundant)::INT) OVER (PARTITION BY paper ORDER BY seq) AS k FROM i WINDOW w AS (PARTITION BY paper ORDER BY seq ROWS 4 PRECEDING)),
+    e AS (SELECT paper, batch, CASE WHEN k >= 6 THEN 'hard_cap' WHEN n >= 5 AND r >= 3 THEN 'redundancy' WHEN n >= 5 AND s = 5 THEN 'speculative_ceiling' END AS criterion FROM w QUALIFY row_number() OVER (PARTITION BY paper, batch ORDER BY seq DESC) = 1),
+    x AS (SELECT paper, coalesce(min(batch) FILTER (criterion IS NOT NULL), max(batch)) AS last, coalesce(arg_min(criterion, batch) FILTER (criterion IS NOT NULL), 'completed') AS criterion FROM e GROUP BY paper)"""
+
+
+def expansion_inputs(spark, sf_dir):
+    """Groups of ten vectors as papers of three pages, three items a batch."""
+    payload = F.concat(F.lit('{"statement": "s'), F.col("item_id").cast("string"), F.lit('", "confidence": "'), F.when(F.col("item_id") % 4 != 0, "speculative").otherwise("derived"), F.lit('"}'))
+    items = paper_items(spark, sf_dir).select(F.col("paper").alias("paper_id"), F.col("item_id").alias("seq"), F.floor(F.col("item_id") % 10 / 3).alias("batch"), F.lit("derivations").alias("bucket"), payload.alias("payload"), "vec")
+    return items, items.select("paper_id").distinct().withColumns({"pages": F.lit(3), "recorded_depth": F.lit(0)})
+
+
+@query(f"WITH RECURSIVE {_ROUNDS} SELECT paper AS paper_id, seq, redundant, criterion FROM i JOIN x USING (paper) WHERE batch <= last")
+def expansion_plan(spark, sf_dir):
+    from lodestar.plans import pipelines
+
+    made = pipelines.expansion(*expansion_inputs(spark, sf_dir), 1, threshold=0.2)
+    return made["items"].join(made["headers"], "paper_id").select("paper_id", "seq", "redundant", "criterion")
+
+
+@query(f"WITH RECURSIVE {_ROUNDS} SELECT paper AS paper_id, seq, redundant, criterion FROM i JOIN x USING (paper) WHERE batch <= last")
+def expansion_rounds(spark, sf_dir):
+    """The same, a batch of the open papers at a time over written state."""
+    from lodestar.plans import rounds
+    from lodestar.plans.tables import scratch
+
+    items, papers = expansion_inputs(spark, sf_dir)
+    made = rounds.expansion(rounds.batches_of(items), papers, scratch(spark, "rounds"), 1, threshold=0.2)
+    return made["items"].join(made["headers"], "paper_id").select("paper_id", "seq", "redundant", "criterion")
+
+
+@query(
+    f"""WITH {pairs_sql('true')}, v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT p.*, coalesce(list_cosine_similarity(x.v, y.v), 0) AS sim FROM pairs p LEFT JOIN v x ON x.vec_id = a LEFT JOIN v y ON y.vec_id = b),
+    r AS (SELECT CASE WHEN (a + b) % 7 = 0 AND (a % 5 <> 0) THEN 'skipped_analyzed' WHEN sim < 0.1 AND shared < 2 THEN 'skipped_similarity' WHEN domain_a <> domain_b THEN 'below_confidence' ELSE 'kept' END AS reason FROM s)
+    SELECT count(*) AS candidates, count_if(reason = 'skipped_analyzed') AS skipped_analyzed, count_if(reason = 'skipped_similarity') AS skipped_similarity, count_if(reason = 'kept') AS kept FROM r"""
+)
+def connect_plan_with_log(spark, sf_dir):
+    """Connections with a log, of which pairs are looked at again whose first paper has become deeper, and with vectors."""
+    from lodestar.plans import pipelines
+
+    papers = docs(spark, sf_dir).select(
+        F.col("doc_id").alias("paper_id"), F.col("lang").alias("domain"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("tags"),
+        F.lit("exhausted").alias("status"), F.lit(3).alias("exhausted_at_depth"),
+    )
+    met = connect.pairs(connect.tag_rows(papers), "all").where("(a + b) % 7 = 0")
+    log = met.select(connect.pair_key(F.col("a").cast("string"), F.col("b").cast("string")).alias("pair"), F.when(F.col("a") % 5 == 0, 2).otherwise(3).alias("depth_a"), F.lit(3).alias("depth_b"))
+    means = vectors(spark, sf_dir).select(F.col("item_id").alias("paper_id"), "vec")
+    made = pipelines.connections(papers, log, means, settings=Settings(similarity=0.1), upgrades=True)
+    return made["report"].select("candidates", "skipped_analyzed", "skipped_similarity", "kept")
+
+
+_OPENED = "SELECT user_id::VARCHAR AS pair, event_id AS seq, event_id % 7 % 4 AS depth_a, event_id % 11 % 5 AS depth_b FROM events"
+_OPENED_SQL = f"""WITH p AS ({_OPENED}), w AS (SELECT *, max(depth_a) OVER w AS ma, max(depth_b) OVER w AS mb FROM p WINDOW w AS (PARTITION BY pair ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT pair, seq, CASE WHEN ma IS NULL THEN 'initial' ELSE 'depth_upgrade' END AS reason FROM w WHERE ma IS NULL OR depth_a > ma OR depth_b > mb"""
+
+
+def depth_events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("pair"), F.col("event_id").alias("seq"), (F.col("event_id") % 7 % 4).cast("int").alias("depth_a"), (F.col("event_id") % 11 % 5).cast("int").alias("depth_b"))
+
+
+@query(_OPENED_SQL)
+def pairs_opened(spark, sf_dir):
+    return connect.opened(depth_events(spark, sf_dir)).select("pair", "seq", "reason")
+
+
+@query(_OPENED_SQL)
+def pairs_opened_by_state(spark, sf_dir):
+    """The same from a stream in three triggers, its state kept from one to the next."""
+    from lodestar.plans.tables import scratch
+    from lodestar.streaming import jobs
+
+    events, path = depth_events(spark, sf_dir), scratch(spark, "depths")
+    bounds = events.agg(F.min("seq").alias("a"), F.max("seq").alias("b")).first()
+    third = F.floor((F.col("seq") - F.lit(bounds.a)) * 3 / F.lit(bounds.b - bounds.a + 1))
+    for k in range(3):  # a file a trigger, in order
+        events.where(third == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        jobs.run_available(jobs.opened_pairs(jobs.inbox(spark, f"{path}/in", events.schema, 1)), f"{path}/out", f"{path}/state")
+    return spark.read.schema(jobs.OPENED).parquet(f"{path}/out").select("pair", "seq", "reason")
+
+
+@query("""SELECT page_id, p AS page, 2 AS page_count, CASE p WHEN 1 THEN url ELSE replace(html, chr(12), ' ') END AS text FROM pages, (VALUES (1), (2)) AS t(p)""")
+def page_files(spark, sf_dir):
+    """Pages written as files of two pages each, and read back by the page source."""
+    from lodestar.plans.tables import scratch
+    from lodestar.sources import pages, writers
+
+    path = scratch(spark, "page-files")
+    rows = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("file"), F.concat("url", F.lit("\f"), F.translate("html", "\f", " ")).alias("body"))
+    writers.text_files(rows, path)
+    got = pages.pages(spark, path, ".txt", partition_bytes=1 << 20)
+    return got.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("page_id"), F.col("page").cast("long").alias("page"), F.col("page_count").cast("long").alias("page_count"), "text")
+
+
+@query(ORACLES["cosine_topk"])
+def cosine_topk_pivots(spark, sf_dir):
+    """cosine_topk by blocks with pivots, as for a large store."""
+    store = vectors(spark, sf_dir)
+    found = embed.topk(store.select("item_id", "vec"), store.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec"), 5, block=64, small=0)
+    return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -29,10 +29,15 @@ def test_verbs_end_to_end(spark, tmp_path):
     assert {r["status"]: r["n"] for r in counts}["ingested_only"] == 4
     assert {r["status"]: r["n"] for r in go("ingest", str(inbox))}[None] == 4  # registered papers stay as they are
     assert go("validate")[0] == {"validated": 4, "failed": 0}
+    assert go("connect")[0]["candidates"] == 0  # nothing is exhausted yet
+    ids = sorted(r.paper_id for r in spark.read.parquet(f"{root}/registry").collect())
+    items(spark, ids, str(tmp_path / "items"))
+    assert go("expand", str(tmp_path / "items")) == [{"criterion": "completed", "n": 4}]
     report = go("connect")[0]
     assert report["candidates"] == 6 == report["kept"]
-    one = spark.read.parquet(f"{root}/connections").orderBy("a").first().a
-    assert go("connect", "--paper", one)[0]["kept"] == 3 and spark.read.parquet(f"{root}/connections").count() == 6
+    again = go("connect", "--paper", ids[0])[0]
+    assert again["candidates"] == 3 == again["skipped_analyzed"] and spark.read.parquet(f"{root}/connections").count() == 6
+    assert spark.read.json(f"{root}/reports/connect").count() == 3
     found = go("detect")
     assert len(found) == 1 and found[0]["cluster_size"] == 4 and found[0]["connection_count"] == 6
     assert len(go("detect")) == 1
@@ -63,11 +68,62 @@ def test_verbs_end_to_end(spark, tmp_path):
         with pytest.raises(LookupError):
             go(*verb)
     assert go("migrate", "--dry-run")[0]["changed"] == 0 and go("migrate", "--target", "2")[0]["changed"] == 4
-    assert {r["status"]: r["n"] for r in go("status", "--status", "ingested_only") if r["domain"] is None}["ingested_only"] == 4
+    assert {r["status"]: r["n"] for r in go("status", "--status", "exhausted") if r["domain"] is None}["exhausted"] == 4
     assert len(go("export", str(tmp_path / "out"))) == 3
     assert go("config", "similarity", "0.5")[0]["similarity"] == 0.5 and go("config")[0]["similarity"] == 0.5
 
 
+def items(spark, papers, path, n=2, mode="overwrite"):
+    """n items for each paper, one batch an item, with vectors that aren't alike."""
+    rows = [(p, k, k, "open_questions", json.dumps({"question": f"question {k} of {p}"}), [float(j == k) for j in range(n)]) for p in papers for k in range(n)]
+    spark.createDataFrame(rows, "paper_id string, seq long, batch int, bucket string, payload string, vec array<double>").write.mode(mode).parquet(path)
+
+
+def test_expansion_and_scopes_keep_what_others_made(spark, tmp_path):
+    inbox, root = tmp_path / "inbox", str(tmp_path / "root")
+    inbox.mkdir()
+    (tmp_path / "root").mkdir()
+    for k in range(4):
+        (inbox / f"paper{k}.txt").write_text(PAPER.replace("Introduction\n", f"Introduction number {k}\n", 1))
+    go = lambda *args: cli.run(spark, [args[0], root, *args[1:]])
+    read = lambda name: {repr(r) for r in spark.read.parquet(f"{root}/{name}").collect()}
+    go("ingest", str(inbox))
+    ids = sorted(r.paper_id for r in spark.read.parquet(f"{root}/registry").collect())
+    known = spark.read.parquet(f"{root}/registry")
+    two = F.when(F.col("paper_id").isin(ids[:2]), "ML").otherwise("physics")
+    writers.replace_table(known.withColumn("domain", two), f"{root}/registry")
+    writers.replace_table(spark.read.parquet(f"{root}/library").withColumn("domain", two), f"{root}/library")
+    items(spark, ids, str(tmp_path / "all"))
+    go("expand", str(tmp_path / "all"), "--paper", ids[0], "--depth", "2")
+    state = lambda: {r.paper_id: (r.status, r.exhausted_at_depth) for r in spark.read.parquet(f"{root}/registry").collect()}
+    assert state() == {p: ("exhausted", 2) if p == ids[0] else ("ingested_only", None) for p in ids}
+    first = read("expansion")
+    assert len(first) == 2
+    items(spark, ids[1:2], str(tmp_path / "one"), 3)
+    go("expand", str(tmp_path / "one"))
+    assert first < read("expansion") and len(read("expansion")) == 5  # the first paper's items stay
+    assert {p: s for p, (s, _) in state().items()} == {p: "exhausted" if p in ids[:2] else "ingested_only" for p in ids}  # others aren't touched
+    go("expand", str(tmp_path / "all"), "--domain", "physics")
+    assert {s for s, _ in state().values()} == {"exhausted"} and len(read("expansion")) == 9
+    assert go("connect", "--within", "ML")[0]["kept"] == 1
+    kept = read("connections")
+    assert go("connect", "--within", "physics")[0]["kept"] == 1
+    assert kept < read("connections") and len(read("connections")) == 2  # another scope's stay
+    assert go("connect", "--cross", "ML", "physics")[0]["candidates"] == 4
+    total = len(read("connections"))
+    assert go("connect")[0] | {"candidates": 6} == go("connect")[0]
+    assert go("connect")[0]["skipped_analyzed"] == 6 and len(read("connections")) == total
+    go("expand", str(tmp_path / "all"), "--paper", ids[0], "--depth", "4")  # deeper: its pairs are looked at again
+    assert state()[ids[0]] == ("exhausted", 4)
+    assert go("connect")[0]["skipped_analyzed"] == 6
+    assert go("connect", "--upgrades")[0]["skipped_analyzed"] == 3
+    assert go("connect", "--upgrades")[0]["skipped_analyzed"] == 6
+    one = go("detect", "--cross", "ML", "physics")
+    assert len(one) == 1 and one[0]["cluster_size"] == 4
+    assert len(go("detect", "--papers", *ids[:3])) == 2 and go("detect", "--papers", *ids[:2]) == go("detect", "--papers", *ids[:2])
+    assert cli.vectors(spark, root).read().groupBy("paper_id").count().count() == 4
+
+
 def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
     class Context:
         master = "spark://h:7077"
