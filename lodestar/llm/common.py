@@ -15,9 +15,9 @@ __all__ = ["batches", "dropped", "gathered", "only", "scratch", "shared_dir", "t
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
-def batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker and its task hold of texts at once, on both sides of Arrow."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bounds what a Python worker and its task hold of texts at once, on both sides of Arrow; rows: more for short rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

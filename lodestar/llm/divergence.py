@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, tidy, written
+from .common import batches, gathered, only, tidy, written
 
 LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 BLOCK = "lang string, leaves array<struct<term: binary, sources: array<string>, counts: array<long>>>"
@@ -36,14 +36,25 @@ class Node:
 
 
 class Trie:
-    """A radix trie over bytes; leaves count documents, and occurrences by source."""
+    """A radix trie over bytes; leaves count documents, and occurrences by source. Leaves that are there already are found by
+    their whole key."""
 
     def __init__(self):
         self.root = Node(b"")
+        self.known: dict[bytes, Node] = {}
         self.entries = 0
 
     def leaf(self, key: bytes) -> Node:
-        """The node at the end of a key, made where it isn't there yet; an edge that parts from the key on the way is split."""
+        """The leaf of a key, made where it isn't there yet."""
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = self._made(key)
+            if found.counts is None:
+                found.counts = {}
+        return found
+
+    def _made(self, key: bytes) -> Node:
+        """The node at the end of a key; an edge that parts from the key on the way is split."""
         node, at, n = self.root, 0, len(key)
         while at < n:
             below = node.children.get(key[at])
@@ -68,8 +79,6 @@ class Trie:
         """counts: (source, number) pairs."""
         node = self.leaf(key)
         node.docs += docs
-        if node.counts is None:
-            node.counts = {}
         before = len(node.counts)
         for source, n in counts:
             node.counts[source] = node.counts.get(source, 0) + n
@@ -95,7 +104,7 @@ def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = only(documents, "text", "lang", "source").select(text("lang"), text("source"), text("text").cast("binary").alias("text"))
 
-    def run(batches):
+    def run(given):
         tries: dict[str, Trie] = defaultdict(Trie)
         docs, words, pending = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), 0
 
@@ -103,11 +112,17 @@ def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
             for lang, by_source in words.items():
                 in_docs, held = docs[lang], tries[lang]
                 for source, n in by_source.items():
-                    lone = [t for t in n if in_docs[t] == 1 and t]
-                    yield from lone_rows(lang, source, lone, [n[t] for t in lone])
+                    lone, times = [], []
                     for term, c in n.items():
-                        if in_docs[term] > 1 or not term:
-                            held.add(term, 0, ((source, c),))
+                        if in_docs[term] == 1 and term:
+                            lone.append(term)
+                            times.append(c)
+                        else:
+                            counts = held.leaf(term).counts
+                            if source not in counts:
+                                held.entries += 1
+                            counts[source] = counts.get(source, 0) + c
+                    yield from lone_rows(lang, source, lone, times)
                 for term, n in in_docs.items():
                     if n > 1 or not term:
                         held.leaf(term).docs += n
@@ -119,7 +134,7 @@ def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
                 yield from leaf_rows(lang, tries[lang].leaves())
             tries.clear()
 
-        for batch in batches:
+        for batch in given:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 terms = text.translate(FOLD).split()
                 here = words[lang][source]
@@ -192,7 +207,7 @@ def merged(leaves: DataFrame, least: int = 30, terms: int = 512, most: int = 400
     leave between two keys once it has grown large.
     """
 
-    def run(batches):
+    def run(given):
         trie, lang, last, kept = Trie(), None, None, Kept(least)
 
         def blocks() -> Iterator[pa.RecordBatch]:
@@ -202,7 +217,7 @@ def merged(leaves: DataFrame, least: int = 30, terms: int = 512, most: int = 400
                 kind = pa.list_(pa.struct([("term", pa.binary()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
                 yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([held], kind)], ["lang", "leaves"])
 
-        for batch in batches:
+        for batch in gathered(given):
             for of, term, docs, sources, counts in zip(*[c.to_pylist() for c in kept.take(batch).columns], strict=True) if len(batch) else ():
                 if of != lang:
                     if lang is not None:
@@ -255,11 +270,11 @@ def measured(blocks: DataFrame, sums: DataFrame, most: int = 50) -> DataFrame:
     """
     state = blocks.join(sums, "lang").select("lang", "kept", "groups", "leaves")
 
-    def run(batches):
+    def run(given):
         square: dict[str, np.ndarray] = {}
         names: dict[str, list[bytes]] = {}
         best: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in given:
             for lang, kept, groups, leaves in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 of = names.setdefault(lang, [g["source"] for g in groups])
                 place = {s: k for k, s in enumerate(of)}
@@ -306,7 +321,9 @@ def audit(documents: DataFrame, least: int = 30, most: int = 50) -> DataFrame:
     ignored; an empty table gives no rows.
     """
     leaves = written(counted(documents), "tries")
+    batches(documents.sparkSession, 16_384)  # leaves are short
     blocks = written(merged(leaves, least), "merged-tries")
+    batches(documents.sparkSession)
     found = written(measured(blocks, totals(blocks), most), "differences")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     turned = pairs.select("lang", F.col("item").cast("string").alias("source"), "part", F.col("source").cast("binary").alias("item"), "value")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, tidy, written
+from .common import batches, only, tidy, written
 
 DAY = 86_400_000_000
 HOUR = DAY // 24
@@ -189,7 +189,7 @@ def swept(state: DataFrame, windows: tuple[int, ...], label_days: int, rows_at_o
     """RESULT of shards' rows (STATE): a partition is read in order of shards, and whole shards are swept together."""
     names = [x.split()[0] for x in RESULT.split(", ")]
 
-    def run(batches):
+    def run(given):
         def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
             rows = {c: table[c].to_numpy() for c in COLUMNS}
             for columns in shard_features(rows, windows, label_days):
@@ -197,7 +197,7 @@ def swept(state: DataFrame, windows: tuple[int, ...], label_days: int, rows_at_o
 
         held: list[pa.RecordBatch] = []
         n = 0
-        for batch in batches:
+        for batch in given:
             held.append(batch)
             n += len(batch)
             if n < rows_at_once:
@@ -362,6 +362,7 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     large: a client of more rows is cut by time, into shards of about rows_a_shard rows besides what is carried into them; an
     hour isn't cut.
     """
+    batches(sales.sparkSession, 16_384)  # rows are short
     events, items, probes = events_of(clicks, sales, lines, late)
     count = lambda df: df.groupBy("client").agg(F.count(F.lit(1)).alias("n"))
     sizes = count(events).unionByName(count(items)).unionByName(count(probes)).groupBy("client").agg(F.sum("n").alias("n"))
