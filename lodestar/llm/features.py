@@ -6,7 +6,7 @@ availability into a Fenwick tree over the ranks of event time; a question is a p
 answers with sums and with the latest event. Distinct items are a second such tree, over the union of the intervals in which
 an item counts, each from its first to its last activity.
 
-A client of few rows is a shard. One of many rows is cut by time into shards of about equal size: what is inserted in an
+A client of few rows is a shard. One of many rows is cut by time, as short as its busiest hour asks for: what is inserted in an
 earlier shard and ends within a later one is carried there as a row, and what lasts beyond it as a sum; those sums are prefix
 sums over shards, taken in blocks.
 """
@@ -287,57 +287,49 @@ def pieces(items: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     return every.select("client", "days", start.alias("a"), "e").where(F.col("a") < F.col("e") + F.col("days") * F.lit(DAY))
 
 
-def cut(times: DataFrame, windows: tuple[int, ...], rows_a_shard: int) -> DataFrame:
-    """(client, slot, shard, low, and shard_d and low_d for each window): the hours of clients from the first to the last of
-    times (client, time, weight), in shards of about rows_a_shard by weight; low: where the shard begins; shard_d and low_d: those
-    of the hour d days later, null beyond the last. An hour isn't cut."""
-    counts = times.groupBy("client", F.floor(F.col("time") / HOUR).alias("slot")).agg(F.sum("weight").alias("n"))
-    slots = counts.groupBy("client").agg(F.min("slot").alias("_f"), F.max("slot").alias("_l")).select("client", F.explode(F.sequence("_f", "_l")).alias("slot"))
-    by = Window.partitionBy("client").orderBy("slot")
-    filled = slots.join(counts, ["client", "slot"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    shards = filled.withColumn("shard", F.floor(F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / rows_a_shard).cast("int"))
-    shards = shards.withColumn("low", F.min("slot").over(Window.partitionBy("client", "shard")) * HOUR)
-    return shards.select("client", "slot", "shard", "low", *[F.lead(c, d * 24).over(by).alias(f"{c}_{d}") for d in windows for c in ("shard", "low")])
+def cut(times: DataFrame, rows_a_shard: int) -> DataFrame:
+    """(client, width, first, last): how long a client's shards are, whole hours, so that its busiest hour's pace puts
+    rows_a_shard of times (client, time) into one, and the first and last of them. An hour isn't cut."""
+    hours = times.groupBy("client", F.floor(F.col("time") / HOUR).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
+    width = F.greatest(F.lit(1), F.floor(rows_a_shard / F.max("n"))) * HOUR
+    spans = hours.groupBy("client").agg(width.alias("width"), F.min("_h").alias("_f"), F.max("_h").alias("_l"))
+    return spans.select("client", "width", F.floor(F.col("_f") * HOUR / F.col("width")).alias("first"), F.floor(F.col("_l") * HOUR / F.col("width")).alias("last"))
 
 
 def cut_state(events: DataFrame, items: DataFrame, probes: DataFrame, windows: tuple[int, ...], rows_a_shard: int) -> DataFrame:
     """STATE of clients that are cut by time."""
-    item_pieces = written(pieces(items, windows), "pieces")
     zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
-    inserted = events.select(F.lit(EVENT).alias("what"), "client", "source", F.lit(0).alias("days"), "a", "e", "k", "n", "m", "cents")
-    inserted = inserted.unionByName(item_pieces.select(F.lit(ITEM).alias("what"), "client", F.lit(ITEMS).alias("source"), "days", "a", "e", F.lit(1).cast("long").alias("n"), *zero("k", "m", "cents")))
-    at = lambda df, time, weight: df.select("client", F.col(time).alias("time"), F.lit(weight).alias("weight"))
-    slots = written(cut(at(inserted, "a", 1).unionByName(at(inserted, "e", 0)).unionByName(at(probes, "t", 1)).unionByName(at(probes, "e", 1)), windows, rows_a_shard), "slots")
-    placed = lambda df, time, *more: df.withColumn("slot", F.floor(F.col(time) / HOUR)).join(slots.select("client", "slot", "shard", "low", *more), ["client", "slot"]).drop("slot")
-    start = written(placed(inserted, "a").drop("low"), "inserted")
+    inserted = events.select(F.lit(EVENT).alias("what"), "client", "source", F.lit(0).alias("_of"), "a", "e", "k", "n", "m", "cents")
+    inserted = inserted.unionByName(pieces(items, windows).select(F.lit(ITEM).alias("what"), "client", F.lit(ITEMS).alias("source"), F.col("days").alias("_of"), "a", "e", F.lit(1).cast("long").alias("n"), *zero("k", "m", "cents")))
+    at = lambda df, time: df.select("client", F.col(time).alias("time"))
+    clients = written(cut(at(events, "a").unionByName(at(probes, "t")).unionByName(at(probes, "e")), rows_a_shard), "cut-clients")
+    shard = lambda time: F.floor(time / F.col("width")).cast("int")
+    start = written(inserted.join(clients, "client").withColumn("shard", shard(F.col("a"))), "inserted")
+    asked = probes.join(clients, "client")
+    # a row for each window in which an event is known before it is too old, with the shard in which it ends
     end = F.col("e") + F.col("days") * F.lit(DAY)
-    days_of = lambda *columns: F.explode(F.array(*[F.struct(F.lit(d).alias("days"), *[F.col(c.format(d)).alias(n) for n, c in columns]) for d in windows])).alias("_d")
-    # what ends: a row for each window in which it is known before it is too old; beyond the last shard nothing
-    last = placed(inserted, "e", *[f"{c}_{d}" for d in windows for c in ("shard", "low")]).drop("shard", "low").withColumnRenamed("days", "_of")
-    ended = last.select("what", "client", "source", "_of", "a", "e", "k", "n", "m", "cents", days_of(("shard", "shard_{}"), ("low", "low_{}"))).select("*", "_d.*").drop("_d")
-    ended = written(ended.where((F.col("_of") == 0) | (F.col("_of") == F.col("days"))).where(F.col("shard").isNotNull() & (F.col("a") < end)).drop("_of"), "ended")
-    carried = ended.where(F.col("a") < F.col("low"))
-    # sums of what is known before a shard and lasts beyond it
-    opened = start.withColumnRenamed("days", "_of").select("client", "source", "shard", "_of", "a", "e", "n", "m", "cents", days_of()).select("*", "_d.*")
-    opened = opened.where((F.col("_of") == 0) | (F.col("_of") == F.col("days"))).where(F.col("a") < end)
+    each = start.withColumn("days", F.explode(F.array(*map(F.lit, windows)))).where(((F.col("_of") == 0) | (F.col("_of") == F.col("days"))) & (F.col("a") < end))
+    each = each.withColumn("_end", shard(end)).drop("_of")
+    carried = each.where((F.col("_end") > F.col("shard")) & (F.col("_end") <= F.col("last"))).withColumn("shard", F.col("_end"))
+    # sums of what is known before a shard and lasts beyond it: inserted before, less what ends before or in it
     by = ["client", "days", "source", "shard"]
+    sums = [F.sum(c).alias(c) for c in ("n", "m", "cents")]
     signed = lambda df, sign: df.select(*by, *[(F.col(c) * sign).alias(c) for c in ("n", "m", "cents")])
-    change = signed(opened, 1).unionByName(signed(ended, -1)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "m", "cents")])
-    shards = slots.select("client", "shard").distinct()
+    change = signed(each, 1).unionByName(signed(each.withColumn("shard", F.col("_end")).where(F.col("shard") <= F.col("last")), -1)).groupBy(*by).agg(*sums)
+    shards = clients.select("client", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("shard"))
     grid = shards.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(d).alias("days"), F.lit(s).alias("source")) for d in windows for s in (CLICK, SOLD, LINES, ITEMS)]))).select("client", "shard", "_k.days", "_k.source")
     full = grid.join(change, by, "left").fillna(0, ["n", "m", "cents"])
     known = before(full, ["client", "days", "source"], {"n": "sum", "m": "sum", "cents": "sum"})
-    own = signed(carried, -1).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "m", "cents")])
-    lasting = known.unionByName(own.select(*known.columns)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "m", "cents")])
+    lasting = known.unionByName(signed(carried, -1).groupBy(*by).agg(*sums).select(*known.columns)).groupBy(*by).agg(*sums)
     latest = start.where(f"what = {EVENT} and source = {CLICK}").groupBy("client", "shard").agg(F.max(F.struct("e", "k")).alias("x"))
     latest = before(shards.join(latest, ["client", "shard"], "left"), ["client"], {"x": "max"}).where("x is not null").select("client", "shard", "x.e", "x.k")
-    marks = placed(probes, "e").select("client", "shard", "e")
+    marks = asked.select("client", shard(F.col("e")).alias("shard"), "e")
     next_ = before(shards.join(marks.groupBy("client", "shard").agg(F.min("e").alias("e")), ["client", "shard"], "left"), ["client"], {"e": "min"}, later=True).where("e is not null")
-    values = {c: c for c in ("source", "days", "a", "e", "k", "n", "m", "cents")}
+    values = {c: c for c in ("source", "a", "e", "k", "n", "m", "cents")}
     rows = [
-        state_rows(start, None, **values | {"what": "what"}),
-        state_rows(carried, None, **values | {"what": F.when(F.col("what") == ITEM, ITEM_CARRIED).otherwise(CARRIED)}),
-        state_rows(placed(probes, "t"), PROBE, a="t", k="sale_id"),
+        state_rows(start, None, **values | {"what": "what", "days": "_of"}),
+        state_rows(carried, None, **values | {"what": F.when(F.col("what") == ITEM, ITEM_CARRIED).otherwise(CARRIED), "days": "days"}),
+        state_rows(asked.withColumn("shard", shard(F.col("t"))), PROBE, a="t", k="sale_id"),
         state_rows(marks, MARK, e="e"),
         state_rows(lasting, SUM, source="source", days="days", n="n", m="m", cents="cents"),
         state_rows(latest, LATEST, e="e", k="k"),
