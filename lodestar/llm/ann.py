@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is the sum of one word of each of several full-dimensional codebooks; each codebook is learnt on what the ones
-before it leave, and a vector's words are found by beam search. Stored beside the words is the norm of their sum, so
-|q - x|^2 is a constant less twice a sum of table entries plus that norm. The nearest by it are ranked anew on the
-original vectors, in double precision.
+A vector, less the mean and divided by the largest deviation of a sample, is the sum of one word of each of several
+full-dimensional codebooks; each codebook is learnt on what the ones before it leave, and a vector's words are found by beam
+search. Stored beside the words is the norm of their sum, so |q - x|^2 is a constant less twice a sum of table entries plus
+that norm. Norms, tables and their sums are in double precision, as neighbours may lie much nearer to each other than to the
+mean. The nearest by them are ranked anew on the original vectors, in double precision too.
 """
 
 from __future__ import annotations
@@ -35,7 +36,24 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return centres
 
 
-def train(sample: np.ndarray, books: int = 32, words: int = 256, rounds: int = 5, seed: int = 7) -> np.ndarray:
+class Codebooks:
+    """Codebooks (books, words, dimensions), and the mean and scale by which a vector comes before them."""
+
+    def __init__(self, sample: np.ndarray, books: int = 32, words: int = 256, rounds: int = 5, seed: int = 7):
+        with np.errstate(over="ignore"):
+            self.mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
+            self.mean = np.where(np.isfinite(self.mean), self.mean, 0.0)
+            largest = float(np.abs(sample - self.mean).max()) if len(sample) else 0.0
+        self.scale = largest if 0 < largest < np.inf else 1.0
+        self.words = train(self.placed(sample), books, words, rounds, seed)
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """x about the mean, in units of the scale; what lies beyond single precision goes to its end."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.nan_to_num(np.clip((x - self.mean) / self.scale, -1e15, 1e15))
+
+
+def train(sample: np.ndarray, books: int, words: int, rounds: int, seed: int) -> np.ndarray:
     """(books, words, dimensions) codebooks, each on the residuals of those before it."""
     rng, rest, out = np.random.default_rng(seed), sample.astype(np.float32), []
     for _ in range(books):
@@ -45,12 +63,11 @@ def train(sample: np.ndarray, books: int = 32, words: int = 256, rounds: int = 5
     return np.stack(out)
 
 
-def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def encode(x: np.ndarray, books: Codebooks, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(words of each vector, squared norm of their sum) by beam search over the codebooks in order."""
     n, dims = x.shape
-    x = x.astype(np.float32)
-    rest, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
-    for c in codebooks:
+    rest, codes = books.placed(x).astype(np.float32)[:, None, :], np.zeros((n, 1, 0), np.uint8)
+    for c in books.words:
         width = rest.shape[1]
         error = (rest * rest).sum(2)[:, :, None] + (c * c).sum(1)[None, None, :] - 2 * (rest.reshape(-1, dims) @ c.T).reshape(n, width, -1)
         flat = error.reshape(n, -1)
@@ -60,7 +77,9 @@ def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = 4) -> tuple[np.ndar
         parent, word = best // len(c), best % len(c)
         rest = np.take_along_axis(rest, parent[:, :, None], 1) - c[word]
         codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
-    made = x - rest[:, 0]
+    made = np.zeros((n, dims))
+    for m, c in enumerate(books.words):
+        made += c[codes[:, 0, m]]
     return codes[:, 0], (made * made).sum(1)
 
 
@@ -80,44 +99,46 @@ def _matrices(column: pa.Array):
         yield d, at, flat[first[at][:, None] + np.arange(d)]
 
 
-def build(rows: DataFrame, sample: int = 8192, books: int = 32, words: int = 256, beam: int = 4) -> tuple[DataFrame, dict[int, np.ndarray]]:
+def build(rows: DataFrame, sample: int = 8192, books: int = 32, words: int = 256, beam: int = 4) -> tuple[DataFrame, dict[int, Codebooks]]:
     """The index (vec_id, embedding, dims, code, norm) of every usable row, as a written table, and codebooks by length.
 
     sample: vectors of a length at most (about) that its codebooks are learnt on, taken by a hash of vec_id. The driver
     holds one sample and one set of codebooks a length.
     """
     fine = usable(rows).withColumn("dims", F.size("embedding"))
-    learnt: dict[int, np.ndarray] = {}
+    learnt: dict[int, Codebooks] = {}
     for r in fine.groupBy("dims").agg(F.approx_count_distinct("vec_id").alias("n")).orderBy("dims").collect():
         of, low = fine.where(F.col("dims") == r["dims"]).select("vec_id", "embedding"), int(1_000_000 * min(1.0, sample / max(r["n"], 1)))
         taken = of.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < low).dropDuplicates(["vec_id"]).toArrow().sort_by("vec_id")
         if not taken.num_rows:
             taken = of.orderBy(F.xxhash64("vec_id"), "vec_id").limit(words).toArrow()
-        learnt[r["dims"]] = train(np.array(taken["embedding"].to_pylist(), np.float64), books, words)
+        learnt[r["dims"]] = Codebooks(np.array(taken["embedding"].to_pylist(), np.float64).reshape(-1, r["dims"]), books, words)
     codebooks = rows.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                codes, norms = [b""] * len(part), np.zeros(len(part), np.float32)
+                codes, norms = [b""] * len(part), np.zeros(len(part))
                 for d, places, x in _matrices(part.column(1)):
                     code, norms[places] = encode(x, codebooks.value[d], beam)
                     for k, c in zip(places.tolist(), code, strict=True):
                         codes[k] = c.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(codes, pa.binary()), pa.array(norms)], ["vec_id", "embedding", "dims", "code", "norm"])
 
-    return written(fine.mapInArrow(run, "vec_id long, embedding array<double>, dims int, code binary, norm float"), "ann-index"), learnt
+    return written(fine.mapInArrow(run, "vec_id long, embedding array<double>, dims int, code binary, norm double"), "ann-index"), learnt
 
 
-def best_by_tables(q: np.ndarray, books: np.ndarray, vec: np.ndarray, code: np.ndarray, norm: np.ndarray, most: int):
+def best_by_tables(q: np.ndarray, books: Codebooks, vec: np.ndarray, code: np.ndarray, norm: np.ndarray, most: int):
     """(query, place) of the `most` rows nearest to each query by table scores, with the scores; ties to the smaller vec_id.
     vec is in order."""
+    words = books.words.astype(np.float64)
     for a in range(0, len(q), 32):
-        tables = np.einsum("qd,mwd->mqw", q[a : a + 32].astype(np.float32), books)
-        score = np.broadcast_to(norm, (tables.shape[1], len(vec))).copy()
-        for m in range(len(books)):
-            score -= 2 * tables[m][:, code[:, m]]
+        tables = words @ (-2 * books.placed(q[a : a + 32]).T)  # by book a row a word, a column a query
+        sums = np.repeat(norm[:, None], tables.shape[2], axis=1)
+        for m in range(len(tables)):
+            sums += tables[m][code[:, m]]
+        score = np.ascontiguousarray(sums.T)
         last = np.partition(score, most - 1, axis=1)[:, most - 1] if most < len(vec) else np.full(len(score), np.inf)
         for i, s in enumerate(score):
             below = np.flatnonzero(s < last[i])
@@ -131,7 +152,7 @@ def _spread(most: int, least_blocks: int) -> F.Column:
     return F.greatest(F.ceil(n / most), F.least(F.lit(least_blocks), F.ceil(n / 1024))).cast("int")
 
 
-def candidates(index: DataFrame, codebooks: dict[int, np.ndarray], queries: DataFrame, most: int, rows_a_block: int = 1 << 16, queries_a_block: int = 1024) -> DataFrame:
+def candidates(index: DataFrame, codebooks: dict[int, Codebooks], queries: DataFrame, most: int, rows_a_block: int = 1 << 16, queries_a_block: int = 1024) -> DataFrame:
     """query_id, vec_id: the `most` rows of the whole index that are nearest by table scores to each query, itself left out.
 
     Blocks of codes meet blocks of queries of the same length in a join: a block of codes stays in its task, and a block of
@@ -162,12 +183,12 @@ def candidates(index: DataFrame, codebooks: dict[int, np.ndarray], queries: Data
                     other = vec[near] != ids[k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(int(other.sum()), ids[k])), pa.array(vec[near][other]), pa.array(score[other])], ["query_id", "vec_id", "near"])
 
-    met = parts.join(codes, ["dims", "block"]).select("dims", "q", "c").mapInArrow(tidy(run), "query_id long, vec_id long, near float")
+    met = parts.join(codes, ["dims", "block"]).select("dims", "q", "c").mapInArrow(tidy(run), "query_id long, vec_id long, near double")
     by = Window.partitionBy("query_id").orderBy("near", "vec_id")
     return met.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).select("query_id", "vec_id").distinct()
 
 
-def search(index: DataFrame, codebooks: dict[int, np.ndarray], queries: DataFrame, k: int = 10, most: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+def search(index: DataFrame, codebooks: dict[int, Codebooks], queries: DataFrame, k: int = 10, most: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The k nearest of each query (vec_id, embedding, dims) among all other rows of the index: of the `most` nearest by
     table scores over the whole index, ranked anew on the original vectors. That is `most` exact distances a query, however
     large the index."""

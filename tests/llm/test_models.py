@@ -292,6 +292,30 @@ def test_neighbours_against_brute_force(spark):
     assert hit >= 0.9 * 300
 
 
+@pytest.mark.parametrize("case", ["plain", "by 1e2", "by 1e4", "by 1e6", "groups 1e-2", "groups 1e-4", "groups 1e-5", "times 1e-20", "times 1e20", "one far", "whole query"])
+def test_recall_of_the_tables_away_from_the_origin(case):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 32))
+    if case.startswith("by"):
+        x = x + float(case[3:])
+    elif case.startswith("groups"):
+        x = rng.normal(size=(6, 32))[rng.integers(0, 6, len(x))] * 3 + x * float(case[7:])
+    elif case.startswith("times"):
+        x = x * float(case[6:])
+    elif case == "one far":
+        x[5] = 1e9
+    elif case == "whole query":
+        x = 200 + 0.05 * x
+    books = ann.Codebooks(x[:3000], rounds=3)
+    code, norm = ann.encode(x, books)
+    asked, hit = np.arange(0, 4000, 100), 0
+    for i, near, _ in ann.best_by_tables(x[asked], books, np.arange(4000), code, norm, 257):
+        d = ((x - x[asked[i]]) ** 2).sum(1)
+        d[asked[i]] = np.inf
+        hit += len(set(near.tolist()) & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.95 * 10 * len(asked)
+
+
 def test_lengths_copies_and_repeated_ids(spark):
     rng = np.random.default_rng(6)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(300)] + [(1000 + k, rng.normal(size=5).tolist()) for k in range(40)]
