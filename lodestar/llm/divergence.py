@@ -95,7 +95,7 @@ class Trie:
             open_ += [(key, node.children[b]) for b in sorted(node.children, reverse=True)]
 
 
-def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
+def counted(documents: DataFrame, most: int = 1_500_000) -> DataFrame:
     """The leaves of the tries of each task, a row a language and term; a trie of over `most` counters leaves its task early.
 
     Most terms of a corpus stand in one document. Such a leaf has one counter of one source and no path of its own to share, so
@@ -111,18 +111,20 @@ def counted(documents: DataFrame, most: int = 400_000) -> DataFrame:
         def settled() -> Iterator[pa.RecordBatch]:
             for lang, by_source in words.items():
                 in_docs, held = docs[lang], tries[lang]
+                known = held.known
+                single = {t for t, n in in_docs.items() if n == 1 and t}
                 for source, n in by_source.items():
-                    lone, times = [], []
-                    for term, c in n.items():
-                        if in_docs[term] == 1 and term:
-                            lone.append(term)
-                            times.append(c)
+                    lone = list(n.keys() & single)
+                    yield from lone_rows(lang, source, lone, list(map(n.__getitem__, lone)))
+                    rest = n.keys() - single
+                    held.entries += len(rest)
+                    for term in rest:
+                        counts = (known.get(term) or held.leaf(term)).counts
+                        if source in counts:
+                            counts[source] += n[term]
+                            held.entries -= 1
                         else:
-                            counts = held.leaf(term).counts
-                            if source not in counts:
-                                held.entries += 1
-                            counts[source] = counts.get(source, 0) + c
-                    yield from lone_rows(lang, source, lone, times)
+                            counts[source] = n[term]
                 for term, n in in_docs.items():
                     if n > 1 or not term:
                         held.leaf(term).docs += n
