@@ -11,6 +11,7 @@ import base64
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -30,8 +31,11 @@ RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+NUMBERED = re.compile(r"[A-Za-z]{1,8}[-_/=]?[0-9]+(?:[-_/][0-9]+)*(?:[-_/]?[A-Za-z])?")
 LONE = re.compile(r"(?<![a-z])[a-z](?![a-z])|(?<![A-Z])[A-Z](?![A-Za-z])")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+SHORT = 2  #: letters of a part that says nothing, as in v2, x86 or to
+WORDS = 0.5  #: the share of letters and digits that longer parts of an identifier make up at least
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
 
@@ -67,8 +71,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(run: str) -> bool:
-    """A digest of a usual length, a UUID or a number."""
-    return bool((len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or UUID.fullmatch(run) or not re.search("[A-Za-z]", run))
+    """A digest of a usual length, a UUID, a number, or a number behind a short name, as of books, papers and standards."""
+    return bool((len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run)) or UUID.fullmatch(run) or not re.search("[A-Za-z]", run) or NUMBERED.fullmatch(run))
 
 
 def identifier(run: str) -> bool:
@@ -76,16 +80,25 @@ def identifier(run: str) -> bool:
     return not LONE.search(run) and any(map(str.isalnum, run))
 
 
+def word_parts(run: str) -> Iterator[list[str]]:
+    """The letters by which run can be told an identifier: all its parts where no letter stands alone, and the parts of more
+    than SHORT letters where they make up the share WORDS of it. Linear in its length."""
+    parts = PART.findall(run)
+    if identifier(run):
+        yield parts
+    long_ = [p for p in parts if len(p) > SHORT]
+    if sum(map(len, long_)) >= WORDS * sum(map(str.isalnum, run)):
+        yield long_
+
+
 def random(run: str, ranks: str, ratio: float) -> bool:
     """Whether run has fewer characters a token than ratio, and so have the parts of an identifier.
 
     Capitals and separators break common words into more tokens, so the letters of an identifier count once more by part.
     """
     tokens = lambda x: len(_encoding(ranks).encode_ordinary(x))
-    if len(run) >= ratio * tokens(run):
-        return False
-    parts = PART.findall(run) if identifier(run) else []
-    return not parts or sum(map(len, parts)) < ratio * sum(tokens(p.lower()) for p in parts)
+    words = lambda parts: bool(parts) and sum(map(len, parts)) >= ratio * sum(tokens(p.lower()) for p in parts)
+    return len(run) < ratio * tokens(run) and not any(map(words, word_parts(run)))
 
 
 def all_spans(text: str, ranks: str, ratio: float) -> tuple[list, list]:

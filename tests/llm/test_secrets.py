@@ -96,3 +96,41 @@ def test_many_spans_take_linear_time():
     start = time.time()
     base, every = secrets.all_spans(text, secrets.default_ranks(), 2.5)
     assert (len(base), len(every)) == (40_000, 60_000) and time.time() - start < 20
+
+
+IDENTIFIERS = """
+user_id_mapping_table_v2_final v2_user_id_mapping_table x86_64-pc-windows-msvc-gcc x86_64-unknown-linux-gnu e2e-test-suite-for-payments user_a_to_user_b_mapping libstdc++-v3-testsuite-all kubernetes-dashboard-5f7b-ab12c ISBN-978-3-16-148410-0 aarch64-apple-darwin-clang armv7-unknown-linux-gnueabihf i686-pc-windows-gnu-gcc powerpc64le-unknown-linux-gnu wasm32-unknown-emscripten
+AbstractSingletonProxyFactoryBean InternalFrameInternalFrameTitlePaneMaximizeButton HttpServletRequestWrapper ConcurrentModificationException SimpleDateFormatThreadLocal get_user_by_email_address MAX_CONNECTION_POOL_SIZE spark.sql.shuffle.partitions org_apache_hadoop_fs_FileSystem AWS_DEFAULT_REGION_NAME DATABASE_CONNECTION_TIMEOUT_MS
+node_modules/react-dom/server/index_js usr/local/share/applications application/x-www-form-urlencoded text/html/charset-utf-8 my-awesome-project-2024-01-15 2024-01-15T10-30-00Z-backup release-candidate-1-2-3-beta-4 google-cloud-storage-bucket-name docker-compose-development-override src/main/java/com/example/demo
+requirements-dev-py310-linux test_that_the_parser_handles_empty_input feature/JIRA-1234-add-login-button bugfix/PROJ-42-null-pointer-in-handler sha256-checksum-of-the-release utf-8-with-signature-and-bom h264-nvenc-hardware-encoder http2-server-push-enabled ipv6-only-network-interface k8s-cluster-autoscaler-eu-west-1
+us-east-1-production-database-replica-3 gpt2-medium-english-tokenizer word2vec-google-news-300 resnet50_v1_5_imagenet bert-base-uncased-finetuned-squad mp3-to-wav-converter-tool a4-paper-landscape-template b2b-sales-report-q3-2023 c3p0-connection-pool-config i18n-translation-strings-de oauth2-authorization-server
+getElementsByClassNameAndTagName setHasStableIdsAndNotify onCreateViewHolderForPosition isValidISO8601DateTimeString parseXMLHttpRequestResponse convertRGBToHSLColorSpace sort_by_key_then_value_desc num_rows_per_shuffle_partition log4j-slf4j2-impl-binding junit-jupiter-api-5-10-0 com_fasterxml_jackson_core_databind
+Llanfairpwllgwyngyll-station-sign DIN-EN-ISO-9001-2015 RFC-2616-section-14-9 arXiv-2106-09685-v2 PMID-31452104-and-31452105 CVE-2021-44228-log4shell DOI-10-1038-s41586-020-2649-2 ISSN-1476-4687-0028-0836 EAN-4006381333931 IBAN-number-of-the-account
+the-quick-brown-fox-jumps-over wp-content/themes/twentytwenty/assets static/js/main-chunk-vendor bower_components/jquery-ui/themes .github/workflows/ci-build-and-test vm-ubuntu-20-04-lts-gen2 python3-dev-libpq-dev-gcc lib/x86_64-linux-gnu/libc-2-31 i386-pc-solaris2-11-gcc mingw-w64-x86_64-toolchain
+x11-apps-common-utilities p2p-file-sharing-protocol d3-scale-chromatic-palettes three-js-webgl-renderer s3-bucket-lifecycle-policy ec2-instance-connect-endpoint r2dbc-postgresql-driver t-shirt-size-xl-black-cotton m4a-audio-file-format z-index-stacking-context n-gram-language-model-smoothing k-means-clustering-algorithm f-string-formatting-in-python
+""".split()
+WORDS = "user account mapping table index payment order client server cache token report invoice session config build deploy module handler parser stream buffer query shard merge split batch worker event cluster node region bucket policy".split()
+SHORT = "v2 id x to a b2 t1 db s3 ui v10 k8s io py3".split()
+
+
+def identifiers(n: int = 260) -> list[str]:
+    """Identifiers as they are written, and more of words, short parts and numbers."""
+    r, out = random.Random(1), list(IDENTIFIERS)
+    while len(out) < n:
+        parts = [r.choice(WORDS) for _ in range(r.randrange(3, 6))]
+        parts.insert(r.randrange(len(parts) + 1), r.choice(SHORT))
+        if r.random() < 0.5:
+            parts.insert(r.randrange(len(parts) + 1), str(r.randrange(1, 2025)))
+        made = r.choice("-_").join(parts) if r.random() < 0.7 else "".join(map(str.capitalize, parts))
+        out += [made] * (len(made) >= 20)
+    return out
+
+
+def test_identifiers_stay_and_random_strings_go():
+    flagged = lambda x: any(k == 3 for _, k, _ in secrets.all_spans(x, secrets.default_ranks(), 2.5)[1])
+    named = identifiers()
+    assert sum(map(flagged, named)) <= 0.02 * len(named)
+    r = random.Random(2)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"):
+        for size in (20, 32, 64):
+            assert sum(flagged("".join(r.choice(letters) for _ in range(size))) for _ in range(200)) >= 197
