@@ -29,7 +29,7 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 FENCE = frozenset("ul ol dl table select article section div body main aside form nav td th".split())
 
 # Fixed values of the method: what is cut by tag and role, and what is marked by the words of a class or id.
-CUT_TAGS = frozenset("nav footer aside button select dialog menu head svg math canvas audio video object label fieldset search".split())
+CUT_TAGS = frozenset("nav footer aside button select dialog menu head svg canvas audio video object fieldset search".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 JUNK = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsors sponsored cookie cookies consent gdpr comment comments commentlist "
@@ -38,6 +38,9 @@ JUNK = frozenset(
 )
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 DOUBTFUL = frozenset("banner promo promos promotion notice notices alert alerts sidebar sidebars rail widget widgets footer reply replies respond share sharing social related recommended recommendations toolbar masthead header".split())
+HINTS = frozenset("comments ad ads advert advertisement sponsored newsletter sidebar related recommended share promo cookie navigation popup signup notice".split())  # as first or last word
+VENDORS = frozenset("adsbygoogle taboola outbrain disqus".split())
+RESPONSES = frozenset("discussion responses feedback".split())  # names of readers' comments, or of a text
 FILLER = frozenset(
     "site page top bottom left right side bar list lists box boxes container wrapper wrap area areas section block blocks unit units slot slots link links inner outer primary "
     "secondary global mobile desktop sticky fixed button buttons form posts stories items item icon icons panel row col column group module region user users reader readers "
@@ -46,8 +49,9 @@ FILLER = frozenset(
 LAYOUT = frozenset("content contents".split())  # filler after a cut word only: 'content-sidebar' names an arrangement
 HEADING = frozenset("header masthead banner widget widgets".split())  # what may head an article
 SIBLINGS = frozenset("section h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table".split())
+PARTS = frozenset("article dd div li section tr".split())
 KEEP_TAGS = frozenset("html body main article".split())
-KEPT, SOFT, FIRM, CUT = 0, 1, 2, 3  # marks of an element
+KEPT, HINT, SOFT, FIRM, CUT = range(5)  # marks of an element; a hint is for the tree to decide
 JUNK_POINTS = 10  # a part named as junk that holds fewer is never the text
 PARAGRAPH = 80  # characters of a block that surely is one
 
@@ -65,10 +69,10 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.A | re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "mark", "readers", "cut", "open", "in_link", "held", "free", "around", "longest", "score", "length", "linked", "prose")
+    __slots__ = ("tag", "parent", "items", "raw", "mark", "readers", "cut", "open", "in_link", "held", "free", "around", "longest", "score", "length", "linked", "prose")
 
     def __init__(self, tag: str, parent: "Node | None"):
-        self.tag, self.parent, self.items = tag, parent, []
+        self.tag, self.parent, self.items, self.raw = tag, parent, [], ""
         self.mark, self.readers, self.cut, self.open = KEPT, False, False, True  # open: nothing marked from here up
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         # points: of all below but readers' comments, of what no marked part below holds, of what stands unmarked around
@@ -77,22 +81,33 @@ class Node:
 
 
 def named(token: str, excused: frozenset) -> tuple[int, bool]:
-    """The mark that one whole class or id asks for, and whether it names readers' comments."""
+    """The mark that one whole class or id asks for, and whether it names readers' comments.
+
+    All of its words are known for a firm or soft mark. With others among them it is a hint if its first word is one, or the
+    last but for filler; readers' comments come last.
+    """
     mark, readers = KEPT, False
-    for w in map(str.lower, NAME_WORD.findall(token)):
+    words = [w.lower() for w in NAME_WORD.findall(token)]
+    for w in words:
         if w in excused:
             continue
         if w in JUNK or w in DOUBTFUL:
             mark, readers = max(mark, FIRM if w in JUNK else SOFT), readers or w in READERS
+        elif token.lower() in VENDORS:
+            return FIRM, w in READERS
         elif not (w.isdigit() or w in FILLER or (mark and w in LAYOUT)):
-            return KEPT, False
+            last = next((x for x in reversed(words) if not x.isdigit() and x not in FILLER), "")
+            heads = ({words[0]} - READERS | {last}) - excused
+            return (HINT if heads & HINTS or (len(words) == 1 and heads & RESPONSES) else KEPT), bool(heads & (READERS | RESPONSES))
     return mark, readers
 
 
-def mark_of(tag: str, raw: str, inside: bool) -> tuple[int, bool]:
-    """How an element is marked; inside: within an article or main part."""
+def mark_of(tag: str, raw: str, inside: bool, inside_form: bool = False) -> tuple[int, bool]:
+    """How an element is marked; inside: within an article or main part; inside_form: within a form."""
     if tag in CUT_TAGS or (tag == "header" and not inside):
         return CUT, False
+    if tag == "label" and inside_form:
+        return CUT, False
     mark, readers = (SOFT if tag == "form" else KEPT), False
     if not raw.strip():
         return mark, readers
@@ -183,12 +198,13 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             continue
         node = Node(tag, parent)
         if not opened.cut:
-            node.mark, node.readers = mark_of(tag, raw, opened.last("article") > 0 or opened.last("main") > 0)
+            node.mark, node.readers = mark_of(tag, raw, opened.last("article") > 0 or opened.last("main") > 0, opened.last("form") > 0)
             if node.mark == CUT:
                 opened.cut = len(opened.stack)
             else:
                 parent.items.append(node)
                 nodes.append(node)
+                node.raw = raw.strip()
         opened.push(node)
     if at < len(html) and not opened.cut:
         opened.stack[-1].items.append(html[at:])
@@ -274,6 +290,45 @@ def cut_marked(root: Node, nodes: list[Node]) -> None:
             node.cut, node.around = beside or not most, node.free
 
 
+def repeated(node: Node) -> bool:
+    """Whether most of an element's parts are alike by tag and class, two or more of them, as comments and teasers are; a text's
+    paragraphs and headings are no such parts."""
+    parts = [(x.tag, tuple(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(x.raw) if m[1].lower() == "class")) for x in node.items if not isinstance(x, str) and x.tag in PARTS]
+    most = max((parts.count(p) for p in set(parts[:16])), default=0)
+    return most >= 2 and 2 * most > len(parts)
+
+
+def settle_hints(nodes: list[Node]) -> None:
+    """Makes of each hint a mark or nothing, by the tree. A part whose name hints at readers, adverts or teasers is one if most of
+    it is links, if its parts are alike, or if it is short and no paragraph; readers' comments also if a text stands before them.
+    A name that may be a text's own asks for parts that are alike. What holds most of the page's text never is."""
+    hinted = [n for n in nodes if n.mark == HINT]
+    if not hinted:
+        return
+    length, linked, longest, before, total = {}, {}, {}, {}, 0
+    for node in nodes:  # in page order: how much text stands before each
+        before[id(node)] = total
+        total += sum(len(x.strip()) for x in node.items if isinstance(x, str))
+    for node in reversed(nodes):
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        length[id(node)] = length.get(id(node), 0) + own
+        linked[id(node)] = linked.get(id(node), 0) + own * node.in_link
+        longest[id(node)] = max(longest.get(id(node), 0), own)
+        if node.parent is not None:
+            up = id(node.parent)
+            length[up], linked[up] = length.get(up, 0) + length[id(node)], linked.get(up, 0) + linked[id(node)]
+            longest[up] = max(longest.get(up, 0), longest[id(node)])
+    for node in hinted:
+        k = id(node)
+        words = {w.lower() for t in node.raw.split() for w in NAME_WORD.findall(t)}
+        alike, links = repeated(node), linked[k] * 2 > length[k]
+        own_name = not words & HINTS
+        follows = node.readers and not own_name and before[k] > length[k]
+        junk = alike or links or (not own_name and (follows or longest[k] < PARAGRAPH))
+        node.mark = (FIRM if node.readers else SOFT) if junk and 2 * length[k] <= total else KEPT
+        node.readers = node.readers and node.mark != KEPT
+
+
 def score_containers(every: list[tuple[str, Node]]) -> list[Node]:
     """Passes the points of each block to the elements above it, fewer with distance; returns the elements with points."""
     scored = {}
@@ -294,6 +349,7 @@ def _density(node: Node) -> float:
 
 def main_blocks(html: str) -> list[str]:
     root, nodes = parse(html)
+    settle_hints(nodes)
     cut_marked(root, nodes)
     measure(nodes)
     every = blocks_of(root)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from lodestar.llm import html_text, warc
 
 PAGES = "page_id long, url string, html string, archive string, kept long, text string"
@@ -185,3 +187,36 @@ def test_scores_against_a_plain_recursion():
         html_text.score_containers(every)
         for node in nodes[1:]:
             assert abs(node.score - scores(node, every)) < 1e-6
+
+
+PARAGRAPHS = "<p>The first paragraph of the text has many words, some commas, and goes on for a while so that it is long enough to be one.</p><p>The second follows, with other words, and it also goes on for long enough to count as one of its own.</p>"
+COMMENTS = '<div class="c"><b>Ann</b><p>JUNK I think that this is a very good text, and I have liked to read it a lot, thank you so much for it all.</p></div><div class="c"><b>Bob</b><p>JUNK no, I do not agree with it, as there are many things, and reasons, that speak against it in my own opinion.</p></div>'
+
+
+def page_of(inside: str, after: str = "") -> str:
+    return f"<html><body><header><a href=/>Home</a></header><main><article><h1>Title</h1>{PARAGRAPHS}{inside}{PARAGRAPHS}</article>{after}</main><footer>foot</footer></body></html>"
+
+
+@pytest.mark.parametrize("name", "google-ad ad-banner-728x90 adsbygoogle taboola outbrain newsletter-cta blog-sidebar related-articles privacy-notice cookie-policy-notice post-navigation share-this mega-promo partner-ad".split())
+def test_adverts_and_notices_leave_the_article(name):
+    plain = html_text.main_text(page_of(""))
+    part = f'<div class="{name}">JUNK buy this thing now</div>'
+    assert html_text.main_text(page_of(part)) == plain == html_text.main_text(page_of("", part))
+
+
+@pytest.mark.parametrize("name", "post-comments article-comments blog-comments entry-comments wp-comments story-comments reader-comments-list visitor-comments discussion".split())
+def test_readers_comments_leave_the_article(name):
+    plain = html_text.main_text(page_of(""))
+    for kind in ("class", "id"):
+        part = f'<div {kind}="{name}">{COMMENTS}</div>'
+        assert html_text.main_text(page_of(part)) == plain == html_text.main_text(page_of("", part))
+
+
+@pytest.mark.parametrize("name", "discussion author-comments-on-method related-work notice-of-the-kings share-prices-in-1929 sidebar-effects comments-on-kant".split())
+def test_a_text_named_like_a_part_stays(name):
+    assert html_text.main_text(page_of(f'<div class="{name}">{PARAGRAPHS.replace("The", "KEPT the")}</div>')).count("KEPT") == 2
+
+
+def test_formulas_and_labels_outside_forms_stay():
+    text = html_text.main_text(page_of("<p>where <math><mi>x</mi></math> holds, and <label>this label</label> stays in the text of the page.</p><form><label>Your name</label><input></form>"))
+    assert "where x holds, and this label stays" in text and "Your name" not in text
