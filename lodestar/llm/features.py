@@ -13,6 +13,7 @@ sums over shards, taken in blocks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from .common import batches, only, tidy, written
 DAY = 86_400_000_000
 HOUR = DAY // 24
 #: What a shard's row is.
-EVENT, LINE, SALE, PROBE, MARK, CARRIED, ITEM, ITEM_CARRIED, SUM, LATEST, NEXT = range(11)
+EVENT, SALE, PROBE, MARK, CARRIED, ITEM, ITEM_CARRIED, SUM, LATEST, NEXT = range(10)
 #: Where an event comes from; an item is an interval in which an item counts.
 CLICK, SOLD, LINES, ITEMS = range(4)
 NO_ID = -(2**63) + 1  #: stands for an id that is null
@@ -105,24 +106,6 @@ def fenwick(tree: np.ndarray, a: np.ndarray, e: np.ndarray, tie: np.ndarray, val
     return sums, np.where(best < n, by_e[np.minimum(best, n - 1)], -1)
 
 
-def unions(tree: np.ndarray, item: np.ndarray, a: np.ndarray, e: np.ndarray, days: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tree, start, end) of the intervals in which an item of a tree counts for a window of so many days: the union of
-    [a, e + days) of its rows, each piece from its first to its last activity."""
-    order = np.lexsort((-e, a, item, tree))
-    tree, item, start, end = tree[order], item[order], a[order], e[order] + days * DAY
-    keep = end > start
-    tree, item, start, end = tree[keep], item[keep], start[keep], end[keep]
-    if not len(tree):
-        return tree, start, end
-    group = np.cumsum(np.concatenate([[0], (tree[1:] != tree[:-1]) | (item[1:] != item[:-1])]))
-    nth = np.unique(end, return_inverse=True)
-    reached = nth[0][np.maximum.accumulate(group * len(end) + nth[1]) - group * len(end)]  # the largest end so far in the group
-    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (start[1:] > reached[:-1])])
-    first = np.flatnonzero(fresh)
-    last = np.concatenate([first[1:], [len(tree)]]) - 1
-    return tree[first], start[first], reached[last]
-
-
 def shard_features(rows: dict[str, np.ndarray], windows: tuple[int, ...], label_days: int) -> Iterator[list[np.ndarray]]:
     """The result's columns, by window, of whole shards; rows hold STATE, ordered by client and shard."""
     fresh = np.concatenate([[True], (np.diff(rows["client"]) != 0) | (np.diff(rows["shard"]) != 0)])
@@ -150,7 +133,6 @@ def shard_features(rows: dict[str, np.ndarray], windows: tuple[int, ...], label_
     latest = of(LATEST)
     before_e, before_k = np.full(tree[-1] + 1, np.iinfo(np.int64).min), np.zeros(tree[-1] + 1, np.int64)
     before_e[tree[latest]], before_k[tree[latest]] = rows["e"][latest], k[latest]
-    lines = of(LINE)
     for d in windows:
         low = t - d * DAY
         into = np.flatnonzero((what == EVENT) | ((what == CARRIED) & (rows["days"] == d)))
@@ -163,10 +145,8 @@ def shard_features(rows: dict[str, np.ndarray], windows: tuple[int, ...], label_
         sums, _ = fenwick(tree[into], rows["a"][into], rows["e"][into], k[into], values, ask, t, low)
         click = into[source == CLICK]
         _, best = fenwick(tree[click], rows["a"][click], rows["e"][click], k[click], np.zeros((len(click), 0), np.int64), ask, t, low)
-        pieces, start, end = unions(tree[lines], k[lines], rows["a"][lines], rows["e"][lines], d)
-        given = np.flatnonzero(((what == ITEM) | (what == ITEM_CARRIED)) & (rows["days"] == d))
-        pieces, start, last = np.concatenate([pieces, tree[given]]), np.concatenate([start, rows["a"][given]]), np.concatenate([end - d * DAY, rows["e"][given]])
-        items = fenwick(pieces, start, last, np.zeros_like(start), np.ones((len(pieces), 1), np.int64), ask, t, low)[0][:, 0]
+        into = np.flatnonzero(((what == ITEM) | (what == ITEM_CARRIED)) & (rows["days"] == d))
+        items = fenwick(tree[into], rows["a"][into], rows["e"][into], k[into], np.ones((len(into), 1), np.int64), ask, t, low)[0][:, 0]
 
         lasting = np.zeros((tree[-1] + 1, 8), np.int64)
         sum_ = np.flatnonzero((what == SUM) & (rows["days"] == d))
@@ -271,7 +251,8 @@ def before(sums: DataFrame, keys: list[str], columns: dict[str, str], block: int
 
 
 def pieces(items: DataFrame, windows: tuple[int, ...]) -> DataFrame:
-    """(client, days, a, e): intervals [a, e + days) that don't overlap and cover those in which an item of items counts.
+    """(client, days, a, e, width, last): the union of the intervals, from first to last activity, in which an item of items
+    (client, item, a, e, width, last) counts, as pieces [a, e + days) that don't overlap.
 
     Of an item's rows in order of a only those matter whose e is later than all before: first within an hour of a, then over
     the hours.
@@ -282,34 +263,33 @@ def pieces(items: DataFrame, windows: tuple[int, ...]) -> DataFrame:
     over = Window.partitionBy("client", "item").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
     hours = hourly.groupBy("client", "item", "_h").agg(F.max("e").alias("_m")).withColumn("_q", F.max("_m").over(over)).drop("_m")
     kept = kept.join(hours, ["client", "item", "_h"]).withColumn("_p", F.greatest("_p", "_q")).where(F.col("_p").isNull() | (F.col("e") > F.col("_p")))
-    every = kept.select("client", "e", F.explode(F.array(*map(F.lit, windows))).alias("days"), "a", "_p")
-    start = F.greatest(F.col("a"), F.col("_p") + F.col("days") * F.lit(DAY))
-    return every.select("client", "days", start.alias("a"), "e").where(F.col("a") < F.col("e") + F.col("days") * F.lit(DAY))
+    kept = written(kept.select("client", "a", "e", "_p", "width", "last"), "item-rows")
+    by_window = [kept.select("client", F.lit(d).alias("days"), F.greatest(F.col("a"), F.col("_p") + d * DAY).alias("a"), "e", "width", "last").where(F.col("a") < F.col("e") + d * DAY) for d in windows]
+    return functools.reduce(DataFrame.unionByName, by_window)
 
 
-def cut(times: DataFrame, rows_a_shard: int) -> DataFrame:
-    """(client, width, first, last): how long a client's shards are, whole hours, so that its busiest hour's pace puts
-    rows_a_shard of times (client, time) into one, and the first and last of them. An hour isn't cut."""
+def cut(times: DataFrame, large: int, rows_a_shard: int) -> DataFrame:
+    """(client, width, first, last) of clients with over `large` of times (client, time): how long their shards are, whole
+    hours, so that the busiest hour's pace puts rows_a_shard into one, and the first and last of them. An hour isn't cut."""
     hours = times.groupBy("client", F.floor(F.col("time") / HOUR).alias("_h")).agg(F.count(F.lit(1)).alias("n"))
     width = F.greatest(F.lit(1), F.floor(rows_a_shard / F.max("n"))) * HOUR
-    spans = hours.groupBy("client").agg(width.alias("width"), F.min("_h").alias("_f"), F.max("_h").alias("_l"))
+    spans = hours.groupBy("client").agg(F.sum("n").alias("n"), width.alias("width"), F.min("_h").alias("_f"), F.max("_h").alias("_l")).where(F.col("n") > large)
     return spans.select("client", "width", F.floor(F.col("_f") * HOUR / F.col("width")).alias("first"), F.floor(F.col("_l") * HOUR / F.col("width")).alias("last"))
 
 
-def cut_state(events: DataFrame, items: DataFrame, probes: DataFrame, windows: tuple[int, ...], rows_a_shard: int) -> DataFrame:
-    """STATE of clients that are cut by time."""
+def item_rows(pieces_: DataFrame) -> DataFrame:
     zero = lambda *names: [F.lit(0).cast("long").alias(c) for c in names]
-    inserted = events.select(F.lit(EVENT).alias("what"), "client", "source", F.lit(0).alias("_of"), "a", "e", "k", "n", "m", "cents")
-    inserted = inserted.unionByName(pieces(items, windows).select(F.lit(ITEM).alias("what"), "client", F.lit(ITEMS).alias("source"), F.col("days").alias("_of"), "a", "e", F.lit(1).cast("long").alias("n"), *zero("k", "m", "cents")))
-    at = lambda df, time: df.select("client", F.col(time).alias("time"))
-    clients = written(cut(at(events, "a").unionByName(at(probes, "t")).unionByName(at(probes, "e")), rows_a_shard), "cut-clients")
+    return pieces_.select(F.lit(ITEM).alias("what"), "client", F.lit(ITEMS).alias("source"), F.col("days").alias("_of"), "a", "e", F.lit(1).cast("long").alias("n"), *zero("k", "m", "cents"), "width", "last")
+
+
+def cut_state(events: DataFrame, pieces_: DataFrame, probes: DataFrame, clients: DataFrame, windows: tuple[int, ...]) -> DataFrame:
+    """STATE of clients that are cut by time; the rows of the first three have their client's width and last shard."""
+    inserted = events.select(F.lit(EVENT).alias("what"), "client", "source", F.lit(0).alias("_of"), "a", "e", "k", "n", "m", "cents", "width", "last").unionByName(item_rows(pieces_))
     shard = lambda time: F.floor(time / F.col("width")).cast("int")
-    start = written(inserted.join(clients, "client").withColumn("shard", shard(F.col("a"))), "inserted")
-    asked = probes.join(clients, "client")
+    start = written(inserted.withColumn("shard", shard(F.col("a"))), "inserted")
     # a row for each window in which an event is known before it is too old, with the shard in which it ends
-    end = F.col("e") + F.col("days") * F.lit(DAY)
-    each = start.withColumn("days", F.explode(F.array(*map(F.lit, windows)))).where(((F.col("_of") == 0) | (F.col("_of") == F.col("days"))) & (F.col("a") < end))
-    each = each.withColumn("_end", shard(end)).drop("_of")
+    by_window = [start.withColumns({"days": F.lit(d), "_end": F.col("e") + d * DAY}).where(F.col("_of").isin(0, d) & (F.col("a") < F.col("_end"))) for d in windows]
+    each = functools.reduce(DataFrame.unionByName, by_window).withColumn("_end", shard(F.col("_end"))).drop("_of")
     carried = each.where((F.col("_end") > F.col("shard")) & (F.col("_end") <= F.col("last"))).withColumn("shard", F.col("_end"))
     # sums of what is known before a shard and lasts beyond it: inserted before, less what ends before or in it
     by = ["client", "days", "source", "shard"]
@@ -323,13 +303,13 @@ def cut_state(events: DataFrame, items: DataFrame, probes: DataFrame, windows: t
     lasting = known.unionByName(signed(carried, -1).groupBy(*by).agg(*sums).select(*known.columns)).groupBy(*by).agg(*sums)
     latest = start.where(f"what = {EVENT} and source = {CLICK}").groupBy("client", "shard").agg(F.max(F.struct("e", "k")).alias("x"))
     latest = before(shards.join(latest, ["client", "shard"], "left"), ["client"], {"x": "max"}).where("x is not null").select("client", "shard", "x.e", "x.k")
-    marks = asked.select("client", shard(F.col("e")).alias("shard"), "e")
+    marks = probes.select("client", shard(F.col("e")).alias("shard"), "e")
     next_ = before(shards.join(marks.groupBy("client", "shard").agg(F.min("e").alias("e")), ["client", "shard"], "left"), ["client"], {"e": "min"}, later=True).where("e is not null")
     values = {c: c for c in ("source", "a", "e", "k", "n", "m", "cents")}
     rows = [
         state_rows(start, None, **values | {"what": "what", "days": "_of"}),
         state_rows(carried, None, **values | {"what": F.when(F.col("what") == ITEM, ITEM_CARRIED).otherwise(CARRIED), "days": "days"}),
-        state_rows(asked.withColumn("shard", shard(F.col("t"))), PROBE, a="t", k="sale_id"),
+        state_rows(probes.withColumn("shard", shard(F.col("t"))), PROBE, a="t", k="sale_id"),
         state_rows(marks, MARK, e="e"),
         state_rows(lasting, SUM, source="source", days="days", n="n", m="m", cents="cents"),
         state_rows(latest, LATEST, e="e", k="k"),
@@ -356,14 +336,15 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, windows: tup
     """
     batches(sales.sparkSession, 16_384)  # rows are short
     events, items, probes = events_of(clicks, sales, lines, late)
-    count = lambda df: df.groupBy("client").agg(F.count(F.lit(1)).alias("n"))
-    sizes = count(events).unionByName(count(items)).unionByName(count(probes)).groupBy("client").agg(F.sum("n").alias("n"))
-    cut_ones = written(sizes.where(F.col("n") > large).select("client"), "large-clients")
-    whole = lambda df: df.join(cut_ones, "client", "left_anti").withColumn("shard", F.lit(0))
-    rest = lambda df: df.join(cut_ones, "client", "left_semi")
+    at = lambda df, time: df.select("client", F.col(time).alias("time"))
+    clients = written(cut(at(events, "a").unionByName(at(probes, "t")).unionByName(at(probes, "e")), large, rows_a_shard), "cut-clients")
+    placed = lambda df, name: written(df.join(clients.drop("first"), "client", "left"), name)
+    events, probes, found = placed(events, "placed-events"), placed(probes, "placed-sales"), written(pieces(placed(items, "placed-items"), windows), "pieces")
+    whole = lambda df: df.where("width is null").withColumn("shard", F.lit(0))
+    rest = lambda df: df.where("width is not null")
     values = {c: c for c in ("source", "a", "e", "k", "n", "m", "cents")}
-    rows = state_rows(whole(events), EVENT, **values).unionByName(state_rows(whole(items), LINE, a="a", e="e", k="item")).unionByName(state_rows(whole(probes), SALE, a="t", e="e", k="sale_id"))
-    return swept(rows.unionByName(cut_state(rest(events), rest(items), rest(probes), windows, rows_a_shard)), windows, label_days)
+    rows = state_rows(whole(events), EVENT, **values).unionByName(state_rows(whole(item_rows(found)), None, **values | {"what": "what", "days": "_of"})).unionByName(state_rows(whole(probes), SALE, a="t", e="e", k="sale_id"))
+    return swept(rows.unionByName(cut_state(rest(events), rest(found), rest(probes), clients, windows)), windows, label_days)
 
 
 SQL = """

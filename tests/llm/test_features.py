@@ -88,17 +88,15 @@ def test_fenwick_equals_plain_sums():
                 assert (e[best[i]], tie[best[i]]) == max(zip(e[hit], tie[hit], strict=True)) and best[i] in hit
 
 
-def test_unions_cover_each_moment_once():
-    rng = np.random.default_rng(2)
-    day = features.DAY
-    tree, item = rng.integers(0, 3, 200), rng.integers(0, 4, 200)
-    e = rng.integers(0, 40 * day, 200)
-    a = e + rng.integers(0, 4 * day, 200)
-    pieces, start, end = features.unions(tree, item, a, e, 2)
-    for t in rng.integers(0, 50 * day, 300):
-        for g in range(3):
-            alive = {i for k, i in enumerate(item) if tree[k] == g and a[k] <= t < e[k] + 2 * day}
-            assert ((pieces == g) & (start <= t) & (t < end)).sum() == len(alive)
+def test_pieces_cover_each_moment_of_an_item_once(spark):
+    r, day = random.Random(2), features.DAY
+    rows = [(r.randrange(3), r.randrange(4), (e := r.randrange(40 * day)) + r.randrange(4 * day), e) for _ in range(200)]
+    items = spark.createDataFrame([(*x, None, None) for x in rows], "client long, item long, a long, e long, width long, last long")
+    got = features.pieces(items, (2, 14)).collect()
+    for _ in range(300):
+        t, c, d = r.randrange(50 * day), r.randrange(3), r.choice([2, 14])
+        alive = {i for g, i, a, e in rows if g == c and a <= t < e + d * day}
+        assert sum(p.client == c and p.days == d and p.a <= t < p.e + d * day for p in got) == len(alive)
 
 
 def test_features_equal_brute_force_whole_and_cut(spark):
