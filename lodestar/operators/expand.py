@@ -31,33 +31,41 @@ BUCKETS = list(TEXT_ALIASES)
 
 
 def first_text(payload: Column, names) -> Column:
-    """The first name whose value is a non-blank scalar, trimmed; lists and objects are passed over."""
+    """The first name of a VARIANT whose value is a non-blank scalar, trimmed; lists and objects are passed over."""
     out = []
     for n in names:
-        v = F.get_json_object(payload, f"$.{n}")
+        v = F.try_variant_get(payload, f"$.{n}", "string")
         out.append(F.when(~F.rlike(F.ltrim(v), F.lit(r"^[\[{]")), F.nullif(F.trim(v), F.lit(""))))
     return F.coalesce(*out)
 
 
+def truth(payload: Column, name: str) -> Column:
+    """Whether a field of a VARIANT counts as true: texts, lists and objects that aren't empty, numbers other than 0, true; null
+    where it is null or absent."""
+    value, kind = F.try_variant_get(payload, f"$.{name}", "string"), F.schema_of_variant(F.try_variant_get(payload, f"$.{name}", "variant"))
+    number = F.coalesce(value.try_cast("double") != 0, F.lit(True))
+    return F.when(value.isNull(), F.lit(None)).when(kind == "STRING", value != "").when(kind == "BOOLEAN", value == "true").when(F.rlike(kind, F.lit("^(OBJECT|ARRAY)")), ~value.isin("{}", "[]")).otherwise(number)
+
+
 def normalised(items: DataFrame) -> DataFrame:
-    """items (bucket, payload as JSON text) with text, detail, confidence, closable and source_claim."""
-    p, b = F.col("payload"), F.col("bucket")
+    """items (bucket, payload as JSON text) with text, detail, confidence, closable and source_claim.
+
+    A payload is parsed once, as VARIANT, and its fields are read from that; one that is no JSON has none of them.
+    """
+    p, b = F.col("_payload"), F.col("bucket")
     text, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, names in TEXT_ALIASES.items():
         key, default = DEFAULT_DETAIL[k]
         text = F.when(b == k, first_text(p, names)).otherwise(text)
         detail = F.when(b == k, F.coalesce(first_text(p, [key]), F.lit(default))).otherwise(detail)
     conf = F.lower(first_text(p, ["confidence"]))
-    closable = F.coalesce(*[F.get_json_object(p, f"$.{n}") for n in ("closable", "can_close", "answerable")])
-    # any non-empty text is true, "false" too; the literals false, null and 0 are not. JSON text shows strings unquoted,
-    # so a literal is told from a text by the quote in the payload.
-    quoted = F.rlike(p, F.lit(r'"(?:closable|can_close|answerable)"\s*:\s*"[^"]'))
-    return items.select(
-        "*",
+    closable = F.coalesce(*[truth(p, n) for n in ("closable", "can_close", "answerable")], F.lit(False))
+    return items.withColumn("_payload", F.try_parse_json("payload")).select(
+        *[F.col(f"`{c}`") for c in items.columns],
         text.alias("text"),
         detail.alias("detail"),
         F.when(b == "derivations", F.when(conf.isin("derived", "likely", "speculative"), conf).otherwise("likely")).otherwise(conf).alias("confidence"),
-        F.when(b == "open_questions", F.coalesce(quoted | ~closable.isin("false", "0", "0.0", ""), F.lit(False))).alias("closable"),
+        F.when(b == "open_questions", closable).alias("closable"),
         F.coalesce(first_text(p, ["source_claim"]), F.lit("claim_1")).alias("source_claim"),
     )
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import connect, embed, expand, graph
+from lodestar.operators import audit, connect, embed, expand, graph
 from lodestar.operators.pair_index import PairIndex
 from lodestar.plans import pipelines, rounds
 from lodestar.sources import pages, readers
@@ -294,3 +294,13 @@ def test_blocks_in_reading_order(spark):
     frame = spark.createDataFrame([(1, *b) for b in blocks], "page int, x double, y double, text string")
     assert pages.in_reading_order(blocks) == readers.reading_order(frame, ["page"]).first().text
     assert pages.in_reading_order([]) == "" and pages.in_reading_order(blocks[:1]) == "right top"
+
+
+def test_payloads_as_variants(spark):
+    payloads = ['{"content": " a ", "closable": "false"}', '{"content": [1], "item": {"x": 1}, "question": 7}', '{"closable": 0, "can_close": true}', '{"closable": null, "can_close": []}', '{"answerable": 1.5}', '{"closable": ""}', "no json", None, '{"content": "x\\u00e9", "closable": {"a": 1}}']
+    rows_ = spark.createDataFrame([(k, "open_questions", p) for k, p in enumerate(payloads)], "k int, bucket string, payload string")
+    got = {r.k: (r.text, r.closable) for r in expand.normalised(rows_).collect()}
+    assert got == {0: ("a", True), 1: ("7", False), 2: (None, False), 3: (None, False), 4: (None, True), 5: (None, False), 6: (None, False), 7: (None, False), 8: ("xé", True)}
+    stores = ["[1, 2, 3]", '{"entries": [1, 2]}', '{"nodes": [1], "edges": [1, 2]}', '{"a": 1, "b": 2}', "7", "broken {", None, '{"nodes": 3, "edges": {}}']
+    counts = spark.createDataFrame(list(enumerate(stores)), "k int, p string").select("k", audit.store_counts(F.col("p")).alias("c")).orderBy("k").collect()
+    assert [(r.c.nodes, r.c.edges) for r in counts] == [(3, 0), (2, 0), (1, 2), (2, 0), (0, 0), (0, 0), (0, 0), (2, 0)]
