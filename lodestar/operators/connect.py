@@ -271,6 +271,11 @@ def report(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
 
 
+def counts(connections: DataFrame) -> DataFrame:
+    """(confidence, novelty, n) of connections."""
+    return connections.groupBy("confidence", "novelty").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top(connections: DataFrame, n: int = 5) -> DataFrame:
     return connections.orderBy(F.desc("score"), F.desc("shared"), "a", "b").limit(n)
 

@@ -162,7 +162,10 @@ def topk(store: DataFrame, queries: DataFrame, k: int, block: int = 8192, asked:
     return run.ranked(near.unionByName(run.scored(met)))
 
 
-def norm_topk(store: DataFrame, k: int) -> DataFrame:
+def norm_topk(store: DataFrame, k: int, prefix: str | None = None) -> DataFrame:
+    """The k longest vectors of a store; prefix: of items whose id begins so."""
+    if prefix is not None:
+        store = store.where(F.startswith(F.col("item_id").cast("string"), F.lit(prefix)))
     return store.withColumn("norm", F.sqrt(numeric.dot(F.col("vec"), F.col("vec")))).orderBy(F.desc("norm"), "item_id").limit(k)
 
 

@@ -117,11 +117,9 @@ _SYMBOLS = sql_list(text.MATH_SYMBOLS)
     SELECT * FROM f WHERE label <= 12"""
 )
 def equation_lines(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("p", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    w = Window.partitionBy("doc_id").orderBy("p")
-    near = lines.withColumn("context", F.substring(F.concat_ws(" ", F.lag("line").over(w), "line", F.lead("line").over(w)), 1, 500)).withColumn("expression", text.equation_of(F.col("line")))
-    found = near.where("expression is not null").withColumn("label", F.row_number().over(w).cast("long"))
-    return found.where("label <= 12").select("doc_id", "expression", "context", "label")
+    from lodestar.sources import readers
+
+    return readers.equation_lines(docs(spark, sf_dir), "doc_id")
 
 
 @query(
@@ -481,7 +479,7 @@ def connect_report(spark, sf_dir):
 
 @query(f"WITH {JUDGED} SELECT confidence, novelty, count(*) AS n FROM scored WHERE reason = 'kept' GROUP BY ALL")
 def connect_counts(spark, sf_dir):
-    return labelled_pairs(spark, sf_dir).where("reason = 'kept'").groupBy("confidence", "novelty").agg(F.count(F.lit(1)).alias("n"))
+    return connect.counts(labelled_pairs(spark, sf_dir).where("reason = 'kept'"))
 
 
 @query(f"WITH {JUDGED} SELECT a, b, shared, round(score, 2) AS score FROM scored WHERE reason = 'kept' ORDER BY score DESC, shared DESC, a, b LIMIT 5")
@@ -838,12 +836,12 @@ def gate_repeated_work(spark, sf_dir):
 
 @query("SELECT coalesce(role, 'unknown') AS role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def session_snapshot(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("last_turn"))
+    return audit.session_snapshot(table(spark, sf_dir, "conversations"))
 
 
 @query("SELECT role, count(*) AS calls, sum(length(text)) AS characters, sum(len(string_split(text, ' '))) AS tokens FROM conversations GROUP BY role")
 def call_log_totals(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("characters"), F.sum(F.size(F.split("text", " "))).alias("tokens"))
+    return audit.call_totals(table(spark, sf_dir, "conversations"))
 
 
 @query(
@@ -1335,3 +1333,32 @@ def cosine_topk_pivots(spark, sf_dir):
     store = vectors(spark, sf_dir)
     found = embed.topk(store.select("item_id", "vec"), store.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "vec"), 5, block=64, small=0)
     return found.select("query_id", "item_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """SELECT item_id, round(n, 4) AS norm FROM (SELECT vec_id AS item_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings WHERE CAST(vec_id AS VARCHAR) LIKE '1%') ORDER BY n DESC, item_id LIMIT 10"""
+)
+def norm_topk_of_prefix(spark, sf_dir):
+    return embed.norm_topk(vectors(spark, sf_dir), 10, "1").select("item_id", F.round("norm", 4).alias("norm"))
+
+
+@query("SELECT doc_id AS paper_id, label, len(embedding) AS size FROM (SELECT DISTINCT doc_id FROM documents) JOIN embeddings ON vec_id = doc_id")
+def store_lookup(spark, sf_dir):
+    """Vectors of given papers, from the buckets that hold them."""
+    from lodestar.plans.tables import scratch
+    from lodestar.sources.buckets import Buckets
+
+    store = Buckets(spark, scratch(spark, "vectors"), ["paper_id"], 16)
+    store.replace(vectors(spark, sf_dir).withColumnRenamed("item_id", "paper_id"))
+    return store.find(docs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"))).select("paper_id", "label", F.size("vec").cast("long").alias("size"))
+
+
+@query(
+    "SELECT doc_id, length(text) AS characters FROM documents WHERE text <> ''"
+)
+def texts_in_use(spark, sf_dir):
+    """Documents that ingestion would read: neither encrypted nor without text."""
+    from lodestar.sources import readers
+
+    rows = docs(spark, sf_dir).withColumns({"encrypted": F.lit(False), "image_only": F.col("text") == ""})
+    return readers.usable(rows).select("doc_id", F.length("text").cast("long").alias("characters"))

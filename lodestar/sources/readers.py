@@ -96,6 +96,16 @@ def sections(docs: DataFrame, key: str = "path") -> DataFrame:
     return heads.groupBy(key, "title").agg(F.min("pos").alias("pos"))
 
 
+def equation_lines(docs: DataFrame, key: str = "path", most: int = 12) -> DataFrame:
+    """(key, expression, context, label): the first lines with an equation, numbered, each with the lines around it."""
+    from pyspark.sql import Window
+
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    w = Window.partitionBy(key).orderBy("p")
+    near = lines.withColumn("context", F.substring(F.concat_ws(" ", F.lag("line").over(w), "line", F.lead("line").over(w)), 1, 500)).withColumn("expression", text.equation_of(F.col("line")))
+    return near.where("expression is not null").withColumn("label", F.row_number().over(w).cast("long")).where(F.col("label") <= most).select(key, "expression", "context", "label")
+
+
 def reading_order(blocks: DataFrame, page: list[str]) -> DataFrame:
     """blocks (x, y, text and the columns of page) as one text a page: at the median x two columns part, if both hold blocks."""
     from pyspark.sql import Window
