@@ -9,7 +9,7 @@ differences of all pairs of sources, and the terms that lift a source most are k
 from __future__ import annotations
 
 import itertools
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +25,7 @@ BLOCK = "lang string, leaves array<struct<term: binary, sources: array<string>,
 FOUND = "lang string, source string, part string, item binary, value long"
 #: Bytes that end a term become a space, capital letters A-Z small ones; every byte of a longer character stays.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+FOLDED = np.frombuffer(FOLD, np.uint8)
 UNIT, ADDED = 1_000_000_000, 5
 
 
@@ -76,13 +77,17 @@ class Trie:
         return node
 
     def add(self, key: bytes, docs: int, counts) -> None:
-        """counts: (source, number) pairs."""
+        """counts: (source, number) pairs, a source once."""
         node = self.leaf(key)
         node.docs += docs
-        before = len(node.counts)
-        for source, n in counts:
-            node.counts[source] = node.counts.get(source, 0) + n
-        self.entries += len(node.counts) - before
+        held = node.counts
+        before = len(held)
+        if before:
+            for source, n in counts:
+                held[source] = held.get(source, 0) + n
+        else:
+            held.update(counts)
+        self.entries += len(held) - before
 
     def leaves(self) -> Iterator[tuple[bytes, Node]]:
         """(key, node) of what has been added, in the order of bytes, which is that of UTF-8."""
@@ -95,86 +100,97 @@ class Trie:
             open_ += [(key, node.children[b]) for b in sorted(node.children, reverse=True)]
 
 
-def counted(documents: DataFrame, most: int = 1_500_000) -> DataFrame:
+def terms_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(terms, places of their texts) of all texts, in order."""
+    joined = np.frombuffer(b" ".join(texts), np.uint8)
+    folded = FOLDED[joined]
+    inside = folded != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(folded[inside]))])
+    return terms, np.searchsorted(begins, starts, "right") - 1
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys in order, how often each occurs), by sorting."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+class Leaves:
+    """The terms of a chunk of documents by language: for each (language, term), in order of its code, its documents and, from
+    first to first, its entries (source, count)."""
+
+    def __init__(self, lang: np.ndarray, source: np.ndarray, texts: list[bytes]):
+        terms, doc = terms_of(texts)
+        coded = terms.dictionary_encode()
+        self.terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n, m = max(1, len(self.terms)), int(source.max()) + 1
+        once, _ = distinct(doc * n + codes)
+        self.leaf, self.docs = distinct(lang[once // n] * n + once % n)
+        entries, self.counts = distinct((lang[doc] * n + codes) * m + source[doc])
+        self.sources = entries % m
+        self.first = np.searchsorted(entries // m, self.leaf)
+        self.lang, self.term = self.leaf // n, self.leaf % n
+
+
+def counted(documents: DataFrame, most: int = 1_000_000, chunk: int = 32 << 20) -> DataFrame:
     """The leaves of the tries of each task, a row a language and term; a trie of over `most` counters leaves its task early.
 
-    Most terms of a corpus stand in one document. Such a leaf has one counter of one source and no path of its own to share, so
-    it stays a bare key beside the trie until it leaves the task.
+    Documents are counted in chunks of about so many bytes. Most terms of a corpus stand in one document: such a leaf has one
+    counter of one source and no path of its own to share, so it stays a bare key beside the trie.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = only(documents, "text", "lang", "source").select(text("lang"), text("source"), text("text").cast("binary").alias("text"))
 
     def run(given):
         tries: dict[str, Trie] = defaultdict(Trie)
-        docs, words, pending = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), 0
-
-        def settled() -> Iterator[pa.RecordBatch]:
-            for lang, by_source in words.items():
-                in_docs, held = docs[lang], tries[lang]
-                known = held.known
-                single = {t for t, n in in_docs.items() if n == 1 and t}
-                for source, n in by_source.items():
-                    lone = list(n.keys() & single)
-                    yield from lone_rows(lang, source, lone, list(map(n.__getitem__, lone)))
-                    rest = n.keys() - single
-                    held.entries += len(rest)
-                    for term in rest:
-                        counts = (known.get(term) or held.leaf(term)).counts
-                        if source in counts:
-                            counts[source] += n[term]
-                            held.entries -= 1
-                        else:
-                            counts[source] = n[term]
-                for term, n in in_docs.items():
-                    if n > 1 or not term:
-                        held.leaf(term).docs += n
-            docs.clear()
-            words.clear()
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang in sorted(tries):
                 yield from leaf_rows(lang, tries[lang].leaves())
             tries.clear()
 
-        for batch in given:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                terms = text.translate(FOLD).split()
-                here = words[lang][source]
-                before = len(here)
-                here.update(terms)
-                here[b""] += 1
-                once = set(terms)
-                docs[lang].update(once)
-                docs[lang][b""] += 1
-                pending += len(here) - before
-                if pending > most:
-                    yield from settled()
-                    pending = 0
-                    if sum(t.entries for t in tries.values()) > most:
-                        yield from out()
-        yield from settled()
+        for batch in gathered(given, chunk):
+            (langs, lang), (sources, source) = (numbered(batch.column(k)) for k in (0, 1))
+            groups, n = np.unique(lang * len(sources) + source, return_counts=True)
+            for g, k in zip(groups.tolist(), n.tolist(), strict=True):
+                tries[langs[g // len(sources)]].add(b"", k, ((sources[g % len(sources)], k),))
+            found = Leaves(lang, source, batch.column(2).to_pylist())
+            lone = np.flatnonzero(found.docs == 1)
+            for at in range(0, len(lone), 16_384):
+                some = lone[at : at + 16_384]
+                ones = pa.array(np.arange(len(some) + 1, dtype=np.int32))
+                of = lambda names, places: pa.array(names, pa.string()).take(pa.array(places))
+                entry = found.first[some]
+                columns = [of(langs, found.lang[some]), found.terms.take(pa.array(found.term[some])), pa.array(found.docs[some]), pa.ListArray.from_arrays(ones, of(sources, found.sources[entry])), pa.ListArray.from_arrays(ones, pa.array(found.counts[entry]))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources", "counts"])
+            rest = np.flatnonzero(found.docs > 1)
+            terms, names, counts = found.terms.take(pa.array(found.term[rest])).to_pylist(), found.sources.tolist(), found.counts.tolist()
+            first = np.append(found.first, len(names))
+            for term, of_lang, docs, x, y in zip(terms, found.lang[rest].tolist(), found.docs[rest].tolist(), first[rest].tolist(), first[rest + 1].tolist(), strict=True):
+                tries[langs[of_lang]].add(term, docs, [(sources[names[k]], counts[k]) for k in range(x, y)])
+            if sum(t.entries for t in tries.values()) > most:
+                yield from out()
         yield from out()
 
     return rows.mapInArrow(tidy(run), LEAF)
 
 
-def leaves_of(lang: str, term, docs, sources, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(term)), pa.array(term, pa.binary()), pa.array(docs, pa.int64()), sources, counts], ["lang", "term", "docs", "sources", "counts"])
-
-
-def lone_rows(lang: str, source: str, terms: list[bytes], counts: list[int], rows: int = 16_384) -> Iterator[pa.RecordBatch]:
-    """Leaves of terms that one document has."""
-    for at in range(0, len(terms), rows):
-        part = terms[at : at + rows]
-        ones = pa.array(np.arange(len(part) + 1, dtype=np.int32))
-        of = pa.array([source] * len(part))
-        yield leaves_of(lang, part, np.ones(len(part), np.int64), pa.ListArray.from_arrays(ones, of), pa.ListArray.from_arrays(ones, pa.array(counts[at : at + rows], pa.int64())))
+def numbered(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """(distinct values, the place of each row's value among them)."""
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def leaf_rows(lang: str, leaves, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     while part := list(itertools.islice(leaves, rows)):
         nodes = [n for _, n in part]
-        yield leaves_of(lang, [k for k, _ in part], [n.docs for n in nodes], pa.array([list(n.counts) for n in nodes], pa.list_(pa.string())), pa.array([list(n.counts.values()) for n in nodes], pa.list_(pa.int64())))
+        columns = [pa.array([lang] * len(part)), pa.array([k for k, _ in part], pa.binary()), pa.array([n.docs for n in nodes], pa.int64()), pa.array([list(n.counts) for n in nodes], pa.list_(pa.string())), pa.array([list(n.counts.values()) for n in nodes], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "docs", "sources", "counts"])
 
 
 class Kept:

@@ -96,6 +96,15 @@ def test_rows_of_kept_terms_pass(spark):
         assert got == [k for k in keys if total[k[:2]] >= 90 or not k[1]]
 
 
+def test_terms_of_texts():
+    r = random.Random(8)
+    texts = ["".join(r.choice("aB c.\x00é日") for _ in range(r.randrange(0, 9))).encode() for _ in range(300)] + [b"", b"end"]
+    terms, place = divergence.terms_of(texts)
+    want = [(t.encode(), k) for k, x in enumerate(texts) for t in TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x.decode()))]
+    assert list(zip(terms.to_pylist(), place.tolist(), strict=True)) == want
+    assert [len(x) for x in divergence.terms_of([b"", b" "])] == [0, 0]
+
+
 def test_audit_equals_brute_force(spark):
     rows = prose(1)
     assert got(divergence.audit(table(spark, rows).repartition(5))) == brute(rows)
@@ -103,7 +112,8 @@ def test_audit_equals_brute_force(spark):
 
 def test_tries_that_leave_early_merge_to_the_same(spark):
     rows = prose(2)
-    leaves = divergence.counted(table(spark, rows).repartition(3), most=20)
+    leaves = divergence.counted(table(spark, rows).repartition(3), most=20, chunk=400)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     assert leaves.groupBy("lang", "term").count().where("count > 3").count() > 0
     blocks = divergence.merged(leaves, 30, terms=3, most=10).cache()
     whole = divergence.merged(divergence.counted(table(spark, rows)), 30)
