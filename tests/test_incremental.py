@@ -304,3 +304,42 @@ def test_payloads_as_variants(spark):
     stores = ["[1, 2, 3]", '{"entries": [1, 2]}', '{"nodes": [1], "edges": [1, 2]}', '{"a": 1, "b": 2}', "7", "broken {", None, '{"nodes": 3, "edges": {}}']
     counts = spark.createDataFrame(list(enumerate(stores)), "k int, p string").select("k", audit.store_counts(F.col("p")).alias("c")).orderBy("k").collect()
     assert [(r.c.nodes, r.c.edges) for r in counts] == [(3, 0), (2, 0), (1, 2), (2, 0), (0, 0), (0, 0), (0, 0), (2, 0)]
+
+
+def test_blocks_shuffle_no_papers(spark):
+    """Blocks are read from the shared folder: what is dealt out for a pair of blocks is a row of a list, and no paper."""
+    papers = made(7, n=120)
+    sets = connect.tag_rows(papers_of(spark, papers)).groupBy("paper_id", "domain").agg(F.collect_set("tag").alias("tags"))
+    found = connect.by_blocks(sets, "all", 1, postings=60)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "paper_id" not in text.partition("MapInArrow")[2].partition("Exchange")[2]
+    ordered = connect.in_order(sets, "within")
+    assert rows(connect.by_blocks(ordered, "within", 4, postings=60, heads=True), *PAIRS) == brute(papers, "within", 4)
+
+
+def test_links_connect_what_pairs_connect(spark):
+    papers = made(8, n=120)
+    tagged = connect.tag_rows(papers_of(spark, papers))
+    want = brute(papers, "within", 3)
+    of = lambda edges: {r.node: r.component for r in graph.components(edges.selectExpr("a as u", "b as v")).collect()}
+    every = of(spark.createDataFrame([p[:2] for p in want], "a string, b string"))
+    for postings in (None, 50):
+        edges = connect.linked(tagged, "within", 3, postings=postings)
+        assert of(edges) == every
+        n = {}
+        for a, _, k in rows(edges, "a", "b", "links"):
+            n[every[a]] = n.get(every[a], 0) + k
+        assert n == {c: sum(every[p[0]] == c for p in want) for c in set(every.values())}
+    assert edges.count() < len(want)
+
+
+def test_pairs_bring_columns_and_vectors_of_both(spark):
+    papers = made(9, n=50)
+    tagged = connect.tag_rows(papers_of(spark, papers))
+    more = spark.createDataFrame([(p[0], k) for k, p in enumerate(papers) if k % 3], "paper_id string, depth int")
+    vectors = spark.createDataFrame([(p[0], [float(k % 5), 1.0, float(k % 3)][: 1 + k % 3]) for k, p in enumerate(papers) if k % 4], "paper_id string, vec array<double>")
+    got = {}
+    for how in ("blocks", "tags"):
+        found = connect.pairs(tagged, "all", how=how, more=more, vectors=vectors)
+        got[how] = sorted((r.a, r.b, r.depth_a or -1, r.depth_b or -1, round(r.similarity, 9)) for r in found.collect())
+    assert got["blocks"] == got["tags"] and any(r[4] > 0 for r in got["tags"]) and any(r[2] > 0 for r in got["tags"])
