@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric
-from lodestar.plans.tables import written
+from lodestar.plans.tables import folder_of, in_folders, written
 
 
 def upsert(store: DataFrame, new: DataFrame, key: str = "item_id") -> DataFrame:
@@ -104,6 +104,32 @@ class Search:
 
         return met.select("asked", F.col("rows")).mapInArrow(run, self.found)
 
+    def read(self, met: DataFrame, path: str, most: int = 4096) -> DataFrame:
+        """The k best of each query among some open blocks at a time (folder, open, asked), which tasks read from the folders at
+        path: no block is shuffled for the queries that it meets."""
+        k = self.k
+        kind = pa.int64() if self.item_kind == "bigint" else pa.int32() if self.item_kind == "int" else pa.string()
+
+        def run(batches):
+            now, held = None, {}
+            for b in batches:
+                for folder, open_, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                    if folder != now:
+                        now, held = folder, {}
+                        for t in folder_of(path, "folder", folder):
+                            for name, rows in zip(t["block"].to_pylist(), t["rows"], strict=True):
+                                held[name] = np.array(rows.values.field(0).to_pylist(), object), _matrix(rows.values.field(1))
+                    ids, queries = asked.values.field(0), _matrix(asked.values.field(1))
+                    names, wanted = np.array(ids.to_pylist(), object), sorted(open_)
+                    while wanted:
+                        n = int(max(1, np.searchsorted(np.cumsum([len(held[w][0]) for w in wanted]), most, "right")))
+                        some, wanted = [held[w] for w in wanted[:n]], wanted[n:]
+                        items = np.concatenate([s[0] for s in some])
+                        a, c, score = best_of_block(names, queries, items, np.concatenate([s[1] for s in some]), k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array(items[c].tolist(), kind), pa.array(score)], ["query_id", "item_id", "score"])
+
+        return met.select("folder", "open", "asked").mapInArrow(run, self.found)
+
     def ranked(self, found: DataFrame) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
@@ -158,8 +184,11 @@ def topk(store: DataFrame, queries: DataFrame, k: int, block: int = 8192, asked:
                 yield pa.RecordBatch.from_arrays([pa.array([ask] * len(names), pa.string()), names], ["ask", "block"])
 
     left = far.select("ask", "cell", "q", "heads").mapInArrow(open_, "ask string, block string")
-    met = written(left, "open-blocks").join(parts.select("ask", "asked"), "ask").join(blocks.select("block", "rows"), "block")
-    return run.ranked(near.unionByName(run.scored(met)))
+    folders = max(1, total * centres.shape[1] >> 20)
+    folder = F.pmod(F.xxhash64("block"), F.lit(folders)).cast("int").alias("folder")
+    path = in_folders(blocks.select(folder, "block", "rows"), "folder", folders, "block-folders")
+    met = written(left, "open-blocks").groupBy("ask", folder).agg(F.collect_list("block").alias("open")).join(parts.select("ask", "asked"), "ask")
+    return run.ranked(near.unionByName(run.read(met, path)))
 
 
 def norm_topk(store: DataFrame, k: int, prefix: str | None = None) -> DataFrame:

@@ -10,12 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.plans.tables import scratch, written
+from lodestar.plans.tables import folder_of, in_folders, written
 
 CELLS = 1 << 18  # pairs counted at once
 VECTOR = "_vector"  # a column of sets from which pairs get a similarity
@@ -177,8 +175,7 @@ class Blocks:
         codes = F.transform("tags", lambda t: F.xxhash64(t, F.lit(seed))).alias("codes")
         dealt = sets.join(self.counts, "_g").withColumn("_b", F.pmod(F.xxhash64("paper_id"), F.col("_n")).cast("int"))
         rows = dealt.select(((F.col("_s") + F.col("_b")) % folders).alias("_folder"), "_g", "_b", "paper_id", "domain", codes, *self.more, *[VECTOR] * self.vectors)
-        self.path, self.folders = scratch(spark, "blocks"), folders
-        rows.repartition(folders, "_folder").write.option("compression", "zstd").partitionBy("_folder").parquet(self.path)
+        self.path, self.folders = in_folders(rows, "_folder", folders, "blocks"), folders
         wanted = spark.range(1).select(F.array(*[F.xxhash64(F.lit(t), F.lit(seed)) for t in high]).alias("c")).first().c
         self.high = np.array(sorted(wanted), np.int64)
 
@@ -203,9 +200,7 @@ class Blocks:
             if (g, b) not in held:
                 while len(held) > 2 * SQUARE:
                     held.pop(next(iter(held)))
-                fs, root = pafs.FileSystem.from_uri(path)
-                files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/_folder={k}", allow_not_found=True)) if f.path.endswith(".parquet"))
-                parts = [t.filter(pc.and_(pc.equal(t["_g"], g), pc.equal(t["_b"], b))) for t in (pq.read_table(f, filesystem=fs, partitioning=None) for f in files)]
+                parts = [t.filter(pc.and_(pc.equal(t["_g"], g), pc.equal(t["_b"], b))) for t in folder_of(path, "_folder", k)]
                 held[g, b] = Side(pa.concat_tables(parts).combine_chunks()) if sum(map(len, parts)) else None
             return held[g, b]
 

@@ -35,6 +35,18 @@ def test_topk_reduces_before_the_shuffle(spark):
     assert text.index("Exchange") < text.index("MapInArrow") and "WindowGroupLimit" in text
 
 
+def test_blocks_of_a_search_are_not_shuffled_for_their_queries(spark):
+    from lodestar.operators import embed
+
+    store = spark.range(300).select(F.col("id").alias("item_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.1)).alias("vec"))
+    queries_ = store.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id")
+    found = embed.topk(store, queries_, 3, block=8, asked=4, small=0)
+    assert len(re.findall(r"(?:MergeJoin|HashJoin) ", plan(found))) == 1  # queries with the names of their open blocks
+    want = embed.topk(store, queries_, 3)
+    of = lambda x: sorted((r.query_id, r.rank, r.item_id) for r in x.collect())
+    assert of(found) == of(want)
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
