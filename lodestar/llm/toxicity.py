@@ -2,11 +2,12 @@
 
 One model of toxic and one of ordinary texts give each character of a word its probability after the seven before it. The
 full-length counts are the class's own; all shorter ones are continuation counts shared by both classes and gathered from
-the words of all documents, so a rare expression says the same in either, while forms of one stem support each other.
+the words of all documents, so a rare expression says the same in either, while forms of one stem support each other. Every
+labelled row that isn't held out counts, and every context of either class.
 
-Classes differ only after contexts that toxic labelled texts hold; after any other both fall back to the shared counts and
-say the same. So the models hold the counts after these contexts and after their shorter forms, and no others: the labelled
-sample bounds them, however large the collection.
+Grams lie in tasks by TAIL characters before their last one, so the counts after all longer contexts of a gram are in its
+task; the probabilities of the shorter ones come from a table. Words get the sums of their grams by a join, documents those of
+their words; only a bounded number of the most frequent grams and words is broadcast instead.
 
 Two values compare a document's log-likelihoods: their difference over the number of its words; and, as the noise of n
 ordinary words adds up to about the square root of n, what its words' differences have beyond FLOOR, over that root. A
@@ -30,6 +31,8 @@ from .common import dropped, gathered, only, tidy, written
 WORD = re.compile(r"[^\W_]+")
 ORDER = 8
 FLOOR = 4.0
+TAIL = 3
+FREQUENT = 200_000  # grams, and words, whose differences are broadcast
 START, END = 1, 2
 CHUNK = 1 << 20  # characters worked on at once
 CHARACTER = np.uint64(0xFFFF)  # the part of a key that is the character itself; the rest is a hash of those before it
@@ -71,6 +74,11 @@ class Grams:
             before += self.c[low - j : high - j] * _POWERS[j]
         return ((before & _CONTEXT) | self.c[low:high])[at - low]
 
+    def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ORDER characters up to any places, the last four in one number, those before them in another."""
+        four = lambda at: self.c[at - 3] << np.uint64(48) | self.c[at - 2] << np.uint64(32) | self.c[at - 1] << np.uint64(16) | self.c[at]
+        return four(at - 4), four(at)
+
     def keys(self, at: np.ndarray) -> Iterator[np.ndarray]:
         """Keys of 1 to ORDER characters at any places, one level at a time."""
         now, before = self.c[at], np.zeros(len(at), np.uint64)
@@ -100,7 +108,9 @@ def _among(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """levels[k - 1]: the keys of k characters and their counts; the last level has the counts of each class."""
+    """The models in one process, after the contexts of toxic texts only; Fitted has them after all, in tables.
+
+    levels[k - 1]: the keys of k characters and their counts; the last level has the counts of each class."""
 
     def __init__(self, levels: list[tuple], discount: float):
         *lower, (keys, n0, n1) = levels
@@ -172,45 +182,46 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def chosen_labels(labels: DataFrame, sample: int) -> DataFrame:
-    """doc_id, toxic, part (0 to 9) of about `sample` labelled rows at most, taken by a hash, none of them held out."""
+def chosen_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, part (0 to 9, by a hash) of all labelled rows but those held out."""
     marked = only(labels, "doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
-    share = min(1.0, sample / max(marked.count(), 1))
-    return marked.where(F.col("_h") < int(1_000_000 * share)).select("doc_id", "toxic", (F.col("_h") % 10).cast("int").alias("part"))
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return marked.withColumn("part", (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) % 10).cast("int"))
 
 
 def word_counts(texts: DataFrame, most_words: int = 250_000, most_bytes: int = 16 << 20) -> DataFrame:
-    """word, n0, n1 over all of `texts` (text, toxic): every word of any text, with its counts in texts of either class.
+    """word, n0, n1, n over all of `texts` (text, toxic): every word of any text, with its counts in texts of either class and in all.
 
     A task holds about `most_words` words or `most_bytes` of long ones, and one text, before it passes them on.
     """
 
     def count(batches):
-        kinds, others = (Counter(), Counter()), set()
+        kinds, every = (Counter(), Counter()), Counter()
 
         def out():
-            words = list(others.union(*kinds))
+            words = list(every)
             for at in range(0, len(words), 20_000):
                 part = words[at : at + 20_000]
-                cols = [pa.array(part, pa.string()), *[pa.array([k.get(w, 0) for w in part], pa.int64()) for k in kinds]]
-                yield pa.RecordBatch.from_arrays(cols, ["word", "n0", "n1"])
-            for c in (*kinds, others):
+                cols = [pa.array(part, pa.string()), *[pa.array([k.get(w, 0) for w in part], pa.int64()) for k in (*kinds, every)]]
+                yield pa.RecordBatch.from_arrays(cols, ["word", "n0", "n1", "n"])
+            for c in (*kinds, every):
                 c.clear()
 
         size = 0
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
-                (others if toxic is None else kinds[toxic]).update(words)
+                every.update(words)
+                if toxic is not None:
+                    kinds[toxic].update(words)
                 size += len(text) if text and len(text) > 64 * len(words) else 0  # long words; usual ones are counted by number
-                if size > most_bytes or len(others) + len(kinds[0]) + len(kinds[1]) > most_words:
+                if size > most_bytes or len(every) > most_words:
                     yield from out()
                     size = 0
         yield from out()
 
-    made = texts.mapInArrow(tidy(count), "word string, n0 long, n1 long")
-    return made.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    made = texts.mapInArrow(tidy(count), "word string, n0 long, n1 long, n long")
+    return made.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("n").alias("n"))
 
 
 def contexts(words: list[str]) -> list[np.ndarray]:
@@ -269,85 +280,323 @@ def model_of(counts: pa.Table, discount: float) -> Model:
     return Model(levels, discount)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, discount: float = 0.75) -> Model:
-    """Fits the models on docs (doc_id, text) and labels (doc_id, toxic); rows of one doc_id count as toxic if any is.
+def _counted(at: np.ndarray, n: np.ndarray, head: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of grams with counts n and contexts `head`, of which `at` has a row each: discounted shares of contexts, and by context
+    the mass left over; all of it after contexts that nothing is counted after."""
+    total = np.bincount(head[at], n, head.max() + 1)
+    share = np.maximum(n - discount, 0) / np.maximum(total, 1)[head[at]]
+    return share, np.where(total > 0, np.maximum(1 - np.bincount(head[at], share, len(total)), 1e-9), 1.0)
+
+
+def _differences(hi: np.ndarray, lo: np.ndarray, n: list[np.ndarray], counted: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
+    """By distinct gram its log-likelihood after its context as toxic less that as ordinary. All grams of a tail are there; n:
+    counts by class; counted: whether any word of the documents holds it; p: the probability after TAIL - 1 characters."""
+    char = lambda j: (lo >> np.uint64(16 * j) if j < 4 else hi >> np.uint64(16 * (j - 4))) & CHARACTER
+    ids = lambda keys: np.unique(keys, return_index=True, return_inverse=True)[1:]
+    first, gram = ids(lo)
+    head = ids(lo >> np.uint64(16))[1]
+    for k in range(TAIL + 1, ORDER):
+        after, longer = ids(gram.astype(np.uint64) << np.uint64(16) | char(k))
+        some = np.bincount(longer, counted)[longer[after]] > 0
+        share, rest = _counted(first, np.bincount(gram[after], some, len(first)), head, discount)
+        p = share[gram] + rest[head] * p
+        head = ids(head.astype(np.uint64) << np.uint64(16) | char(k))[1]
+        first, gram = after, longer
+    every, q = np.arange(len(lo)), []
+    for c in n:
+        share, rest = _counted(every, c.astype(float), head, discount)
+        q.append(share + rest[head] * p)
+    return np.log(q[1]) - np.log(q[0])
+
+
+def _whole(batches, most: int = 1_000_000):
+    """Tables of about `most` rows with all rows of their tails, from batches in order of tails."""
+    held, n, wanted = [], 0, most
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= wanted:
+            t = pa.Table.from_batches(held).combine_chunks()
+            tail = t["tail"].to_numpy()
+            cut = int(np.searchsorted(tail, tail[-1]))
+            if cut:
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), len(t) - cut
+            wanted = max(most, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order of rows by their keys, the last one first, and where in it each distinct row begins."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], 0)
+    return order, np.flatnonzero(new)
+
+
+def _numbers(batch, *names: str) -> list[np.ndarray]:
+    return [batch[c].to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[c].to_numpy() for c in names]
+
+
+def short_ones(words: DataFrame, discount: float) -> DataFrame:
+    """lo, p: the distinct last TAIL + 1 characters of grams of words (word, counted), and the probability of the last one after
+    TAIL - 1 before it."""
+
+    def ends(batches):
+        for batch in gathered(batches):
+            counted, made = _numbers(batch, "counted")[0], Grams(batch["word"].to_pylist())
+            for at in made.chunks():
+                lo = made.whole(at)[1]
+                order, first = _once([lo])
+                if len(order):
+                    some = np.maximum.reduceat(counted[made.word(at)][order], first)
+                    yield pa.RecordBatch.from_arrays([pa.array(lo[order[first]].view(np.int64)), pa.array(some.astype(np.int64))], ["lo", "n"])
+
+    every = written(words.select("word", "counted").mapInArrow(tidy(ends), "lo long, n long").groupBy("lo").agg(F.max("n").alias("n")), "ends")
+    end = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << 16 * k) - 1))
+    levels, last = [], every
+    for k in range(TAIL, 0, -1):
+        last = last.groupBy(end("lo", k).alias("lo")).agg(F.count_if(F.col("n") > 0).alias("n"))
+        levels.append((k, last))
+    known = None
+    for k, rows in reversed(levels):
+        left = F.greatest(F.col("n") - discount, F.lit(0.0))
+        rows = rows.withColumn("head", F.shiftrightunsigned("lo", 16))
+        heads = rows.groupBy("head").agg(F.sum("n").alias("_t"), F.sum(left).alias("_s"))
+        rows = rows.join(heads, "head").withColumn("_z", end("lo", k - 1)) if k > 1 else rows.join(heads, "head")
+        below = F.lit(1 / 65536)
+        if known is not None:
+            rows, below = rows.join(known.withColumnRenamed("lo", "_z"), "_z"), F.col("p")
+        mixed = F.when(F.col("_t") > 0, left / F.col("_t") + F.greatest(1 - F.col("_s") / F.col("_t"), F.lit(1e-9)) * below).otherwise(below)
+        known = rows.select("lo", mixed.alias("p"))
+    return every.withColumn("_z", end("lo", TAIL)).join(known.withColumnRenamed("lo", "_z"), "_z").select("lo", "p")
+
+
+def gram_differences(words: DataFrame, discount: float) -> DataFrame:
+    """hi, lo, d, n of the distinct grams of words (word, n0, n1, counted): the difference, where the classes say different things,
+    and how many words hold it, about."""
+
+    def grams(batches):
+        for batch in gathered(batches):
+            (n0, n1, counted), made = _numbers(batch, "n0", "n1", "counted"), Grams(batch["word"].to_pylist())
+            for at in made.chunks():
+                (hi, lo), word = made.whole(at), made.word(at)
+                order, first = _once([lo, hi])
+                if len(order):
+                    word = word[order]
+                    sums = [np.add.reduceat(x[word].astype(np.int64), first) for x in (n0, n1, counted)]
+                    held = np.diff(np.append(first, len(order)))
+                    keys = [pa.array(x[order[first]].view(np.int64)) for x in (hi, lo)]
+                    yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, sums), pa.array(held)], ["hi", "lo", "n0", "n1", "counted", "n"])
+
+    def compared(batches):
+        for t in _whole(batches):
+            ends = t.filter(t["p"].is_valid())
+            lo, p = _numbers(ends, "lo", "p")
+            lo = lo.view(np.uint64)
+            order = np.argsort(lo)
+            lo, p = lo[order], p[order]
+            t = t.filter(t["p"].is_null())
+            if not len(t):
+                continue
+            hi_, lo_ = (x.view(np.uint64) for x in _numbers(t, "hi", "lo"))
+            order, first = _once([lo_, hi_])
+            hi_, lo_ = hi_[order[first]], lo_[order[first]]
+            n0, n1, counted, n = (np.add.reduceat(x[order], first) for x in _numbers(t, "n0", "n1", "counted", "n"))
+            d = _differences(hi_, lo_, [n0, n1], counted, p[np.searchsorted(lo, lo_)], discount)
+            some = np.flatnonzero(d)
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[some].view(np.int64)) for x in (hi_, lo_)], pa.array(d[some]), pa.array(n[some])], ["hi", "lo", "d", "n"])
+
+    kinds = "hi long, lo long, n0 long, n1 long, counted long, n long"
+    made = words.select("word", "n0", "n1", "counted").mapInArrow(tidy(grams), kinds).withColumn("p", F.lit(None).cast("double"))
+    ends = short_ones(words, discount).select(F.lit(0).cast("long").alias("hi"), "lo", *[F.lit(0).cast("long").alias(c) for c in ("n0", "n1", "counted", "n")], "p")
+    batches_(words.sparkSession, 20_000)
+    rows = made.unionByName(ends).withColumn("tail", F.shiftrightunsigned("lo", 16))
+    return written(rows.repartition("tail").sortWithinPartitions("tail").mapInArrow(tidy(compared), "hi long, lo long, d double, n long"), "grams")
+
+
+def word_differences(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """id, word, d of words (id, word), by the differences of grams."""
+    most = grams.orderBy(F.desc("n"), "hi", "lo").limit(FREQUENT).select("hi", "lo", "d").toArrow()
+    hi, lo, d = (_numbers(most, c)[0] for c in ("hi", "lo", "d"))
+    code = lambda hi, lo: (hi.view(np.uint64) * _POWERS[1]) ^ lo.view(np.uint64)  # noqa: E731  # a row may share it, so both are compared
+    key = code(hi, lo)
+    _, once = np.unique(key, return_index=True)
+    shared = words.sparkSession.sparkContext.broadcast((key[once], hi[once], lo[once], d[once]))
+
+    def spread(batches):
+        key, hi, lo, d = shared.value
+        for batch in gathered(batches):
+            ids, text = batch["id"].to_numpy(), batch["word"]
+            made, sums = Grams(text.to_pylist()), np.zeros(len(ids))
+            for at in made.chunks():
+                if not len(at):
+                    continue
+                (h, l), word = (x.view(np.int64) for x in made.whole(at)), made.word(at)
+                if len(key):
+                    k = np.minimum(np.searchsorted(key, code(h, l)), len(key) - 1)
+                    known = (hi[k] == h) & (lo[k] == l)
+                    sums += np.bincount(word[known], d[k[known]], len(ids))
+                    h, l, word = h[~known], l[~known], word[~known]
+                order, first = _once([l, h, word])
+                if len(order):
+                    times, at = np.diff(np.append(first, len(order))), order[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[word[at]]), pa.nulls(len(at), pa.string()), pa.array(h[at]), pa.array(l[at]), pa.array(times.astype(float))], ["id", "word", "hi", "lo", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), text.cast(pa.string()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(sums)], ["id", "word", "hi", "lo", "x"])
+
+    made = written(words.select("id", "word").mapInArrow(tidy(spread), "id long, word string, hi long, lo long, x double"), "words-by-grams")
+    rest = made.where("word is null").join(grams.select("hi", "lo", "d"), ["hi", "lo"]).groupBy("id").agg(F.sum(F.col("x") * F.col("d")).alias("_d"))
+    return made.where("word is not null").join(rest, "id", "left").select("id", "word", (F.col("x") + F.coalesce("_d", F.lit(0.0))).alias("d"))
+
+
+class Fitted:
+    """The models as tables: words (id, word, n0, n1, n) of all documents and their differences (word, d), the most frequent
+    ones broadcast; and the curve's slope and shift."""
+
+    def __init__(self, words: DataFrame, discount: float):
+        self.words, self.discount = words, discount
+        self.slope, self.shift, self.cache = np.zeros(2), 0.0, {}
+        spark = words.sparkSession
+        every = words.withColumn("counted", F.lit(True))
+        grams = gram_differences(every, discount)
+        self.known = written(word_differences(every, grams).select("word", "d"), "word-differences")
+        dropped(spark, grams)
+        most = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
+        got = self.known.join(most, "word").where(F.length("word") < 64).toArrow()  # long words would make it large
+        self.frequent = spark.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), got["d"].to_pylist(), strict=True)))
+        batches_(spark)
+
+    def differences_of(self, asked: DataFrame) -> DataFrame:
+        """word, d of distinct words (word) that no document had."""
+        given = written(asked.select(F.monotonically_increasing_id().alias("id"), "word", *[F.lit(0).cast("long").alias(c) for c in ("n0", "n1")], F.lit(False).alias("counted")), "asked")
+        grams = gram_differences(self.words.select("id", "word", "n0", "n1", F.lit(True).alias("counted")).unionByName(given), self.discount)
+        out = written(word_differences(given, grams).select("word", "d"), "asked-differences")
+        dropped(asked.sparkSession, grams)
+        batches_(asked.sparkSession)
+        return out
+
+    def sums(self, rows: DataFrame) -> DataFrame:
+        """rows (text and more) without their texts, with mean and excess: the two values of each; zeros without words."""
+        shared, kept = self.frequent, [c for c in rows.columns if c != "text"]
+        given = rows.select(F.monotonically_increasing_id().alias("_row"), *kept, "text")
+        names = ["_row", *kept, "_word", "_n", "_d", "_e"]
+
+        def run(batches):
+            get = shared.value.get
+            for batch in gathered(batches):
+                row, n, d, e, ids, words, times = batch["_row"].to_pylist(), [], [], [], [], [], []
+                for i, text in zip(row, batch["text"].to_pylist(), strict=True):
+                    mine = words_of(text)
+                    got = list(map(get, mine))
+                    x = np.array([v for v in got if v is not None], float)
+                    n.append(len(mine))
+                    d.append(float(x.sum()))
+                    e.append(float(np.maximum(x - FLOOR, 0).sum()))
+                    if len(x) < len(mine):
+                        other = Counter(w for w, v in zip(mine, got, strict=True) if v is None)
+                        ids.extend([i] * len(other))
+                        words.extend(other)
+                        times.extend(other.values())
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in names[: len(kept) + 1]], pa.nulls(len(n), pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.float64()), pa.array(e, pa.float64())], names)
+                for at in range(0, len(ids), 20_000):
+                    part, m = slice(at, at + 20_000), len(ids[at : at + 20_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), *[pa.nulls(m, batch[c].type) for c in kept], pa.array(words[part], pa.string()), pa.array(times[part], pa.int64()), *[pa.nulls(m, pa.float64())] * 2], names)
+
+        kinds = dict(given.dtypes)
+        schema = ", ".join([f"`{c}` {kinds[c]}" for c in names[: len(kept) + 1]] + ["_word string, _n long, _d double, _e double"])
+        batches_(rows.sparkSession)
+        met = written(given.mapInArrow(tidy(run), schema), "rows-by-words")
+        rest = written(met.where("_word is not null").select("_row", F.col("_word").alias("word"), "_n").join(self.known, "word", "left"), "rare-words")
+        unseen = rest.where("d is null")
+        if not unseen.isEmpty():
+            found = self.differences_of(unseen.select("word").distinct())
+            rest = rest.join(found.withColumnRenamed("d", "_f"), "word", "left").withColumn("d", F.coalesce("d", "_f"))
+        rest = rest.groupBy("_row").agg(F.sum(F.col("_n") * F.col("d")).alias("_rd"), F.sum(F.col("_n") * F.greatest(F.col("d") - FLOOR, F.lit(0.0))).alias("_re"))
+        out = met.where("_word is null").join(rest, "_row", "left")
+        both = lambda x, y: F.col(x) + F.coalesce(y, F.lit(0.0))
+        over = lambda x, n: F.when(F.col("_n") > 0, x / n).otherwise(0.0)
+        return out.select(*[F.col(f"`{c}`") for c in kept], over(both("_d", "_rd"), F.col("_n")).alias("mean"), over(both("_e", "_re"), F.sqrt("_n")).alias("excess"))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows without their texts, with score."""
+        z = F.col("mean") * float(self.slope[0]) + F.col("excess") * float(self.slope[1]) + F.lit(float(self.shift))
+        return self.sums(rows).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).drop("mean", "excess")
+
+    def differences(self, words: list[str]) -> np.ndarray:
+        """By word of a list, for looking at a few: its log-likelihood as toxic less that as ordinary."""
+        given = self.words.sparkSession.createDataFrame(pa.table({"word": pa.array(list(set(words)), pa.string())}))
+        got = given.join(self.known, "word", "left")
+        new = got.where("d is null").select("word")
+        found = self.differences_of(new) if not new.isEmpty() else self.known.limit(0)
+        d = dict(map(tuple, [*got.where("d is not null").select("word", "d").collect(), *found.collect()]))
+        return np.array([d[w] for w in words])
 
-    sample: labelled rows at most, taken by a hash of doc_id (it bounds the broadcast side, the models and what the driver
-    holds of them); 8 in 10 of them are counted by class, the others calibrate; the words of all documents count for the
-    shared part. Without labels of both kinds every score is about the share of toxic labels, a third without any.
+    def raws(self, texts: list[str | None], limit: int = 48 << 20) -> np.ndarray:
+        """The two values of each text of a list, for looking at a few; nothing is kept, whatever the limit."""
+        given = pa.table({"k": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+        got = {r.k: (r.mean, r.excess) for r in self.sums(self.words.sparkSession.createDataFrame(given)).collect()}
+        return np.array([got[k] for k in range(len(texts))])
+
+
+def fit(docs: DataFrame, labels: DataFrame, discount: float = 0.75) -> Fitted:
+    """Fits the models on docs (doc_id, text) and all rows of labels (doc_id, toxic) that aren't held out; rows of one doc_id
+    count as toxic if any is.
+
+    8 in 10 labelled rows are counted by class, the others calibrate; the words of all documents count for the shared part.
+    Without labels of both kinds every score is about the share of toxic labels, a third without any.
     """
     spark = docs.sparkSession
-    labelled = written(chosen_labels(labels, sample), "labels")
-    rows = only(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id", "left")
-    words = written(word_counts(rows.select("text", F.when(F.col("part") < 8, F.col("toxic")).alias("toxic"))), "words")
-    needed = contexts(words.where("n1 > 0").select("word").toArrow()["word"].to_pylist())  # words of toxic labelled rows
-    model = model_of(gram_counts(words, needed).toArrow(), discount)
-    dropped(spark, words)
-    some = only(docs, "doc_id", "text").join(F.broadcast(labelled.where("part >= 8")), "doc_id").select("text", "toxic")
-    model = _calibrated(model, some)
+    labelled = written(chosen_labels(labels), "labels")
+    rows = only(docs, "doc_id", "text").join(labelled, "doc_id", "left")
+    counted = word_counts(rows.select("text", F.when(F.col("part") < 8, F.col("toxic")).alias("toxic")))
+    model = Fitted(written(counted.select(F.monotonically_increasing_id().alias("id"), "word", "n0", "n1", "n"), "words"), discount)
+    some = only(docs, "doc_id", "text").join(labelled.where("part >= 8"), "doc_id").select("text", "toxic")
+    model.slope, model.shift = curve(written(model.sums(some), "calibration"))
     dropped(spark, labelled)
     return model
 
 
-def _calibrated(model: Model, rows: DataFrame) -> Model:
-    """Fits the logistic curve by Newton's method; the driver gets two values of each calibration row (bounded by the sample)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def values(batches):
-        for batch in batches:
-            raw = shared.value.raws(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), batch.column(1)], ["mean", "excess", "toxic"])
-
-    got = rows.mapInArrow(tidy(values), "mean double, excess double, toxic int").toArrow()
-    y = got["toxic"].to_numpy().astype(float)
-    toxic, every = y.sum(), len(y)
+def curve(rows: DataFrame) -> tuple[np.ndarray, float]:
+    """Slope and shift of the logistic curve for rows (mean, excess, toxic), by Newton's method; Spark adds up each step's sums."""
+    got = rows.agg(F.count(F.lit(1)), F.sum("toxic"), F.avg(F.col("mean") * F.col("mean")), F.avg(F.col("excess") * F.col("excess"))).first()
+    every, toxic = got[0], got[1] or 0
     if not toxic or toxic == every:
-        model.slope, model.shift = np.zeros(2), float(np.log((toxic + 0.5) / (every - toxic + 1)))
-        return model
-    x = np.stack([got["mean"].to_numpy(), got["excess"].to_numpy()])
-    scale = np.maximum(np.sqrt((x * x).mean(1)), 1e-9)
-    X, b = np.concatenate([x / scale[:, None], np.ones((1, every))]), np.array([0.0, 0.0, np.log(toxic / (every - toxic))])
+        return np.zeros(2), float(np.log((toxic + 0.5) / (every - toxic + 1)))
+    scale = np.maximum(np.sqrt(np.array([got[2], got[3]])), 1e-9)
+    x, b = [F.col("mean") / float(scale[0]), F.col("excess") / float(scale[1]), F.lit(1.0)], np.array([0.0, 0.0, np.log(toxic / (every - toxic))])
     ridge = np.array([1e-2, 1e-2, 1e-6])  # against separable rows
+    cells = [(i, j) for i in range(3) for j in range(i, 3)]
     for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(b @ X, -30, 30)))
-        step = np.linalg.solve((X * (p * (1 - p))) @ X.T + np.diag(ridge), X @ (p - y) + ridge * b)
+        z = sum((x[i] * float(b[i]) for i in range(3)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+        at = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"), "toxic")
+        sums = at.agg(*[F.sum((F.col("p") - F.col("toxic")) * F.col(f"x{i}")) for i in range(3)], *[F.sum(F.col("p") * (1 - F.col("p")) * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in cells]).first()
+        H = np.zeros((3, 3))
+        for (i, j), v in zip(cells, sums[3:], strict=True):
+            H[i, j] = H[j, i] = v
+        step = np.linalg.solve(H + np.diag(ridge), np.array(sums[:3]) + ridge * b)
         b = b - step / max(1.0, float(np.abs(step).max()) / 2)
         if np.abs(step).max() < 1e-9:
             break
-    model.slope, model.shift = b[:2] / scale, float(b[2])
-    return model
+    return b[:2] / scale, float(b[2])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Fitted) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text of (doc_id, text).
 
     A null or empty text, or one without words, gets the score of no evidence; a score of exactly 0.5 predicts 1; texts and
     words may be of any length; rows stay as they are, repeated ones and null doc_ids too; other columns are ignored; an
     empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in gathered(batches):
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                s = shared.value.scores(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
-
     given = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return given.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
+    return model.scored(given).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def ordinary(docs: DataFrame, model: Model) -> DataFrame:
+def ordinary(docs: DataFrame, model: Fitted) -> DataFrame:
     """The rows of docs that the model doesn't reject (a score of 0.5 is a rejection), with all their columns; null and empty
     texts count as texts without words, repeated rows each for itself; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in gathered(batches):
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                yield part.filter(pa.array([s < 0.5 for s in shared.value.scores(part.column("text").to_pylist())], pa.bool_()))
-
-    batches_(docs.sparkSession)
-    return docs.mapInArrow(tidy(run), docs.schema)
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)  # a score is its text's alone
+    rejected = model.scored(only(docs, "text").select(digest.alias("_digest"), "text")).where("score >= 0.5").select("_digest").distinct()
+    return docs.join(written(rejected, "rejected"), digest == F.col("_digest"), "left_anti")
