@@ -365,6 +365,8 @@ def test_gates(spark):
     c = spark.createDataFrame([("a", "b", "non-obvious"), ("a", "c", "obvious")], "a string, b string, novelty string")
     cites = spark.createDataFrame([("b", "a"), ("c", "a")], "citing string, cited string")
     assert [(r.a, r.b) for r in audit.novelty_gate(c, cites).collect()] == [("a", "b")]
+    told = c.withColumn("cited", F.col("b") == "b")
+    assert [(r.a, r.b) for r in audit.novelty_gate(told).collect()] == [("a", "b")]
     d = spark.createDataFrame([("p", "claim_1", "derived"), ("p", "claim_9", "derived"), ("p", "claim_9", "likely")], "paper_id string, source_claim string, confidence string")
     assert audit.unbacked_gate(d, spark.createDataFrame([("p", "claim_1")], "paper_id string, claim_id string")).count() == 1
     again = audit.resurfaced_gate(spark.createDataFrame([("k", "e1"), ("m", "e2")], "key string, evidence string"), spark.createDataFrame([("k", "e1"), ("m", "e1")], "key string, evidence string"))
