@@ -526,3 +526,16 @@ def test_means_take_items_in_their_own_order(spark):
     rows = spark.createDataFrame([(i, "p", [float(n)]) for n, i in enumerate(ids)], "item_id string, paper_id string, vec array<double>")
     assert [r.item_id for r in rows.orderBy(embed.item_order(F.col("item_id"))).collect()] == [f"p_{kind}_{k}" for kind in ("claim", "method", "technique") for k in (1, 2, 10)]
     assert embed.means(rows, "paper_id", 2).first()["mean"] == (ids.index("p_claim_1") + ids.index("p_claim_2")) / 2
+
+
+@pytest.mark.parametrize("postings", [1, 60, 10_000])
+@pytest.mark.parametrize("ceiling", [2, 3])
+def test_top_pairs_by_rounds(spark, postings, ceiling, monkeypatch):
+    r = random.Random(4)
+    rows = spark.createDataFrame([(k, "xy"[k % 2], t) for k in range(40) for t in r.sample("abcdefghijklmnop", r.randrange(1, 15))], "paper_id long, domain string, tag string")
+    judge = lambda met: met.where("(a + b) % 5 <> 0").withColumn("score", (F.col("a") + F.col("b")) % 3)
+    seen, pairs = [], connect.pairs
+    monkeypatch.setattr(connect, "pairs", lambda *a, **k: seen.append(k.get("least", 1)) or pairs(*a, **k))
+    of = lambda x: [(q.a, q.b, q.shared, q.score) for q in x.collect()]
+    assert of(connect.top_pairs(rows, judge, ceiling, 4, postings=postings)) == of(connect.top(judge(pairs(rows, "all")), 4))
+    assert 1 in seen if ceiling == 3 else postings > 1 or 1 not in seen  # all pairs are read only where they have to be
