@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.plans.tables import dropped, scratch, shared_dir, written
+from lodestar.plans.tables import dropped, scratch, shared_dir, tidied, written
 
-__all__ = ["batches", "dropped", "gathered", "only", "scratch", "shared_dir", "table", "tidy", "written"]
+__all__ = ["batches", "dropped", "gathered", "only", "scratch", "shared_dir", "table", "tidied", "tidy", "written"]
 
 BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 

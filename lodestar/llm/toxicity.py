@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches as batches_
-from .common import dropped, gathered, only, tidy, written
+from .common import dropped, gathered, only, tidied, tidy, written
 
 WORD = re.compile(r"[^\W_]+")
 ORDER = 8
@@ -418,7 +418,7 @@ def gram_differences(words: DataFrame, discount: float) -> DataFrame:
 
 
 def word_differences(words: DataFrame, grams: DataFrame) -> DataFrame:
-    """id, word, d of words (id, word), by the differences of grams."""
+    """word, d of words (id, word), by the differences of grams, as a written table."""
     most = grams.orderBy(F.desc("n"), "hi", "lo").limit(FREQUENT).select("hi", "lo", "d").toArrow()
     hi, lo, d = (_numbers(most, c)[0] for c in ("hi", "lo", "d"))
     code = lambda hi, lo: (hi.view(np.uint64) * _POWERS[1]) ^ lo.view(np.uint64)  # noqa: E731  # a row may share it, so both are compared
@@ -448,7 +448,10 @@ def word_differences(words: DataFrame, grams: DataFrame) -> DataFrame:
 
     made = written(words.select("id", "word").mapInArrow(tidy(spread), "id long, word string, hi long, lo long, x double"), "words-by-grams")
     rest = made.where("word is null").join(grams.select("hi", "lo", "d"), ["hi", "lo"]).groupBy("id").agg(F.sum(F.col("x") * F.col("d")).alias("_d"))
-    return made.where("word is not null").join(rest, "id", "left").select("id", "word", (F.col("x") + F.coalesce("_d", F.lit(0.0))).alias("d"))
+    both = made.where("word is not null").join(rest, "id", "left")
+    out = written(both.select("word", (F.col("x") + F.coalesce("_d", F.lit(0.0))).alias("d")), "word-differences")
+    dropped(words.sparkSession, made)
+    return out
 
 
 class Fitted:
@@ -461,10 +464,11 @@ class Fitted:
         spark = words.sparkSession
         every = words.withColumn("counted", F.lit(True))
         grams = gram_differences(every, discount)
-        self.known = written(word_differences(every, grams).select("word", "d"), "word-differences")
+        self.known = word_differences(every, grams)
         dropped(spark, grams)
         most = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word")
-        got = self.known.join(most, "word").where(F.length("word") < 64).toArrow()  # long words would make it large
+        with tidied(spark):
+            got = self.known.join(most, "word").where(F.length("word") < 64).toArrow()  # long words would make it large
         self.frequent = spark.sparkContext.broadcast(dict(zip(got["word"].to_pylist(), got["d"].to_pylist(), strict=True)))
         batches_(spark)
 
@@ -472,7 +476,7 @@ class Fitted:
         """word, d of distinct words (word) that no document had."""
         given = written(asked.select(F.monotonically_increasing_id().alias("id"), "word", *[F.lit(0).cast("long").alias(c) for c in ("n0", "n1")], F.lit(False).alias("counted")), "asked")
         grams = gram_differences(self.words.select("id", "word", "n0", "n1", F.lit(True).alias("counted")).unionByName(given), self.discount)
-        out = written(word_differences(given, grams).select("word", "d"), "asked-differences")
+        out = word_differences(given, grams)
         dropped(asked.sparkSession, grams)
         batches_(asked.sparkSession)
         return out

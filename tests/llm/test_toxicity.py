@@ -71,3 +71,24 @@ def test_rows_whose_text_is_toxic_go(spark):
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
     kept = [(r.doc_id, r.text) for r in toxicity.ordinary(docs, toxicity.fit(docs, labels)).collect()]
     assert sorted(kept, key=str) == sorted([*[x for x in rows if x[0] % 4], (5, None), (7, "apple")], key=str)
+
+
+def test_shuffles_end_with_their_tables(spark):
+    """Files of a shuffle go once the table made by it is written, not at the driver's next collection; the setting stays as it was."""
+    import time
+
+    from lodestar.llm.common import tidied, written
+
+    def files():
+        return sum(1 for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f)
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, start = spark.conf.get(key, "false"), files()
+    with tidied(spark):
+        assert spark.conf.get(key) == "true"
+    t = written(spark.range(10_000).selectExpr("id % 997 as k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if files() <= start:
+            break
+        time.sleep(0.1)
+    assert files() <= start and t.count() == 997 and spark.conf.get(key, "false") == before
