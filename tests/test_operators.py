@@ -539,3 +539,35 @@ def test_top_pairs_by_rounds(spark, postings, ceiling, monkeypatch):
     of = lambda x: [(q.a, q.b, q.shared, q.score) for q in x.collect()]
     assert of(connect.top_pairs(rows, judge, ceiling, 4, postings=postings)) == of(connect.top(judge(pairs(rows, "all")), 4))
     assert 1 in seen if ceiling == 3 else postings > 1 or 1 not in seen  # all pairs are read only where they have to be
+
+
+def test_workers_hold_little_of_blocks(spark, monkeypatch):
+    """What a pair of blocks takes besides the blocks, which lie there without their codes, is bounded; pairs are the same
+    however many blocks a task meets at a time."""
+    import itertools
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestar.operators import pair_blocks
+
+    r = random.Random(5)
+    codes = [sorted(r.sample(range(400), 200)) for _ in range(1500)]
+    rows = pa.table({"paper_id": pa.array(range(1500), pa.int64()), "domain": ["x"] * 1500, "codes": pa.array(codes, pa.list_(pa.int64()))})
+    side = pair_blocks.Side(rows)
+    assert "codes" not in side.rows.column_names
+    tracemalloc.start()
+    n = sum(len(x) for x, *_ in pair_blocks.found(side, side, True, 1, np.array([7]), False, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 * 1499 // 2 and peak < 32 << 20, peak
+    papers = [(f"p{k}", "xyz"[k % 3], r.sample([f"t{i}" for i in range(30)], r.randint(1, 6))) for k in range(120)]
+    sets = spark.createDataFrame(papers, "paper_id string, domain string, tags array<string>")
+    for scope in ("all", "within", "cross"):
+        meet = {"all": lambda d, e: True, "within": lambda d, e: d == e, "cross": lambda d, e: d != e}[scope]
+        want = sorted((min(a, b), max(a, b), len(set(s) & set(t))) for (a, d, s), (b, e, t) in itertools.combinations(papers, 2) if meet(d, e) and set(s) & set(t))
+        for many in (0, 1000):
+            monkeypatch.setattr(pair_blocks, "MANY", many)
+            blocks = pair_blocks.Blocks(sets, scope, [], 30)
+            assert blocks.square == (4 if many == 0 else 2) and sorted((x.a, x.b, x.shared) for x in blocks.pairs(1).collect()) == want
