@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.config import Settings
 from lodestar.operators import audit, connect, embed, expand, graph
 from lodestar.operators.pair_index import PairIndex
 from lodestar.plans import pipelines, rounds
@@ -343,3 +344,50 @@ def test_pairs_bring_columns_and_vectors_of_both(spark):
         found = connect.pairs(tagged, "all", how=how, more=more, vectors=vectors)
         got[how] = sorted((r.a, r.b, r.depth_a or -1, r.depth_b or -1, round(r.similarity, 9)) for r in found.collect())
     assert got["blocks"] == got["tags"] and any(r[4] > 0 for r in got["tags"]) and any(r[2] > 0 for r in got["tags"])
+
+
+@pytest.mark.parametrize("scope", ["all", "within"])
+def test_a_log_comes_along_with_blocks(spark, scope):
+    """Logged pairs are neither broadcast nor joined with pairs, and the report counts kinds of pairs; ids may hold the separator."""
+    papers = [(f"p::{p[0]}" if k % 3 else f"{p[0]}:", *p[1:]) for k, p in enumerate(made(10, n=90))]
+    depth = {p[0]: k % 4 or None for k, p in enumerate(papers)}
+    frame = papers_of(spark, papers).drop("exhausted_at_depth").join(spark.createDataFrame(list(depth.items()), "paper_id string, exhausted_at_depth int"), "paper_id")
+    vecs = {p[0]: [float(k % 5), 1.0] for k, p in enumerate(papers) if k % 4}
+    pairs_ = brute(papers, scope)
+    old = {(a, b): (k % 3, None if k % 5 == 0 else 2) for k, (a, b, *_) in enumerate(pairs_) if k % 7 < 2}
+    rows_ = [("::".join(sorted(p)), *d) for p, d in old.items()]
+    log = spark.createDataFrame([*rows_, *[(r[0], 0, 0) for r in rows_[::2]], ("p::p1::gone", 3, 3), ("nothing", 1, 1)], "pair string, depth_a int, depth_b int")
+
+    def reason(a, b, d, e, shared, strong):
+        x, y = vecs.get(a), vecs.get(b)
+        cos = sum(p * q for p, q in zip(x, y, strict=True)) / (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5 if x and y else 0.0
+        if (a, b) in old and (depth[a] or 0) <= (old[a, b][0] or 0) and (depth[b] or 0) <= (old[a, b][1] or 0):
+            return "skipped_analyzed"
+        if cos < 0.9 and not strong and shared < 2:
+            return "skipped_similarity"
+        if int("".join(filter(str.isdigit, a))) % 5 == 0 or int("".join(filter(str.isdigit, b))) % 5 == 0:
+            return "missing_records"
+        return "below_confidence" if d != e else "kept"
+
+    library = frame.where(F.regexp_extract("paper_id", "[0-9]+", 0).cast("int") % 5 != 0)
+    means = spark.createDataFrame(list(vecs.items()), "paper_id string, vec array<double>")
+    got = pipelines.connections(frame, log, means, library, scope=scope, settings=Settings(similarity=0.9), upgrades=True)
+    text = got["candidates"]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Join" not in text
+    want = {(p[0], p[1]): reason(*p) for p in pairs_}
+    assert {(r.a, r.b): r.reason for r in got["candidates"].collect()} == want and len(set(want.values())) == (5 if scope == "all" else 4)
+    report = got["report"].first()
+    assert report.candidates == len(want) and all(report[k] == sum(v == k for v in want.values()) for k in connect.REASONS)
+    assert "(a" not in got["report"]._jdf.queryExecution().analyzed().toString().partition("MapInArrow")[2].partition("Repartition")[0]
+
+
+@pytest.mark.parametrize("how", ["blocks", "tags"])
+def test_pairs_are_counted_by_kind(spark, how):
+    papers = made(12, n=100)
+    number = lambda id_: F.substring(id_, 2, 9).cast("int")
+    got = connect.tally(connect.tag_rows(papers_of(spark, papers)), "all", lambda i: number(i) % 3, 3, lambda i: number(i) % 4, 4, most=3, how=how)
+    want = {}
+    for a, b, d, e, shared, strong in brute(papers):
+        kind = (int(a[1:]) % 3, int(b[1:]) % 4, min(shared, 3), strong, d != e)
+        want[kind] = want.get(kind, 0) + 1
+    assert {tuple(r)[:-1]: r.n for r in got.collect()} == want
