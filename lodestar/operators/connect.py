@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import numeric
-from lodestar.operators.pair_blocks import VECTOR, Blocks
+from lodestar.operators.graph import components
+from lodestar.operators.pair_blocks import VECTOR, Blocks, seed_of
 from lodestar.plans.tables import written
 
 # Tags that say nothing, and tags that suffice alone.
@@ -119,6 +120,41 @@ def linked(rows: DataFrame, scope: str = "within", least: int = 1, postings: int
     return pairs(sets.select("paper_id", "domain", F.explode("tags").alias("tag")), scope, least=least).select("a", "b", F.lit(1).cast("long").alias("links"))
 
 
+def connected(rows: DataFrame, scope: str = "within", least: int = 1, postings: int | None = None, large: int = 20_000_000, hubs: int = 200_000) -> DataFrame:
+    """(a, b): edges that connect what pairs() with `least` shared tags or more connect, and no more. Of more than `large` postings
+    only pairs are counted that can tell something: those of the papers with the most tags (of about `hubs` postings), and then
+    those of papers that these haven't brought into the largest component. What both join is all that pairs would.
+    """
+    sets = tag_sets(rows)
+    if not dense(sets, scope):
+        return pairs(sets.select("paper_id", "domain", F.explode("tags").alias("tag")), scope, least=least, how="prefix" if least > 1 else "tags").select("a", "b")
+    sets, by = sets.where(F.size("tags") >= least), ["domain"] if scope == "within" else []
+    if (sets.agg(F.sum(F.size("tags"))).first()[0] or 0) <= large:
+        return Blocks(sets, scope, [], postings).stars(least).select("a", "b")
+    seed = seed_of(sets.select(F.explode("tags").alias("tag")))
+    sizes = sets.groupBy(*by, F.size("tags").alias("_size")).agg(F.sum(F.size("tags")).alias("_held"))
+    held = F.sum("_held").over(Window.partitionBy(*by).orderBy(F.desc("_size")))
+    enough = sizes.withColumn("_held", held).withColumn("_fit", F.col("_held") <= hubs)
+    # the sizes that fit; where papers of the largest size alone don't, an even share of these
+    bound = enough.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_fit"), F.col("_size"))), F.max("_size")).alias("_from"), F.greatest(F.lit(1), F.ceil(F.min("_held") / hubs)).alias("_share"))
+    first = with_bound(sets, bound, by).select("paper_id", "domain", "tags", ((F.size("tags") >= F.col("_from")) & (F.pmod(F.xxhash64("paper_id"), F.col("_share")) == 0)).alias("_asks"))
+    some = written(Blocks(first, scope, [], postings, seed, asking="_asks").stars(least).select("a", "b"), "hub-edges")
+    labels = written(components(some.select(F.col("a").alias("u"), F.col("b").alias("v"))), "hub-labels")
+    at = sets.select("paper_id", "domain").join(labels.withColumnRenamed("node", "paper_id"), "paper_id")
+    most = at.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max_by("component", "n").alias("_most"))
+    inside = with_bound(at, most, by).where("component = _most").select("paper_id", "domain", F.lit(True).alias("_in"))
+    rest = sets.join(inside, ["paper_id", "domain"], "left").select("paper_id", "domain", "tags", F.col("_in").isNull().alias("_asks"))
+    return some.unionByName(Blocks(rest, scope, [], postings, seed, asking="_asks").stars(least).select("a", "b"))
+
+
+def with_bound(sets: DataFrame, bound: DataFrame, by: list[str]) -> DataFrame:
+    """sets with the columns of bound, a row for each value of by, or one row."""
+    if by:
+        return sets.join(bound, by)
+    r = bound.first()
+    return sets.withColumns({c: F.lit(None if r is None else r[c]) for c in bound.columns})
+
+
 def pairs(rows: DataFrame, scope: str = "within", domains: tuple | None = None, paper=None, least: int = 1, with_tags: bool = False, block: int = 10_000, how: str | None = None, more: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(a, b, domain_a, domain_b, shared, strong): a < b with `least` tags in common or more; strong: whether a high-signal
     tag is among them.

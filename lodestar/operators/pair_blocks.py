@@ -220,9 +220,11 @@ class Blocks:
 
     marks (a, b, and more columns; a < b): what is known of some pairs, dealt to the pairs of blocks of their papers, so that
     pairs get these columns, of several rows the largest values, without a join.
+
+    asking: a boolean column of sets; then only pairs with an asking set are counted, and blocks without one don't meet.
     """
 
-    def __init__(self, sets: DataFrame, scope: str, high: list[str], postings: int | None, seed: int | None = None, marks: DataFrame | None = None):
+    def __init__(self, sets: DataFrame, scope: str, high: list[str], postings: int | None, seed: int | None = None, marks: DataFrame | None = None, asking: str | None = None):
         spark = sets.sparkSession
         if seed is None:
             seed = seed_of(sets.select(F.explode("tags").alias("tag")))
@@ -230,8 +232,11 @@ class Blocks:
         self.crossing, self.alike, self.apart, self.scope = scope == "cross" and not apart, scope == "within" and not apart, apart, scope
         self.kinds = dict(sets.dtypes)
         self.vectors = VECTOR in sets.columns
-        self.more = [c for c in sets.columns if c not in ("paper_id", "domain", "tags", VECTOR)]
-        sets = sets.withColumn("_g", F.col("domain") if apart else F.lit(""))
+        self.more = [c for c in sets.columns if c not in ("paper_id", "domain", "tags", VECTOR, asking)]
+        asks = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
+        if marks is not None and asking is not None:
+            raise ValueError("marks are dealt to blocks of all sets")
+        sets = sets.withColumn("_g", F.concat(F.when(asks, "+").otherwise("-"), F.col("domain").cast("string") if apart else F.lit("")))
         total = sets.agg(F.sum(F.size("tags"))).first()[0] or 0
         postings = postings or min(MOST, max(50_000, total // 24))
         folders = max(1, -(-total // postings))
@@ -263,13 +268,17 @@ class Blocks:
         """Pairs of groups' squares of blocks, dealt out evenly."""
         if self._squares is None:
             last = F.floor((F.col("_n") - 1) / self.square).cast("int")
+            each = self.counts.select("_g", "_n", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"), last.alias("_l"), F.substr("_g", F.lit(2)).alias("_of"), F.col("_g").startswith("+").alias("_asks"))
+            asking = each.where("_asks")
             if self.scope == "cross" and self.apart:
-                each = self.counts.select("_g", "_n", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"), F.pmod(F.xxhash64("_g"), F.lit(1)).alias("_z"))  # no constant, on which a join would be a product
-                other = each.select(F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("_s").alias("_t"), F.col("_i").alias("_j"), "_z")
-                met = each.join(other, "_z").where("_g < _h")
+                asking, each = (x.withColumn("_z", F.pmod(F.xxhash64("_g"), F.lit(1))) for x in (asking, each))  # no constant, on which a join would be a product
+                on, meet = "_z", F.when(F.col("_asked"), F.col("_of") < F.col("_with")).otherwise(F.col("_of") != F.col("_with"))
             else:
-                each = self.counts.select("_g", "_n", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"), last.alias("_l"))
-                met = each.select("_g", "_n", "_s", "_i", F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("_s").alias("_t"), F.explode(F.sequence("_i", "_l")).alias("_j"))
+                on, meet = "_of", ~F.col("_asked")
+            other = each.select(F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("_s").alias("_t"), F.col("_i").alias("_j"), F.col("_asks").alias("_asked"), F.col("_of").alias("_with"), on)
+            met = asking.join(other, on).where(meet).select("_g", "_n", "_s", "_i", "_h", "_m", "_t", "_j")
+            if not (self.scope == "cross" and self.apart):
+                met = met.unionByName(asking.select("_g", "_n", "_s", "_i", F.col("_g").alias("_h"), F.col("_n").alias("_m"), F.col("_s").alias("_t"), F.explode(F.sequence("_i", "_l")).alias("_j")))
             met = written(met.select("_g", "_n", "_s", "_i", "_h", "_m", "_t", "_j"), "squares")
             self._squares = met.repartition(max(1, min(met.count(), 16 * met.sparkSession.sparkContext.defaultParallelism)))
         return self._squares

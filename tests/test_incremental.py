@@ -391,3 +391,25 @@ def test_pairs_are_counted_by_kind(spark, how):
         kind = (int(a[1:]) % 3, int(b[1:]) % 4, min(shared, 3), strong, d != e)
         want[kind] = want.get(kind, 0) + 1
     assert {tuple(r)[:-1]: r.n for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("scope", ["within", "all", "cross"])
+def test_blocks_count_only_pairs_with_an_asking_set(spark, scope):
+    papers = made(13, n=110)
+    sets = connect.tag_rows(papers_of(spark, papers)).groupBy("paper_id", "domain").agg(F.collect_set("tag").alias("tags"))
+    asks = {p[0] for k, p in enumerate(papers) if k % 4 == 0}
+    blocks = connect.Blocks(sets.withColumn("_asks", F.col("paper_id").isin(*asks)), scope, connect.HIGH_SIGNAL_TAGS, 40, asking="_asks")
+    assert rows(blocks.pairs(1), *PAIRS) == [p for p in brute(papers, scope) if {p[0], p[1]} & asks]
+
+
+@pytest.mark.parametrize("scope", ["within", "all"])
+def test_components_need_few_pairs(spark, scope, monkeypatch):
+    """What papers with many tags connect isn't counted again; small components are found all the same."""
+    papers = made(14, n=150, most=20) + [(f"q{k}", "xy"[k % 2], [f"s{k // 6}", f"u{k // 6}", f"v{k // 6}"], 1) for k in range(40)]
+    tagged, counted = connect.tag_rows(papers_of(spark, papers)), []
+    init = connect.Blocks.__init__
+    monkeypatch.setattr(connect.Blocks, "__init__", lambda self, sets, *a, **b: (counted.append(sets.where("_asks").count()), init(self, sets, *a, **b))[1])
+    of = lambda edges: {r.node: r.component for r in graph.components(edges.selectExpr("a as u", "b as v")).collect()}
+    want = of(spark.createDataFrame([p[:2] for p in brute(papers, scope, 3)], "a string, b string"))
+    assert of(connect.connected(tagged, scope, 3, postings=60, large=0, hubs=60)) == want and len(set(want.values())) > 5
+    assert len(counted) == 2 and sum(counted) < 110 and of(connect.connected(tagged, scope, 3, postings=60, large=0, hubs=1)) == want
