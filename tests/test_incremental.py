@@ -413,3 +413,22 @@ def test_components_need_few_pairs(spark, scope, monkeypatch):
     want = of(spark.createDataFrame([p[:2] for p in brute(papers, scope, 3)], "a string, b string"))
     assert of(connect.connected(tagged, scope, 3, postings=60, large=0, hubs=60)) == want and len(set(want.values())) > 5
     assert len(counted) == 2 and sum(counted) < 110 and of(connect.connected(tagged, scope, 3, postings=60, large=0, hubs=1)) == want
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_an_index_joins_no_pairs_with_papers(spark, tmp_path, small):
+    """Pairs of new papers with many tags come from blocks with both versions, and current ones are told without a shuffle."""
+    papers = made(15, n=120)
+    index = PairIndex(spark, str(tmp_path / "index"), buckets=4, small=small)
+    index.update(papers_of(spark, papers[:80]))
+    later = [(*p[:2], p[2][:2], 5) if k % 9 == 0 else p for k, p in enumerate(papers)]
+    delta = index.update(papers_of(spark, later))
+    new = {p[0] for k, p in enumerate(later) if k >= 80 or k % 9 == 0}
+    assert rows(delta, *PAIRS) == [p for p in brute(later) if {p[0], p[1]} & new] and rows(index.pairs(), *PAIRS) == brute(later)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    text = index.pairs()._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("Exchange hashpartitioning" in text) == (small == 0)
+    sets = spark.createDataFrame([(p[0], p[1], p[2], "v", k % 2 == 0) for k, p in enumerate(papers) if p[2]], "paper_id string, domain string, tags array<string>, version string, _asks boolean")
+    made_ = index._met(sets.where("_asks"), sets.where("_asks").select("paper_id", "domain", F.explode("tags").alias("tag")), sets.where("not _asks").select("paper_id", "domain", "version", F.explode("tags").alias("tag")), "w")
+    assert "MapInArrow" in (plan := made_._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
