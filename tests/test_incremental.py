@@ -376,6 +376,8 @@ def test_a_log_comes_along_with_blocks(spark, scope):
     assert "MapInArrow" in text and "Join" not in text
     want = {(p[0], p[1]): reason(*p) for p in pairs_}
     assert {(r.a, r.b): r.reason for r in got["candidates"].collect()} == want and len(set(want.values())) == (5 if scope == "all" else 4)
+    few = connect.Blocks(spark.createDataFrame([("p1", "x", ["t"]), ("p2", "x", ["t"])], "paper_id string, domain string, tags array<string>"), scope, [], None, marks=connect.of_keys(log.where("pair = 'p1::p2'"), "string"))
+    assert few.mark_kinds(9) == 0 and few.pairs(1).first().asDict() == {"a": "p1", "b": "p2", "domain_a": "x", "domain_b": "x", "shared": 1, "strong": False, "depth_a": None, "depth_b": None}
     report = got["report"].first()
     assert report.candidates == len(want) and all(report[k] == sum(v == k for v in want.values()) for k in connect.REASONS)
     assert "(a" not in got["report"]._jdf.queryExecution().analyzed().toString().partition("MapInArrow")[2].partition("Repartition")[0]
